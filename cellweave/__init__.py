@@ -1 +1,8 @@
 """Analytics on gridded class data as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Tile kernels travel with their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

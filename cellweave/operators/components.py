@@ -9,6 +9,7 @@ MapReduce and Beyond" (SoCC 2014); each round is written to the shared folder.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from cellweave.operators.runs import merge_runs
 from cellweave.session import cut_lineage, div, lookup
 
 TILE = 1024
+SMALL = 200_000
 # A cell number orders cells by row, then column; columns span 29 bits.
 BITS, SHIFT = 29, 1 << 28
 
@@ -129,20 +131,47 @@ def _star(edges: DataFrame, keys: list[str], rows: int, large: bool) -> DataFram
     return out.filter("u > v").distinct()
 
 
-def star_components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``u, root`` for every node that is not the smallest of its component."""
+def _solve_in_one(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``u, root`` of a graph counted to be small, in a single task."""
+    node = [*keys, "u"]
+
+    def solve(batches):
+        table = pa.Table.from_batches(batches).to_pandas()
+        ends = pd.concat([table[node], table[[*keys, "v"]].set_axis(node, axis=1)])
+        ids = ends.groupby(node, sort=True).ngroup().to_numpy()
+        names = np.empty(ids.max() + 1, dtype=np.int64)
+        names[ids] = ends["u"]
+        root = _smallest_linked(len(names), ids[: len(table)], ids[len(table) :])
+        out = ends.assign(root=names[root[ids]]).drop_duplicates()
+        yield from pa.Table.from_pandas(out[out["u"] != out["root"]], preserve_index=False).to_batches()
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*node).schema)
+    return edges.coalesce(1).mapInArrow(solve, fields + ", root long")
+
+
+def star_components(edges: DataFrame, keys: list[str], small: int = SMALL) -> DataFrame | None:
+    """``u, root`` for every node that is not the smallest of its component; none without edges.
+
+    A graph counted to have at most ``small`` edges is solved in one task, a
+    larger one by star rounds until they change nothing.
+    """
     mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
     edges = cut_lineage(edges)
     state = edges.agg(*mark).first()
-    while state["n"]:
+    if not state["n"]:
+        return None
+    if state["n"] <= small:
+        return _solve_in_one(edges, keys)
+    while True:
         edges = cut_lineage(_star(_star(edges, keys, state["n"], True), keys, state["n"], False))
         before, state = state, edges.agg(*mark).first()
         if state == before:
-            break
-    return edges.withColumnRenamed("v", "root")
+            return edges.withColumnRenamed("v", "root")
 
 
-def label_parts(runs: DataFrame, keys: list[str], diagonal: bool = True, tile: int = TILE) -> DataFrame:
+def label_parts(
+    runs: DataFrame, keys: list[str], diagonal: bool = True, tile: int = TILE, small: int = SMALL
+) -> DataFrame:
     """Runs with their connected part, named by its first cell ``part_r, part_c``.
 
     Parts are 8-connected with ``diagonal``, else 4-connected, and never join
@@ -150,10 +179,13 @@ def label_parts(runs: DataFrame, keys: list[str], diagonal: bool = True, tile: i
     """
     reach = int(diagonal)
     pieces = cut_lineage(_label_tiles(runs, keys, reach, tile))
-    roots = star_components(_border_edges(pieces, keys, reach, tile), keys)
-    roots = roots.withColumnRenamed("u", "label")
-    named = lookup(pieces, roots, [*keys, "label"], pieces.count())
-    named = named.withColumn("_n", F.coalesce("root", "label"))
+    roots = star_components(_border_edges(pieces, keys, reach, tile), keys, small)
+    if roots is None:
+        named = pieces.withColumnRenamed("label", "_n")
+    else:
+        roots = roots.withColumnRenamed("u", "label")
+        named = lookup(pieces, roots, [*keys, "label"], pieces.count())
+        named = named.withColumn("_n", F.coalesce("root", "label"))
     merged = merge_runs(named, [*keys, "_n"])
     return merged.withColumns(
         {"part_r": cell_row(F.col("_n")), "part_c": cell_col(F.col("_n"))}

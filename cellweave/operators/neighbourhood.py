@@ -1,170 +1,89 @@
-"""Small neighbourhoods as window functions over tiles with a halo.
-
-A cell is sent to its own tile and to the tiles whose halo holds it, in the one
-shuffle of a chain of steps. Windows along rows and then along columns of a
-tile need only a sort each, because ``(tile, row)`` and ``(tile, column)`` are
-finer than the hash key ``(tile)``. Steps chain inside the same shuffle as long
-as the halo is at least the sum of their radii. Data grows by
-``((tile + 2 * halo) / tile) ** 2``, not by the number of neighbours.
-"""
+"""Focal means and majority, class growth and distance to a class."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from cellweave.session import div
+from cellweave.operators.tiles import (
+    Grid,
+    Shape,
+    any_within,
+    commonest,
+    nearest,
+    shape_sums,
+    square,
+    tile_map,
+)
 
 TILE = 256
-KEY = ["tile_r", "tile_c"]
-Step = Callable[[DataFrame], DataFrame]
-
-
-def with_halo(df: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
-    """Copies of each cell for every tile within ``halo`` cells, hashed by tile."""
-    if halo >= tile:
-        raise ValueError("the tile must be larger than its halo")
-
-    def tiles(x):
-        low = F.when(F.col(x) >= 0, F.greatest(div(F.col(x) - halo, tile), F.lit(0)))
-        low = low.otherwise(F.raise_error(F.lit("row and column numbers start at 0")))
-        return F.explode(F.sequence(low.cast("long"), div(F.col(x) + halo, tile)))
-
-    return df.withColumn("tile_r", tiles("r")).withColumn("tile_c", tiles("c")).repartition(*KEY)
-
-
-def core(df: DataFrame, tile: int = TILE) -> DataFrame:
-    """Drop the halo copies: each cell remains in its own tile."""
-    own = (F.col("tile_r") == div(F.col("r"), tile)) & (F.col("tile_c") == div(F.col("c"), tile))
-    return df.filter(own).drop(*KEY)
-
-
-def neighbourhood(df: DataFrame, halo: int, steps: list[Step], tile: int = TILE) -> DataFrame:
-    out = with_halo(df, halo, tile)
-    for step in steps:
-        out = step(out)
-    return core(out, tile)
 
 
-def _across(lo: int, hi: int):
-    return W.partitionBy(*KEY, "r").orderBy("c").rangeBetween(lo, hi)
-
-
-def _down(lo: int, hi: int):
-    return W.partitionBy(*KEY, "c").orderBy("r").rangeBetween(lo, hi)
-
-
-def mean_step(v: str, out: str, n: int = 1) -> Step:
-    """Mean over a square of ``2 n + 1`` cells, NoData ignored."""
-
-    def step(df):
-        df = df.withColumns(
-            {"_s": F.sum(v).over(_across(-n, n)), "_n": F.count(v).over(_across(-n, n))}
-        )
-        df = df.withColumns(
-            {"_s": F.sum("_s").over(_down(-n, n)), "_n": F.sum("_n").over(_down(-n, n))}
-        )
-        return df.withColumn(out, F.try_divide("_s", "_n")).drop("_s", "_n")
-
-    return step
-
-
-def commonest(values: Column) -> Column:
-    """Most frequent element of a short array, ties to the lowest."""
-    counts = F.transform(
-        F.array_distinct(values),
-        lambda x: F.struct(F.size(F.filter(values, lambda y: y == x)).alias("n"), (-x).alias("m")),
-    )
-    uniform = F.array_min(values) == F.array_max(values)
-    return F.when(uniform, F.array_min(values)).otherwise(-F.array_max(counts)["m"])
+def focal_means(df: DataFrame, layers: list[str], shapes: dict[str, Shape], tile: int = 512) -> DataFrame:
+    """``r, c`` and a mean column ``<layer><shape>`` per layer and shape, NoData ignored.
 
+    All layers and shapes share one shuffle.
+    """
+    halo = max(len(s) // 2 for s in shapes.values())
 
-def majority_step(v: str, out: str, n: int = 1, where: str | None = None) -> Step:
-    """Commonest value of a square, NoData ignored; only where asked if ``where`` is given."""
+    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
+        out = {}
+        for name, (values, valid) in grids.items():
+            sums = shape_sums(values, list(shapes.values()))
+            counts = shape_sums(valid, list(shapes.values()))
+            for shape, s, n in zip(shapes, sums, counts):
+                out[f"{name}{shape}"] = (s / np.maximum(n, 1), n > 0)
+        return out
 
-    def step(df):
-        df = df.withColumn("_row", F.collect_list(v).over(_across(-n, n)))
-        df = df.withColumn("_all", F.flatten(F.collect_list("_row").over(_down(-n, n))))
-        mode = commonest(F.col("_all"))
-        return df.withColumn(out, mode if where is None else F.when(F.col(where), mode)).drop("_row", "_all")
+    names = {f"{x}{s}": "double" for x in layers for s in shapes}
+    return tile_map(df, layers, halo, tile, compute, names)
 
-    return step
 
+def focal_mean_square(cells: DataFrame, n: int = 1, tile: int = TILE) -> DataFrame:
+    """``r, c, mean`` over a square of ``2 n + 1`` cells."""
+    return focal_means(cells, ["v"], {"": square(n)}, tile).withColumnRenamed("v", "mean")
 
-def any_step(flag: Column, out: str, n: int) -> Step:
-    """Whether ``flag`` holds anywhere in a square of ``2 n + 1`` cells."""
 
-    def step(df):
-        df = df.withColumn("_f", F.max(F.coalesce(flag, F.lit(False))).over(_across(-n, n)))
-        return df.withColumn(out, F.max("_f").over(_down(-n, n))).drop("_f")
+def focal_majority(cells: DataFrame, n: int = 1, tile: int = TILE) -> DataFrame:
+    """``r, c, majority``: the commonest value of a square, ties to the lowest code."""
 
-    return step
+    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
+        return {"majority": commonest(grids["v"], n)}
 
+    return tile_map(cells, ["v"], n, tile, compute, {"majority": "int"})
 
-def expand_step(v: str, code: int, n: int, out: str) -> Step:
-    """Grow one class by ``n`` cells in a square, over any value and NoData."""
 
-    def step(df):
-        df = any_step(F.col(v) == code, "_near", n)(df)
-        return df.withColumn(out, F.when(F.col("_near"), F.lit(code)).otherwise(F.col(v))).drop("_near")
+def expand_class(cells: DataFrame, code: int, n: int, tile: int = TILE) -> DataFrame:
+    """``r, c, expanded``: one class grown by ``n`` cells in a square, over any value and NoData."""
 
-    return step
+    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
+        values, valid = grids["v"]
+        near = any_within(valid & (values == code), square(n))
+        return {"expanded": (np.where(near, code, values), valid | near)}
 
+    return tile_map(cells, ["v"], n, tile, compute, {"expanded": "int"})
 
-def reach(limit: float, size: float, strict: bool = True) -> int:
-    """Cells a distance spans along an axis."""
-    n = math.floor(limit / size)
-    return n - 1 if strict and n * size == limit else n
 
+def reach(limit: float, size: float) -> int:
+    """Cells along an axis that are closer than a limit."""
+    return math.ceil(limit / size) - 1
 
-def distance_step(source: Column, out: str, limit: float, size: float = 30.0) -> Step:
-    """Distance to the nearest source cell closer than ``limit``, else null.
 
-    The nearest source along the row is taken first; a column of such row
-    distances then holds the nearest source overall.
-    """
+def euclid_distance(cells: DataFrame, code: int, limit: float, size: float = 30.0, tile: int = TILE) -> DataFrame:
+    """``r, c, dist`` to the nearest cell of a class, null from ``limit`` on."""
     n = reach(limit, size)
 
-    def step(df):
-        at = F.when(source, F.col("c"))
-        df = df.withColumn(
-            "_g",
-            F.least(
-                F.col("c") - F.max(at).over(_across(-n, 0)),
-                F.min(at).over(_across(0, n)) - F.col("c"),
-            ),
-        )
-        by_row = [F.max(F.col("_g") * F.col("_g")).over(_down(k, k)) + k * k for k in range(-n, n + 1)]
-        df = df.withColumn("_d2", F.least(*by_row) if n else F.col("_g") * F.col("_g"))
-        near = F.col("_d2") * (size * size) < limit * limit
-        return df.withColumn(out, F.when(near, F.lit(size) * F.sqrt("_d2"))).drop("_g", "_d2")
-
-    return step
-
-
-def focal_mean_square(cells: DataFrame, n: int = 1, tile: int = TILE) -> DataFrame:
-    return neighbourhood(cells, n, [mean_step("v", "mean", n)], tile)
+    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
+        values, valid = grids["v"]
+        squared = nearest(valid & (values == code), n)
+        return {"dist": (size * np.sqrt(squared), squared * (size * size) < limit * limit)}
 
-
-def focal_majority(cells: DataFrame, n: int = 1, tile: int = TILE) -> DataFrame:
-    return neighbourhood(cells, n, [majority_step("v", "majority", n)], tile)
-
-
-def expand_class(cells: DataFrame, code: int, n: int, tile: int = TILE) -> DataFrame:
-    return neighbourhood(cells, n, [expand_step("v", code, n, "expanded")], tile)
-
-
-def euclid_distance(cells: DataFrame, code: int, limit: float, size: float = 30.0, tile: int = TILE) -> DataFrame:
-    """Distance to the nearest cell of a class, null from ``limit`` on."""
-    step = distance_step(F.col("v") == code, "dist", limit, size)
-    return neighbourhood(cells, reach(limit, size), [step], tile)
+    return tile_map(cells, ["v"], n, tile, compute, {"dist": "double"})
 
 
 def within_distance(cells: DataFrame, code: int, limit: float, size: float = 30.0, tile: int = TILE) -> DataFrame:
-    """Whether a cell of a class is closer than ``limit``."""
+    """``r, c, near``: whether a cell of a class is closer than ``limit``."""
     d = euclid_distance(cells, code, limit, size, tile)
-    return d.withColumn("near", F.col("dist").isNotNull()).drop("dist")
+    return d.select("r", "c", d["dist"].isNotNull().alias("near"))

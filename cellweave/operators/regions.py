@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.operators.components import label_parts
-from cellweave.operators.runs import dilate, erode, merge_runs, to_cells, to_runs
+from cellweave.operators.runs import dilate, dissolve_runs, erode, merge_runs, to_cells, to_runs
 from cellweave.session import cut_lineage, div, lookup
 
 PART = ["part_r", "part_c"]
@@ -57,6 +57,8 @@ def fill_holes(
 
     The area is in square metres; the percentage is of the part with its gaps.
     """
+    if below_area is not None and below_area <= size * size:
+        return parts  # no gap is smaller than a cell
     parts = cut_lineage(parts.select(*keys, *PART, "r", "c0", "c1"))
     own = [*keys, "p_r", "p_c"]
     named = parts.withColumnsRenamed({"part_r": "p_r", "part_c": "p_c"})
@@ -74,6 +76,7 @@ def fill_holes(
         covered = F.coalesce((F.col("t0") <= F.col("c0")) & (F.col("c1") <= F.col("t1")), F.lit(False))
         gaps = gaps.join(shifted, [*own, "r"], "left").withColumn(name, covered).drop("t0", "t1")
     gaps = cut_lineage(gaps)
+    rows = gaps.count()
 
     cells = F.sum(F.col("c1") - F.col("c0") + 1)
     holes = (
@@ -88,9 +91,9 @@ def fill_holes(
         solid = named.groupBy(*own).agg(cells.alias("solid"))
         inside = holes.groupBy(*own).agg(F.sum("hole").alias("inside"))
         outer = inside.join(solid, own).select(*own, (F.col("solid") + F.col("inside")).alias("outer"))
-        holes = lookup(cut_lineage(holes), outer, own, gaps.count(), "inner")
+        holes = lookup(holes, outer, own, rows, "inner")
         holes = holes.filter(F.col("hole") * 100 < F.col("outer") * F.lit(below_percent)).drop("outer")
-    filled = lookup(gaps, holes.drop("hole"), [*own, *PART], gaps.count(), "left_semi")
+    filled = lookup(gaps, holes.drop("hole"), [*own, *PART], rows, "left_semi")
     whole = named.unionByName(filled.select(*own, "r", "c0", "c1"))
     return merge_runs(whole, own).withColumnsRenamed({"p_r": "part_r", "p_c": "part_c"})
 
@@ -104,7 +107,7 @@ def _coalesce_runs(runs: DataFrame, distance: float, size: float, keys: list[str
     if distance == 0:
         raise ValueError("the dilation distance must not be zero")
     if distance > 0:
-        first = label_parts(dilate(runs, distance, size, group), group)
+        first = label_parts(dilate(dissolve_runs(runs, group), distance, size, group), group)
         first = fill_holes(first, group, below_area=900.0, size=size)
         named = first.withColumnsRenamed({"part_r": "b_r", "part_c": "b_c"})
         second = erode(named, distance, size, [*group, "b_r", "b_c"])
@@ -112,7 +115,7 @@ def _coalesce_runs(runs: DataFrame, distance: float, size: float, keys: list[str
     else:
         first = label_parts(erode(runs, -distance, size, keys), keys)
         first = fill_holes(first, keys, below_area=900.0, size=size)
-        out = label_parts(dilate(first, -distance, size, group), group)
+        out = label_parts(dilate(dissolve_runs(first, group), -distance, size, group), group)
     return out
 
 

@@ -30,11 +30,20 @@ def merge_runs(pieces: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def to_runs(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of a cell set; null and repeated cells count once or not at all."""
-    present = cells.filter(F.col("r").isNotNull() & F.col("c").isNotNull())
+    """Runs of a cell set; null and repeated cells count once or not at all.
+
+    Repeated cells, as of features that overlap, are dropped before the rows
+    are put together.
+    """
+    present = cells.filter(F.col("r").isNotNull() & F.col("c").isNotNull()).select(*keys, "r", "c").distinct()
     return merge_runs(present.select(*keys, "r", F.col("c").alias("c0"), F.col("c").alias("c1")), keys)
 
 
+def dissolve_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Union of the runs of several features; ``keys`` name what stays apart."""
+    return merge_runs(runs.select(*keys, "r", "c0", "c1").distinct(), keys)
+
+
 def to_cells(runs: DataFrame) -> DataFrame:
     return runs.withColumn("c", F.explode(F.sequence("c0", "c1"))).drop("c0", "c1")
 

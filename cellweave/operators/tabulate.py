@@ -18,6 +18,7 @@ from cellweave.functions.columns import (
     pct_change,
     pct_label,
 )
+from cellweave.session import broadcast_if_small
 
 
 def build_rat(cells: DataFrame, *keys: str) -> DataFrame:
@@ -87,6 +88,16 @@ def join_field_first(left: DataFrame, right: DataFrame, on: str, key: str, field
     return left.join(first, on, "left")
 
 
+def reclass_by_table(cells: DataFrame, table: DataFrame, src: str = "v", dst: str = "reclass") -> DataFrame:
+    """Remap codes by a table of unique codes; codes it lacks become NoData.
+
+    Codes are few and each fills much of a grid, so the table is broadcast if
+    its count allows and cells are not shuffled by code.
+    """
+    table = broadcast_if_small(table.select(F.col(src).alias("v"), F.col(dst).alias("_to")))
+    return cells.join(table, "v", "left").withColumn("v", F.col("_to")).drop("_to")
+
+
 def class_combos(stack: DataFrame, t1: str, t2: str) -> DataFrame:
     """Every pair of a class of one date and a class of another, with its code.
 

@@ -1,16 +1,46 @@
-"""Focal means over large neighbourhoods: one shuffle, a dense kernel per tile."""
+"""Tiles with a halo: one shuffle brings together all a neighbourhood needs.
+
+A cell is sent to its own tile and to the tiles whose halo holds it, so data
+grows by ``((tile + 2 * halo) / tile) ** 2`` and not by the number of neighbours.
+Inside a tile the layers are dense arrays. Window functions along rows and then
+columns would not do: where the extent is ragged, a row's result is also needed
+at places that have no cell. A task holds ``(tile + 2 * halo) ** 2`` cells of a
+tile at most.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cellweave.operators.neighbourhood import KEY, with_halo
+from cellweave.session import div
 
+KEY = ["tile_r", "tile_c"]
 Shape = list[int]  # half-width of each row, from the top row to the bottom one
+Grid = tuple[np.ndarray, np.ndarray]  # values, and where they are not NoData
+
+
+def with_halo(df: DataFrame, halo: int, tile: int) -> DataFrame:
+    """Copies of each cell for every tile within ``halo`` cells, hashed by tile.
+
+    The partition count is given, not left to adaptive coalescing: that goes by
+    bytes, and neighbourhood work is heavy for its bytes.
+    """
+    if halo >= tile:
+        raise ValueError("the tile must be larger than its halo")
+
+    def tiles(x):
+        low = F.when(F.col(x) >= 0, F.greatest(div(F.col(x) - halo, tile), F.lit(0)))
+        low = low.otherwise(F.raise_error(F.lit("row and column numbers start at 0")))
+        return F.explode(F.sequence(low.cast("long"), div(F.col(x) + halo, tile)))
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("tile_r", tiles("r")).withColumn("tile_c", tiles("c")).repartition(parts, *KEY)
 
 
 def circle(radius: int) -> Shape:
@@ -21,58 +51,98 @@ def square(n: int) -> Shape:
     return [n] * (2 * n + 1)
 
 
-def _window_sum(prefix: np.ndarray, shape: Shape, pad: int, width: int) -> np.ndarray:
-    """Sums over a shape at every cell, from row prefix sums padded by ``pad``."""
-    k = len(shape) // 2
-    height = prefix.shape[0]
-    out = np.zeros((height, width), dtype=np.int64)
-    by_width = {
-        w: prefix[:, pad + w + 1 : pad + w + 1 + width] - prefix[:, pad - w : pad - w + width]
-        for w in set(shape)
-    }
-    for d, w in zip(range(-k, k + 1), shape):
+def shape_sums(dense: np.ndarray, shapes: list[Shape]) -> list[np.ndarray]:
+    """Sums over each shape at every cell, from one set of row prefix sums."""
+    height, width = dense.shape
+    pad = max(max(s) for s in shapes)
+    prefix = np.zeros((height, width + 2 * pad + 1), dtype=np.int64)
+    np.cumsum(dense, axis=1, out=prefix[:, pad + 1 : pad + 1 + width])
+    prefix[:, pad + 1 + width :] = prefix[:, pad + width, None]
+    sums = []
+    for shape in shapes:
+        k = len(shape) // 2
+        by_width = {
+            w: prefix[:, pad + w + 1 : pad + w + 1 + width] - prefix[:, pad - w : pad - w + width]
+            for w in set(shape)
+        }
+        out = np.zeros((height, width), dtype=np.int64)
+        for d, w in zip(range(-k, k + 1), shape):
+            lo, hi = max(0, -d), min(height, height - d)
+            if lo < hi:
+                out[lo:hi] += by_width[w][lo + d : hi + d]
+        sums.append(out)
+    return sums
+
+
+def any_within(flags: np.ndarray, shape: Shape) -> np.ndarray:
+    return shape_sums(flags, [shape])[0] > 0
+
+
+def commonest(grid: Grid, n: int) -> Grid:
+    """Commonest value of a square, NoData ignored, ties to the lowest."""
+    values, valid = grid
+    best, most = np.zeros_like(values), np.zeros(values.shape, dtype=np.int64)
+    for code in np.unique(values[valid]):
+        count = shape_sums(valid & (values == code), [square(n)])[0]
+        ahead = count > most
+        best[ahead], most[ahead] = code, count[ahead]
+    return best, most > 0
+
+
+def nearest(flags: np.ndarray, n: int) -> np.ndarray:
+    """Squared distance in cells to the nearest flag, right up to ``n`` rows away."""
+    height, width = flags.shape
+    far = 1 << 30
+    at = np.arange(width)
+    left = np.maximum.accumulate(np.where(flags, at, -far), axis=1)
+    right = np.minimum.accumulate(np.where(flags, at, far)[:, ::-1], axis=1)[:, ::-1]
+    in_row = np.minimum(at - left, right - at) ** 2
+    out = in_row.copy()
+    for d in range(-n, n + 1):
         lo, hi = max(0, -d), min(height, height - d)
         if lo < hi:
-            out[lo:hi] += by_width[w][lo + d : hi + d]
+            np.minimum(out[lo:hi], in_row[lo + d : hi + d] + d * d, out=out[lo:hi])
     return out
 
 
-def _prefix(dense: np.ndarray, pad: int) -> np.ndarray:
-    out = np.zeros((dense.shape[0], dense.shape[1] + 2 * pad + 1), dtype=np.int64)
-    np.cumsum(dense, axis=1, out=out[:, pad + 1 : pad + 1 + dense.shape[1]])
-    out[:, pad + 1 + dense.shape[1] :] = out[:, pad + dense.shape[1], None]
-    return out
-
-
-def focal_means(df: DataFrame, layers: list[str], shapes: dict[str, Shape], tile: int = 512) -> DataFrame:
-    """``r, c`` and a mean column ``<layer><shape>`` per layer and shape, NoData ignored.
-
-    All layers and shapes share one shuffle. A task holds one tile and its
-    halo, ``(tile + 2 * halo) ** 2`` cells at most, one layer dense at a time.
-    """
-    halo = max(len(s) // 2 for s in shapes.values())
-    names = [f"{x}{s}" for x in layers for s in shapes]
+def tile_map(
+    df: DataFrame,
+    layers: list[str],
+    halo: int,
+    tile: int,
+    compute: Callable[[dict[str, Grid]], dict[str, Grid]],
+    out: dict[str, str],
+) -> DataFrame:
+    """Run ``compute`` on the dense layers of every tile; ``out`` names its results and their types."""
 
     def kernel(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         r, c = table["r"].to_numpy(), table["c"].to_numpy()
         own = (r // tile == key[0].as_py()) & (c // tile == key[1].as_py())
+        if not own.any():
+            return empty
         r0, c0 = r.min(), c.min()
         size = (int(r.max() - r0) + 1, int(c.max() - c0) + 1)
         at = (r - r0, c - c0)
+
+        def dense(name: str) -> Grid:
+            values, valid = np.zeros(size, np.int64), np.zeros(size, bool)
+            values[at] = table[name].fill_null(0).to_numpy()
+            valid[at] = table[name].is_valid().to_numpy()
+            return values, valid
+
+        results = compute({name: dense(name) for name in layers})
         pick = (at[0][own], at[1][own])
-        out = [pa.array(r[own]), pa.array(c[own])]
-        for name in layers:
-            values = table[name]
-            dense, valid = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            dense[at] = values.fill_null(0).to_numpy()
-            valid[at] = values.is_valid().to_numpy()
-            sums, counts = _prefix(dense, halo), _prefix(valid, halo)
-            for shape in shapes.values():
-                s = _window_sum(sums, shape, halo, size[1])[pick]
-                n = _window_sum(counts, shape, halo, size[1])[pick]
-                out.append(pa.array(s / np.maximum(n, 1), mask=n == 0))
-        return pa.Table.from_arrays(out, names=["r", "c", *names])
-
-    schema = "r long, c long, " + ", ".join(f"{n} double" for n in names)
+        cols = [
+            pa.array(values[pick], mask=~valid[pick]).cast(empty.schema.field(name).type)
+            for name, (values, valid) in results.items()
+        ]
+        return pa.Table.from_arrays([pa.array(r[own]), pa.array(c[own]), *cols], names=names)
+
+    types = {"int": pa.int32(), "double": pa.float64()}
+    names = ["r", "c", *out]
+    empty = pa.schema(
+        [("r", pa.int64()), ("c", pa.int64()), *[(n, types[t]) for n, t in out.items()]]
+    ).empty_table()
+    schema = "r long, c long, " + ", ".join(f"{n} {t}" for n, t in out.items())
     tiled = with_halo(df.select("r", "c", *layers), halo, tile)
     return tiled.groupBy(*KEY).applyInArrow(kernel, schema)

@@ -1,63 +1,65 @@
 """Split barren cells by kind, one year or a chain of years.
 
 A year reaches four cells: one for the majority filter, three for growing the
-natural class and for the distance to anthropogenic cells. A chain needs the
-sum over its years, which is still small beside a tile, so the whole chain runs
-inside one shuffle and writes nothing in between.
+natural class and for the distance to anthropogenic cells. A chain reaches the
+sum over its years, still little beside a tile, so the whole chain runs inside
+one shuffle and writes nothing in between.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cellweave.functions import codes
-from cellweave.functions.columns import reclass
-from cellweave.operators.neighbourhood import (
-    any_step,
-    core,
-    distance_step,
-    expand_step,
-    majority_step,
-    with_halo,
-)
+from cellweave.operators.neighbourhood import reach
+from cellweave.operators.tiles import Grid, any_within, commonest, square, tile_map
 
 NATURAL, ANTHROPOGENIC = 31, 32
 FILTER, GROWTH = 1, 3
-REACH = FILTER + GROWTH
 NEAR, SIZE = 100.0, 30.0
+REACH = max(FILTER + GROWTH, reach(NEAR, SIZE))
 TILE = 512
 
 
-def split_step(current: str, ref: str, out: str, schema: str):
-    """One year: barren cells of ``current`` become natural or anthropogenic.
+def _near_shape() -> list[int]:
+    """Cells closer than the limit, as a half-width per row."""
+    n = reach(NEAR, SIZE)
+    cells = [[w for w in range(n + 1) if SIZE * SIZE * (d * d + w * w) < NEAR * NEAR] for d in range(-n, n + 1)]
+    return [max(ws) for ws in cells]
 
-    The neighbourhood is worked out only around barren cells of the year.
-    """
-    table = codes.BARREN_FROM_1992 if schema == "1992" else codes.BARREN_FROM_STANDARD
 
-    def step(df):
-        df = df.withColumn("_likely", reclass(ref, table))
-        df = any_step(F.col(current) == NATURAL, "_needed", GROWTH)(df)
-        df = majority_step("_likely", "_filt", FILTER, where="_needed")(df)
-        df = distance_step(F.col(ref) == ANTHROPOGENIC, "_dist", NEAR, SIZE)(df)
-        df = expand_step("_filt", NATURAL, GROWTH, "_grown")(df)
-        barren = (
-            F.when(F.col(ref).isin(NATURAL, ANTHROPOGENIC), F.col(ref))
-            .when(F.col(ref).isNull(), F.lit(None))
-            .when(F.col("_dist").isNotNull(), F.lit(ANTHROPOGENIC))
-            .otherwise(F.col("_grown"))
-        )
-        split = F.when(F.col(current) == NATURAL, barren).otherwise(F.col(current))
-        return df.withColumn(out, split).drop("_likely", "_needed", "_filt", "_dist", "_grown")
+def _likely(ref: Grid, table: dict) -> Grid:
+    """Likeliest kind of barren by reference code; unlisted codes stay."""
+    values, valid = ref[0].copy(), ref[1].copy()
+    for code, kind in table.items():
+        at = ref[0] == code
+        if kind is None:
+            valid &= ~at
+        else:
+            values[at] = kind
+    return values, valid
 
-    return step
 
+def split_year(current: Grid, ref: Grid, schema: str) -> Grid:
+    """The barren rule on dense grids.
 
-def barren_split(stack: DataFrame, current: str, ref: str, schema: str, out: str = "v", tile: int = TILE) -> DataFrame:
-    """Split class 31 of a layer by a reference layer of an earlier year."""
-    tiled = with_halo(stack, REACH, tile)
-    return core(split_step(current, ref, out, schema)(tiled), tile)
+    A barren cell keeps the kind of its reference cell; elsewhere it is
+    anthropogenic near an anthropogenic reference cell, and of the likeliest
+    kind, smoothed and with the natural kind grown, otherwise.
+    """
+    barren = current[1] & (current[0] == NATURAL)
+    if not barren.any():
+        return current
+    known = ref[1] & ((ref[0] == NATURAL) | (ref[0] == ANTHROPOGENIC))
+    near = any_within(ref[1] & (ref[0] == ANTHROPOGENIC), _near_shape())
+    table = codes.BARREN_FROM_1992 if schema == "1992" else codes.BARREN_FROM_STANDARD
+    smooth, smooth_ok = commonest(_likely(ref, table), FILTER)
+    grown = any_within(smooth_ok & (smooth == NATURAL), square(GROWTH))
+    kind = np.where(grown, NATURAL, smooth)
+    kind = np.where(known, ref[0], np.where(near, ANTHROPOGENIC, kind))
+    kind_ok = ref[1] & (known | near | grown | smooth_ok)
+    return np.where(barren, kind, current[0]), np.where(barren, kind_ok, current[1])
 
 
 def barren_chain(
@@ -67,6 +69,7 @@ def barren_chain(
     layer: str = "lc_{}",
     out: str = "b_{}",
     existing: tuple[int, ...] = (),
+    schema: str = "1992",
     tile: int = TILE,
 ) -> DataFrame:
     """Split every year, each by the result of the year before.
@@ -75,10 +78,23 @@ def barren_chain(
     in the stack under their output name: kept, and still the next reference.
     """
     new = [y for y in years if y not in existing]
-    tiled = with_halo(stack, REACH * max(len(new), 1), tile)
-    ref, schema = first_ref, "1992"
-    for y in years:
-        if y in new:
-            tiled = split_step(layer.format(y), ref, out.format(y), schema)(tiled)
-        ref, schema = out.format(y), "standard"
-    return core(tiled, tile)
+    used = [layer.format(y) if y in new else out.format(y) for y in years]
+    inputs = list(dict.fromkeys([first_ref, *used]))
+
+    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
+        results, ref, ref_schema = {}, grids[first_ref], schema
+        for y in years:
+            if y in new:
+                ref = split_year(grids[layer.format(y)], ref, ref_schema)
+            else:
+                ref = grids[out.format(y)]
+            results[out.format(y)], ref_schema = ref, "standard"
+        return results
+
+    halo = REACH * max(len(new), 1)
+    return tile_map(stack, inputs, halo, tile, compute, {out.format(y): "int" for y in years})
+
+
+def barren_split(stack: DataFrame, current: str, ref: str, schema: str, tile: int = TILE) -> DataFrame:
+    """Split class 31 of a layer by a reference layer of an earlier year, as ``r, c, v``."""
+    return barren_chain(stack, [0], ref, layer=current, out="v", schema=schema, tile=tile)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import codes
 from cellweave.functions.columns import indicator, null_to_zero, scale_to_int, set_null
+from cellweave.operators.neighbourhood import focal_means
 from cellweave.operators.overlay import mask_semi
-from cellweave.operators.tiles import circle, focal_means, square
+from cellweave.operators.tiles import circle, square
 
 SHAPES = {"1": square(1), "10": circle(10), "100": circle(100)}
 

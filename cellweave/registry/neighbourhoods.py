@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import codes
 from cellweave.functions.columns import indicator
 from cellweave.operators import neighbourhood as near
-from cellweave.operators.tiles import circle, focal_means
+from cellweave.operators.tiles import circle
 from cellweave.plans import barren, landscape
 from cellweave.plans.proportions import lc_proportions
 from cellweave.registry.base import GENERAL, query, remap_sql, sql
@@ -42,7 +42,7 @@ def _forest(spark, d):
 @query(
     "focal_mean_3x3",
     sql(
-        "SELECT x.r, x.c, CAST(sum(y.v) AS BIGINT) / count(y.v) AS mean, any_value(x.v) AS v FROM src x, off "
+        "SELECT x.r, x.c, CAST(sum(y.v) AS BIGINT) / count(y.v) AS mean FROM src x, off "
         "JOIN src y ON y.r = x.r + dr AND y.c = x.c + dc GROUP BY x.r, x.c",
         _FOREST,
         square_sql(1),
@@ -63,7 +63,7 @@ def _circle_sql(radius: int) -> str:
 
 def _circle(radius: int, tile: int):
     def run(spark, d):
-        means = focal_means(_forest(spark, d), ["v"], {"mean": circle(radius)}, tile)
+        means = near.focal_means(_forest(spark, d), ["v"], {"mean": circle(radius)}, tile)
         return means.withColumnRenamed("vmean", "mean")
 
     return run
@@ -76,7 +76,7 @@ query("focal_mean_c100", _circle_sql(100))(_circle(100, 512))
 @query(
     "focal_majority",
     sql(
-        "SELECT s.r, s.c, s.lc_2001 AS v, m.majority FROM stack s LEFT JOIN (SELECT r, c, v AS majority FROM "
+        "SELECT s.r, s.c, m.majority FROM stack s LEFT JOIN (SELECT r, c, v AS majority FROM "
         "(SELECT x.r, x.c, y.lc_2001 AS v, row_number() OVER (PARTITION BY x.r, x.c ORDER BY count(*) DESC, y.lc_2001) AS i "
         "FROM stack x, off JOIN stack y ON y.r = x.r + dr AND y.c = x.c + dc GROUP BY x.r, x.c, y.lc_2001) WHERE i = 1) m "
         "USING (r, c)",
@@ -96,7 +96,7 @@ _DIST = (
 
 @query(
     "euclid_distance",
-    sql("SELECT r, c, lc_1992 AS v, dist FROM stack LEFT JOIN dist USING (r, c)", square_sql(3), _DIST),
+    sql("SELECT r, c, dist FROM stack LEFT JOIN dist USING (r, c)", square_sql(3), _DIST),
 )
 def euclid_distance(spark, d):
     return near.euclid_distance(grid.layer(spark, d, "lc_1992"), 32, 100.0)
@@ -104,7 +104,7 @@ def euclid_distance(spark, d):
 
 @query(
     "within_distance",
-    sql("SELECT r, c, lc_1992 AS v, dist IS NOT NULL AS near FROM stack LEFT JOIN dist USING (r, c)", square_sql(3), _DIST),
+    sql("SELECT r, c, dist IS NOT NULL AS near FROM stack LEFT JOIN dist USING (r, c)", square_sql(3), _DIST),
 )
 def within_distance(spark, d):
     return near.within_distance(grid.layer(spark, d, "lc_1992"), 32, 100.0)
@@ -113,7 +113,7 @@ def within_distance(spark, d):
 @query(
     "expand_class",
     sql(
-        "SELECT s.r, s.c, s.lc_2001 AS v, CASE WHEN g.r IS NOT NULL THEN 31 ELSE s.lc_2001 END AS expanded FROM stack s "
+        "SELECT s.r, s.c, CASE WHEN g.r IS NOT NULL THEN 31 ELSE s.lc_2001 END AS expanded FROM stack s "
         "LEFT JOIN (SELECT DISTINCT y.r + dr AS r, y.c + dc AS c FROM stack y, off WHERE y.lc_2001 = 31) g "
         "ON s.r = g.r AND s.c = g.c",
         square_sql(3),
@@ -157,8 +157,7 @@ _SPLIT = _barren_ctes(2001, "lc_2001", "ref92", codes.BARREN_FROM_1992)
 )
 def barren_split(spark, d):
     st = grid.stack(spark, d, "lc_2001", "lc_1992")
-    out = barren.barren_split(st, "lc_2001", "lc_1992", "1992")
-    return landscape.labelled(out.select("r", "c", "v"), "NLCD")
+    return landscape.labelled(barren.barren_split(st, "lc_2001", "lc_1992", "1992"), "NLCD")
 
 
 def _chain_ctes(years):
@@ -185,8 +184,7 @@ _CHAIN = _materialised(_chain_ctes(codes.YEARS))
     ),
 )
 def barren_chain(spark, d):
-    out = barren.barren_chain(grid.stack(spark, d), codes.YEARS)
-    return out.select("r", "c", *[f"b_{y}" for y in codes.YEARS])
+    return barren.barren_chain(grid.stack(spark, d), codes.YEARS)
 
 
 @query(

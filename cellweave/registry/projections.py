@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cellweave.functions import codes
 from cellweave.functions import columns as col
 from cellweave.operators import overlay
-from cellweave.operators.tabulate import build_rat, calculate_field as calculate
+from cellweave.operators.tabulate import build_rat, reclass_by_table
+from cellweave.operators.tabulate import calculate_field as calculate
 from cellweave.plans.change import (
     change_counts,
     change_decode,
@@ -23,34 +24,35 @@ from cellweave.registry.base import DETAILED, GENERAL, in_sql, query, remap_sql,
 from cellweave.sources import events_grid as grid
 
 
-def _layer(name, expr):
-    return lambda spark, d: grid.layer(spark, d, name).withColumn("v", expr)
+def _register(name, layer, expr, sql_expr):
+    """A query that recomputes ``v`` of one layer; ``expr`` runs once a session exists."""
 
+    def run(spark, d):
+        return grid.layer(spark, d, layer).withColumn("v", expr())
 
-def _register(name, layer, expr, sql_expr):
-    query(name, sql(f"SELECT r, c, CAST({sql_expr} AS INTEGER) AS v FROM stack"))(_layer(layer, expr))
+    query(name, sql(f"SELECT r, c, CAST({sql_expr} AS INTEGER) AS v FROM stack"))(run)
 
 
 _SOME = {0: None, 11: 1, 21: 2, 31: 7}
-_register("reclass_passthrough", "lc_2001", col.reclass("v", _SOME), remap_sql("lc_2001", _SOME))
-_register("reclass_strict", "lc_2001", col.reclass("v", _SOME, False), remap_sql("lc_2001", _SOME, False))
+_register("reclass_passthrough", "lc_2001", lambda: col.reclass("v", _SOME), remap_sql("lc_2001", _SOME))
+_register("reclass_strict", "lc_2001", lambda: col.reclass("v", _SOME, False), remap_sql("lc_2001", _SOME, False))
 _register(
     "transition_1992",
     "lc_1992",
-    col.reclass("v", codes.BARREN_FROM_1992),
+    lambda: col.reclass("v", codes.BARREN_FROM_1992),
     remap_sql("lc_1992", codes.BARREN_FROM_1992),
 )
 _register(
     "transition_standard",
     "lc_2001",
-    col.reclass("v", codes.BARREN_FROM_STANDARD),
+    lambda: col.reclass("v", codes.BARREN_FROM_STANDARD),
     remap_sql("lc_2001", codes.BARREN_FROM_STANDARD),
 )
-_register("keep_only_class", "lc_1992", col.keep_only("v", 32), "CASE WHEN lc_1992 = 32 THEN 32 END")
+_register("keep_only_class", "lc_1992", lambda: col.keep_only("v", 32), "CASE WHEN lc_1992 = 32 THEN 32 END")
 _register(
     "null_to_zero",
     "lc_2001",
-    col.null_to_zero(col.reclass("v", codes.TO_GENERAL)),
+    lambda: col.null_to_zero(col.reclass("v", codes.TO_GENERAL)),
     f"coalesce({remap_sql('lc_2001', codes.TO_GENERAL)}, 0)",
 )
 
@@ -67,10 +69,12 @@ _register(
         "ON s.code = t.src"
     ),
 )
-def reclass_by_table(spark, d):
-    """The class grid of a change summary, worked out per code."""
-    change = change_cells(grid.stack(spark, d), "lc_2001", "lc_2021")
-    return change_summary_cells(change, codes.FOREST, codes.DEVELOPED, backwards=False)
+def reclass_by_table_query(spark, d):
+    """The class grid of a change summary: codes are classed in the attribute table, cells by that."""
+    change = change_cells(grid.stack(spark, d, "lc_2001", "lc_2021"), "lc_2001", "lc_2021")
+    start, end = col.start_class("v"), col.end_class("v")
+    code = col.summary_code(start, end, codes.FOREST, codes.DEVELOPED, backwards=False)
+    return reclass_by_table(change, build_rat(change).withColumn("reclass", code)).select("r", "c", "v")
 
 
 @query(
@@ -83,7 +87,7 @@ def reclass_by_table(spark, d):
     ),
 )
 def reclass_general(spark, d):
-    g = grid.layer(spark, d, "lc_2021").withColumn("v", col.reclass("v", codes.TO_GENERAL))
+    g = grid.layer(spark, d, "lc_2021").withColumn("v", lambda: col.reclass("v", codes.TO_GENERAL))
     return labelled(g, "Gen")
 
 

@@ -43,6 +43,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Mark a table for broadcast if it is counted to have at most ``rows`` rows.
+
+    The table is written first, so counting it does not compute it twice. A
+    larger one comes back unmarked and joins by shuffle.
+    """
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def lookup(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str = "left") -> DataFrame:
     """Join ``left`` to a table with unique ``on`` keys, whatever their skew.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.columns import layer_period
 from cellweave.model import CELLS
-from cellweave.session import div
+from cellweave.session import broadcast_if_small, div
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +63,24 @@ def stack_tagged(tables: dict[str, DataFrame], tag: str = "data") -> DataFrame:
 def new_layers(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of the layers the target does not hold yet.
 
-    The layer list is one row per layer, a few hundred at most for yearly
-    grids; the optimizer broadcasts it, so the cells are not shuffled.
+    The layer names are counted before they are broadcast: cells are not
+    shuffled by layer, of which there are few and large ones.
     """
-    return incoming.join(existing.select("layer").distinct(), "layer", "left_anti")
+    known = broadcast_if_small(existing.select("layer").distinct())
+    return incoming.join(known, "layer", "left_anti")
+
+
+def write_bucketed(layer: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Store one layer as a table bucketed by cell.
+
+    Layers with equal buckets overlay without a shuffle.
+    """
+    (
+        layer.select("r", "c", "v")
+        .repartition(buckets, "r", "c")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "r", "c")
+        .sortBy("r", "c")
+        .option("path", path)
+        .saveAsTable(table)
+    )

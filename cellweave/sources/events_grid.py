@@ -6,7 +6,7 @@ cells and shift over the years for cells whose event is a purchase or an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.codes import YEARS
@@ -26,42 +26,31 @@ def codes_of(k: int) -> list[int]:
     return out
 
 
-def _pick(values: list[int], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _pick(values: list[int], index: str) -> str:
+    return f"element_at(array({', '.join(map(str, values))}), CAST({index} AS INT) + 1)"
 
 
-def _class_layer(k: int) -> Column:
-    moved = F.lit(k) > F.col("user_id") % 9
-    shift = (
-        F.when((F.col("event_type") == "purchase") & moved, 5)
-        .when((F.col("event_type") == "error") & moved, 3)
-        .otherwise(0)
-    )
-    return F.when(F.col("event_id") % 97 == 0, 0).otherwise(_pick(codes_of(k), (F.col("b") + shift) % 15))
+def _class_layer(k: int) -> str:
+    moved = f"{k} > user_id % 9"
+    shift = f"CASE WHEN event_type = 'purchase' AND {moved} THEN 5 WHEN event_type = 'error' AND {moved} THEN 3 ELSE 0 END"
+    return f"CASE WHEN event_id % 97 = 0 THEN 0 ELSE {_pick(codes_of(k), f'(b + {shift}) % 15')} END"
 
 
-def _other_layers() -> dict[str, Column]:
-    user = F.when(F.col("event_type") == "signup", F.col("user_id") % 20).otherwise(0)
-    return {
-        "lc_1992": _pick(CODES_1992, (F.col("b") + user) % 20),
-        "impsur": F.when(F.col("event_id") % 89 == 0, 127)
-        .otherwise(F.floor("value").cast("int") % 101)
-        .cast("int"),
-        "canopy": F.when(F.col("event_id") % 83 == 0, 255).otherwise(F.col("user_id") % 101).cast("int"),
-        "chg": F.when(F.col("event_type").isin("purchase", "error"), 11).otherwise(1),
-    }
+_USER = "CASE WHEN event_type = 'signup' THEN user_id % 20 ELSE 0 END"
+_EXPR = {name: _class_layer(k) for k, name in enumerate(LAYERS)} | {
+    "lc_1992": _pick(CODES_1992, f"(b + {_USER}) % 20"),
+    "impsur": "CASE WHEN event_id % 89 = 0 THEN 127 ELSE CAST(floor(value) AS INT) % 101 END",
+    "canopy": "CASE WHEN event_id % 83 = 0 THEN 255 ELSE CAST(user_id % 101 AS INT) END",
+    "chg": "CASE WHEN event_type IN ('purchase', 'error') THEN 11 ELSE 1 END",
+}
 
 
 def stack(spark: SparkSession, sf_dir: str, *layers: str) -> DataFrame:
     """One row per cell with the named layers (all of them by default)."""
-    exprs = {name: _class_layer(k) for k, name in enumerate(LAYERS)} | _other_layers()
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ev = ev.withColumns(
-        {"r": F.call_function("div", "event_id", F.lit(100)), "c": F.col("event_id") % 100}
-    ).withColumn(
-        "b", F.call_function("div", "r", F.lit(6)) * 7 + F.call_function("div", "c", F.lit(9)) * 11
-    )
-    return ev.select("r", "c", *[exprs[n].alias(n) for n in (layers or exprs)])
+    ev = ev.selectExpr("*", "event_id div 100 AS r", "event_id % 100 AS c")
+    ev = ev.selectExpr("*", "(r div 6) * 7 + (c div 9) * 11 AS b")
+    return ev.selectExpr("r", "c", *[f"{_EXPR[n]} AS {n}" for n in (layers or _EXPR)])
 
 
 def layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

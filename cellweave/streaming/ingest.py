@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from cellweave.model import CELLS
 from cellweave.operators.overlay import mask_semi
-from cellweave.session import cut_lineage
 from cellweave.sources.cells import new_layers, write_cells
 
 
@@ -22,9 +21,8 @@ def _add(incoming: DataFrame, target: str, batch: str, template: DataFrame | Non
             raise
         fresh = incoming
     else:
-        # Layer names only, one row each; fixed before the target is written to.
-        known = cut_lineage(stored.filter(F.col("batch") != batch).select("layer").distinct())
-        fresh = new_layers(incoming, known)
+        # The list of known layers is fixed here, before the target is written to.
+        fresh = new_layers(incoming, stored.filter(F.col("batch") != batch))
     write_cells(fresh if template is None else mask_semi(fresh, template), target, batch)
 
 
