@@ -13,6 +13,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # At most this many keys can each hold more than 1/HEAVY_KEYS of the rows, so a
 # table of them is small enough to broadcast whatever the size of the data.
 HEAVY_KEYS = 2000
+# Below this many rows a key is never heavy.
+HEAVY_FLOOR = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,7 +63,7 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str
     are looked up in a broadcast table and never meet in one task; the others
     join as usual.
     """
-    limit = max(rows // HEAVY_KEYS, 100_000)
+    limit = max(rows // HEAVY_KEYS, HEAVY_FLOOR)
     if rows <= limit:  # no key can be heavy
         return left.join(right, on, how)
     heavy = left.groupBy(*on).count().filter(F.col("count") > limit).select(*on)
