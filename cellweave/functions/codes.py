@@ -75,6 +75,25 @@ CLASS_NODATA, IMPERVIOUS_NODATA, CANOPY_NODATA = 0, 127, 255
 FOREST = [41, 42, 43, 52, 90]
 DEVELOPED = [21, 22, 23, 24, 32]
 
+# Labels of the change summary, {a} and {b} the start and end class.
+SUMMARY_LABELS = {
+    0: "not {a} in either time period",
+    1: "{a} in both time periods",
+    2: "{a} to {b}",
+    3: "{a} to non-{b} class",
+    4: "{b} to {a}",
+    5: "non-{b} class to {a}",
+}
+# Code 4 where changes towards the start class are not told apart.
+SUMMARY_LABEL_4_FORWARD = "non-{a} class to {a}"
+
+# Change types of moves to and from a class {a}.
+NO_CHANGE = "No change"
+STAYED_IN, STAYED_OUT = "{a} both time periods", "Not {a} either time period"
+
+# Groups of periods.
+FULL_PERIOD, OTHER_PERIODS = "Full period", " Intermediate periods"
+
 # Decade code to name, in display order. 99 is the class studied.
 DECADES = {
     20: "Developed",

@@ -88,7 +88,7 @@ def end_class(code) -> Column:
 
 
 def change_type(start, end, start_name, end_name) -> Column:
-    return F.when(col(start) == col(end), F.lit("No change")).otherwise(
+    return F.when(col(start) == col(end), F.lit(codes.NO_CHANGE)).otherwise(
         F.concat(col(start_name), F.lit(" to "), col(end_name))
     )
 
@@ -131,18 +131,10 @@ def summary_code(start, end, from_cls: list[int], to_cls: list[int], backwards:
 
 
 def summary_label(code, from_name: str, to_name: str, backwards: bool) -> Column:
-    four = f"{to_name} to {from_name}" if backwards else f"non-{from_name} class to {from_name}"
-    return lookup_label(
-        code,
-        {
-            0: f"not {from_name} in either time period",
-            1: f"{from_name} in both time periods",
-            2: f"{from_name} to {to_name}",
-            3: f"{from_name} to non-{to_name} class",
-            4: four,
-            5: f"non-{to_name} class to {from_name}",
-        },
-    )
+    texts = dict(codes.SUMMARY_LABELS)
+    if not backwards:
+        texts[4] = codes.SUMMARY_LABEL_4_FORWARD
+    return lookup_label(code, {k: t.format(a=from_name, b=to_name) for k, t in texts.items()})
 
 
 def decade(code, cls: list[int]) -> Column:
@@ -225,4 +217,6 @@ def elapsed_text(start, end) -> Column:
 
 
 def period_group(period, full: str) -> Column:
-    return F.when(col(period) == full, F.lit("Full period")).otherwise(F.lit(" Intermediate periods"))
+    return F.when(col(period) == full, F.lit(codes.FULL_PERIOD)).otherwise(
+        F.lit(codes.OTHER_PERIODS)
+    )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,14 +30,28 @@ def merge_runs(pieces: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _batch_runs(batches):
+    """Runs within each batch of ``keys, r, c`` rows, repeated cells once."""
+    for batch in batches:
+        df = batch.to_pandas()
+        row = list(df.columns[:-1])
+        df = df.sort_values([*row, "c"], ignore_index=True).drop_duplicates(ignore_index=True)
+        first = (df[row] != df[row].shift()).any(axis=1) | (df["c"].diff() != 1)
+        last = first.shift(-1, fill_value=True)
+        out = df[first].rename(columns={"c": "c0"})
+        out["c1"] = df["c"][last].to_numpy()
+        yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+
 def to_runs(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of a cell set; null and repeated cells count once or not at all.
 
-    Repeated cells, as of features that overlap, are dropped before the rows
-    are put together.
+    Cells are joined to runs batch by batch before the shuffle, so it moves
+    pieces of runs rather than cells.
     """
-    present = cells.filter(F.col("r").isNotNull() & F.col("c").isNotNull()).select(*keys, "r", "c").distinct()
-    return merge_runs(present.select(*keys, "r", F.col("c").alias("c0"), F.col("c").alias("c1")), keys)
+    present = cells.select(*keys, "r", "c").dropna(subset=["r", "c"])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in present.drop("c").schema)
+    return merge_runs(present.mapInArrow(_batch_runs, fields + ", c0 long, c1 long"), keys)
 
 
 def dissolve_runs(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.session import div
+from cellweave.session import div, shuffle_partitions
 
 KEY = ["tile_r", "tile_c"]
 Shape = list[int]  # half-width of each row, from the top row to the bottom one
@@ -39,7 +39,7 @@ def with_halo(df: DataFrame, halo: int, tile: int) -> DataFrame:
         low = low.otherwise(F.raise_error(F.lit("row and column numbers start at 0")))
         return F.explode(F.sequence(low.cast("long"), div(F.col(x) + halo, tile)))
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_partitions(df.sparkSession)
     return df.withColumn("tile_r", tiles("r")).withColumn("tile_c", tiles("c")).repartition(parts, *KEY)
 
 

@@ -27,7 +27,7 @@ from cellweave.functions.columns import (
     summary_label,
 )
 from cellweave.operators.overlay import mask_semi
-from cellweave.operators.tabulate import build_rat, join_field_first, share
+from cellweave.operators.tabulate import build_rat, share
 
 
 def change_cells(stack: DataFrame, t1: str, t2: str, mask: DataFrame | None = None) -> DataFrame:
@@ -114,10 +114,10 @@ def to_from_table(rat: DataFrame, cls: list[int], name: str, schema: str = "NLCD
             .when(s, concat_code(first, "end_class"))
             .when(e, concat_code("start_class", first))
             .otherwise(0),
-            "change_type": F.when(s & e, F.lit(f"{name} both time periods"))
+            "change_type": F.when(s & e, F.lit(codes.STAYED_IN.format(a=name)))
             .when(s, F.concat(F.lit(f"{name} to "), "end_class_name"))
             .when(e, F.concat("start_class_name", F.lit(f" to {name}")))
-            .otherwise(F.lit(f"Not {name} either time period")),
+            .otherwise(F.lit(codes.STAYED_OUT.format(a=name))),
         }
     )
 
@@ -125,8 +125,10 @@ def to_from_table(rat: DataFrame, cls: list[int], name: str, schema: str = "NLCD
 def change_to_from(rat: DataFrame, cls: list[int], name: str, schema: str = "NLCD") -> DataFrame:
     """Moves to and from a class: count, type, area and share of all cells."""
     table = to_from_table(rat, cls, name, schema)
-    out = table.groupBy(F.col("reclass").alias("v")).agg(F.sum("n").alias("n"))
-    out = join_field_first(out, table, "v", "reclass", "change_type")
+    out = table.groupBy(F.col("reclass").alias("v")).agg(
+        F.sum("n").alias("n"),
+        F.min("change_type").alias("change_type"),  # the same for all of a code
+    )
     return out.withColumns({"area_ha": area_ha_900("n"), "perc_area": share("n")})
 
 

@@ -43,7 +43,7 @@ def list_layers(spark, d):
 
 
 _TAGGED = " UNION ALL ".join(
-    f"SELECT lc_{a} * 100 + lc_{b} AS v, count(*) AS n, 'lc_allChange_{a}_{b}' AS data, "
+    f"SELECT lc_{a} * 100 + lc_{b} AS v, count(*) AS n, 'change_{a}_{b}' AS data, "
     f"'{a}-{b}' AS chg_years FROM stack GROUP BY 1"
     for a, b in codes.PERIODS
 )
@@ -53,7 +53,7 @@ _TAGGED = " UNION ALL ".join(
 def scan_tagged(spark, d):
     st = grid.stack(spark, d)
     return store.stack_tagged(
-        {f"lc_allChange_{a}_{b}": build_rat(change_cells(st, f"lc_{a}", f"lc_{b}")) for a, b in codes.PERIODS}
+        {f"change_{a}_{b}": build_rat(change_cells(st, f"lc_{a}", f"lc_{b}")) for a, b in codes.PERIODS}
     )
 
 

@@ -545,13 +545,13 @@ def str_substr(spark, d):
 
 @query(
     "str_concat",
-    sql("SELECT layer, layer || '_rclsBarrens' AS barren, 'chg_forest_dev_' || substr(layer, 4, 4) || '_2021' AS summary FROM names", _LAYER_NAMES),
+    sql("SELECT layer, layer || '_barren' AS barren, 'forest_dev_' || substr(layer, 4, 4) || '_2021' AS summary FROM names", _LAYER_NAMES),
 )
 def str_concat(spark, d):
     return _names(spark, d).select(
         "layer",
-        F.concat("layer", F.lit("_rclsBarrens")).alias("barren"),
-        F.format_string("chg_forest_dev_%s_2021", F.substring("layer", 4, 4)).alias("summary"),
+        F.concat("layer", F.lit("_barren")).alias("barren"),
+        F.format_string("forest_dev_%s_2021", F.substring("layer", 4, 4)).alias("summary"),
     )
 
 

@@ -73,6 +73,12 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str
     return light.join(right, on, how).unionByName(is_heavy.join(F.broadcast(right_heavy), on, how))
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions a shuffle starts with under the session's settings."""
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def div(col, by: int):
     """Integer division rounding towards minus infinity."""
     return F.call_function("div", col - F.pmod(col, F.lit(by)), F.lit(by))

@@ -10,9 +10,9 @@ from cellweave.model import CELLS
 from cellweave.session import broadcast_if_small, div
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
+def read_cells(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
     """All layers below ``path``; filters on layer and year prune partitions."""
-    return spark.read.schema(CELLS).parquet(path).select(*CELLS.names)
+    return spark.read.schema(CELLS).format(format).options(**options).load(path).select(*CELLS.names)
 
 
 def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int = 1024) -> None:

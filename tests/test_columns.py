@@ -92,8 +92,8 @@ def test_elapsed_text(spark):
 
 
 def test_layer_names(spark):
-    assert one(spark, col.layer_year("n"), n="lc_2001_rclsGeneral") == 2001
-    assert one(spark, col.layer_period("n"), n="lc_allChange_2001_2021") == "2001-2021"
+    assert one(spark, col.layer_year("n"), n="lc_2001_general") == 2001
+    assert one(spark, col.layer_period("n"), n="change_2001_2021") == "2001-2021"
 
 
 def test_decades(spark):
