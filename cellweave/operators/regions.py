@@ -14,6 +14,17 @@ PART = ["part_r", "part_c"]
 SIZE = 30.0
 
 
+def metres(distance: float | str) -> float:
+    """A distance given as a number of metres or as text like ``100 METERS``."""
+    if isinstance(distance, (int, float)):
+        return float(distance)
+    number, unit = distance.split(" ")
+    units = {"METERS": 1.0, "KILOMETERS": 1000.0, "FEET": 0.3048}
+    if unit.upper() not in units:
+        raise ValueError(f"unknown unit: {unit}")
+    return float(number) * units[unit.upper()]
+
+
 def explode_parts(features: DataFrame, keys: list[str] = ["feat_id"]) -> DataFrame:
     """Single parts of each feature, null cells dropped."""
     return to_cells(label_parts(to_runs(features, keys), keys))
@@ -34,16 +45,16 @@ def dissolve_parts(features: DataFrame) -> DataFrame:
     return explode_parts(features, [])
 
 
-def buffer_dilate(features: DataFrame, distance: float, size: float = SIZE, merge: bool = True) -> DataFrame:
+def buffer_dilate(features: DataFrame, distance: float | str, size: float = SIZE, merge: bool = True) -> DataFrame:
     """Cells within a distance; ``merge`` unites overlapping features."""
     keys = [] if merge else ["feat_id"]
-    return to_cells(dilate(to_runs(features, keys), distance, size, keys))
+    return to_cells(dilate(to_runs(features, keys), metres(distance), size, keys))
 
 
-def buffer_erode(features: DataFrame, distance: float, size: float = SIZE) -> DataFrame:
+def buffer_erode(features: DataFrame, distance: float | str, size: float = SIZE) -> DataFrame:
     """Cells at least a distance inside their feature."""
     keys = ["feat_id"]
-    return to_cells(erode(to_runs(features, keys), distance, size, keys))
+    return to_cells(erode(to_runs(features, keys), metres(distance), size, keys))
 
 
 def fill_holes(
@@ -119,10 +130,10 @@ def _coalesce_runs(runs: DataFrame, distance: float, size: float, keys: list[str
     return out
 
 
-def coalesce_regions(features: DataFrame, distance: float, size: float = SIZE) -> DataFrame:
+def coalesce_regions(features: DataFrame, distance: float | str, size: float = SIZE) -> DataFrame:
     """Merge nearby features (distance above 0) or cut narrow places (below 0)."""
     keys = ["feat_id"]
-    return to_cells(_coalesce_runs(to_runs(features, keys), distance, size, keys, []))
+    return to_cells(_coalesce_runs(to_runs(features, keys), metres(distance), size, keys, []))
 
 
 def wraps_of(parts: DataFrame, wraps: DataFrame, block: int = 1024) -> DataFrame:
@@ -140,13 +151,14 @@ def wraps_of(parts: DataFrame, wraps: DataFrame, block: int = 1024) -> DataFrame
     )
 
 
-def shrink_wrap(features: DataFrame, distance: float, smooth: float = 8, size: float = SIZE) -> DataFrame:
+def shrink_wrap(features: DataFrame, distance: float | str, smooth: float = 8, size: float = SIZE) -> DataFrame:
     """Wrap groups of nearby features.
 
     Features are dissolved and buffered; each connected buffer is a wrap. The
     members of a wrap are closed with the distance times ``smooth`` and lose
     gaps below 99 percent. All wraps run in one job keyed by wrap.
     """
+    distance = metres(distance)
     if distance <= 0:
         raise ValueError("the dilation distance must be positive")
     group = ["wrap_r", "wrap_c"]

@@ -177,11 +177,15 @@ def lag_pct_change(long: DataFrame) -> DataFrame:
 
 
 def class_period_stats(long: DataFrame) -> DataFrame:
-    """Per class: median year and area, last minus first, percent change and label."""
+    """Per class: median year and area, last minus first, percent change and label.
+
+    A class that lacks a year has no median area.
+    """
+    whole = F.count("Area_ha") == F.count(F.lit(1))
     first, last = F.min_by("Area_ha", "year"), F.max_by("Area_ha", "year")
     out = long.groupBy("CoverClass").agg(
         F.median("year").alias("x"),
-        F.median("Area_ha").alias("y"),
+        F.when(whole, F.median("Area_ha")).alias("y"),
         (last - first).alias("area_change"),
         pct_change(last, first).alias("pct_change"),
     )

@@ -9,6 +9,7 @@ from cellweave.functions import codes
 from cellweave.functions.columns import indicator, null_to_zero, scale_to_int, set_null
 from cellweave.operators.neighbourhood import focal_means
 from cellweave.operators.overlay import mask_semi
+from cellweave.operators.regions import buffer_dilate
 from cellweave.operators.tiles import circle, square
 
 SHAPES = {"1": square(1), "10": circle(10), "100": circle(100)}
@@ -20,31 +21,62 @@ def indicator_stack(stack: DataFrame, cover: str, keep: tuple[str, ...] = ()) ->
     return stack.select("r", "c", *[indicator(clean, k).alias(k) for k in codes.INDICATORS], *keep)
 
 
-def lc_proportions(
+def _layers(cover: str, impervious: str | None, canopy: str | None, canopy_nodata: int) -> dict:
+    layers = {k: indicator(set_null(cover, codes.CLASS_NODATA), k) for k in codes.INDICATORS}
+    if impervious:
+        layers["impsur"] = set_null(impervious, codes.IMPERVIOUS_NODATA)
+    if canopy:
+        layers["canopy"] = set_null(canopy, canopy_nodata)
+    return layers
+
+
+def _study_area(stack: DataFrame, area: DataFrame | None, buffer: float) -> DataFrame:
+    if area is None:
+        return stack
+    return mask_semi(stack, buffer_dilate(area, buffer) if buffer else area)
+
+
+def lc_proportions_years(
     stack: DataFrame,
-    cover: str,
+    years: dict[int, tuple[str, str | None, str | None]],
     mask: DataFrame | None = None,
-    impervious: str | None = "impsur",
-    canopy: str | None = "canopy",
+    area: DataFrame | None = None,
+    buffer: float = 0.0,
     canopy_nodata: int = codes.CANOPY_NODATA,
     shapes: dict = SHAPES,
     tile: int = 512,
 ) -> DataFrame:
-    """Scaled means ``name, r, c, v`` of every layer and neighbourhood.
+    """Scaled means ``year, name, r, c, v`` of every year, layer and neighbourhood.
 
-    Cells are averaged over their whole neighbourhood before the mask applies.
+    ``years`` gives the class layer and, where there is one, the impervious and
+    the canopy layer of each year. Cells outside the study area, grown by the
+    buffer, do not count; the mask applies to the finished means. All years
+    share one shuffle.
     """
-    layers = {k: indicator(set_null(cover, codes.CLASS_NODATA), k) for k in codes.INDICATORS}
-    if impervious:
-        layers["impsur"] = set_null(impervious, codes.IMPERVIOUS_NODATA)
-    if canopy:
-        layers["canopy"] = set_null(canopy, canopy_nodata)
-    inputs = stack.select("r", "c", *[e.alias(k) for k, e in layers.items()])
+    layers = {
+        f"y{year}_{k}": (k, expr)
+        for year, (cover, impervious, canopy) in years.items()
+        for k, expr in _layers(cover, impervious, canopy, canopy_nodata).items()
+    }
+    inputs = _study_area(stack, area, buffer).select("r", "c", *[e.alias(n) for n, (_, e) in layers.items()])
     means = focal_means(inputs, list(layers), shapes, tile)
     if mask is not None:
         means = mask_semi(means, mask)
-    scaled = [
-        scale_to_int(null_to_zero(f"{k}{s}"), k).alias(f"{k}{s}") for k in layers for s in shapes
-    ]
-    names = [f"{k}{s}" for k in layers for s in shapes]
-    return means.select("r", "c", *scaled).unpivot(["r", "c"], names, "name", "v")
+    out = {f"{n}{s}": k for n, (k, _) in layers.items() for s in shapes}
+    scaled = [scale_to_int(null_to_zero(n), k).alias(n) for n, k in out.items()]
+    long = means.select("r", "c", *scaled).unpivot(["r", "c"], list(out), "_layer", "v")
+    return long.select(
+        F.substring("_layer", 2, 4).cast("int").alias("year"), F.expr("substring(_layer, 7)").alias("name"), "r", "c", "v"
+    )
+
+
+def lc_proportions(
+    stack: DataFrame,
+    cover: str,
+    mask: DataFrame | None = None,
+    impervious: str | None = "impsur",
+    canopy: str | None = "canopy",
+    **options,
+) -> DataFrame:
+    """Scaled means ``name, r, c, v`` of one year."""
+    return lc_proportions_years(stack, {1000: (cover, impervious, canopy)}, mask, **options).drop("year")

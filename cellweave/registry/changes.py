@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import codes
 from cellweave.operators.tabulate import build_rat
-from cellweave.plans import change, landscape
-from cellweave.registry.base import DETAILED, in_sql, query, sql
+from cellweave.plans import barren, change, landscape
+from cellweave.registry.base import DETAILED, in_sql, query, remap_sql, sql
+from cellweave.registry.neighbourhoods import CHAIN
 from cellweave.registry.projections import DECODED, SUMMARY_RAT, TO_FROM, to_from
-from cellweave.registry.tables import GEN_LONG, _PCT, _STATS, gen_summary
+from cellweave.registry.tables import GAINLOSS, GEN_LONG, PCT, STATS, gen_summary
 from cellweave.sources import events_grid as grid
 
 _MASKED = DECODED.replace("FROM stack GROUP BY", "FROM stack SEMI JOIN mask USING (r, c) GROUP BY")
@@ -67,6 +68,25 @@ query("change_summary_fwd", _summary_sql(False))(_summary(False))
 query("change_summary_bwd", _summary_sql(True))(_summary(True))
 
 
+@query(
+    "change_summary_general",
+    sql(
+        "SELECT v, n, ['not Natural in either time period', 'Natural in both time periods', 'Natural to Developed', "
+        "'Natural to non-Developed class', 'Developed to Natural', 'non-Developed class to Natural'][v + 1] AS class, "
+        "n * 900 / 10000 AS area_ha, CASE WHEN v IN (1, 2, 3) THEN n / sum(n) FILTER (WHERE v IN (1, 2, 3)) OVER () * 100 END "
+        "AS perc_of_t1_area FROM (SELECT CAST(CASE WHEN s = 4 AND e = 4 THEN 1 WHEN s = 4 AND e = 2 THEN 2 WHEN s = 4 THEN 3 "
+        "WHEN s = 2 AND e = 4 THEN 4 WHEN e = 4 THEN 5 ELSE 0 END AS INTEGER) AS v, count(*) AS n FROM (SELECT "
+        f"{remap_sql('lc_2001', codes.TO_GENERAL)} AS s, {remap_sql('lc_2021', codes.TO_GENERAL)} AS e FROM stack) "
+        "WHERE s IS NOT NULL AND e IS NOT NULL GROUP BY 1)"
+    ),
+)
+def change_summary_general(spark, d):
+    """Natural against developed cells of the general classes."""
+    st = landscape.general_stack(grid.stack(spark, d, "lc_2001", "lc_2021"), ["lc_2001", "lc_2021"])
+    rat = build_rat(change.change_cells(st, "lc_2001", "lc_2021"))
+    return change.change_summary(rat, [4], "Natural", [2], "Developed")
+
+
 @query(
     "change_summary_cells",
     sql(
@@ -116,8 +136,8 @@ def change_run(spark, d):
         "SELECT p.v, p.CoverClass, p.year, p.Area_ha, p.pct_change, p.label, s.area_change AS full_change, "
         "s.pct_change AS full_pct, s.label AS full_label FROM pct p JOIN stats s USING (CoverClass)",
         *GEN_LONG,
-        _PCT,
-        _STATS,
+        PCT,
+        STATS,
     ),
 )
 def general_change_trend(spark, d):
@@ -129,3 +149,25 @@ def general_change_trend(spark, d):
         F.col("label").alias("full_label"),
     )
     return series.drop("name").join(stats, "CoverClass")
+
+
+@query(
+    "net_change_run",
+    sql(
+        "SELECT * FROM net",
+        *CHAIN,
+        "periods AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{a}-{b}' AS period, x.ref AS s, y.ref AS e, count(*) AS n FROM y{a}_out x "
+            f"JOIN y{b}_out y USING (r, c) WHERE x.ref IS NOT NULL AND y.ref IS NOT NULL GROUP BY 2, 3"
+            for a, b in codes.PERIODS
+        )
+        + ")",
+        GAINLOSS[1],
+    ),
+)
+def net_change_run(spark, d):
+    """From the raw layers to net forest change: barren cells split, periods compared, moves netted."""
+    split = barren.barren_chain(grid.stack(spark, d), codes.YEARS)
+    counts = change.change_counts(split, codes.PERIODS, "b_{}")
+    return change.net_change(counts, codes.FOREST, "Forest", "2001-2021")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from cellweave.functions import codes
 from cellweave.functions.columns import indicator
 from cellweave.operators import neighbourhood as near
-from cellweave.operators.tiles import circle
+from cellweave.operators.tiles import circle, square
 from cellweave.plans import barren, landscape
-from cellweave.plans.proportions import lc_proportions
+from cellweave.plans.proportions import lc_proportions, lc_proportions_years
 from cellweave.registry.base import GENERAL, query, remap_sql, sql
 from cellweave.registry.projections import INDICATOR_SQL
 from cellweave.registry.tables import yearly_sql
@@ -42,8 +42,8 @@ def _forest(spark, d):
 @query(
     "focal_mean_3x3",
     sql(
-        "SELECT x.r, x.c, CAST(sum(y.v) AS BIGINT) / count(y.v) AS mean FROM src x, off "
-        "JOIN src y ON y.r = x.r + dr AND y.c = x.c + dc GROUP BY x.r, x.c",
+        "SELECT r, c, CAST(sum(y.v) AS BIGINT) / count(y.v) AS mean FROM src x "
+        "JOIN (SELECT r + dr AS r, c + dc AS c, v FROM src, off) y USING (r, c) GROUP BY r, c",
         _FOREST,
         square_sql(1),
     ),
@@ -77,8 +77,8 @@ query("focal_mean_c100", _circle_sql(100))(_circle(100, 512))
     "focal_majority",
     sql(
         "SELECT s.r, s.c, m.majority FROM stack s LEFT JOIN (SELECT r, c, v AS majority FROM "
-        "(SELECT x.r, x.c, y.lc_2001 AS v, row_number() OVER (PARTITION BY x.r, x.c ORDER BY count(*) DESC, y.lc_2001) AS i "
-        "FROM stack x, off JOIN stack y ON y.r = x.r + dr AND y.c = x.c + dc GROUP BY x.r, x.c, y.lc_2001) WHERE i = 1) m "
+        "(SELECT r, c, v, row_number() OVER (PARTITION BY r, c ORDER BY count(*) DESC, v) AS i "
+        "FROM (SELECT r + dr AS r, c + dc AS c, lc_2001 AS v FROM stack, off) GROUP BY r, c, v) WHERE i = 1) m "
         "USING (r, c)",
         square_sql(1),
     ),
@@ -88,9 +88,8 @@ def focal_majority(spark, d):
 
 
 _DIST = (
-    "dist AS (SELECT x.r, x.c, min(30 * sqrt(CAST(dr * dr + dc * dc AS DOUBLE))) AS dist FROM stack x, off "
-    "JOIN stack y ON y.r = x.r + dr AND y.c = x.c + dc "
-    "WHERE y.lc_1992 = 32 AND 900 * (dr * dr + dc * dc) < 10000 GROUP BY x.r, x.c)"
+    "dist AS (SELECT r + dr AS r, c + dc AS c, min(30 * sqrt(CAST(dr * dr + dc * dc AS DOUBLE))) AS dist "
+    "FROM stack, off WHERE lc_1992 = 32 AND 900 * (dr * dr + dc * dc) < 10000 GROUP BY 1, 2)"
 )
 
 
@@ -129,9 +128,9 @@ def _barren_ctes(year: int, current: str, ref: str, table: dict) -> list[str]:
     return [
         f"{p}in AS (SELECT s.r, s.c, s.{current} AS cur, f.ref FROM stack s JOIN {ref} f USING (r, c))",
         f"{p}rc AS (SELECT r, c, {remap_sql('ref', table)} AS v FROM {p}in)",
-        f"{p}maj AS (SELECT r, c, v FROM (SELECT x.r, x.c, y.v, row_number() OVER (PARTITION BY x.r, x.c "
-        f"ORDER BY count(*) DESC, y.v) AS i FROM {p}rc x, off1 JOIN {p}rc y ON y.r = x.r + dr AND y.c = x.c + dc "
-        f"WHERE y.v IS NOT NULL GROUP BY x.r, x.c, y.v) WHERE i = 1)",
+        f"{p}maj AS (SELECT r, c, v FROM (SELECT r, c, v, row_number() OVER (PARTITION BY r, c "
+        f"ORDER BY count(*) DESC, v) AS i FROM (SELECT r + dr AS r, c + dc AS c, v FROM {p}rc, off1) "
+        f"SEMI JOIN {p}rc USING (r, c) WHERE v IS NOT NULL GROUP BY r, c, v) WHERE i = 1)",
         f"{p}exp AS (SELECT DISTINCT y.r + dr AS r, y.c + dc AS c FROM {p}maj y, off3 WHERE y.v = 31)",
         f"{p}near AS (SELECT DISTINCT y.r + dr AS r, y.c + dc AS c FROM {p}in y, off3 "
         f"WHERE y.ref = 32 AND 900 * (dr * dr + dc * dc) < 10000)",
@@ -172,7 +171,7 @@ def _materialised(ctes):
     return [c.replace(" AS (SELECT", " AS MATERIALIZED (SELECT", 1) for c in ctes]
 
 
-_CHAIN = _materialised(_chain_ctes(codes.YEARS))
+CHAIN = _materialised(_chain_ctes(codes.YEARS))
 
 
 @query(
@@ -180,7 +179,7 @@ _CHAIN = _materialised(_chain_ctes(codes.YEARS))
     sql(
         "SELECT r, c, " + ", ".join(f"y{y}_out.ref AS b_{y}" for y in codes.YEARS) + " FROM y2001_out "
         + " ".join(f"JOIN y{y}_out USING (r, c)" for y in codes.YEARS[1:]),
-        *_CHAIN,
+        *CHAIN,
     ),
 )
 def barren_chain(spark, d):
@@ -191,7 +190,7 @@ def barren_chain(spark, d):
     "landscape_run",
     sql(
         yearly_sql("yearly", label="general"),
-        *_CHAIN,
+        *CHAIN,
         GENERAL,
         "yearly AS (SELECT year, v, count(*) AS n FROM ("
         + " UNION ALL ".join(f"SELECT {y} AS year, {remap_sql('ref', codes.TO_GENERAL)} AS v FROM y{y}_out" for y in codes.YEARS)
@@ -246,3 +245,42 @@ _OUT = [f"{x}{s}" for x in _LAYER_NAMES for s in ("1", "10", "100")]
 def lc_proportions_query(spark, d):
     st = grid.stack(spark, d, "lc_2001", "impsur", "canopy")
     return lc_proportions(st, "lc_2001", grid.study_mask(spark, d))
+
+
+_TWO_YEARS = (2001, 2011)
+_YEAR_LAYERS = {y: [*codes.INDICATORS, *(["impsur"] if y == 2001 else [])] for y in _TWO_YEARS}
+
+
+def _years_sql() -> str:
+    inputs, outs = [], []
+    for y in _TWO_YEARS:
+        known = {k: {c: codes.INDICATORS[k].get(c, 0) for c in codes.INDICATOR_CODES} for k in codes.INDICATORS}
+        inputs += [f"{remap_sql(f'lc_{y}', table, False)} AS y{y}_{k}" for k, table in known.items()]
+    inputs.append("nullif(impsur, 127) AS y2001_impsur")
+    names = [f"y{y}_{k}" for y, ks in _YEAR_LAYERS.items() for k in ks]
+
+    def means(shape, on):
+        cols = ", ".join(f"CAST(sum(y.{x}) AS BIGINT) / nullif(count(y.{x}), 0) AS {x}" for x in names)
+        return f"n{shape} AS (SELECT x.r, x.c, {cols} FROM inputs x JOIN inputs y ON {on} GROUP BY x.r, x.c)"
+
+    for x in names:
+        k = 100 if x.split("_")[1] in codes.PERCENT_LAYERS else 10000
+        outs += [f"CAST(floor(coalesce(n{s}.{x}, 0) * {k} + 0.5) AS INTEGER) AS {x}{s}" for s in ("1", "10")]
+    listed = ", ".join(f"{x}{s}" for x in names for s in ("1", "10"))
+    return sql(
+        "SELECT CAST(substr(layer, 2, 4) AS INTEGER) AS year, substr(layer, 7) AS name, r, c, v FROM "
+        f"(SELECT m.r, m.c, {', '.join(outs)} FROM mask m JOIN n1 USING (r, c) JOIN n10 USING (r, c)) "
+        f"UNPIVOT (v FOR layer IN ({listed}))",
+        f"inputs AS (SELECT r, c, {', '.join(inputs)} FROM stack WHERE c BETWEEN 1 AND 98)",
+        means("1", "y.r BETWEEN x.r - 1 AND x.r + 1 AND y.c BETWEEN x.c - 1 AND x.c + 1"),
+        means("10", _within(10)),
+    )
+
+
+@query("lc_proportions_years", _years_sql())
+def lc_proportions_years_query(spark, d):
+    """Two years, the second without an impervious layer, in a study area grown by 60 metres."""
+    st, mask = grid.stack(spark, d, "lc_2001", "lc_2011", "impsur"), grid.study_mask(spark, d)
+    years = {2001: ("lc_2001", "impsur", None), 2011: ("lc_2011", None, None)}
+    shapes = {"1": square(1), "10": circle(10)}
+    return lc_proportions_years(st, years, mask, area=mask, buffer=60.0, shapes=shapes, tile=256)

@@ -305,11 +305,11 @@ _LONG_FULL = (
     "FROM (SELECT a.v, b.year FROM (SELECT v FROM yearly WHERE year = 2001) a, (SELECT DISTINCT year FROM yearly) b) k "
     "LEFT JOIN yearly y ON k.v = y.v AND k.year = y.year LEFT JOIN detailed g ON k.v = g.code)"
 )
-_PCT = """pct AS (SELECT *, CASE WHEN pct_change > 0 THEN '+' || t || '%' WHEN pct_change = 0 THEN '0%'
+PCT = """pct AS (SELECT *, CASE WHEN pct_change > 0 THEN '+' || t || '%' WHEN pct_change = 0 THEN '0%'
 WHEN pct_change < 0 THEN t || '%' END AS label FROM (SELECT *, regexp_replace(printf('%.2f', pct_change), '\\.?0+$', '') AS t
 FROM (SELECT *, round((Area_ha - prev) / nullif(prev, 0) * 100, 2) AS pct_change FROM
 (SELECT *, lag(Area_ha) OVER (PARTITION BY v ORDER BY year) AS prev FROM long))))"""
-_STATS = """stats AS (SELECT *, CASE WHEN pct_change > 0 THEN '+' || t || '%' WHEN pct_change = 0 THEN '0%'
+STATS = """stats AS (SELECT *, CASE WHEN pct_change > 0 THEN '+' || t || '%' WHEN pct_change = 0 THEN '0%'
 WHEN pct_change < 0 THEN t || '%' END AS label FROM (SELECT *, regexp_replace(printf('%.2f', pct_change), '\\.?0+$', '') AS t
 FROM (SELECT *, round(area_change / nullif(first_ha, 0) * 100, 2) AS pct_change FROM
 (SELECT CoverClass, CAST(median(year) AS DOUBLE) AS x, median(Area_ha) AS y,
@@ -326,7 +326,7 @@ def gen_long(spark, d):
     return tabulate.unpivot_area(gen_summary(spark, d))
 
 
-@query("class_period_stats", sql("SELECT CoverClass, x, y, area_change, pct_change, label FROM stats", *GEN_LONG, _STATS))
+@query("class_period_stats", sql("SELECT CoverClass, x, y, area_change, pct_change, label FROM stats", *GEN_LONG, STATS))
 def class_period_stats(spark, d):
     return tabulate.class_period_stats(gen_long(spark, d))
 
@@ -384,7 +384,7 @@ def extent_rect(spark, d):
 # ---- windows and sorts
 
 
-@query("lag_pct_change", sql("SELECT v, CoverClass, name, Area_ha, year, pct_change, label FROM pct", *GEN_LONG, _PCT))
+@query("lag_pct_change", sql("SELECT v, CoverClass, name, Area_ha, year, pct_change, label FROM pct", *GEN_LONG, PCT))
 def lag_pct_change(spark, d):
     return tabulate.lag_pct_change(gen_long(spark, d))
 
@@ -452,7 +452,7 @@ def sort_period_area(spark, d):
 
 @query(
     "class_order",
-    sql("SELECT CoverClass, y, CAST(row_number() OVER (ORDER BY y DESC, CoverClass) AS INTEGER) AS ord FROM stats", *GEN_LONG, _STATS),
+    sql("SELECT CoverClass, y, CAST(row_number() OVER (ORDER BY y DESC, CoverClass) AS INTEGER) AS ord FROM stats", *GEN_LONG, STATS),
 )
 def class_order(spark, d):
     return tabulate.class_order(tabulate.class_period_stats(gen_long(spark, d)))
@@ -585,7 +585,7 @@ def str_match(spark, d):
     )
 
 
-@query("pct_label", sql("SELECT CoverClass, year, label FROM pct", *GEN_LONG, _PCT))
+@query("pct_label", sql("SELECT CoverClass, year, label FROM pct", *GEN_LONG, PCT))
 def pct_label(spark, d):
     return tabulate.lag_pct_change(gen_long(spark, d)).select("CoverClass", "year", "label")
 
