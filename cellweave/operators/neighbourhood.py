@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from cellweave.operators.tiles import (
-    Grid,
     Shape,
     any_within,
     commonest,
@@ -28,14 +27,13 @@ def focal_means(df: DataFrame, layers: list[str], shapes: dict[str, Shape], tile
     """
     halo = max(len(s) // 2 for s in shapes.values())
 
-    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
-        out = {}
-        for name, (values, valid) in grids.items():
+    def compute(grid):
+        for name in layers:
+            values, valid = grid(name)
             sums = shape_sums(values, list(shapes.values()))
             counts = shape_sums(valid, list(shapes.values()))
             for shape, s, n in zip(shapes, sums, counts):
-                out[f"{name}{shape}"] = (s / np.maximum(n, 1), n > 0)
-        return out
+                yield f"{name}{shape}", (s / np.maximum(n, 1), n > 0)
 
     names = {f"{x}{s}": "double" for x in layers for s in shapes}
     return tile_map(df, layers, halo, tile, compute, names)
@@ -49,8 +47,8 @@ def focal_mean_square(cells: DataFrame, n: int = 1, tile: int = TILE) -> DataFra
 def focal_majority(cells: DataFrame, n: int = 1, tile: int = TILE) -> DataFrame:
     """``r, c, majority``: the commonest value of a square, ties to the lowest code."""
 
-    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
-        return {"majority": commonest(grids["v"], n)}
+    def compute(grid):
+        yield "majority", commonest(grid("v"), n)
 
     return tile_map(cells, ["v"], n, tile, compute, {"majority": "int"})
 
@@ -58,10 +56,10 @@ def focal_majority(cells: DataFrame, n: int = 1, tile: int = TILE) -> DataFrame:
 def expand_class(cells: DataFrame, code: int, n: int, tile: int = TILE) -> DataFrame:
     """``r, c, expanded``: one class grown by ``n`` cells in a square, over any value and NoData."""
 
-    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
-        values, valid = grids["v"]
+    def compute(grid):
+        values, valid = grid("v")
         near = any_within(valid & (values == code), square(n))
-        return {"expanded": (np.where(near, code, values), valid | near)}
+        yield "expanded", (np.where(near, code, values), valid | near)
 
     return tile_map(cells, ["v"], n, tile, compute, {"expanded": "int"})
 
@@ -75,10 +73,10 @@ def euclid_distance(cells: DataFrame, code: int, limit: float, size: float = 30.
     """``r, c, dist`` to the nearest cell of a class, null from ``limit`` on."""
     n = reach(limit, size)
 
-    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
-        values, valid = grids["v"]
+    def compute(grid):
+        values, valid = grid("v")
         squared = nearest(valid & (values == code), n)
-        return {"dist": (size * np.sqrt(squared), squared * (size * size) < limit * limit)}
+        yield "dist", (size * np.sqrt(squared), squared * (size * size) < limit * limit)
 
     return tile_map(cells, ["v"], n, tile, compute, {"dist": "double"})
 

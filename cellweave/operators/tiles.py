@@ -11,7 +11,7 @@ tile at most.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,10 +110,15 @@ def tile_map(
     layers: list[str],
     halo: int,
     tile: int,
-    compute: Callable[[dict[str, Grid]], dict[str, Grid]],
+    compute: Callable[[Callable[[str], Grid]], Iterator[tuple[str, Grid]]],
     out: dict[str, str],
 ) -> DataFrame:
-    """Run ``compute`` on the dense layers of every tile; ``out`` names its results and their types."""
+    """Run ``compute`` on every tile; ``out`` names its results and their types.
+
+    ``compute`` gets a function from a layer's name to its dense grid and yields
+    named results in the order of ``out``. Of each result only the tile's own
+    cells are kept, so a tile never holds all layers dense at once.
+    """
 
     def kernel(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         r, c = table["r"].to_numpy(), table["c"].to_numpy()
@@ -130,11 +135,10 @@ def tile_map(
             valid[at] = table[name].is_valid().to_numpy()
             return values, valid
 
-        results = compute({name: dense(name) for name in layers})
         pick = (at[0][own], at[1][own])
         cols = [
             pa.array(values[pick], mask=~valid[pick]).cast(empty.schema.field(name).type)
-            for name, (values, valid) in results.items()
+            for name, (values, valid) in compute(dense)
         ]
         return pa.Table.from_arrays([pa.array(r[own]), pa.array(c[own]), *cols], names=names)
 

@@ -81,15 +81,15 @@ def barren_chain(
     used = [layer.format(y) if y in new else out.format(y) for y in years]
     inputs = list(dict.fromkeys([first_ref, *used]))
 
-    def compute(grids: dict[str, Grid]) -> dict[str, Grid]:
-        results, ref, ref_schema = {}, grids[first_ref], schema
+    def compute(grid):
+        ref, ref_schema = grid(first_ref), schema
         for y in years:
             if y in new:
-                ref = split_year(grids[layer.format(y)], ref, ref_schema)
+                ref = split_year(grid(layer.format(y)), ref, ref_schema)
             else:
-                ref = grids[out.format(y)]
-            results[out.format(y)], ref_schema = ref, "standard"
-        return results
+                ref = grid(out.format(y))
+            yield out.format(y), ref
+            ref_schema = "standard"
 
     halo = REACH * max(len(new), 1)
     return tile_map(stack, inputs, halo, tile, compute, {out.format(y): "int" for y in years})
