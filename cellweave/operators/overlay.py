@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.columns import plain
 from cellweave.model import GridSpec
-from cellweave.session import div
+from cellweave.session import broadcast_if_small, div
 
 RC = ["r", "c"]
 
@@ -89,13 +89,17 @@ def polygon_spans(edges: DataFrame, spec: GridSpec, band: int = 4096) -> DataFra
 
 
 def spans_semi(cells: DataFrame, spans: DataFrame, block: int = 1024) -> DataFrame:
-    """Cells lying in any span: an equi-join on row and column block."""
+    """Cells lying in any span: an equi-join on row and column block.
+
+    The spans are broadcast if their count allows.
+    """
     pieces = spans.select(
         F.col("r").alias("sr"),
         F.col("c0").alias("s0"),
         F.col("c1").alias("s1"),
         F.explode(F.sequence(div(F.col("c0"), block), div(F.col("c1"), block))).alias("sb"),
     )
+    pieces = broadcast_if_small(pieces)
     hit = (
         (F.col("r") == F.col("sr"))
         & (div(F.col("c"), block) == F.col("sb"))

@@ -12,6 +12,7 @@ from cellweave.session import cut_lineage, div, lookup
 
 PART = ["part_r", "part_c"]
 SIZE = 30.0
+GAP = 900.0
 
 
 def metres(distance: float | str) -> float:
@@ -112,22 +113,26 @@ def fill_holes(
 def _coalesce_runs(runs: DataFrame, distance: float, size: float, keys: list[str], group: list[str]) -> DataFrame:
     """Closing for a positive, opening for a negative distance; parts as runs.
 
-    ``keys`` name features, ``group`` what the merging buffer keeps apart.
-    Each buffer is split into parts and loses gaps of less than 900 square metres.
+    ``keys`` name features, ``group`` what the merging buffer keeps apart. The
+    first buffer loses gaps of less than 900 square metres, if a cell is smaller
+    than that. Otherwise its parts need no names: a disk that fits into the
+    buffer lies in one part of it.
     """
     if distance == 0:
         raise ValueError("the dilation distance must not be zero")
-    if distance > 0:
-        first = label_parts(dilate(dissolve_runs(runs, group), distance, size, group), group)
-        first = fill_holes(first, group, below_area=900.0, size=size)
-        named = first.withColumnsRenamed({"part_r": "b_r", "part_c": "b_c"})
-        second = erode(named, distance, size, [*group, "b_r", "b_c"])
-        out = label_parts(second, [*group, "b_r", "b_c"]).drop("b_r", "b_c")
-    else:
-        first = label_parts(erode(runs, -distance, size, keys), keys)
-        first = fill_holes(first, keys, below_area=900.0, size=size)
-        out = label_parts(dilate(dissolve_runs(first, group), -distance, size, group), group)
-    return out
+    merge = distance > 0
+    first, own = (
+        (dilate(dissolve_runs(runs, group), distance, size, group), group)
+        if merge
+        else (erode(runs, -distance, size, keys), keys)
+    )
+    if size * size < GAP:
+        first = fill_holes(label_parts(first, own), own, below_area=GAP, size=size)
+        first = first.withColumnsRenamed({"part_r": "b_r", "part_c": "b_c"})
+        own = [*own, "b_r", "b_c"]
+    if merge:
+        return label_parts(erode(first, distance, size, own), own).select(*group, *PART, "r", "c0", "c1")
+    return label_parts(dilate(dissolve_runs(first, group), -distance, size, group), group)
 
 
 def coalesce_regions(features: DataFrame, distance: float | str, size: float = SIZE) -> DataFrame:

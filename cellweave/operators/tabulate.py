@@ -26,11 +26,6 @@ def build_rat(cells: DataFrame, *keys: str) -> DataFrame:
     return cells.filter(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stack_rat(stack: DataFrame, layers: list[str]) -> DataFrame:
-    """Attribute tables of several layers of a stack in one scan: ``layer, v, n``."""
-    return build_rat(stack.select(*layers).unpivot([], list(layers), "layer", "v"), "layer")
-
-
 def layer_stats(cells: DataFrame) -> DataFrame:
     return cells.groupBy("layer").agg(
         F.min("v").alias("min_v"),

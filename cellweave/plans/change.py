@@ -39,15 +39,12 @@ def change_cells(stack: DataFrame, t1: str, t2: str, mask: DataFrame | None = No
 
 def change_counts(stack: DataFrame, periods: list[tuple[int, int]], layer: str = "lc_{}") -> DataFrame:
     """``period, v, n`` of every period from one scan of the stack."""
-    pairs = [
-        F.struct(
-            F.lit(f"{a}-{b}").alias("period"),
-            change_code(layer.format(a), layer.format(b)).alias("v"),
-        )
-        for a, b in periods
-    ]
-    long = stack.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
-    return build_rat(long, "period")
+    names = [f"c{i}" for i in range(len(periods))]
+    coded = stack.select(
+        *[change_code(layer.format(a), layer.format(b)).alias(n) for n, (a, b) in zip(names, periods)]
+    )
+    pairs = ", ".join(f"'{a}-{b}', {n}" for n, (a, b) in zip(names, periods))
+    return build_rat(coded.selectExpr(f"stack({len(periods)}, {pairs}) AS (period, v)"), "period")
 
 
 def change_decode(rat: DataFrame, schema: str = "NLCD") -> DataFrame:

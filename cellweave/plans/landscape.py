@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes
-from cellweave.functions.columns import cover_class, layer_year, reclass
+from cellweave.functions.columns import cover_class, reclass
 from cellweave.operators.tabulate import (
+    build_rat,
     class_period_stats,
     lag_pct_change,
-    stack_rat,
     tab_lc_types,
     unpivot_area,
 )
@@ -24,7 +24,8 @@ def general_stack(stack: DataFrame, layers: list[str]) -> DataFrame:
 
 def yearly_rat(stack: DataFrame, layers: list[str]) -> DataFrame:
     """``year, v, n`` of layers named by year, in one scan."""
-    return stack_rat(stack, layers).select(layer_year("layer").alias("year"), "v", "n")
+    pairs = ", ".join(f"{name[3:7]}, {name}" for name in layers)
+    return build_rat(stack.selectExpr(f"stack({len(layers)}, {pairs}) AS (year, v)"), "year")
 
 
 def general_summary(stack: DataFrame, years: list[int], layer: str = "lc_{}") -> DataFrame:

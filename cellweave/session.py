@@ -49,10 +49,11 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Mark a table for broadcast if it is counted to have at most ``rows`` rows.
 
     The table is written first, so counting it does not compute it twice. A
-    larger one comes back unmarked and joins by shuffle.
+    larger one is marked for a sort-merge join, because the optimizer's own
+    estimate knows nothing of exploded rows.
     """
     df = cut_lineage(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str = "left") -> DataFrame:

@@ -15,23 +15,25 @@ def read_cells(spark: SparkSession, path: str, format: str = "parquet", **option
     return spark.read.schema(CELLS).format(format).options(**options).load(path).select(*CELLS.names)
 
 
-def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int = 1024) -> None:
+def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int = 1024, block: int = 8) -> None:
     """Store layers; rerunning a layer replaces that layer only.
 
     With ``batch`` a rerun replaces only what the same batch wrote of a layer.
 
-    A file holds whole tiles and is sorted by tile, so row-group statistics on
-    ``r`` and ``c`` prune extent filters. Tiles, not layers, are the shuffle
-    key: one large layer spreads over all tasks.
+    A file holds a block of ``block`` by ``block`` tiles of one layer, sorted by
+    tile, so row-group statistics on ``r`` and ``c`` prune extent filters. A
+    large layer spreads over tasks by its blocks, and the number of files is that
+    of the blocks, not of tasks times layers.
     """
     tr, tc = div(F.col("r"), tile), div(F.col("c"), tile)
+    br, bc = div(F.col("r"), tile * block), div(F.col("c"), tile * block)
     parts = ["layer", "year"]
     cells = cells.select(*CELLS.names)
     if batch is not None:
         parts, cells = [*parts, "batch"], cells.withColumn("batch", F.lit(batch))
     (
-        cells.repartition("layer", "year", tr, tc)
-        .sortWithinPartitions("layer", "year", tr, tc, "r", "c")
+        cells.repartition(*parts, br, bc)
+        .sortWithinPartitions(*parts, tr, tc, "r", "c")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts)

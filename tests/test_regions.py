@@ -191,6 +191,27 @@ def test_closing_and_opening_against_brute_force(spark, seed):
     assert got == brute_parts(grow(shrink(cells, 1), 1))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_fine_cells_lose_small_gaps_between_buffers(spark, seed):
+    """With cells of 10 m a gap of eight cells is below 900 square metres."""
+    cells, df = random_region(spark, seed, 18, 0.25)
+    grown = grow(cells, 1)
+    want = {}
+    for part in brute_parts(grown).values():
+        part = part.union(*[g for g in brute_holes(part) if len(g) * 100 < 900])
+        want |= brute_parts(shrink(part, 1))
+    assert by_part(regions.coalesce_regions(df, 10.0, size=10.0)) == want
+
+
+def test_distances_as_text(spark, region):
+    assert regions.metres("100 METERS") == 100.0 and regions.metres("0.5 KILOMETERS") == 500.0
+    assert regions.metres(-30) == -30.0
+    with pytest.raises(ValueError, match="unit"):
+        regions.metres("3 PARSECS")
+    df = region("a")
+    assert cell_set(regions.buffer_dilate(df, "30 METERS")) == grow({(0, 0)}, 1)
+
+
 def test_shrink_wrap(spark, region):
     df = region(
         "aaa..b............c",

@@ -114,6 +114,24 @@ def test_bucketed_layers_overlay_without_a_shuffle(spark, grid, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_each_layer_of_an_overlay_is_shuffled_once(spark, grid):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(overlay.overlay_join({x: grid([[1, 2]]) for x in "abcd"})) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_large_table_is_not_broadcast(spark):
+    left, right = spark.range(5), spark.range(50)
+    small = left.join(session.broadcast_if_small(right, 50), "id")
+    large = left.join(session.broadcast_if_small(right, 49), "id")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (small, large)]
+    assert ["BroadcastHashJoin" in p for p in plans] == [True, False]
+    assert small.count() == large.count() == 5
+
+
 # ---- tables
 
 
@@ -176,6 +194,15 @@ def test_shares(spark):
     assert rows(df.select("v", part.alias("s")), "v", "s") == [(0, None), (1, 75.0), (2, 25.0)]
 
 
+def test_a_class_that_lacks_a_year_has_no_median(spark):
+    long = spark.createDataFrame(
+        [(1, "A", "Area_ha_2001", 3.0, 2001), (1, "A", "Area_ha_2004", None, 2004)],
+        "v int, CoverClass string, name string, Area_ha double, year int",
+    )
+    row = tabulate.class_period_stats(long).first()
+    assert (row["x"], row["y"], row["area_change"], row["label"]) == (2002.5, None, None, None)
+
+
 def test_empty_first_class_trends(spark):
     long = spark.createDataFrame(
         [(1, "A", "Area_ha_2001", 0.0, 2001), (1, "A", "Area_ha_2004", 9.0, 2004)],
@@ -270,6 +297,21 @@ def test_write_replaces_one_layer(spark, tmp_path):
     assert got == [("lc_2001", 1000), ("lc_2004", 7)]
 
 
+def test_a_file_holds_one_block_of_a_layer(spark, tmp_path):
+    path = tmp_path / "cells"
+    store.write_cells(layers(spark, "lc_2001", "lc_2004"), str(path), tile=4, block=8)
+    files = [p for p in path.rglob("*.parquet")]
+    assert 2 <= len(files) <= 8
+    assert store.read_cells(spark, str(path)).count() == 2000
+
+
+def test_cells_from_csv(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    layers(spark, "lc_2001").write.csv(path, header=True)
+    got = store.read_cells(spark, path, "csv", header=True)
+    assert rows(got, "r", "c", "v") == rows(layers(spark, "lc_2001"), "r", "c", "v")
+
+
 def test_stack_of_stored_layers(spark):
     wide = overlay.stack_layers(layers(spark, "lc_2001", "lc_2021"), ["lc_2001", "lc_2021"])
     assert rows(wide, "r", "c", "lc_2001", "lc_2021") == rows(
