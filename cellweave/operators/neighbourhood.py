@@ -23,15 +23,18 @@ TILE = 256
 def focal_means(df: DataFrame, layers: list[str], shapes: dict[str, Shape], tile: int = 512) -> DataFrame:
     """``r, c`` and a mean column ``<layer><shape>`` per layer and shape, NoData ignored.
 
-    All layers and shapes share one shuffle.
+    All layers and shapes share one shuffle. Layers with the same NoData cells,
+    as the indicators of one grid, share their counts.
     """
     halo = max(len(s) // 2 for s in shapes.values())
 
     def compute(grid):
+        counted = None
         for name in layers:
             values, valid = grid(name)
             sums = shape_sums(values, list(shapes.values()))
-            counts = shape_sums(valid, list(shapes.values()))
+            if counted is None or not np.array_equal(counted, valid):
+                counted, counts = valid, shape_sums(valid, list(shapes.values()))
             for shape, s, n in zip(shapes, sums, counts):
                 yield f"{name}{shape}", (s / np.maximum(n, 1), n > 0)
 

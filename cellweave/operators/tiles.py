@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cellweave.session import div, shuffle_partitions
 
@@ -55,7 +56,9 @@ def shape_sums(dense: np.ndarray, shapes: list[Shape]) -> list[np.ndarray]:
     """Sums over each shape at every cell, from one set of row prefix sums."""
     height, width = dense.shape
     pad = max(max(s) for s in shapes)
-    prefix = np.zeros((height, width + 2 * pad + 1), dtype=np.int64)
+    largest = int(max(abs(int(dense.max())), abs(int(dense.min()))))
+    number = np.int32 if largest * dense.size < 2**31 else np.int64
+    prefix = np.zeros((height, width + 2 * pad + 1), dtype=number)
     np.cumsum(dense, axis=1, out=prefix[:, pad + 1 : pad + 1 + width])
     prefix[:, pad + 1 + width :] = prefix[:, pad + width, None]
     sums = []
@@ -65,7 +68,7 @@ def shape_sums(dense: np.ndarray, shapes: list[Shape]) -> list[np.ndarray]:
             w: prefix[:, pad + w + 1 : pad + w + 1 + width] - prefix[:, pad - w : pad - w + width]
             for w in set(shape)
         }
-        out = np.zeros((height, width), dtype=np.int64)
+        out = np.zeros((height, width), dtype=number)
         for d, w in zip(range(-k, k + 1), shape):
             lo, hi = max(0, -d), min(height, height - d)
             if lo < hi:
@@ -142,6 +145,9 @@ def tile_map(
         ]
         return pa.Table.from_arrays([pa.array(r[own]), pa.array(c[own]), *cols], names=names)
 
+    for name in layers:
+        if not isinstance(df.schema[name].dataType, IntegralType):
+            raise TypeError(f"layer {name} must hold whole numbers")
     types = {"int": pa.int32(), "double": pa.float64()}
     names = ["r", "c", *out]
     empty = pa.schema(

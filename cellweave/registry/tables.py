@@ -465,7 +465,7 @@ def sort_area_desc(spark, d):
 
 @query("head_rows", sql("SELECT v, year, n FROM yearly ORDER BY v, year LIMIT 6", _YEARLY))
 def head_rows(spark, d):
-    return landscape.yearly_rat(grid.stack(spark, d), LAYERS).orderBy("v", "year").limit(6)
+    return landscape.yearly_rat(grid.stack(spark, d), LAYERS).select("v", "year", "n").orderBy("v", "year").limit(6)
 
 
 @query("first_k_classes", sql("SELECT v, CoverClass, Area_ha FROM long WHERE v BETWEEN 1 AND 5 AND year = 2021", *GEN_LONG))

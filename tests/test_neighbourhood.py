@@ -124,6 +124,18 @@ def test_tile_must_exceed_halo(spark, grid):
         focal_means(grid([[1]]), ["v"], {"m": circle(10)}, tile=10)
 
 
+def test_layers_must_hold_whole_numbers(spark):
+    df = spark.createDataFrame([(0, 0, 0.5)], "r long, c long, v double")
+    with pytest.raises(TypeError, match="whole numbers"):
+        near.focal_mean_square(df)
+
+
+def test_large_values_do_not_overflow(spark):
+    big = 2_000_000_000
+    df = frame(spark, {(0, c): big for c in range(9)})
+    assert set(as_dict(near.focal_mean_square(df, 2), "mean").values()) == {float(big)}
+
+
 def brute_split(cur, ref, table):
     likely = {at: table.get(v, v) for at, v in ref.items() if v is not None}
     box = offsets(1, lambda a, b: True)
