@@ -53,7 +53,8 @@ def polygon_spans(edges: DataFrame, spec: GridSpec, band: int = 4096) -> DataFra
     ``edges`` has ``x1, y1, x2, y2``, all rings together. Each edge gives the
     points where it crosses the centre lines of grid rows; sorted along a row
     they pair up into inside spans (even-odd rule). Edges are cut into bands
-    of rows first, so a tall edge is spread over tasks.
+    of rows first and spread by band and edge, so neither a tall edge nor a
+    crowded band falls to one task.
     """
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     # Row r is crossed when lo <= y0 + (r + .5) * size < hi.
@@ -63,7 +64,7 @@ def polygon_spans(edges: DataFrame, spec: GridSpec, band: int = 4096) -> DataFra
         edges.select("x1", "y1", "x2", "y2", first.alias("ra"), last.alias("rb"))
         .filter("ra <= rb")
         .withColumn("band", F.explode(F.sequence(div(F.col("ra"), band), div(F.col("rb"), band))))
-        .repartition("band")
+        .repartition("band", "x1", "y1")
     )
     rows = cut.withColumn(
         "r",
@@ -76,9 +77,9 @@ def polygon_spans(edges: DataFrame, spec: GridSpec, band: int = 4096) -> DataFra
     )
     y = spec.y(F.col("r"))
     x = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    w = W.partitionBy("band", "r").orderBy("x")
+    w = W.partitionBy("r").orderBy("x")
     spans = (
-        rows.select("band", "r", x.alias("x"))
+        rows.select("r", x.alias("x"))
         .select("r", "x", F.lead("x").over(w).alias("x_next"), F.row_number().over(w).alias("i"))
         .filter((F.col("i") % 2 == 1) & F.col("x_next").isNotNull())
     )
@@ -88,7 +89,7 @@ def polygon_spans(edges: DataFrame, spec: GridSpec, band: int = 4096) -> DataFra
     return spans.select("r", c0.alias("c0"), c1.alias("c1")).filter("c0 <= c1")
 
 
-def spans_semi(cells: DataFrame, spans: DataFrame, block: int = 1024) -> DataFrame:
+def spans_semi(cells: DataFrame, spans: DataFrame, block: int = 256) -> DataFrame:
     """Cells lying in any span: an equi-join on row and column block.
 
     The spans are broadcast if their count allows.

@@ -141,7 +141,7 @@ def coalesce_regions(features: DataFrame, distance: float | str, size: float = S
     return to_cells(_coalesce_runs(to_runs(features, keys), metres(distance), size, keys, []))
 
 
-def wraps_of(parts: DataFrame, wraps: DataFrame, block: int = 1024) -> DataFrame:
+def wraps_of(parts: DataFrame, wraps: DataFrame, block: int = 256) -> DataFrame:
     """The wrap each part run lies in: an equi-join on row and column block."""
     pieces = wraps.select(
         F.col("part_r").alias("wrap_r"), F.col("part_c").alias("wrap_c"), "r",
