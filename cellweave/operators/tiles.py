@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -22,12 +23,47 @@ from pyspark.sql.types import IntegralType
 from cellweave.session import div, shuffle_partitions
 
 KEY = ["tile_r", "tile_c"]
+SEGMENT = 64  # cells packed into one record at most
 Shape = list[int]  # half-width of each row, from the top row to the bottom one
 Grid = tuple[np.ndarray, np.ndarray]  # values, and where they are not NoData
 
 
-def with_halo(df: DataFrame, halo: int, tile: int) -> DataFrame:
-    """Copies of each cell for every tile within ``halo`` cells, hashed by tile.
+def _packed(df: DataFrame, layers: list[str]) -> DataFrame:
+    """Neighbouring cells of a row as one record ``r, c0`` with a list per layer.
+
+    Packed batch by batch before the shuffle, so it moves and sorts few records.
+    Unsorted input packs less and is as right.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.sort_by([("r", "ascending"), ("c", "ascending")])
+            r, c = batch.column("r").to_numpy(), batch.column("c").to_numpy()
+            first = (np.diff(r) != 0) | (np.diff(c) != 1) | (c[1:] % SEGMENT == 0)
+            start = np.flatnonzero(np.concatenate(([True], first)))
+            offsets = pa.array(np.append(start, len(r)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(x)) for x in layers]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r[start]), pa.array(c[start]), *lists], names=["r", "c0", *layers]
+            )
+
+    cells = df.select(F.col("r").cast("long"), F.col("c").cast("long"), *layers)
+    lists = ", ".join(f"{x} array<{df.schema[x].dataType.simpleString()}>" for x in layers)
+    return cells.mapInArrow(pack, f"r long, c0 long, {lists}")
+
+
+def _unpacked(table: pa.Table, layers: list[str]):
+    """Rows, columns and layer values of the cells in packed records."""
+    size = pc.list_value_length(table[layers[0]]).to_numpy()
+    before = np.repeat(np.cumsum(size) - size, size)
+    c = np.repeat(table["c0"].to_numpy(), size) + np.arange(size.sum()) - before
+    return np.repeat(table["r"].to_numpy(), size), c, {x: pc.list_flatten(table[x]) for x in layers}
+
+
+def with_halo(df: DataFrame, layers: list[str], halo: int, tile: int) -> DataFrame:
+    """Copies of packed cells for every tile within ``halo`` cells, hashed by tile.
 
     The partition count is given, not left to adaptive coalescing: that goes by
     bytes, and neighbourhood work is heavy for its bytes.
@@ -35,13 +71,15 @@ def with_halo(df: DataFrame, halo: int, tile: int) -> DataFrame:
     if halo >= tile:
         raise ValueError("the tile must be larger than its halo")
 
-    def tiles(x):
-        low = F.when(F.col(x) >= 0, F.greatest(div(F.col(x) - halo, tile), F.lit(0)))
+    def tiles(first, last):
+        low = F.when(first >= 0, F.greatest(div(first - halo, tile), F.lit(0)))
         low = low.otherwise(F.raise_error(F.lit("row and column numbers start at 0")))
-        return F.explode(F.sequence(low.cast("long"), div(F.col(x) + halo, tile)))
+        return F.explode(F.sequence(low.cast("long"), div(last + halo, tile)))
 
-    parts = shuffle_partitions(df.sparkSession)
-    return df.withColumn("tile_r", tiles("r")).withColumn("tile_c", tiles("c")).repartition(parts, *KEY)
+    r, c0 = F.col("r"), F.col("c0")
+    packed = _packed(df, layers).withColumn("tile_r", tiles(r, r))
+    packed = packed.withColumn("tile_c", tiles(c0, c0 + F.size(layers[0]) - 1))
+    return packed.repartition(shuffle_partitions(df.sparkSession), *KEY)
 
 
 def circle(radius: int) -> Shape:
@@ -124,7 +162,7 @@ def tile_map(
     """
 
     def kernel(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        r, c = table["r"].to_numpy(), table["c"].to_numpy()
+        r, c, stored = _unpacked(table, layers)
         own = (r // tile == key[0].as_py()) & (c // tile == key[1].as_py())
         if not own.any():
             return empty
@@ -134,8 +172,8 @@ def tile_map(
 
         def dense(name: str) -> Grid:
             values, valid = np.zeros(size, np.int64), np.zeros(size, bool)
-            values[at] = table[name].fill_null(0).to_numpy()
-            valid[at] = table[name].is_valid().to_numpy()
+            values[at] = stored[name].fill_null(0).to_numpy()
+            valid[at] = stored[name].is_valid().to_numpy()
             return values, valid
 
         pick = (at[0][own], at[1][own])
@@ -154,5 +192,5 @@ def tile_map(
         [("r", pa.int64()), ("c", pa.int64()), *[(n, types[t]) for n, t in out.items()]]
     ).empty_table()
     schema = "r long, c long, " + ", ".join(f"{n} {t}" for n, t in out.items())
-    tiled = with_halo(df.select("r", "c", *layers), halo, tile)
+    tiled = with_halo(df, layers, halo, tile)
     return tiled.groupBy(*KEY).applyInArrow(kernel, schema)

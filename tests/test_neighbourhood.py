@@ -124,6 +124,17 @@ def test_tile_must_exceed_halo(spark, grid):
         focal_means(grid([[1]]), ["v"], {"m": circle(10)}, tile=10)
 
 
+def test_unsorted_and_scattered_cells(spark):
+    cells = random_cells(11, 90, 150, [1, 2, None], holes=0.5)
+    shuffled = list(cells.items())
+    random.Random(0).shuffle(shuffled)
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in shuffled], "r long, c long, v int").repartition(7)
+    got = as_dict(focal_means(df, ["v"], {"m": circle(4)}, 40), "vm")
+    disk = offsets(4, lambda a, b: a * a + b * b <= 16)
+    want = {at: around(cells, at, disk) for at in cells}
+    assert got == {at: (sum(v) / len(v) if v else None) for at, v in want.items()}
+
+
 def test_layers_must_hold_whole_numbers(spark):
     df = spark.createDataFrame([(0, 0, 0.5)], "r long, c long, v double")
     with pytest.raises(TypeError, match="whole numbers"):

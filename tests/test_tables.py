@@ -8,7 +8,7 @@ from cellweave import session
 from cellweave.functions import codes
 from cellweave.model import GridSpec
 from cellweave.operators import overlay, tabulate
-from cellweave.plans import change
+from cellweave.plans import barren, change
 from cellweave.registry import QUERIES
 from cellweave.sources import cells as store
 from cellweave.sources import events_grid
@@ -312,6 +312,16 @@ def test_cells_from_csv(spark, tmp_path):
     assert rows(got, "r", "c", "v") == rows(layers(spark, "lc_2001"), "r", "c", "v")
 
 
+def test_from_stored_layers_to_results(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    store.write_cells(layers(spark, "lc_1992", "lc_2001", "lc_2021"), path)
+    wide = overlay.stack_layers(store.read_cells(spark, path), ["lc_1992", "lc_2001", "lc_2021"])
+    table = change.change_rast(wide, "lc_2001", "lc_2021")
+    assert rows(table, *sorted(table.columns)) == rows(QUERIES["change_rast_unmasked"](spark, SF), *sorted(table.columns))
+    split = barren.barren_chain(wide, [2001, 2021]).select("r", "c", F.col("b_2001").alias("v"))
+    assert rows(split, "r", "c", "v") == rows(QUERIES["barren_split"](spark, SF), "r", "c", "v")
+
+
 def test_stack_of_stored_layers(spark):
     wide = overlay.stack_layers(layers(spark, "lc_2001", "lc_2021"), ["lc_2001", "lc_2021"])
     assert rows(wide, "r", "c", "lc_2001", "lc_2021") == rows(
