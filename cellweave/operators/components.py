@@ -23,10 +23,6 @@ SMALL = 200_000
 BITS, SHIFT = 29, 1 << 28
 
 
-def cell_number(r, c):
-    return F.shiftleft(r, BITS) + (c + SHIFT)
-
-
 def cell_row(number):
     return F.shiftright(number, BITS)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.columns import plain
 from cellweave.model import GridSpec
+from cellweave.operators.runs import to_runs
 from cellweave.session import broadcast_if_small, div
 
 RC = ["r", "c"]
@@ -100,7 +101,7 @@ def spans_semi(cells: DataFrame, spans: DataFrame, block: int = 256) -> DataFram
         F.col("c1").alias("s1"),
         F.explode(F.sequence(div(F.col("c0"), block), div(F.col("c1"), block))).alias("sb"),
     )
-    pieces = broadcast_if_small(pieces)
+    pieces = broadcast_if_small(pieces, 500_000)
     hit = (
         (F.col("r") == F.col("sr"))
         & (div(F.col("c"), block) == F.col("sb"))
@@ -109,6 +110,15 @@ def spans_semi(cells: DataFrame, spans: DataFrame, block: int = 256) -> DataFram
     return cells.join(pieces, hit, "left_semi")
 
 
+def extract_by_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
+    """Cells inside a mask grid.
+
+    The mask is turned into runs: a compact one is small enough to broadcast,
+    and the cells are then not shuffled at all.
+    """
+    return spans_semi(cells, to_runs(mask, []))
+
+
 def polygon_mask(cells: DataFrame, edges: DataFrame, spec: GridSpec) -> DataFrame:
     """Cells whose centre lies inside a polygon."""
     return spans_semi(cells, polygon_spans(edges, spec))
@@ -122,7 +132,7 @@ def clip_layer(
 ) -> DataFrame:
     """Mask to a template grid, or clip to a polygon; the template wins."""
     if template is not None:
-        return mask_semi(cells, template)
+        return extract_by_mask(cells, template)
     return cells if edges is None else polygon_mask(cells, edges, spec)
 
 

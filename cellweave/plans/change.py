@@ -26,14 +26,14 @@ from cellweave.functions.columns import (
     summary_code,
     summary_label,
 )
-from cellweave.operators.overlay import mask_semi
+from cellweave.operators.overlay import extract_by_mask
 from cellweave.operators.tabulate import build_rat, share
 
 
 def change_cells(stack: DataFrame, t1: str, t2: str, mask: DataFrame | None = None) -> DataFrame:
     """Change grid of two layers of a stack; the mask is optional."""
     if mask is not None:
-        stack = mask_semi(stack, mask)
+        stack = extract_by_mask(stack, mask)
     return stack.select("r", "c", change_code(t1, t2).alias("v"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cellweave.functions import codes
 from cellweave.functions.columns import indicator, null_to_zero, scale_to_int, set_null
 from cellweave.operators.neighbourhood import focal_means
-from cellweave.operators.overlay import mask_semi
-from cellweave.operators.regions import buffer_dilate
+from cellweave.operators.overlay import extract_by_mask, spans_semi
+from cellweave.operators.regions import SIZE
+from cellweave.operators.runs import dilate, to_runs
 from cellweave.operators.tiles import circle, square
 
 SHAPES = {"1": square(1), "10": circle(10), "100": circle(100)}
@@ -33,7 +34,7 @@ def _layers(cover: str, impervious: str | None, canopy: str | None, canopy_nodat
 def _study_area(stack: DataFrame, area: DataFrame | None, buffer: float) -> DataFrame:
     if area is None:
         return stack
-    return mask_semi(stack, buffer_dilate(area, buffer) if buffer else area)
+    return spans_semi(stack, dilate(to_runs(area, []), buffer, SIZE, []))
 
 
 def lc_proportions_years(
@@ -61,7 +62,7 @@ def lc_proportions_years(
     inputs = _study_area(stack, area, buffer).select("r", "c", *[e.alias(n) for n, (_, e) in layers.items()])
     means = focal_means(inputs, list(layers), shapes, tile)
     if mask is not None:
-        means = mask_semi(means, mask)
+        means = extract_by_mask(means, mask)
     out = {f"{n}{s}": k for n, (k, _) in layers.items() for s in shapes}
     scaled = [scale_to_int(null_to_zero(n), k).alias(n) for n, k in out.items()]
     long = means.select("r", "c", *scaled).unpivot(["r", "c"], list(out), "_layer", "v")

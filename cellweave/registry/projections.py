@@ -153,7 +153,7 @@ def map_algebra_con(spark, d):
     ),
 )
 def forest_change(spark, d):
-    g = overlay.mask_semi(grid.stack(spark, d, "lc_2011", "chg"), grid.study_mask(spark, d))
+    g = overlay.extract_by_mask(grid.stack(spark, d, "lc_2011", "chg"), grid.study_mask(spark, d))
     return labelled(g.select("r", "c", col.forest_change("lc_2011", "chg").alias("v")), "NLCD")
 
 
@@ -347,7 +347,7 @@ def extent_clip(spark, d):
 
 @query("extract_by_mask", sql("SELECT r, c, lc_2001 AS v FROM stack SEMI JOIN mask USING (r, c)"))
 def extract_by_mask(spark, d):
-    return overlay.mask_semi(grid.layer(spark, d, "lc_2001"), grid.study_mask(spark, d))
+    return overlay.extract_by_mask(grid.layer(spark, d, "lc_2001"), grid.study_mask(spark, d))
 
 
 @query(

@@ -201,7 +201,7 @@ def tab_lc_types(spark, d):
     ),
 )
 def tab_lc_types_clipped(spark, d):
-    st = overlay.mask_semi(grid.stack(spark, d, *LAYERS), grid.study_mask(spark, d))
+    st = overlay.extract_by_mask(grid.stack(spark, d, *LAYERS), grid.study_mask(spark, d))
     return tabulate.tab_lc_types(landscape.yearly_rat(st, LAYERS), YEARS, "NLCD")
 
 

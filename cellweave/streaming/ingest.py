@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.model import CELLS
-from cellweave.operators.overlay import mask_semi
+from cellweave.operators.overlay import extract_by_mask
 from cellweave.sources.cells import new_layers, write_cells
 
 
@@ -23,7 +23,7 @@ def _add(incoming: DataFrame, target: str, batch: str, template: DataFrame | Non
     else:
         # The list of known layers is fixed here, before the target is written to.
         fresh = new_layers(incoming, stored.filter(F.col("batch") != batch))
-    write_cells(fresh if template is None else mask_semi(fresh, template), target, batch)
+    write_cells(fresh if template is None else extract_by_mask(fresh, template), target, batch)
 
 
 def ingest_batch(incoming: DataFrame, target: str, batch: str, template: DataFrame | None = None) -> None:

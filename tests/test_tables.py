@@ -68,6 +68,15 @@ def test_clip_layer_choices(spark, grid):
     assert rows(overlay.clip_layer(cells, template, box), "v") == [(1,)]
 
 
+def test_mask_extraction(spark, grid):
+    cells = grid([[1, 2, None], [4, 5, 6], [7, ".", 9]])
+    mask = grid([[".", 0, 0], [0, ".", 0]]).select("r", "c")
+    mask = mask.union(mask).union(spark.createDataFrame([(5, 5)], "r long, c long"))
+    out = overlay.extract_by_mask(cells, mask)
+    assert rows(out, "v") == rows(overlay.mask_semi(cells, mask), "v") == [(2,), (4,), (6,), (None,)]
+    assert exchanges(out) == 0
+
+
 def test_align_to_template(spark, grid):
     cells = grid([[1, 2], [3, 4]])
     same = GridSpec()
