@@ -1,4 +1,15 @@
 """All queries of the subpackage."""
 
-from cellweave.llm import quality_rules  # noqa: F401
+from cellweave.llm import (  # noqa: F401
+    decontamination,
+    html_extraction,
+    language_id,
+    lm_scoring,
+    mixing,
+    pii,
+    quality_rules,
+    secrets_scan,
+    sharding,
+    simhash,
+)
 from cellweave.llm.registry import ORACLES, QUERIES  # noqa: F401
