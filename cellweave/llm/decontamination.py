@@ -27,7 +27,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.registry import query
@@ -226,6 +226,12 @@ def _bitmap(windows: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _covered(places: Column) -> Column:
+    """Words inside windows of ``size`` words that start at the places, in order."""
+    size = F.col("size").cast("long")
+    return array_sum(F.transform(places, lambda i, k: F.least(size, F.coalesce(F.get(places, k + 1) - i, size))))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -240,23 +246,28 @@ def contaminated(
     ``key`` is the ``text_key`` of the document.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).distinct()
-    short = template_windows(items, ["item_id"], "item_text", list(range(MIN_LITERALS, WINDOW + 1)), None)
-    # Only whole items are windows shorter than WINDOW.
-    short = cut_lineage(short.filter(F.col("size") == F.least("words", F.lit(WINDOW))))
-    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())  # up to WINDOW numbers
+    windows = template_windows(items, ["item_id"], "item_text", list(range(MIN_LITERALS, WINDOW + 1)), None)
+    # Only whole items are windows shorter than WINDOW. A template that an item repeats is sought at its first
+    # place, so a repeating document meets a repeating item once a word.
+    first = F.min(F.struct("at", "hash", "words", "slots")).alias("x")
+    found = windows.filter(F.col("size") == F.least("words", F.lit(WINDOW)))
+    found = cut_lineage(found.groupBy("item_id", "template", "size").agg(first).select("item_id", "template", "size", "x.*"))
+    sizes = sorted(r["size"] for r in found.select("size").distinct().collect())  # up to WINDOW numbers
+    whole = found.groupBy("item_id").agg(F.sort_array(F.collect_list("at")).alias("places"), F.max("size").alias("size"))
+    whole = whole.select("item_id", let(F.col("places"), _covered).alias("item_covered"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.select("doc_id", text_key().alias("key"), "text")
-    own = template_windows(rows, ["doc_id", "key"], "text", sizes, _bitmap(short))
+    own = template_windows(rows, ["doc_id", "key"], "text", sizes, _bitmap(found))
     sought = broadcast_if_small(
-        short.select(
-            "item_id", "template", "size", F.col("at").alias("item_at"),
+        found.join(whole, "item_id").select(
+            "item_id", "template", "size", "item_covered", F.col("at").alias("item_at"),
             F.col("words").alias("item_words"), F.col("slots").alias("item_slots"),
         )
     )
     met = own.select("doc_id", "key", "template", "at", "slots").join(sought, "template")
     # One alignment is one distance between the places in document and item; it has no more windows than the item.
     lines = met.groupBy(
-        "doc_id", "key", "item_id", "item_words", "size", (F.col("at") - F.col("item_at")).alias("shift")
+        "doc_id", "key", "item_id", "item_words", "item_covered", "size", (F.col("at") - F.col("item_at")).alias("shift")
     ).agg(
         F.sort_array(F.collect_set("item_at")).alias("places"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
@@ -265,16 +276,10 @@ def contaminated(
     two = F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"])))
     consistent = (one == F.size("pairs")) & (two == F.size("pairs"))
 
-    def covered(places):
-        size = F.col("size").cast("long")
-        return array_sum(
-            F.transform(places, lambda i, k: F.least(size, F.coalesce(F.get(places, k + 1) - i, size)))
-        )
-
-    need = F.least(F.lit(MIN_WORDS).cast("long"), F.ceil(F.col("item_words") * MIN_SHARE))
+    need = F.least(F.lit(MIN_WORDS).cast("long"), F.ceil(F.col("item_words") * MIN_SHARE), "item_covered")
     return (
         lines.filter(consistent)
-        .withColumn("matched_words", let(F.col("places"), covered))
+        .withColumn("matched_words", let(F.col("places"), _covered))
         .withColumn("changed", F.exists("pairs", lambda p: p["item_slots"] != p["slots"]))
         .filter(F.col("matched_words") >= need)
         .groupBy("key", "doc_id", "item_id", "item_words")

@@ -152,6 +152,14 @@ def number_slots(placed: DataFrame, rows: int, ids: list[str], shards: int = SHA
     )
 
 
+def shard_documents(
+    docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with ``size``, ``shard`` and ``slot``."""
+    placed = assign_shards(docs, shards, doc_id, text).withColumn("_crc", F.crc32(_raw(text).cast("binary")))
+    return number_slots(placed, docs.count(), [doc_id, "_crc"], shards).drop("_crc")
+
+
 @query("op2_sharding")
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))

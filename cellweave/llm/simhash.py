@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.components import components
 from cellweave.llm.registry import query
-from cellweave.llm.text import map_texts, table
+from cellweave.llm.text import map_texts, table, text_key
 from cellweave.session import cut_lineage
 
 SHINGLE = 3
@@ -285,14 +285,33 @@ def near_duplicates(
 
 
 def name_components(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``fp, component_id`` for each different fingerprint of ``marked`` (``doc_id, fp``)."""
+    """``fp, root, component_id`` for each different fingerprint of ``marked`` (``doc_id, fp``)."""
     known = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(close_links(known.select("fp"), max_bits))
     rooted = known.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(names, "root").select("fp", "component_id")
+    return rooted.join(names, "root").select("fp", "root", "component_id")
+
+
+def deduplicate(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """One row of each group of near-duplicates, with its own columns.
+
+    The row with the smallest id stays, a null id coming last; among those of
+    one id, a hash of the text decides, and among equal ones any.
+    """
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), text_key(doc_id, text).alias("key"), F.col(text).alias("text")
+    )
+    marked = cut_lineage(fingerprints(rows, shingle))
+    named = marked.join(name_components(marked, max_bits).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    kept = named.groupBy("root").agg(first).select(F.col("first.key").alias("_key"))
+    stay = docs.withColumn("_key", text_key(doc_id, text)).join(kept, "_key", "left_semi")
+    return stay.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 @query("op3_simhash")
