@@ -32,9 +32,24 @@ class GridSpec:
     y0: float = 0.0
     size: float = 30.0
     crs: str = "local"
+    nrows: int | None = None
+    ncols: int | None = None
+    north_up: bool = False
 
     def x(self, c):
+        """The centre of a column."""
         return self.x0 + (c + 0.5) * self.size
 
     def y(self, r):
-        return self.y0 + (r + 0.5) * self.size
+        """The centre of a row; ``y0`` is the upper edge of a north-up grid, else the lower one."""
+        return self.y0 - (r + 0.5) * self.size if self.north_up else self.y0 + (r + 0.5) * self.size
+
+    def row(self, y):
+        """Rows from the grid's edge to a coordinate, with fractions."""
+        return (self.y0 - y) / self.size if self.north_up else (y - self.y0) / self.size
+
+    def inside(self, r, c):
+        """Whether a cell lies in the grid's shape, as far as that is given."""
+        ok = (r >= 0) & (c >= 0)
+        ok = ok if self.nrows is None else ok & (r < self.nrows)
+        return ok if self.ncols is None else ok & (c < self.ncols)

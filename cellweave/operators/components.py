@@ -1,9 +1,10 @@
 """Connected parts of run sets.
 
 Runs are labelled inside tiles first, so that only labels touching across tile
-borders remain as a graph. Its components are found by alternating the
-large-star and small-star steps of Kiveris et al., "Connected Components in
-MapReduce and Beyond" (SoCC 2014); each round is written to the shared folder.
+borders remain as a graph. Its edges are contracted batch by batch, then its
+components are found by alternating the large-star and small-star steps of
+Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014).
+Each round is written to the shared folder, and the round before is removed.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators.runs import merge_runs
-from cellweave.session import cut_lineage, div, lookup
+from cellweave.session import cut_lineage, div, lookup, remove_step, write_step
 
 TILE = 1024
-SMALL = 200_000
 # A cell number orders cells by row, then column; columns span 29 bits.
 BITS, SHIFT = 29, 1 << 28
 
@@ -31,11 +31,16 @@ def cell_col(number):
     return number.bitwiseAND((1 << BITS) - 1) - SHIFT
 
 
-def _touching(r: np.ndarray, c0: np.ndarray, c1: np.ndarray, reach: int):
-    """Index pairs of sorted runs that touch from one row to the next."""
+def _touching(feature: np.ndarray, r: np.ndarray, c0: np.ndarray, c1: np.ndarray, reach: int):
+    """Index pairs of runs of one feature that touch from one row to the next.
+
+    Runs are sorted by feature, row and column. Rows are laid end to end, a
+    blank row after each feature, so neighbours differ by the width of a row.
+    """
     base = c0.min() - 2
     wide = int(c1.max() - base) + 3
-    starts, ends = r * wide + (c0 - base), r * wide + (c1 - base)
+    line = feature * (int(r.max() - r.min()) + 2) + (r - r.min())
+    starts, ends = line * wide + (c0 - base), line * wide + (c1 - base)
     lo = np.searchsorted(ends, starts + wide - reach, side="left")
     hi = np.searchsorted(starts, ends + wide + reach, side="right")
     n = np.maximum(hi - lo, 0)
@@ -57,7 +62,11 @@ def _smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _label_tiles(runs: DataFrame, keys: list[str], reach: int, tile: int) -> DataFrame:
-    """Runs cut at tile borders, with the first cell of their part of the tile."""
+    """Runs cut at tile borders, with the first cell of their part of the tile.
+
+    All features of a tile are labelled by one call, so many small features
+    cost no more than a large one.
+    """
     edge = F.col("tile_c") * tile
     pieces = (
         runs.withColumn("tile_r", div(F.col("r"), tile))
@@ -67,15 +76,22 @@ def _label_tiles(runs: DataFrame, keys: list[str], reach: int, tile: int) -> Dat
     cols = [*keys, "tile_r", "tile_c", "r", "c0", "c1"]
 
     def kernel(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("r", "ascending"), ("c0", "ascending")])
         r, c0, c1 = (table[x].to_numpy() for x in ("r", "c0", "c1"))
-        first = _smallest_linked(len(r), *_touching(r - r[0], c0, c1, reach))
+        if c0.min() < -SHIFT or c1.max() >= SHIFT:
+            raise ValueError(f"columns of parts have to lie from {-SHIFT} to {SHIFT - 1}")
+        feature = np.zeros(len(r), np.int64)
+        if keys:
+            named = table.select(keys).to_pandas()
+            feature = named.groupby(keys, sort=False, dropna=False).ngroup().to_numpy().astype(np.int64)
+        order = np.lexsort((c0, r, feature))
+        table, feature, r, c0, c1 = table.take(order), feature[order], r[order], c0[order], c1[order]
+        first = _smallest_linked(len(r), *_touching(feature, r, c0, c1, reach))
         number = (r[first] << BITS) + (c0[first] + SHIFT)
         return table.select(cols).append_column("label", pa.array(number))
 
     pieces = pieces.select(cols)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.groupBy(*keys, "tile_r", "tile_c").applyInArrow(kernel, schema + ", label long")
+    return pieces.groupBy("tile_r", "tile_c").applyInArrow(kernel, schema + ", label long")
 
 
 def _border_edges(pieces: DataFrame, keys: list[str], reach: int, tile: int) -> DataFrame:
@@ -127,47 +143,46 @@ def _star(edges: DataFrame, keys: list[str], rows: int, large: bool) -> DataFram
     return out.filter("u > v").distinct()
 
 
-def _solve_in_one(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``u, root`` of a graph counted to be small, in a single task."""
+def _contract(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Fewer edges with the same components: each batch of them becomes stars."""
     node = [*keys, "u"]
 
-    def solve(batches):
-        table = pa.Table.from_batches(batches).to_pandas()
-        ends = pd.concat([table[node], table[[*keys, "v"]].set_axis(node, axis=1)])
-        ids = ends.groupby(node, sort=True).ngroup().to_numpy()
-        names = np.empty(ids.max() + 1, dtype=np.int64)
-        names[ids] = ends["u"]
-        root = _smallest_linked(len(names), ids[: len(table)], ids[len(table) :])
-        out = ends.assign(root=names[root[ids]]).drop_duplicates()
-        yield from pa.Table.from_pandas(out[out["u"] != out["root"]], preserve_index=False).to_batches()
+    def stars(batches):
+        for batch in batches:
+            table = batch.to_pandas()
+            ends = pd.concat([table[node], table[[*keys, "v"]].set_axis(node, axis=1)])
+            ids = ends.groupby(node, sort=True, dropna=False).ngroup().to_numpy()
+            names = np.empty(ids.max(initial=-1) + 1, dtype=np.int64)
+            names[ids] = ends["u"]
+            root = _smallest_linked(len(names), ids[: len(table)], ids[len(table) :])
+            out = ends.assign(v=names[root[ids]]).drop_duplicates()
+            yield pa.RecordBatch.from_pandas(out[out["u"] != out["v"]], preserve_index=False)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*node).schema)
-    return edges.coalesce(1).mapInArrow(solve, fields + ", root long")
+    return edges.select(*node, "v").mapInArrow(stars, fields + ", v long")
 
 
-def star_components(edges: DataFrame, keys: list[str], small: int = SMALL) -> DataFrame | None:
+def star_components(edges: DataFrame, keys: list[str]) -> DataFrame | None:
     """``u, root`` for every node that is not the smallest of its component; none without edges.
 
-    A graph counted to have at most ``small`` edges is solved in one task, a
-    larger one by star rounds until they change nothing.
+    Star rounds run until they change nothing; each removes the table of the
+    round before.
     """
+    spark = edges.sparkSession
     mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
-    edges = cut_lineage(edges)
+    edges, path = write_step(_contract(edges, keys).distinct())
     state = edges.agg(*mark).first()
     if not state["n"]:
         return None
-    if state["n"] <= small:
-        return _solve_in_one(edges, keys)
     while True:
-        edges = cut_lineage(_star(_star(edges, keys, state["n"], True), keys, state["n"], False))
-        before, state = state, edges.agg(*mark).first()
+        edges, after = write_step(_star(_star(edges, keys, state["n"], True), keys, state["n"], False))
+        remove_step(spark, path)
+        before, state, path = state, edges.agg(*mark).first(), after
         if state == before:
             return edges.withColumnRenamed("v", "root")
 
 
-def label_parts(
-    runs: DataFrame, keys: list[str], diagonal: bool = True, tile: int = TILE, small: int = SMALL
-) -> DataFrame:
+def label_parts(runs: DataFrame, keys: list[str], diagonal: bool = True, tile: int = TILE) -> DataFrame:
     """Runs with their connected part, named by its first cell ``part_r, part_c``.
 
     Parts are 8-connected with ``diagonal``, else 4-connected, and never join
@@ -175,7 +190,7 @@ def label_parts(
     """
     reach = int(diagonal)
     pieces = cut_lineage(_label_tiles(runs, keys, reach, tile))
-    roots = star_components(_border_edges(pieces, keys, reach, tile), keys, small)
+    roots = star_components(_border_edges(pieces, keys, reach, tile), keys)
     if roots is None:
         named = pieces.withColumnRenamed("label", "_n")
     else:

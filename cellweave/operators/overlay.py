@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import plain
 from cellweave.model import GridSpec
-from cellweave.operators.runs import to_runs
-from cellweave.session import broadcast_if_small, div
+from cellweave.operators.runs import in_blocks, to_runs
+from cellweave.session import broadcast_if_small, cut_lineage, div
 
 RC = ["r", "c"]
 
@@ -40,12 +42,12 @@ def extent_clip(cells: DataFrame, r0: int = 0, r1: int | None = None, c0: int =
     return cells.filter(inside)
 
 
-def mask_semi(cells: DataFrame, mask: DataFrame) -> DataFrame:
-    return cells.join(mask.select(*RC), RC, "left_semi")
-
-
-def mask_anti(cells: DataFrame, mask: DataFrame) -> DataFrame:
-    return cells.join(mask.select(*RC), RC, "left_anti")
+def polygon_edges(points: DataFrame) -> DataFrame:
+    """Edges ``ring, x1, y1, x2, y2`` of closed rings given as ``ring, seq, x, y``."""
+    ring = W.partitionBy("ring").orderBy("seq")
+    ends = {"x2": F.lead("x").over(ring), "y2": F.lead("y").over(ring)}
+    edges = points.withColumns(ends).filter(F.col("x2").isNotNull())
+    return edges.select("ring", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
 
 def polygon_spans(edges: DataFrame, spec: GridSpec, band: int = 4096) -> DataFrame:
@@ -57,10 +59,10 @@ def polygon_spans(edges: DataFrame, spec: GridSpec, band: int = 4096) -> DataFra
     of rows first and spread by band and edge, so neither a tall edge nor a
     crowded band falls to one task.
     """
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    # Row r is crossed when lo <= y0 + (r + .5) * size < hi.
-    first = F.ceil((lo - spec.y0) / spec.size - 0.5).cast("long")
-    last = (F.ceil((hi - spec.y0) / spec.size - 0.5) - 1).cast("long")
+    a, b = spec.row(F.col("y1")), spec.row(F.col("y2"))
+    # Row r is crossed when its centre r + .5 lies from the lower to below the higher end.
+    first = F.ceil(F.least(a, b) - 0.5).cast("long")
+    last = (F.ceil(F.greatest(a, b) - 0.5) - 1).cast("long")
     cut = (
         edges.select("x1", "y1", "x2", "y2", first.alias("ra"), last.alias("rb"))
         .filter("ra <= rb")
@@ -90,33 +92,76 @@ def polygon_spans(edges: DataFrame, spec: GridSpec, band: int = 4096) -> DataFra
     return spans.select("r", c0.alias("c0"), c1.alias("c1")).filter("c0 <= c1")
 
 
-def spans_semi(cells: DataFrame, spans: DataFrame, block: int = 256) -> DataFrame:
-    """Cells lying in any span: an equi-join on row and column block.
+#: Runs up to this count are broadcast.
+SPAN_LIMIT = 500_000
+#: Columns by which runs and cells meet; neighbouring cells are packed into records of SEGMENT at most.
+SPAN_BLOCK, SEGMENT = 1024, 64
 
-    The spans are broadcast if their count allows.
-    """
-    pieces = spans.select(
-        F.col("r").alias("sr"),
-        F.col("c0").alias("s0"),
-        F.col("c1").alias("s1"),
-        F.explode(F.sequence(div(F.col("c0"), block), div(F.col("c1"), block))).alias("sb"),
-    )
-    pieces = broadcast_if_small(pieces, 500_000)
-    hit = (
+
+def _span_pieces(spans: DataFrame) -> DataFrame:
+    cut = in_blocks(spans.select("r", "c0", "c1"), SPAN_BLOCK)
+    return cut.withColumnsRenamed({"r": "sr", "c0": "s0", "c1": "s1", "block": "sb"})
+
+
+def _in_span():
+    return (
         (F.col("r") == F.col("sr"))
-        & (div(F.col("c"), block) == F.col("sb"))
+        & (div(F.col("c"), SPAN_BLOCK) == F.col("sb"))
         & F.col("c").between(F.col("s0"), F.col("s1"))
     )
-    return cells.join(pieces, hit, "left_semi")
 
 
-def extract_by_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
-    """Cells inside a mask grid.
+def _packed_rows(cells: DataFrame) -> DataFrame:
+    """Neighbouring cells of a row as one record ``pr, pb, rows``, packed batch by batch."""
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.sort_by([("r", "ascending"), ("c", "ascending")])
+            r, c = (batch.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
+            first = (np.diff(r) != 0) | (np.diff(c // SEGMENT) != 0)
+            start = np.flatnonzero(np.concatenate(([True], first)))
+            rows = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(r)).astype(np.int32)), rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r[start]), pa.array(c[start] // SPAN_BLOCK), lists], names=["pr", "pb", "rows"]
+            )
+
+    return cells.mapInArrow(pack, f"pr long, pb long, rows array<{cells.schema.simpleString()}>")
+
+
+def spans_semi(cells: DataFrame, spans: DataFrame, limit: int = SPAN_LIMIT) -> DataFrame:
+    """Cells lying in any of some disjoint runs: an equi-join on row and column block.
 
-    The mask is turned into runs: a compact one is small enough to broadcast,
-    and the cells are then not shuffled at all.
+    Runs are counted before they are cut into blocks. Up to ``limit`` they are
+    broadcast and cells stay where they are; beyond it, records of packed cells
+    meet the list of runs of their block, and no cell is shuffled on its own.
     """
-    return spans_semi(cells, to_runs(mask, []))
+    spans = cut_lineage(spans.select("r", "c0", "c1"))
+    pieces = _span_pieces(spans)
+    if spans.count() <= limit:
+        return cells.join(F.broadcast(pieces), _in_span(), "left_semi")
+    listed = pieces.groupBy(F.col("sr").alias("pr"), F.col("sb").alias("pb")).agg(
+        F.collect_list(F.struct("s0", "s1")).alias("spans")
+    )  # half a block of runs at most
+    met = _packed_rows(cells).join(listed, ["pr", "pb"])
+    kept = F.filter(
+        "rows",
+        lambda x: F.exists("spans", lambda s: (s["s0"] <= x["c"]) & (x["c"] <= s["s1"])),
+    )
+    return met.select(F.explode(kept).alias("x")).select("x.*")
+
+
+def spans_flag(cells: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``cells`` with a column that tells whether they lie in any of some disjoint runs."""
+    pieces = _span_pieces(broadcast_if_small(spans, SPAN_LIMIT))
+    return cells.join(pieces, _in_span(), "left").withColumn(name, F.col("sr").isNotNull()).drop("sr", "s0", "s1", "sb")
+
+
+def extract_by_mask(cells: DataFrame, mask: DataFrame, limit: int = SPAN_LIMIT) -> DataFrame:
+    """Cells inside a mask grid, which is turned into runs first."""
+    return spans_semi(cells, to_runs(mask, []), limit)
 
 
 def polygon_mask(cells: DataFrame, edges: DataFrame, spec: GridSpec) -> DataFrame:
@@ -148,7 +193,7 @@ def align_to_template(
         raise ValueError(f"coordinate systems differ: {spec.crs} and {template_spec.crs}")
     if spec == template_spec:
         return cells
-    src_r = F.floor((template_spec.y(F.col("r")) - spec.y0) / spec.size)
+    src_r = F.floor(spec.row(template_spec.y(F.col("r"))))
     src_c = F.floor((template_spec.x(F.col("c")) - spec.x0) / spec.size)
     wanted = template.select(*RC, src_r.alias("sr"), src_c.alias("sc"))
     source = cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "v")
@@ -156,15 +201,20 @@ def align_to_template(
 
 
 def pyramid_level(cells: DataFrame, factor: int) -> DataFrame:
-    """Reduced-resolution overview: the commonest class, ties to the lowest code."""
-    return (
-        cells.groupBy(div(F.col("r"), factor).alias("r"), div(F.col("c"), factor).alias("c"))
-        .agg(F.mode("v", deterministic=True).alias("v"))
+    """Reduced-resolution overview: the commonest class, ties to the lowest code; NoData has no say."""
+    r, c = div(F.col("r"), factor).alias("r"), div(F.col("c"), factor).alias("c")
+    counts = cells.groupBy(r, c, "v").agg(F.count("v").alias("n"))
+    # One long holds the count above and the code, turned round, below: the largest wins.
+    top = 1 << 31
+    best = F.max(F.when(F.col("n") > 0, F.col("n") * (2 * top) + (top - F.col("v"))))
+    return counts.groupBy("r", "c").agg(best.alias("_best")).select(
+        "r", "c", (top - F.pmod("_best", F.lit(2 * top))).cast(cells.schema["v"].dataType).alias("v")
     )
 
 
 def extent_rect(cells: DataFrame, spec: GridSpec) -> DataFrame:
     """``xmin ymin xmax ymax`` of the extent."""
-    xmin, ymin = spec.x0 + F.min("c") * spec.size, spec.y0 + F.min("r") * spec.size
-    xmax, ymax = spec.x0 + (F.max("c") + 1) * spec.size, spec.y0 + (F.max("r") + 1) * spec.size
+    xmin, xmax = spec.x0 + F.min("c") * spec.size, spec.x0 + (F.max("c") + 1) * spec.size
+    near, far = F.min("r") * spec.size, (F.max("r") + 1) * spec.size
+    ymin, ymax = (spec.y0 - far, spec.y0 - near) if spec.north_up else (spec.y0 + near, spec.y0 + far)
     return cells.agg(F.concat_ws(" ", *map(plain, (xmin, ymin, xmax, ymax))).alias("rect"))

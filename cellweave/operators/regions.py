@@ -6,8 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellweave.operators.components import label_parts
-from cellweave.operators.runs import dilate, dissolve_runs, erode, merge_runs, to_cells, to_runs
+from cellweave.operators.components import TILE, label_parts
+from cellweave.operators.runs import (
+    dilate,
+    dissolve_runs,
+    erode,
+    in_blocks,
+    intersect,
+    merge_runs,
+    subtract,
+    to_cells,
+    to_runs,
+)
 from cellweave.session import cut_lineage, div, lookup
 
 PART = ["part_r", "part_c"]
@@ -26,24 +36,26 @@ def metres(distance: float | str) -> float:
     return float(number) * units[unit.upper()]
 
 
-def explode_parts(features: DataFrame, keys: list[str] = ["feat_id"]) -> DataFrame:
+def explode_parts(features: DataFrame, keys: list[str] = ["feat_id"], tile: int = TILE) -> DataFrame:
     """Single parts of each feature, null cells dropped."""
-    return to_cells(label_parts(to_runs(features, keys), keys))
+    return to_cells(label_parts(to_runs(features, keys), keys, tile=tile))
 
 
-def clean_clip(features: DataFrame, mask: DataFrame, keys: list[str] = ["feat_id"]) -> DataFrame:
-    """Features inside a mask, split into parts."""
-    return explode_parts(features.join(mask.select("r", "c"), ["r", "c"], "left_semi"), keys)
+def clean_clip(features: DataFrame, mask: DataFrame, keys: list[str] = ["feat_id"], tile: int = TILE) -> DataFrame:
+    """Features inside a mask, split into parts; both meet as runs."""
+    inside = intersect(to_runs(features, keys), to_runs(mask, []), keys)
+    return to_cells(label_parts(inside, keys, tile=tile))
 
 
-def clean_erase(features: DataFrame, mask: DataFrame, keys: list[str] = ["feat_id"]) -> DataFrame:
-    """Features outside a mask, split into parts."""
-    return explode_parts(features.join(mask.select("r", "c"), ["r", "c"], "left_anti"), keys)
+def clean_erase(features: DataFrame, mask: DataFrame, keys: list[str] = ["feat_id"], tile: int = TILE) -> DataFrame:
+    """Features outside a mask, split into parts; both meet as runs."""
+    outside = subtract(to_runs(features, keys), to_runs(mask, []), keys)
+    return to_cells(label_parts(outside, keys, tile=tile))
 
 
-def dissolve_parts(features: DataFrame) -> DataFrame:
+def dissolve_parts(features: DataFrame, tile: int = TILE) -> DataFrame:
     """All features merged, then split into parts."""
-    return explode_parts(features, [])
+    return explode_parts(features, [], tile)
 
 
 def buffer_dilate(features: DataFrame, distance: float | str, size: float = SIZE, merge: bool = True) -> DataFrame:
@@ -64,6 +76,7 @@ def fill_holes(
     below_area: float | None = None,
     below_percent: float | None = None,
     size: float = SIZE,
+    tile: int = TILE,
 ) -> DataFrame:
     """Fill the gaps contained in a part that are smaller than a threshold.
 
@@ -78,7 +91,7 @@ def fill_holes(
     gaps = named.select(
         *own, "r", (F.col("c1") + 1).alias("c0"), (F.lead("c0").over(row) - 1).alias("c1")
     ).filter(F.col("c1").isNotNull())
-    gaps = label_parts(gaps, own, diagonal=False)
+    gaps = label_parts(gaps, own, diagonal=False, tile=tile)
 
     spans = named.groupBy(*own, "r").agg(F.min("c0").alias("s0"), F.max("c1").alias("s1"))
     for name, by in (("above", 1), ("below", -1)):
@@ -110,7 +123,9 @@ def fill_holes(
     return merge_runs(whole, own).withColumnsRenamed({"p_r": "part_r", "p_c": "part_c"})
 
 
-def _coalesce_runs(runs: DataFrame, distance: float, size: float, keys: list[str], group: list[str]) -> DataFrame:
+def _coalesce_runs(
+    runs: DataFrame, distance: float, size: float, keys: list[str], group: list[str], tile: int
+) -> DataFrame:
     """Closing for a positive, opening for a negative distance; parts as runs.
 
     ``keys`` name features, ``group`` what the merging buffer keeps apart. The
@@ -127,18 +142,19 @@ def _coalesce_runs(runs: DataFrame, distance: float, size: float, keys: list[str
         else (erode(runs, -distance, size, keys), keys)
     )
     if size * size < GAP:
-        first = fill_holes(label_parts(first, own), own, below_area=GAP, size=size)
+        first = fill_holes(label_parts(first, own, tile=tile), own, below_area=GAP, size=size, tile=tile)
         first = first.withColumnsRenamed({"part_r": "b_r", "part_c": "b_c"})
         own = [*own, "b_r", "b_c"]
     if merge:
-        return label_parts(erode(first, distance, size, own), own).select(*group, *PART, "r", "c0", "c1")
-    return label_parts(dilate(dissolve_runs(first, group), -distance, size, group), group)
+        closed = label_parts(erode(first, distance, size, own), own, tile=tile)
+        return closed.select(*group, *PART, "r", "c0", "c1")
+    return label_parts(dilate(dissolve_runs(first, group), -distance, size, group), group, tile=tile)
 
 
-def coalesce_regions(features: DataFrame, distance: float | str, size: float = SIZE) -> DataFrame:
+def coalesce_regions(features: DataFrame, distance: float | str, size: float = SIZE, tile: int = TILE) -> DataFrame:
     """Merge nearby features (distance above 0) or cut narrow places (below 0)."""
     keys = ["feat_id"]
-    return to_cells(_coalesce_runs(to_runs(features, keys), metres(distance), size, keys, []))
+    return to_cells(_coalesce_runs(to_runs(features, keys), metres(distance), size, keys, [], tile))
 
 
 def wraps_of(parts: DataFrame, wraps: DataFrame, block: int = 256) -> DataFrame:
@@ -156,7 +172,9 @@ def wraps_of(parts: DataFrame, wraps: DataFrame, block: int = 256) -> DataFrame:
     )
 
 
-def shrink_wrap(features: DataFrame, distance: float | str, smooth: float = 8, size: float = SIZE) -> DataFrame:
+def shrink_wrap(
+    features: DataFrame, distance: float | str, smooth: float = 8, size: float = SIZE, tile: int = TILE
+) -> DataFrame:
     """Wrap groups of nearby features.
 
     Features are dissolved and buffered; each connected buffer is a wrap. The
@@ -168,15 +186,18 @@ def shrink_wrap(features: DataFrame, distance: float | str, smooth: float = 8, s
         raise ValueError("the dilation distance must be positive")
     group = ["wrap_r", "wrap_c"]
     parts = cut_lineage(to_runs(features, []))
-    wraps = label_parts(dilate(parts, distance, size, []), [])
+    wraps = label_parts(dilate(parts, distance, size, []), [], tile=tile)
     members = wraps_of(parts, wraps)
-    closed = _coalesce_runs(members, distance * smooth, size, group, group)
-    return to_cells(fill_holes(closed, group, below_percent=99.0, size=size))
+    closed = _coalesce_runs(members, distance * smooth, size, group, group, tile)
+    return to_cells(fill_holes(closed, group, below_percent=99.0, size=size, tile=tile))
 
 
-def select_by_location(features: DataFrame, other: DataFrame) -> DataFrame:
-    """Ids of the features that share a cell with another cell set."""
-    return features.join(other.select("r", "c"), ["r", "c"], "left_semi").select("feat_id").distinct()
+def select_by_location(features: DataFrame, other: DataFrame, block: int = 1024) -> DataFrame:
+    """Ids of the features that share a cell with another cell set; both meet as runs."""
+    pieces = in_blocks(to_runs(other, []), block).withColumnsRenamed({"c0": "o0", "c1": "o1"})
+    runs = in_blocks(to_runs(features, ["feat_id"]), block)
+    met = runs.join(pieces, ["r", "block"])
+    return met.filter((F.col("c0") <= F.col("o1")) & (F.col("c1") >= F.col("o0"))).select("feat_id").distinct()
 
 
 def count_features(features: DataFrame) -> DataFrame:
@@ -184,9 +205,9 @@ def count_features(features: DataFrame) -> DataFrame:
 
 
 def count_selected(features: DataFrame, where) -> DataFrame:
-    """Features passing a selection beside the whole set."""
-    return features.agg(
-        F.countDistinct(F.when(where, F.col("feat_id"))).alias("n_selected"),
-        F.countDistinct("feat_id").alias("n_all"),
+    """Features passing a selection beside the whole set; each is reduced to one row first."""
+    named = features.filter(F.col("feat_id").isNotNull())
+    one = named.groupBy("feat_id").agg(F.max(F.coalesce(where, F.lit(False)).cast("int")).alias("hit"))
+    return one.agg(
+        F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("n_selected"), F.count(F.lit(1)).alias("n_all")
     )
-

@@ -106,6 +106,13 @@ def class_combos(stack: DataFrame, t1: str, t2: str) -> DataFrame:
     return pairs.select((F.col("start_class") * 100 + F.col("end_class")).alias("code"), "start_class", "end_class")
 
 
+def occurring_combos(stack: DataFrame, t1: str, t2: str) -> DataFrame:
+    """The pairs of classes of two dates that some cell has, with their code."""
+    pairs = stack.select(F.col(t1).alias("start_class"), F.col(t2).alias("end_class")).distinct()
+    code = F.col("start_class") * 100 + F.col("end_class")
+    return pairs.select(code.alias("code"), "start_class", "end_class").filter("code is not null")
+
+
 def lookup_first(codes: DataFrame, combos: DataFrame) -> DataFrame:
     """Row of the combination list for each code; a code without one is an error."""
     missing = F.raise_error(F.concat(F.lit("no combination for code "), F.col("code").cast("string")))

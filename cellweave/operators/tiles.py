@@ -4,8 +4,9 @@ A cell is sent to its own tile and to the tiles whose halo holds it, so data
 grows by ``((tile + 2 * halo) / tile) ** 2`` and not by the number of neighbours.
 Inside a tile the layers are dense arrays. Window functions along rows and then
 columns would not do: where the extent is ragged, a row's result is also needed
-at places that have no cell. A task holds ``(tile + 2 * halo) ** 2`` cells of a
-tile at most.
+at places that have no cell. A task holds the packed cells of a tile and its halo,
+``(tile + 2 * halo) ** 2`` of each layer at most, and a few dense layers at once;
+``tile_map`` also holds its results, ``tile_long`` hands them on one by one.
 """
 
 from __future__ import annotations
@@ -162,30 +163,17 @@ def tile_map(
     """
 
     def kernel(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        r, c, stored = _unpacked(table, layers)
-        own = (r // tile == key[0].as_py()) & (c // tile == key[1].as_py())
-        if not own.any():
+        opened = _open_tile(key, table, layers, tile)
+        if opened is None:
             return empty
-        r0, c0 = r.min(), c.min()
-        size = (int(r.max() - r0) + 1, int(c.max() - c0) + 1)
-        at = (r - r0, c - c0)
-
-        def dense(name: str) -> Grid:
-            values, valid = np.zeros(size, np.int64), np.zeros(size, bool)
-            values[at] = stored[name].fill_null(0).to_numpy()
-            valid[at] = stored[name].is_valid().to_numpy()
-            return values, valid
-
-        pick = (at[0][own], at[1][own])
+        r, c, pick, dense = opened
         cols = [
             pa.array(values[pick], mask=~valid[pick]).cast(empty.schema.field(name).type)
             for name, (values, valid) in compute(dense)
         ]
-        return pa.Table.from_arrays([pa.array(r[own]), pa.array(c[own]), *cols], names=names)
+        return pa.Table.from_arrays([pa.array(r), pa.array(c), *cols], names=names)
 
-    for name in layers:
-        if not isinstance(df.schema[name].dataType, IntegralType):
-            raise TypeError(f"layer {name} must hold whole numbers")
+    _check_whole_numbers(df, layers)
     types = {"int": pa.int32(), "double": pa.float64()}
     names = ["r", "c", *out]
     empty = pa.schema(
@@ -194,3 +182,62 @@ def tile_map(
     schema = "r long, c long, " + ", ".join(f"{n} {t}" for n, t in out.items())
     tiled = with_halo(df, layers, halo, tile)
     return tiled.groupBy(*KEY).applyInArrow(kernel, schema)
+
+
+def tile_long(
+    df: DataFrame,
+    layers: list[str],
+    halo: int,
+    tile: int,
+    compute: Callable[[Callable[[str], Grid]], Iterator[tuple[str, np.ndarray]]],
+    keep: str | None = None,
+) -> DataFrame:
+    """Run ``compute`` on every tile and return ``layer, r, c, v`` of its whole-number results.
+
+    Results are handed on one layer at a time, so a tile holds one of them.
+    ``keep`` names a layer whose cells are returned only where it is not 0.
+    """
+
+    def kernel(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _open_tile(key, pa.Table.from_batches(batches), layers, tile)
+        if opened is None:
+            return
+        r, c, pick, dense = opened
+        if keep is not None:
+            values, valid = dense(keep)
+            kept = (values[pick] != 0) & valid[pick]
+            r, c, pick = r[kept], c[kept], (pick[0][kept], pick[1][kept])
+        places = [pa.array(r), pa.array(c)]
+        for name, values in compute(dense):
+            named = pa.array([name]).take(pa.array(np.zeros(len(r), np.int32)))
+            found = pa.array(values[pick].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([named, *places, found], names=["layer", "r", "c", "v"])
+
+    _check_whole_numbers(df, layers)
+    tiled = with_halo(df, layers, halo, tile)
+    return tiled.groupBy(*KEY).applyInArrow(kernel, "layer string, r long, c long, v int")
+
+
+def _check_whole_numbers(df: DataFrame, layers: list[str]) -> None:
+    for name in layers:
+        if not isinstance(df.schema[name].dataType, IntegralType):
+            raise TypeError(f"layer {name} must hold whole numbers")
+
+
+def _open_tile(key: tuple[pa.Scalar, ...], table: pa.Table, layers: list[str], tile: int):
+    """Rows and columns of a tile's own cells, their places in dense grids, and a maker of those; none without cells."""
+    r, c, stored = _unpacked(table, layers)
+    own = (r // tile == key[0].as_py()) & (c // tile == key[1].as_py())
+    if not own.any():
+        return None
+    r0, c0 = r.min(), c.min()
+    size = (int(r.max() - r0) + 1, int(c.max() - c0) + 1)
+    at = (r - r0, c - c0)
+
+    def dense(name: str) -> Grid:
+        values, valid = np.zeros(size, np.int64), np.zeros(size, bool)
+        values[at] = stored[name].fill_null(0).to_numpy()
+        valid[at] = stored[name].is_valid().to_numpy()
+        return values, valid
+
+    return r[own], c[own], (at[0][own], at[1][own]), dense

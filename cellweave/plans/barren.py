@@ -4,22 +4,31 @@ A year reaches four cells: one for the majority filter, three for growing the
 natural class and for the distance to anthropogenic cells. A chain reaches the
 sum over its years, still little beside a tile, so the whole chain runs inside
 one shuffle and writes nothing in between.
+
+Only barren cells change. So only blocks of cells that hold one, and the blocks
+around them, go through the shuffle; all other cells pass from the scan.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cellweave.functions import codes
 from cellweave.operators.neighbourhood import reach
 from cellweave.operators.tiles import Grid, any_within, commonest, square, tile_map
+from cellweave.session import broadcast_if_small, div
 
 NATURAL, ANTHROPOGENIC = 31, 32
 FILTER, GROWTH = 1, 3
 NEAR, SIZE = 100.0, 30.0
 REACH = max(FILTER + GROWTH, reach(NEAR, SIZE))
 TILE = 512
+#: Side of the blocks that are looked through for barren cells.
+BLOCK = 64
 
 
 def _near_shape() -> list[int]:
@@ -90,9 +99,30 @@ def barren_chain(
                 ref = grid(out.format(y))
             yield out.format(y), ref
             ref_schema = "standard"
+        yield "_barren", grid("_barren")
 
     halo = REACH * max(len(new), 1)
-    return tile_map(stack, inputs, halo, tile, compute, {out.format(y): "int" for y in years})
+    marked = mark_barren(stack, [layer.format(y) for y in new], halo)
+    shuffled = marked.filter("_barren is not null")
+    names = {out.format(y): "int" for y in years} | {"_barren": "int"}
+    solved = tile_map(shuffled, [*inputs, "_barren"], halo, tile, compute, names).filter("_barren = 1")
+    rest = marked.filter("_barren is null or _barren = 0")
+    passed = rest.select("r", "c", *[F.col(u).cast("int").alias(out.format(y)) for u, y in zip(used, years)])
+    return solved.drop("_barren").unionByName(passed)
+
+
+def mark_barren(stack: DataFrame, layers: list[str], halo: int, block: int = BLOCK) -> DataFrame:
+    """``stack`` with ``_barren``: 1 in blocks with a barren cell, 0 in blocks their halo reaches, else null."""
+    barren = reduce(lambda a, b: a | b, [F.col(x) == NATURAL for x in layers], F.lit(False))
+    br, bc = div(F.col("r"), block), div(F.col("c"), block)
+    hold = stack.filter(barren).select(br.alias("_br"), bc.alias("_bc")).distinct()
+    n = -(-halo // block)
+    steps = F.explode(F.sequence(F.lit(-n), F.lit(n)))
+    around = hold.withColumn("_dr", steps).withColumn("_dc", steps)
+    own = ((F.col("_dr") == 0) & (F.col("_dc") == 0)).cast("int")
+    reached = around.groupBy((F.col("_br") + F.col("_dr")).alias("_br"), (F.col("_bc") + F.col("_dc")).alias("_bc"))
+    blocks = broadcast_if_small(reached.agg(F.max(own).alias("_barren")))
+    return stack.withColumns({"_br": br, "_bc": bc}).join(blocks, ["_br", "_bc"], "left").drop("_br", "_bc")
 
 
 def barren_split(stack: DataFrame, current: str, ref: str, schema: str, tile: int = TILE) -> DataFrame:

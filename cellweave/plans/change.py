@@ -14,6 +14,7 @@ from cellweave.functions.columns import (
     area_ha_900,
     change_code,
     change_type,
+    col,
     concat_code,
     cover_class,
     decade,
@@ -26,7 +27,8 @@ from cellweave.functions.columns import (
     summary_code,
     summary_label,
 )
-from cellweave.operators.overlay import extract_by_mask
+from cellweave.model import GridSpec
+from cellweave.operators.overlay import extract_by_mask, polygon_mask
 from cellweave.operators.tabulate import build_rat, share
 
 
@@ -37,8 +39,18 @@ def change_cells(stack: DataFrame, t1: str, t2: str, mask: DataFrame | None = No
     return stack.select("r", "c", change_code(t1, t2).alias("v"))
 
 
-def change_counts(stack: DataFrame, periods: list[tuple[int, int]], layer: str = "lc_{}") -> DataFrame:
-    """``period, v, n`` of every period from one scan of the stack."""
+def change_counts(
+    stack: DataFrame, periods: list[tuple[int, int]], layer: str = "lc_{}", stored: DataFrame | None = None
+) -> DataFrame:
+    """``period, v, n`` of every period from one scan of the stack.
+
+    Periods that ``stored`` holds already are taken from it and not counted again.
+    """
+    if stored is not None:
+        done = {row["period"] for row in stored.select("period").distinct().collect()}  # names of periods
+        left = [p for p in periods if "{}-{}".format(*p) not in done]
+        kept = stored.select("period", "v", "n")
+        return kept.unionByName(change_counts(stack, left, layer)) if left else kept
     names = [f"c{i}" for i in range(len(periods))]
     coded = stack.select(
         *[change_code(layer.format(a), layer.format(b)).alias(n) for n, (a, b) in zip(names, periods)]
@@ -69,6 +81,21 @@ def change_rast(stack: DataFrame, t1: str, t2: str, mask: DataFrame | None = Non
     return rat.withColumns({"area_ha": area_ha_900("n"), "perc_total": share("n")})
 
 
+def change_run(
+    stack: DataFrame,
+    periods: list[tuple[int, int]],
+    edges: DataFrame | None = None,
+    spec: GridSpec = GridSpec(),
+    schema: str = "NLCD",
+    layer: str = "lc_{}",
+) -> DataFrame:
+    """The change tables of all periods, with classes, area and share, from one scan inside a polygon."""
+    if edges is not None:
+        stack = polygon_mask(stack, edges, spec)
+    rat = change_decode(change_counts(stack, periods, layer), schema)
+    return rat.withColumns({"area_ha": area_ha_900("n"), "perc_total": share("n", "period")})
+
+
 def change_summary(
     rat: DataFrame,
     from_cls: list[int],
@@ -76,15 +103,19 @@ def change_summary(
     to_cls: list[int],
     to_name: str,
     backwards: bool = True,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Cells per summary code, with label, area and share of the first date's class."""
+    """Cells per summary code, with label, area and share of the first date's class.
+
+    ``keys`` name what is summed up apart, as periods.
+    """
     code = summary_code(start_class("v"), end_class("v"), from_cls, to_cls, backwards)
-    out = rat.groupBy(code.alias("v")).agg(F.sum("n").alias("n"))
+    out = rat.groupBy(*keys, code.alias("v")).agg(F.sum("n").alias("n"))
     return out.withColumns(
         {
             "class": summary_label("v", from_name, to_name, backwards),
             "area_ha": area_ha_900("n"),
-            "perc_of_t1_area": share("n", where=F.col("v").isin(1, 2, 3)),
+            "perc_of_t1_area": share("n", *keys, where=F.col("v").isin(1, 2, 3)),
         }
     )
 
@@ -97,6 +128,18 @@ def change_summary_cells(
     return change.select("r", "c", code.alias("v"))
 
 
+def _to_from_code(start, end, cls: list[int]):
+    s, e, first = col(start).isin(cls), col(end).isin(cls), F.lit(cls[0])
+    code = F.when(s & e, 1).when(s, concat_code(first, end)).when(e, concat_code(start, first))
+    return code.otherwise(0)
+
+
+def change_to_from_cells(change: DataFrame, cls: list[int]) -> DataFrame:
+    """The class grid behind the table of moves to and from a class; NoData stays."""
+    code = _to_from_code(start_class("v"), end_class("v"), cls)
+    return change.select("r", "c", F.when(F.col("v").isNotNull(), code).cast("int").alias("v"))
+
+
 def to_from_table(rat: DataFrame, cls: list[int], name: str, schema: str = "NLCD") -> DataFrame:
     """New code ``reclass`` and change type of each change code.
 
@@ -104,13 +147,9 @@ def to_from_table(rat: DataFrame, cls: list[int], name: str, schema: str = "NLCD
     """
     d = change_decode(rat, schema)
     s, e = F.col("start_class").isin(cls), F.col("end_class").isin(cls)
-    first = F.lit(cls[0])
     return d.withColumns(
         {
-            "reclass": F.when(s & e, 1)
-            .when(s, concat_code(first, "end_class"))
-            .when(e, concat_code("start_class", first))
-            .otherwise(0),
+            "reclass": _to_from_code("start_class", "end_class", cls),
             "change_type": F.when(s & e, F.lit(codes.STAYED_IN.format(a=name)))
             .when(s, F.concat(F.lit(f"{name} to "), "end_class_name"))
             .when(e, F.concat("start_class_name", F.lit(f" to {name}")))
@@ -179,6 +218,6 @@ def net_change(rat: DataFrame, cls: list[int], name: str, full: str, exclude: tu
     )
 
 
-def forest_developed(rat: DataFrame, backwards: bool) -> DataFrame:
+def forest_developed(rat: DataFrame, backwards: bool, keys: tuple[str, ...] = ()) -> DataFrame:
     """The change summary of forest against developed classes."""
-    return change_summary(rat, codes.FOREST, "Forest", codes.DEVELOPED, "Developed", backwards)
+    return change_summary(rat, codes.FOREST, "Forest", codes.DEVELOPED, "Developed", backwards, keys)

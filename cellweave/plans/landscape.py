@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes
-from cellweave.functions.columns import cover_class, reclass
+from cellweave.functions.columns import cover_class, forest_change, reclass
+from cellweave.model import GridSpec
+from cellweave.operators.overlay import polygon_mask
 from cellweave.operators.tabulate import (
     build_rat,
     class_period_stats,
@@ -14,7 +16,7 @@ from cellweave.operators.tabulate import (
     tab_lc_types,
     unpivot_area,
 )
-from cellweave.plans.barren import barren_chain
+from cellweave.plans.barren import TILE, barren_chain
 
 
 def general_stack(stack: DataFrame, layers: list[str]) -> DataFrame:
@@ -40,12 +42,31 @@ def general_change_trend(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lag_pct_change(long), class_period_stats(long)
 
 
-def landscape_run(stack: DataFrame, years: list[int]) -> DataFrame:
-    """From the raw layers to the yearly table of general classes."""
-    split = barren_chain(stack, years)
+def landscape_run(
+    stack: DataFrame,
+    years: list[int],
+    edges: DataFrame | None = None,
+    spec: GridSpec = GridSpec(),
+    tile: int = TILE,
+) -> DataFrame:
+    """From the raw layers to the yearly table of general classes.
+
+    The 1992 layer is cut to the cells of the first layer. The table counts the
+    cells inside a polygon, if one is given.
+    """
+    first = F.col(f"lc_{years[0]}").isNotNull()
+    split = barren_chain(stack.withColumn("lc_1992", F.when(first, F.col("lc_1992"))), years, tile=tile)
+    if edges is not None:
+        split = polygon_mask(split, edges, spec)
     renamed = split.select("r", "c", *[F.col(f"b_{y}").alias(f"lc_{y}") for y in years])
     return general_summary(renamed, years)
 
 
+def disturbance_run(stack: DataFrame, years: list[int], product: str = "chg") -> DataFrame:
+    """The yearly table of general classes in which disturbed forest is told apart."""
+    marked = stack.select("r", "c", *[forest_change(f"lc_{y}", product).alias(f"lc_{y}") for y in years])
+    return general_summary(marked, years)
+
+
 def labelled(cells: DataFrame, schema: str) -> DataFrame:
     return cells.withColumn("CoverClass", cover_class("v", schema))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes
-from cellweave.functions.columns import indicator, null_to_zero, scale_to_int, set_null
-from cellweave.operators.neighbourhood import focal_means
-from cellweave.operators.overlay import extract_by_mask, spans_semi
-from cellweave.operators.regions import SIZE
-from cellweave.operators.runs import dilate, to_runs
-from cellweave.operators.tiles import circle, square
+from cellweave.functions.columns import indicator, set_null
+from cellweave.model import GridSpec
+from cellweave.operators.overlay import polygon_spans, spans_flag
+from cellweave.operators.runs import dilate, merge_runs, to_runs
+from cellweave.operators.tiles import circle, shape_sums, square, tile_long
 
 SHAPES = {"1": square(1), "10": circle(10), "100": circle(100)}
 
@@ -31,10 +31,12 @@ def _layers(cover: str, impervious: str | None, canopy: str | None, canopy_nodat
     return layers
 
 
-def _study_area(stack: DataFrame, area: DataFrame | None, buffer: float) -> DataFrame:
-    if area is None:
-        return stack
-    return spans_semi(stack, dilate(to_runs(area, []), buffer, SIZE, []))
+def study_runs(
+    area: DataFrame | None = None, edges: DataFrame | None = None, spec: GridSpec = GridSpec(), buffer: float = 0.0
+) -> DataFrame:
+    """The study area, a grid or a polygon, grown by a buffer, as runs."""
+    runs = to_runs(area, []) if edges is None else merge_runs(polygon_spans(edges, spec), [])
+    return dilate(runs, buffer, spec.size, []) if buffer else runs
 
 
 def lc_proportions_years(
@@ -42,6 +44,8 @@ def lc_proportions_years(
     years: dict[int, tuple[str, str | None, str | None]],
     mask: DataFrame | None = None,
     area: DataFrame | None = None,
+    edges: DataFrame | None = None,
+    spec: GridSpec = GridSpec(),
     buffer: float = 0.0,
     canopy_nodata: int = codes.CANOPY_NODATA,
     shapes: dict = SHAPES,
@@ -50,24 +54,43 @@ def lc_proportions_years(
     """Scaled means ``year, name, r, c, v`` of every year, layer and neighbourhood.
 
     ``years`` gives the class layer and, where there is one, the impervious and
-    the canopy layer of each year. Cells outside the study area, grown by the
-    buffer, do not count; the mask applies to the finished means. All years
-    share one shuffle.
+    the canopy layer of each year. Cells outside the study area, a grid or a
+    polygon grown by the buffer, are NoData: they do not count, but keep a mean
+    of their neighbours. The mask goes through the tiles as a layer and drops
+    cells there; all years, layers and neighbourhoods share one shuffle.
     """
     layers = {
         f"y{year}_{k}": (k, expr)
         for year, (cover, impervious, canopy) in years.items()
         for k, expr in _layers(cover, impervious, canopy, canopy_nodata).items()
     }
-    inputs = _study_area(stack, area, buffer).select("r", "c", *[e.alias(n) for n, (_, e) in layers.items()])
-    means = focal_means(inputs, list(layers), shapes, tile)
+    known = F.lit(True)
+    if area is not None or edges is not None:
+        stack, known = spans_flag(stack, study_runs(area, edges, spec, buffer), "_known"), F.col("_known")
     if mask is not None:
-        means = extract_by_mask(means, mask)
-    out = {f"{n}{s}": k for n, (k, _) in layers.items() for s in shapes}
-    scaled = [scale_to_int(null_to_zero(n), k).alias(n) for n, k in out.items()]
-    long = means.select("r", "c", *scaled).unpivot(["r", "c"], list(out), "_layer", "v")
+        stack = spans_flag(stack, to_runs(mask, []), "_kept")
+    kept = [] if mask is None else [F.col("_kept").cast("int").alias("_kept")]
+    inputs = stack.select("r", "c", *[F.when(known, e).alias(n) for n, (_, e) in layers.items()], *kept)
+    names, sizes = list(layers), list(shapes.values())
+    scales = {n: 100 if k in codes.PERCENT_LAYERS else 10000 for n, (k, _) in layers.items()}
+    tags = list(shapes)
+
+    def compute(grid):
+        counted = None
+        for name in names:
+            values, valid = grid(name)
+            sums = shape_sums(values, sizes)
+            if counted is None or not np.array_equal(counted, valid):
+                counted, counts = valid, shape_sums(valid, sizes)
+            for tag, total, n in zip(tags, sums, counts):
+                mean = np.where(n > 0, total / np.maximum(n, 1), 0.0)  # a mean of nothing is 0
+                yield f"{name}{tag}", np.floor(mean * scales[name] + 0.5)
+
+    halo = max(len(s) // 2 for s in sizes)
+    every = [*names, *(["_kept"] if mask is not None else [])]
+    long = tile_long(inputs, every, halo, tile, compute, "_kept" if mask is not None else None)
     return long.select(
-        F.substring("_layer", 2, 4).cast("int").alias("year"), F.expr("substring(_layer, 7)").alias("name"), "r", "c", "v"
+        F.substring("layer", 2, 4).cast("int").alias("year"), F.expr("substring(layer, 7)").alias("name"), "r", "c", "v"
     )
 
 

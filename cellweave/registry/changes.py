@@ -8,10 +8,13 @@ from cellweave.functions import codes
 from cellweave.operators.tabulate import build_rat
 from cellweave.plans import barren, change, landscape
 from cellweave.registry.base import DETAILED, in_sql, query, remap_sql, sql
-from cellweave.registry.neighbourhoods import CHAIN
+from cellweave.registry.neighbourhoods import CHAIN, CHAIN_TILE
 from cellweave.registry.projections import DECODED, SUMMARY_RAT, TO_FROM, to_from
+from cellweave.registry.scans import EDGES_SQL, INSIDE_SQL, POINTS_SQL, study_edges
 from cellweave.registry.tables import GAINLOSS, GEN_LONG, PCT, STATS, gen_summary
+from cellweave.session import shared_path
 from cellweave.sources import events_grid as grid
+from cellweave.sources.cells import write_table
 
 _MASKED = DECODED.replace("FROM stack GROUP BY", "FROM stack SEMI JOIN mask USING (r, c) GROUP BY")
 
@@ -130,11 +133,97 @@ def change_run(spark, d):
     return rat.withColumn("area_ha", change.area_ha_900("n"))
 
 
+@query(
+    "change_run_resume",
+    sql(
+        "SELECT period, v, n FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{a}-{b}' AS period, lc_{a} * 100 + lc_{b} AS v, count(*) AS n FROM stack GROUP BY 2"
+            for a, b in codes.PERIODS
+        )
+        + ")"
+    ),
+)
+def change_run_resume(spark, d):
+    """A run after one that was stopped: the period stored already is not counted again."""
+    st = grid.stack(spark, d, "lc_2001", "lc_2011", "lc_2021")
+    path = shared_path(spark, "periods")
+    write_table(change.change_counts(st, codes.PERIODS[:1]), path)
+    return change.change_counts(st, codes.PERIODS, stored=spark.read.parquet(path))
+
+
+_CLIPPED = ", ".join(
+    [
+        "clipped AS (SELECT * FROM stack SEMI JOIN inside USING (r, c))",
+        "counts AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{a}-{b}' AS period, lc_{a} AS s, lc_{b} AS e, count(*) AS n FROM clipped GROUP BY 2, 3"
+            for a, b in codes.PERIODS
+        )
+        + ")",
+    ]
+)
+
+
+@query(
+    "change_run_masked",
+    sql(
+        "SELECT period, s * 100 + e AS v, n, s AS start_class, a.label AS start_class_name, e AS end_class, "
+        "b.label AS end_class_name, CASE WHEN s = e THEN 'No change' ELSE a.label || ' to ' || b.label END AS change_type, "
+        "n * 900 / 10000 AS area_ha, n / sum(n) OVER (PARTITION BY period) * 100 AS perc_total "
+        "FROM counts LEFT JOIN detailed a ON s = a.code LEFT JOIN detailed b ON e = b.code",
+        DETAILED, POINTS_SQL, EDGES_SQL, INSIDE_SQL, _CLIPPED,
+    ),
+)
+def change_run_masked(spark, d):
+    """All periods inside the study polygon, with classes, areas and shares, from one scan."""
+    st = grid.stack(spark, d, "lc_2001", "lc_2011", "lc_2021")
+    return change.change_run(st, codes.PERIODS, study_edges(spark, d))
+
+
+@query(
+    "change_summary_run",
+    sql(
+        "SELECT period, v, n, ['not Forest in either time period', 'Forest in both time periods', 'Forest to Developed', "
+        "'Forest to non-Developed class', 'non-Forest class to Forest'][v + 1] AS class, n * 900 / 10000 AS area_ha, "
+        "CASE WHEN v IN (1, 2, 3) THEN n / sum(n) FILTER (WHERE v IN (1, 2, 3)) OVER (PARTITION BY period) * 100 END "
+        "AS perc_of_t1_area FROM (SELECT period, CAST(CASE "
+        f"WHEN s IN {in_sql(codes.FOREST)} AND e IN {in_sql(codes.FOREST)} THEN 1 "
+        f"WHEN s IN {in_sql(codes.FOREST)} AND e IN {in_sql(codes.DEVELOPED)} THEN 2 "
+        f"WHEN s IN {in_sql(codes.FOREST)} THEN 3 WHEN e IN {in_sql(codes.FOREST)} THEN 4 ELSE 0 END AS INTEGER) AS v, "
+        "CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY 1, 2)",
+        POINTS_SQL, EDGES_SQL, INSIDE_SQL, _CLIPPED,
+    ),
+)
+def change_summary_run(spark, d):
+    """The forward summary of all periods inside the study polygon."""
+    st = grid.stack(spark, d, "lc_2001", "lc_2011", "lc_2021")
+    return change.forest_developed(change.change_run(st, codes.PERIODS, study_edges(spark, d)), False, ("period",))
+
+
+_F = in_sql(codes.FOREST)
+
+
+@query(
+    "change_to_from_cells",
+    sql(
+        f"SELECT r, c, CAST(CASE WHEN lc_2001 IN {_F} AND lc_2021 IN {_F} THEN 1 "
+        f"WHEN lc_2001 IN {_F} THEN CAST({codes.FOREST[0]} || CAST(lc_2021 AS VARCHAR) AS INTEGER) "
+        f"WHEN lc_2021 IN {_F} THEN CAST(CAST(lc_2001 AS VARCHAR) || {codes.FOREST[0]} AS INTEGER) "
+        "ELSE 0 END AS INTEGER) AS v FROM stack"
+    ),
+)
+def change_to_from_cells(spark, d):
+    cells = change.change_cells(grid.stack(spark, d), "lc_2001", "lc_2021")
+    return change.change_to_from_cells(cells, codes.FOREST)
+
+
 @query(
     "general_change_trend",
     sql(
         "SELECT p.v, p.CoverClass, p.year, p.Area_ha, p.pct_change, p.label, s.area_change AS full_change, "
-        "s.pct_change AS full_pct, s.label AS full_label FROM pct p JOIN stats s USING (CoverClass)",
+        "s.pct_change AS full_pct, s.label AS full_label FROM pct p LEFT JOIN stats s "
+        "ON p.CoverClass IS NOT DISTINCT FROM s.CoverClass",
         *GEN_LONG,
         PCT,
         STATS,
@@ -143,12 +232,13 @@ def change_run(spark, d):
 def general_change_trend(spark, d):
     series, stats = landscape.general_change_trend(gen_summary(spark, d))
     stats = stats.select(
-        "CoverClass",
+        F.col("CoverClass").alias("_class"),
         F.col("area_change").alias("full_change"),
         F.col("pct_change").alias("full_pct"),
         F.col("label").alias("full_label"),
     )
-    return series.drop("name").join(stats, "CoverClass")
+    # A class without a name, as an unlisted code, keeps its rows.
+    return series.drop("name").join(stats, F.col("CoverClass").eqNullSafe(F.col("_class")), "left").drop("_class")
 
 
 @query(
@@ -168,6 +258,6 @@ def general_change_trend(spark, d):
 )
 def net_change_run(spark, d):
     """From the raw layers to net forest change: barren cells split, periods compared, moves netted."""
-    split = barren.barren_chain(grid.stack(spark, d), codes.YEARS)
+    split = barren.barren_chain(grid.stack(spark, d), codes.YEARS, tile=CHAIN_TILE)
     counts = change.change_counts(split, codes.PERIODS, "b_{}")
     return change.net_change(counts, codes.FOREST, "Forest", "2001-2021")

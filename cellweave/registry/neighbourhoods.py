@@ -12,7 +12,9 @@ from cellweave.plans import barren, landscape
 from cellweave.plans.proportions import lc_proportions, lc_proportions_years
 from cellweave.registry.base import GENERAL, query, remap_sql, sql
 from cellweave.registry.projections import INDICATOR_SQL
+from cellweave.registry.scans import EDGES_SQL, INSIDE_SQL, POINTS_SQL, study_edges
 from cellweave.registry.tables import yearly_sql
+from cellweave.session import div
 from cellweave.sources import events_grid as grid
 
 _OFF = "off AS (SELECT a.d AS dr, b.d AS dc FROM range(-{n}, {n} + 1) a(d), range(-{n}, {n} + 1) b(d))"
@@ -31,6 +33,9 @@ def disk_sql(cells: float, name: str = "disk") -> str:
     )
 
 
+# So small that neighbourhoods cross tiles in both directions on the smallest grid.
+TILE = 8
+
 _FOREST = "src AS (SELECT r, c, CASE lc_2001 WHEN 41 THEN 100 WHEN 43 THEN 50 WHEN 0 THEN NULL ELSE 0 END AS v FROM stack)"
 
 
@@ -49,28 +54,34 @@ def _forest(spark, d):
     ),
 )
 def focal_mean_3x3(spark, d):
-    return near.focal_mean_square(_forest(spark, d))
+    return near.focal_mean_square(_forest(spark, d), tile=TILE)
 
 
-def _circle_sql(radius: int) -> str:
+def _circle_sql(radius: int, source: str = _FOREST) -> str:
     return sql(
         f"SELECT x.r, x.c, CAST(sum(y.v) AS BIGINT) / nullif(count(y.v), 0) AS mean FROM src x JOIN src y "
         f"ON y.r BETWEEN x.r - {radius} AND x.r + {radius} "
         f"AND (y.r - x.r) * (y.r - x.r) + (y.c - x.c) * (y.c - x.c) <= {radius * radius} GROUP BY x.r, x.c",
-        _FOREST,
+        source,
     )
 
 
-def _circle(radius: int, tile: int):
+def _circle(radius: int, tile: int, width: int = 100):
     def run(spark, d):
-        means = near.focal_means(_forest(spark, d), ["v"], {"mean": circle(radius)}, tile)
+        cells = _forest(spark, d)
+        number = F.col("r") * 100 + F.col("c")
+        wide = cells.select(div(number, width).alias("r"), F.pmod(number, F.lit(width)).alias("c"), "v")
+        means = near.focal_means(wide, ["v"], {"mean": circle(radius)}, tile)
         return means.withColumnRenamed("vmean", "mean")
 
     return run
 
 
-query("focal_mean_c10", _circle_sql(10))(_circle(10, 256))
-query("focal_mean_c100", _circle_sql(100))(_circle(100, 512))
+# The widest neighbourhood needs a wider grid to cross tiles: the same cells in rows of 500.
+_WIDE = _FOREST.replace("SELECT r, c,", "SELECT (r * 100 + c) // 500 AS r, (r * 100 + c) % 500 AS c,")
+
+query("focal_mean_c10", _circle_sql(10))(_circle(10, 16))
+query("focal_mean_c100", _circle_sql(100, _WIDE))(_circle(100, 104, 500))
 
 
 @query(
@@ -84,7 +95,7 @@ query("focal_mean_c100", _circle_sql(100))(_circle(100, 512))
     ),
 )
 def focal_majority(spark, d):
-    return near.focal_majority(grid.layer(spark, d, "lc_2001"))
+    return near.focal_majority(grid.layer(spark, d, "lc_2001"), tile=TILE)
 
 
 _DIST = (
@@ -98,7 +109,7 @@ _DIST = (
     sql("SELECT r, c, dist FROM stack LEFT JOIN dist USING (r, c)", square_sql(3), _DIST),
 )
 def euclid_distance(spark, d):
-    return near.euclid_distance(grid.layer(spark, d, "lc_1992"), 32, 100.0)
+    return near.euclid_distance(grid.layer(spark, d, "lc_1992"), 32, 100.0, tile=TILE)
 
 
 @query(
@@ -106,7 +117,7 @@ def euclid_distance(spark, d):
     sql("SELECT r, c, dist IS NOT NULL AS near FROM stack LEFT JOIN dist USING (r, c)", square_sql(3), _DIST),
 )
 def within_distance(spark, d):
-    return near.within_distance(grid.layer(spark, d, "lc_1992"), 32, 100.0)
+    return near.within_distance(grid.layer(spark, d, "lc_1992"), 32, 100.0, tile=TILE)
 
 
 @query(
@@ -119,7 +130,7 @@ def within_distance(spark, d):
     ),
 )
 def expand_class(spark, d):
-    return near.expand_class(grid.layer(spark, d, "lc_2001"), 31, 3)
+    return near.expand_class(grid.layer(spark, d, "lc_2001"), 31, 3, tile=TILE)
 
 
 def _barren_ctes(year: int, current: str, ref: str, table: dict) -> list[str]:
@@ -156,7 +167,7 @@ _SPLIT = _barren_ctes(2001, "lc_2001", "ref92", codes.BARREN_FROM_1992)
 )
 def barren_split(spark, d):
     st = grid.stack(spark, d, "lc_2001", "lc_1992")
-    return landscape.labelled(barren.barren_split(st, "lc_2001", "lc_1992", "1992"), "NLCD")
+    return landscape.labelled(barren.barren_split(st, "lc_2001", "lc_1992", "1992", tile=TILE), "NLCD")
 
 
 def _chain_ctes(years):
@@ -172,6 +183,7 @@ def _materialised(ctes):
 
 
 CHAIN = _materialised(_chain_ctes(codes.YEARS))
+CHAIN_TILE = 40  # above the halo of nine years
 
 
 @query(
@@ -183,22 +195,52 @@ CHAIN = _materialised(_chain_ctes(codes.YEARS))
     ),
 )
 def barren_chain(spark, d):
-    return barren.barren_chain(grid.stack(spark, d), codes.YEARS)
+    return barren.barren_chain(grid.stack(spark, d), codes.YEARS, tile=CHAIN_TILE)
+
+
+def _landscape_sql(clip: str, *ctes: str) -> str:
+    years = " UNION ALL ".join(
+        f"SELECT {y} AS year, {remap_sql('ref', codes.TO_GENERAL)} AS v FROM y{y}_out {clip}" for y in codes.YEARS
+    )
+    return sql(
+        yearly_sql("yearly", label="general"),
+        *CHAIN,
+        GENERAL,
+        *ctes,
+        f"yearly AS (SELECT year, v, count(*) AS n FROM ({years}) WHERE v IS NOT NULL GROUP BY 1, 2)",
+    )
+
+
+@query("landscape_run", _landscape_sql(""))
+def landscape_run(spark, d):
+    return landscape.landscape_run(grid.stack(spark, d), codes.YEARS, tile=CHAIN_TILE)
+
+
+@query(
+    "landscape_run_clipped",
+    _landscape_sql("SEMI JOIN inside USING (r, c)", POINTS_SQL, EDGES_SQL, INSIDE_SQL),
+)
+def landscape_run_clipped(spark, d):
+    """The table counts the cells inside the study polygon; the barren rule sees those around it."""
+    return landscape.landscape_run(grid.stack(spark, d), codes.YEARS, study_edges(spark, d), tile=CHAIN_TILE)
 
 
 @query(
-    "landscape_run",
+    "disturbance_run",
     sql(
         yearly_sql("yearly", label="general"),
-        *CHAIN,
         GENERAL,
         "yearly AS (SELECT year, v, count(*) AS n FROM ("
-        + " UNION ALL ".join(f"SELECT {y} AS year, {remap_sql('ref', codes.TO_GENERAL)} AS v FROM y{y}_out" for y in codes.YEARS)
+        + " UNION ALL ".join(
+            f"SELECT {y} AS year, {remap_sql('v', codes.TO_GENERAL)} AS v FROM "
+            f"(SELECT CASE WHEN lc_{y} IN (52, 71) AND chg = 11 THEN lc_{y} + 4 ELSE lc_{y} END AS v FROM stack)"
+            for y in codes.YEARS
+        )
         + ") WHERE v IS NOT NULL GROUP BY 1, 2)",
     ),
 )
-def landscape_run(spark, d):
-    return landscape.landscape_run(grid.stack(spark, d), codes.YEARS)
+def disturbance_run(spark, d):
+    return landscape.disturbance_run(grid.stack(spark, d), codes.YEARS)
 
 
 _LAYER_NAMES = [*codes.INDICATORS, "impsur", "canopy"]
@@ -247,40 +289,68 @@ def lc_proportions_query(spark, d):
     return lc_proportions(st, "lc_2001", grid.study_mask(spark, d))
 
 
-_TWO_YEARS = (2001, 2011)
-_YEAR_LAYERS = {y: [*codes.INDICATORS, *(["impsur"] if y == 2001 else [])] for y in _TWO_YEARS}
+# The years of the loop; one of them lacks an impervious layer.
+_LOOP_YEARS = (2001, 2006, 2011, 2016)
+_NO_IMPERVIOUS = 2011
 
 
-def _years_sql() -> str:
-    inputs, outs = [], []
-    for y in _TWO_YEARS:
-        known = {k: {c: codes.INDICATORS[k].get(c, 0) for c in codes.INDICATOR_CODES} for k in codes.INDICATORS}
-        inputs += [f"{remap_sql(f'lc_{y}', table, False)} AS y{y}_{k}" for k, table in known.items()]
-    inputs.append("nullif(impsur, 127) AS y2001_impsur")
-    names = [f"y{y}_{k}" for y, ks in _YEAR_LAYERS.items() for k in ks]
+def _years_sql(known: str, shapes: dict[str, str], years=_LOOP_YEARS, *ctes: str) -> str:
+    """Scaled means of some years; ``known`` tells which cells are in the study area."""
+    table = {k: {c: codes.INDICATORS[k].get(c, 0) for c in codes.INDICATOR_CODES} for k in codes.INDICATORS}
+    inputs = [
+        f"CASE WHEN {known} THEN {remap_sql(f'lc_{y}', codes_of, False)} END AS y{y}_{k}"
+        for y in years
+        for k, codes_of in table.items()
+    ]
+    inputs += [f"CASE WHEN {known} THEN nullif(impsur, 127) END AS y{y}_impsur" for y in years if y != _NO_IMPERVIOUS]
+    names = [x.split(" AS ")[-1] for x in inputs]
 
     def means(shape, on):
         cols = ", ".join(f"CAST(sum(y.{x}) AS BIGINT) / nullif(count(y.{x}), 0) AS {x}" for x in names)
         return f"n{shape} AS (SELECT x.r, x.c, {cols} FROM inputs x JOIN inputs y ON {on} GROUP BY x.r, x.c)"
 
-    for x in names:
-        k = 100 if x.split("_")[1] in codes.PERCENT_LAYERS else 10000
-        outs += [f"CAST(floor(coalesce(n{s}.{x}, 0) * {k} + 0.5) AS INTEGER) AS {x}{s}" for s in ("1", "10")]
-    listed = ", ".join(f"{x}{s}" for x in names for s in ("1", "10"))
+    outs = [
+        f"CAST(floor(coalesce(n{s}.{x}, 0) * {100 if x.split('_')[1] in codes.PERCENT_LAYERS else 10000} + 0.5) "
+        f"AS INTEGER) AS {x}{s}"
+        for x in names
+        for s in shapes
+    ]
+    listed = ", ".join(f"{x}{s}" for x in names for s in shapes)
+    joins = " ".join(f"JOIN n{s} USING (r, c)" for s in shapes)
     return sql(
         "SELECT CAST(substr(layer, 2, 4) AS INTEGER) AS year, substr(layer, 7) AS name, r, c, v FROM "
-        f"(SELECT m.r, m.c, {', '.join(outs)} FROM mask m JOIN n1 USING (r, c) JOIN n10 USING (r, c)) "
-        f"UNPIVOT (v FOR layer IN ({listed}))",
-        f"inputs AS (SELECT r, c, {', '.join(inputs)} FROM stack WHERE c BETWEEN 1 AND 98)",
-        means("1", "y.r BETWEEN x.r - 1 AND x.r + 1 AND y.c BETWEEN x.c - 1 AND x.c + 1"),
-        means("10", _within(10)),
+        f"(SELECT m.r, m.c, {', '.join(outs)} FROM mask m {joins}) UNPIVOT (v FOR layer IN ({listed}))",
+        *ctes,
+        f"inputs AS (SELECT stack.r, stack.c, {', '.join(inputs)} FROM stack)",
+        *[means(s, on) for s, on in shapes.items()],
     )
 
 
-@query("lc_proportions_years", _years_sql())
+_SQUARE = "y.r BETWEEN x.r - 1 AND x.r + 1 AND y.c BETWEEN x.c - 1 AND x.c + 1"
+
+
+def _loop_years(years=_LOOP_YEARS):
+    return {y: (f"lc_{y}", None if y == _NO_IMPERVIOUS else "impsur", None) for y in years}
+
+
+@query(
+    "lc_proportions_years",
+    _years_sql("true", {"1": _SQUARE, "10": _within(10), "100": _within(100)}),
+)
 def lc_proportions_years_query(spark, d):
-    """Two years, the second without an impervious layer, in a study area grown by 60 metres."""
+    """The loop as it is run: four years, three radii, a study polygon grown by 5,000 metres, which covers the grid."""
+    st, mask = grid.stack(spark, d, *[f"lc_{y}" for y in _LOOP_YEARS], "impsur"), grid.study_mask(spark, d)
+    return lc_proportions_years(st, _loop_years(), mask, edges=study_edges(spark, d), buffer=5000.0)
+
+
+@query(
+    "lc_proportions_area",
+    _years_sql("c BETWEEN 28 AND 62", {"1": _SQUARE, "10": _within(10)}, (2001, 2011)),
+)
+def lc_proportions_area(spark, d):
+    """A study area smaller than the mask, grown by 60 metres: masked cells outside it keep a mean."""
     st, mask = grid.stack(spark, d, "lc_2001", "lc_2011", "impsur"), grid.study_mask(spark, d)
-    years = {2001: ("lc_2001", "impsur", None), 2011: ("lc_2011", None, None)}
+    area = mask.filter(F.col("c").between(30, 60))
     shapes = {"1": square(1), "10": circle(10)}
-    return lc_proportions_years(st, years, mask, area=mask, buffer=60.0, shapes=shapes, tile=256)
+    years = _loop_years((2001, 2011))
+    return lc_proportions_years(st, years, mask, area=area, buffer=60.0, shapes=shapes, tile=16)

@@ -21,6 +21,7 @@ from cellweave.plans.change import (
 from cellweave.plans.landscape import labelled
 from cellweave.plans.proportions import indicator_stack
 from cellweave.registry.base import DETAILED, GENERAL, in_sql, query, remap_sql, sql
+from cellweave.registry.scans import stored
 from cellweave.sources import events_grid as grid
 
 
@@ -342,7 +343,9 @@ def drop_codes_filter(spark, d):
 
 @query("extent_clip", sql("SELECT r, c, lc_2001 AS v FROM stack WHERE r >= 2 AND c BETWEEN 20 AND 80"))
 def extent_clip(spark, d):
-    return overlay.extent_clip(grid.layer(spark, d, "lc_2001"), r0=2, c0=20, c1=80)
+    """A stored layer; the rectangle's filter reaches the scan."""
+    kept = stored(spark, d, "lc_2001").filter(F.col("layer") == "lc_2001")
+    return overlay.extent_clip(kept.select("r", "c", "v"), r0=2, c0=20, c1=80)
 
 
 @query("extract_by_mask", sql("SELECT r, c, lc_2001 AS v FROM stack SEMI JOIN mask USING (r, c)"))
@@ -350,6 +353,12 @@ def extract_by_mask(spark, d):
     return overlay.extract_by_mask(grid.layer(spark, d, "lc_2001"), grid.study_mask(spark, d))
 
 
+@query("extract_by_mask_shuffled", sql("SELECT r, c, lc_2001 AS v FROM stack SEMI JOIN mask USING (r, c)"))
+def extract_by_mask_shuffled(spark, d):
+    """The way a mask of too many runs to broadcast takes."""
+    return overlay.extract_by_mask(grid.layer(spark, d, "lc_2001"), grid.study_mask(spark, d), limit=0)
+
+
 @query(
     "calculate_field",
     sql("SELECT v, n, 100 * n / (SELECT CAST(sum(n) AS BIGINT) FROM rat) AS percent FROM rat", _RAT),

@@ -31,18 +31,21 @@ def parts_sql(name: str, source: str, keys: str = "") -> str:
 
 _HEAD = (_EIGHT, _FOUR)
 
+# So small that parts cross tiles in both directions on the smallest grid.
+TILE = 8
+
 
 @query(
     "explode_parts",
     sql("SELECT * FROM parts", *_HEAD, parts_sql("parts", "region", "feat_id"), recursive=True),
 )
 def explode_parts(spark, d):
-    return regions.explode_parts(grid.forest_regions(spark, d))
+    return regions.explode_parts(grid.forest_regions(spark, d), tile=TILE)
 
 
 @query("dissolve_parts", sql("SELECT * FROM parts", *_HEAD, parts_sql("parts", "region"), recursive=True))
 def dissolve_parts(spark, d):
-    return regions.dissolve_parts(grid.forest_regions(spark, d))
+    return regions.dissolve_parts(grid.forest_regions(spark, d), tile=TILE)
 
 
 @query(
@@ -53,7 +56,7 @@ def dissolve_parts(spark, d):
     ),
 )
 def mask_semi(spark, d):
-    return regions.clean_clip(grid.forest_regions(spark, d), grid.study_mask(spark, d))
+    return regions.clean_clip(grid.forest_regions(spark, d), grid.study_mask(spark, d), tile=TILE)
 
 
 _WATER = "water AS (SELECT r, c FROM stack WHERE lc_2021 IN (11, 21, 22, 81))"
@@ -71,15 +74,15 @@ def _water(spark, d):
     ),
 )
 def mask_anti(spark, d):
-    return regions.clean_erase(grid.forest_regions(spark, d), _water(spark, d))
+    return regions.clean_erase(grid.forest_regions(spark, d), _water(spark, d), tile=TILE)
 
 
 @query(
     "select_by_location",
-    sql("SELECT DISTINCT feat_id FROM region SEMI JOIN (SELECT r, c FROM water WHERE c < 60) USING (r, c)", _WATER),
+    sql("SELECT DISTINCT feat_id FROM region SEMI JOIN water USING (r, c)", _WATER),
 )
 def select_by_location(spark, d):
-    return regions.select_by_location(grid.forest_regions(spark, d), _water(spark, d).filter(F.col("c") < 60))
+    return regions.select_by_location(grid.forest_regions(spark, d), _water(spark, d))
 
 
 @query(
@@ -147,8 +150,8 @@ def holes_sql(name: str, parts: str, keys: str, having: str) -> str:
 def _filled(below_area=None, below_percent=None):
     def run(spark, d):
         keys = ["feat_id"]
-        parts = label_parts(to_runs(grid.forest_regions(spark, d), keys), keys)
-        return to_cells(regions.fill_holes(parts, keys, below_area, below_percent))
+        parts = label_parts(to_runs(grid.forest_regions(spark, d), keys), keys, tile=TILE)
+        return to_cells(regions.fill_holes(parts, keys, below_area, below_percent, tile=TILE))
 
     return run
 
@@ -173,7 +176,7 @@ query("fill_holes_percent", _filled_sql("hole * 100 < (solid + inside) * 99"))(_
     ),
 )
 def coalesce_regions(spark, d):
-    out = regions.coalesce_regions(grid.forest_regions(spark, d), 60.0)
+    out = regions.coalesce_regions(grid.forest_regions(spark, d), 60.0, tile=TILE)
     return out.select("part_r", "part_c", "r", "c")
 
 
@@ -186,7 +189,7 @@ def coalesce_regions(spark, d):
     ),
 )
 def coalesce_regions_open(spark, d):
-    out = regions.coalesce_regions(grid.forest_regions(spark, d), -30.0)
+    out = regions.coalesce_regions(grid.forest_regions(spark, d), -30.0, tile=TILE)
     return out.select("part_r", "part_c", "r", "c")
 
 
@@ -206,5 +209,5 @@ def coalesce_regions_open(spark, d):
     ),
 )
 def shrink_wrap(spark, d):
-    out = regions.shrink_wrap(grid.forest_regions(spark, d), 30.0)
+    out = regions.shrink_wrap(grid.forest_regions(spark, d), 30.0, tile=TILE)
     return out.select("wrap_r", "wrap_c", "part_r", "part_c", "r", "c")

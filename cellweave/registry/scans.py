@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes
-from cellweave.functions.columns import cover_class, layer_year, lookup_label, reclass
+from cellweave.functions.columns import cover_class, layer_period, layer_year, lookup_label, reclass
 from cellweave.model import GridSpec
 from cellweave.operators import overlay
 from cellweave.operators.tabulate import build_rat
-from cellweave.plans.change import change_cells
+from cellweave.plans.change import change_cells, change_counts
 from cellweave.registry.base import GENERAL, query, remap_sql, sql, values_sql
 from cellweave.session import shared_path
 from cellweave.sources import cells as store
@@ -20,9 +20,16 @@ SPEC = GridSpec()
 EXISTING = ["lc_2001", "lc_2004"]
 
 
+def stored(spark, d, *layers):
+    """Layers written by ``write_cells`` and read again."""
+    path = shared_path(spark, "cells")
+    store.write_cells(grid.cells(spark, d, *layers), path)
+    return store.read_cells(spark, path)
+
+
 @query("scan_cells", sql("SELECT layer, year, r, c, v FROM cells"))
 def scan_cells(spark, d):
-    return grid.cells(spark, d)
+    return stored(spark, d)
 
 
 @query("scan_rat", sql("SELECT lc_2001 AS v, count(*) AS n FROM stack WHERE lc_2001 <> 0 GROUP BY 1"))
@@ -31,15 +38,24 @@ def scan_rat(spark, d):
     return build_rat(g)
 
 
+# Names of yearly layers, a year for each order.
+ORDER_LAYERS = "names AS (SELECT DISTINCT 'lc_' || CAST(year(o_orderdate) AS VARCHAR) AS layer FROM orders)"
+
+
+def order_layers(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.select(F.concat(F.lit("lc_"), F.year("o_orderdate").cast("string")).alias("layer"))
+
+
 @query(
     "list_layers",
     sql(
-        "SELECT DISTINCT layer FROM cells WHERE regexp_matches(layer, '^lc_') "
-        "AND regexp_matches(layer, '2001|2011|2021')"
+        "SELECT layer FROM names WHERE regexp_matches(layer, '^lc_') AND regexp_matches(layer, '1993|1995|1997')",
+        ORDER_LAYERS,
     ),
 )
 def list_layers(spark, d):
-    return store.list_layers(grid.cells(spark, d), "^lc_", "2001|2011|2021")
+    return store.list_layers(order_layers(spark, d), "^lc_", "1993|1995|1997")
 
 
 _TAGGED = " UNION ALL ".join(
@@ -51,21 +67,22 @@ _TAGGED = " UNION ALL ".join(
 
 @query("scan_tagged", sql(_TAGGED))
 def scan_tagged(spark, d):
-    st = grid.stack(spark, d)
-    return store.stack_tagged(
-        {f"change_{a}_{b}": build_rat(change_cells(st, f"lc_{a}", f"lc_{b}")) for a, b in codes.PERIODS}
-    )
+    """The tables of all periods come from one scan; each row keeps the name of its table."""
+    rat = change_counts(grid.stack(spark, d), codes.PERIODS)
+    name = F.concat(F.lit("change_"), F.translate("period", "-", "_"))
+    return rat.select("v", "n", name.alias("data")).withColumn("chg_years", layer_period("data"))
 
 
 @query(
     "layer_year",
     sql(
         "SELECT DISTINCT layer, CAST(substr(layer, 4, 4) AS INTEGER) AS year, "
-        "layer || '_general' AS out_name, right(replace(layer, '_', '-'), 7) AS tail FROM cells"
+        "layer || '_general' AS out_name, right(replace(layer, '_', '-'), 7) AS tail FROM names",
+        ORDER_LAYERS,
     ),
 )
 def layer_year_query(spark, d):
-    names = grid.cells(spark, d).select("layer").distinct()
+    names = order_layers(spark, d).distinct()
     return names.select(
         "layer",
         layer_year("layer").alias("year"),
@@ -80,7 +97,7 @@ _NEW = sql("SELECT layer, year, r, c, v FROM cells WHERE layer NOT IN ('lc_2001'
 @query("ingest_new_layers", _NEW)
 def ingest_new_layers(spark, d):
     incoming = grid.cells(spark, d)
-    return store.new_layers(incoming, grid.cells(spark, d, *EXISTING))
+    return store.new_cells(incoming, grid.cells(spark, d, *EXISTING))
 
 
 _STORED = sql("SELECT layer, year, r, c, v FROM cells SEMI JOIN mask USING (r, c)")
@@ -108,39 +125,67 @@ def ingest_batch_query(spark, d):
     return store.read_cells(spark, target)
 
 
+@query("ingest_late_cells", _STORED)
+def ingest_late_cells(spark, d):
+    """A layer arrives in two lots that overlap; the second adds what the first lacked."""
+    target, mask = shared_path(spark, "layers"), grid.study_mask(spark, d)
+    early = grid.cells(spark, d).filter((F.col("r") % 3 != 0) | (F.col("layer") == "lc_2004"))
+    ingest_batch(early.filter(F.col("layer") != "lc_2021"), target, "first", mask)
+    ingest_batch(grid.cells(spark, d), target, "second", mask)
+    return store.read_cells(spark, target)
+
+
 @query("clip_layer", sql("SELECT r, c, lc_2021 AS v FROM stack SEMI JOIN mask USING (r, c)"))
 def clip_layer(spark, d):
     return overlay.clip_layer(grid.layer(spark, d, "lc_2021"), template=grid.study_mask(spark, d))
 
 
 # A pentagon over the whole grid with a rectangular hole, in the grid's own metres.
-EDGES_SQL = """size AS (SELECT CAST(max(r) + 1 AS DOUBLE) AS h FROM stack),
-edge AS (SELECT unnest([
-{'x1': 60.0, 'y1': 0.0, 'x2': 2700.0, 'y2': 0.0}, {'x1': 2700.0, 'y1': 0.0, 'x2': 2940.0, 'y2': h * 15.0},
-{'x1': 2940.0, 'y1': h * 15.0, 'x2': 2700.0, 'y2': h * 30.0}, {'x1': 2700.0, 'y1': h * 30.0, 'x2': 60.0, 'y2': h * 30.0},
-{'x1': 60.0, 'y1': h * 30.0, 'x2': 60.0, 'y2': 0.0},
-{'x1': 900.0, 'y1': h * 6.0, 'x2': 1500.0, 'y2': h * 6.0}, {'x1': 1500.0, 'y1': h * 6.0, 'x2': 1500.0, 'y2': h * 12.0},
-{'x1': 1500.0, 'y1': h * 12.0, 'x2': 900.0, 'y2': h * 12.0}, {'x1': 900.0, 'y1': h * 12.0, 'x2': 900.0, 'y2': h * 6.0}
+POINTS_SQL = """size AS (SELECT CAST(max(r) + 1 AS DOUBLE) AS h FROM stack),
+point AS (SELECT unnest([
+{'ring': 0, 'seq': 0, 'x': 60.0, 'y': 0.0}, {'ring': 0, 'seq': 1, 'x': 2700.0, 'y': 0.0},
+{'ring': 0, 'seq': 2, 'x': 2940.0, 'y': h * 15.0}, {'ring': 0, 'seq': 3, 'x': 2700.0, 'y': h * 30.0},
+{'ring': 0, 'seq': 4, 'x': 60.0, 'y': h * 30.0}, {'ring': 0, 'seq': 5, 'x': 60.0, 'y': 0.0},
+{'ring': 1, 'seq': 0, 'x': 900.0, 'y': h * 6.0}, {'ring': 1, 'seq': 1, 'x': 1500.0, 'y': h * 6.0},
+{'ring': 1, 'seq': 2, 'x': 1500.0, 'y': h * 12.0}, {'ring': 1, 'seq': 3, 'x': 900.0, 'y': h * 12.0},
+{'ring': 1, 'seq': 4, 'x': 900.0, 'y': h * 6.0}
 ], recursive := true) FROM size)"""
 
 
-def study_edges(spark, d):
+def study_points(spark, d):
+    """Closed rings of the study area: an outline and a hole."""
     h = (F.max("r") + 1).cast("double")
     size = grid.stack(spark, d, "lc_2001").agg(h.alias("h"))
-    outer = [(60.0, 0.0), (2700.0, 0.0), (2940.0, 15.0), (2700.0, 30.0), (60.0, 30.0)]
-    hole = [(900.0, 6.0), (1500.0, 6.0), (1500.0, 12.0), (900.0, 12.0)]
-    edges = [
-        F.struct(
-            F.lit(a[0]).alias("x1"),
-            (F.col("h") * a[1]).alias("y1"),
-            F.lit(b[0]).alias("x2"),
-            (F.col("h") * b[1]).alias("y2"),
-        )
-        for ring in (outer, hole)
-        for a, b in zip(ring, ring[1:] + ring[:1])
+    outer = [(60.0, 0.0), (2700.0, 0.0), (2940.0, 15.0), (2700.0, 30.0), (60.0, 30.0), (60.0, 0.0)]
+    hole = [(900.0, 6.0), (1500.0, 6.0), (1500.0, 12.0), (900.0, 12.0), (900.0, 6.0)]
+    points = [
+        F.struct(F.lit(i).alias("ring"), F.lit(k).alias("seq"), F.lit(x).alias("x"), (F.col("h") * y).alias("y"))
+        for i, ring in enumerate((outer, hole))
+        for k, (x, y) in enumerate(ring)
     ]
-    return size.select(F.explode(F.array(*edges)).alias("e")).select("e.*")
+    return size.select(F.explode(F.array(*points)).alias("p")).select("p.*")
+
+
+def study_edges(spark, d):
+    return overlay.polygon_edges(study_points(spark, d))
+
+
+@query(
+    "polygon_edges",
+    sql(
+        "SELECT CAST(ring AS INTEGER) AS ring, x1, y1, x2, y2 FROM (SELECT ring, x AS x1, y AS y1, "
+        "lead(x) OVER (PARTITION BY ring ORDER BY seq) AS x2, lead(y) OVER (PARTITION BY ring ORDER BY seq) AS y2 "
+        "FROM point) WHERE x2 IS NOT NULL",
+        POINTS_SQL,
+    ),
+)
+def polygon_edges(spark, d):
+    return study_edges(spark, d)
+
 
+EDGES_SQL = """edge AS (SELECT x1, y1, x2, y2 FROM (SELECT x AS x1, y AS y1,
+lead(x) OVER (PARTITION BY ring ORDER BY seq) AS x2, lead(y) OVER (PARTITION BY ring ORDER BY seq) AS y2
+FROM point) WHERE x2 IS NOT NULL)"""
 
 INSIDE_SQL = """inside AS (SELECT s.r, s.c FROM stack s JOIN edge e
 ON least(y1, y2) <= s.r * 30.0::DOUBLE + 15 AND s.r * 30.0::DOUBLE + 15 < greatest(y1, y2)
@@ -150,17 +195,39 @@ GROUP BY s.r, s.c HAVING count(*) % 2 = 1)"""
 
 @query(
     "clip_layer_polygon",
-    sql("SELECT r, c, lc_2021 AS v FROM stack SEMI JOIN inside USING (r, c)", EDGES_SQL, INSIDE_SQL),
+    sql("SELECT r, c, lc_2021 AS v FROM stack SEMI JOIN inside USING (r, c)", POINTS_SQL, EDGES_SQL, INSIDE_SQL),
 )
 def clip_layer_polygon(spark, d):
     return overlay.clip_layer(grid.layer(spark, d, "lc_2021"), edges=study_edges(spark, d), spec=SPEC)
 
 
-@query("polygon_mask", sql("SELECT r, c FROM inside", EDGES_SQL, INSIDE_SQL))
+@query("polygon_mask", sql("SELECT r, c FROM inside", POINTS_SQL, EDGES_SQL, INSIDE_SQL))
 def polygon_mask(spark, d):
     return overlay.polygon_mask(grid.stack(spark, d, "lc_2001").select("r", "c"), study_edges(spark, d), SPEC)
 
 
+_NORTH = GridSpec(y0=3000.0, north_up=True)
+
+
+@query(
+    "polygon_mask_north_up",
+    sql(
+        "SELECT r, c FROM stack s JOIN edge e ON least(y1, y2) <= 3000 - (s.r * 30.0::DOUBLE + 15) "
+        "AND 3000 - (s.r * 30.0::DOUBLE + 15) < greatest(y1, y2) "
+        "AND x1 + (3000 - (s.r * 30.0::DOUBLE + 15) - y1) * (x2 - x1) / (y2 - y1) <= s.c * 30.0::DOUBLE + 15 "
+        "GROUP BY r, c HAVING count(*) % 2 = 1",
+        "edge(x1, y1, x2, y2) AS (VALUES (300.0::DOUBLE, 100.0::DOUBLE, 2800.0::DOUBLE, 700.0::DOUBLE), "
+        "(2800.0, 700.0, 1500.0, 2990.0), (1500.0, 2990.0, 300.0, 100.0))",
+    ),
+)
+def polygon_mask_north_up(spark, d):
+    """A triangle on a grid whose rows run from north to south."""
+    corners = [(300.0, 100.0), (2800.0, 700.0), (1500.0, 2990.0)]
+    edges = [(*a, *b) for a, b in zip(corners, corners[1:] + corners[:1])]
+    table = spark.createDataFrame(edges, "x1 double, y1 double, x2 double, y2 double")
+    return overlay.polygon_mask(grid.stack(spark, d, "lc_2001").select("r", "c"), table, _NORTH)
+
+
 @query("write_cells", sql("SELECT layer, year, r, c, v FROM cells"))
 def write_cells(spark, d):
     path = shared_path(spark, "cells")

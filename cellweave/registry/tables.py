@@ -12,6 +12,7 @@ from cellweave.operators.tabulate import build_rat, share
 from cellweave.plans import change, landscape
 from cellweave.registry.base import DETAILED, GENERAL, in_sql, query, remap_sql, sql
 from cellweave.registry.projections import DECODED, SUMMARY_RAT, TO_FROM, summary_rat, to_from
+from cellweave.registry.scans import ORDER_LAYERS, order_layers
 from cellweave.sources import events_grid as grid
 from cellweave.sources.events_grid import LAYERS
 
@@ -100,7 +101,7 @@ def class_combos(spark, d):
 def lookup_first(spark, d):
     st = grid.stack(spark, d, "lc_2001", "lc_2021")
     rat = build_rat(change.change_cells(st, "lc_2001", "lc_2021")).withColumnRenamed("v", "code")
-    return tabulate.lookup_first(rat, tabulate.class_combos(st, "lc_2001", "lc_2021"))
+    return tabulate.lookup_first(rat, tabulate.occurring_combos(st, "lc_2001", "lc_2021"))
 
 
 # ---- aggregates
@@ -225,7 +226,7 @@ CASE WHEN chg_years = '2001-2021' THEN 'Full period' ELSE ' Intermediate periods
 
 def _forest_stack_sql():
     cols = ", ".join(
-        f"CASE WHEN lc_{y} = 71 AND chg = 11 THEN 75 ELSE lc_{y} END AS lc_{y}"
+        f"CASE WHEN lc_{y} IN (52, 71) AND chg = 11 THEN lc_{y} + 4 ELSE lc_{y} END AS lc_{y}"
         for y in (2001, 2011, 2021)
     )
     return (
@@ -239,12 +240,9 @@ def _forest_stack_sql():
 
 
 def period_rat(spark, d):
-    """Change codes of the three periods; disturbed herbaceous cells carry code 75."""
+    """Change codes of the three periods; disturbed shrub and herbaceous cells carry codes 56 and 75."""
     st = grid.stack(spark, d, "lc_2001", "lc_2011", "lc_2021", "chg")
-    marked = {
-        f"lc_{y}": F.when((F.col(f"lc_{y}") == 71) & (F.col("chg") == 11), 75).otherwise(F.col(f"lc_{y}"))
-        for y in (2001, 2011, 2021)
-    }
+    marked = {f"lc_{y}": col.forest_change(f"lc_{y}", "chg") for y in (2001, 2011, 2021)}
     return change.change_counts(st.withColumns(marked), codes.PERIODS)
 
 
@@ -422,15 +420,24 @@ def first_last_area(spark, d):
     )
 
 
+_ORDER_YEARS = "years AS (SELECT year(o_orderdate) AS year FROM orders)"
+
+
+def _order_years(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.year("o_orderdate").alias("year"))
+
+
 @query(
     "year_pairs",
     sql(
-        "SELECT DISTINCT y1, y2 FROM (SELECT year AS y1, lead(year) OVER (ORDER BY year) AS y2 FROM "
-        "(SELECT DISTINCT year FROM cells) UNION ALL SELECT min(year), max(year) FROM cells) WHERE y2 IS NOT NULL"
+        "SELECT DISTINCT CAST(y1 AS INTEGER) AS y1, CAST(y2 AS INTEGER) AS y2 FROM (SELECT year AS y1, "
+        "lead(year) OVER (ORDER BY year) AS y2 FROM (SELECT DISTINCT year FROM years) "
+        "UNION ALL SELECT min(year), max(year) FROM years) WHERE y2 IS NOT NULL",
+        _ORDER_YEARS,
     ),
 )
 def year_pairs(spark, d):
-    return tabulate.year_pairs(grid.cells(spark, d))
+    return tabulate.year_pairs(_order_years(spark, d))
 
 
 @query("sort_value_year", sql("SELECT v, year, Area_ha FROM long ORDER BY v, year", *GEN_LONG))
@@ -441,12 +448,15 @@ def sort_value_year(spark, d):
 @query(
     "sort_period_area",
     sql(
-        "SELECT chg_years, to_from, chg_class, hectares FROM lossgain ORDER BY chg_years, to_from DESC, ord", *GAINLOSS
+        "SELECT chg_years, to_from, chg_class, hectares FROM lossgain ORDER BY chg_years, to_from DESC, "
+        "CASE WHEN gen_start = '99' THEN gen_end ELSE gen_start END", *GAINLOSS
     ),
 )
 def sort_period_area(spark, d):
     out = change.loss_gain(period_rat(spark, d), codes.FOREST, "Forest")
-    out = out.orderBy("chg_years", F.desc("to_from"), "ord")
+    # By the decade code as text, before it is given its name.
+    other = F.when(F.col("gen_start") == "99", F.col("gen_end")).otherwise(F.col("gen_start"))
+    out = out.orderBy("chg_years", F.desc("to_from"), other)
     return out.select("chg_years", "to_from", "chg_class", "hectares")
 
 
@@ -474,9 +484,12 @@ def first_k_classes(spark, d):
     return out.select("v", "CoverClass", F.col("Area_ha_2021").alias("Area_ha"))
 
 
-@query("min_max_year", sql("SELECT min(year) AS start_year, max(year) AS end_year FROM cells"))
+@query(
+    "min_max_year",
+    sql("SELECT CAST(min(year) AS INTEGER) AS start_year, CAST(max(year) AS INTEGER) AS end_year FROM years", _ORDER_YEARS),
+)
 def min_max_year(spark, d):
-    return grid.cells(spark, d).agg(F.min("year").alias("start_year"), F.max("year").alias("end_year"))
+    return _order_years(spark, d).agg(F.min("year").alias("start_year"), F.max("year").alias("end_year"))
 
 
 # ---- set operations
@@ -522,11 +535,11 @@ def comb_class_membership(spark, d):
 
 # ---- scalar functions
 
-_LAYER_NAMES = "names AS (SELECT DISTINCT layer FROM cells)"
+_LAYER_NAMES = ORDER_LAYERS
 
 
 def _names(spark, d):
-    return grid.cells(spark, d).select("layer").distinct()
+    return order_layers(spark, d).distinct()
 
 
 @query(
@@ -557,31 +570,31 @@ def str_concat(spark, d):
 
 @query(
     "str_replace",
-    sql("SELECT layer, replace(layer, '_', '-') AS dashed, replace(layer, '2019', '2021') AS moved FROM names", _LAYER_NAMES),
+    sql("SELECT layer, replace(layer, '_', '-') AS dashed, replace(layer, '1997', '2021') AS moved FROM names", _LAYER_NAMES),
 )
 def str_replace(spark, d):
     return _names(spark, d).select(
         "layer",
         F.regexp_replace("layer", "_", "-").alias("dashed"),
-        F.replace("layer", F.lit("2019"), F.lit("2021")).alias("moved"),
+        F.replace("layer", F.lit("1997"), F.lit("2021")).alias("moved"),
     )
 
 
 @query(
     "str_match",
     sql(
-        "SELECT layer, regexp_matches(layer, '2001|2011') AS listed, starts_with(layer, 'lc_') AS pre, "
-        "suffix(layer, '1') AS post, contains(layer, '01') AS has FROM names",
+        "SELECT layer, regexp_matches(layer, '1993|1995') AS listed, starts_with(layer, 'lc_') AS pre, "
+        "suffix(layer, '3') AS post, contains(layer, '96') AS has FROM names",
         _LAYER_NAMES,
     ),
 )
 def str_match(spark, d):
     return _names(spark, d).select(
         "layer",
-        F.col("layer").rlike("2001|2011").alias("listed"),
+        F.col("layer").rlike("1993|1995").alias("listed"),
         F.startswith("layer", F.lit("lc_")).alias("pre"),
-        F.endswith("layer", F.lit("1")).alias("post"),
-        F.contains("layer", F.lit("01")).alias("has"),
+        F.endswith("layer", F.lit("3")).alias("post"),
+        F.contains("layer", F.lit("96")).alias("has"),
     )
 
 

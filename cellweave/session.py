@@ -1,8 +1,7 @@
-"""Session helpers: the shared folder, cutting lineage, skew-safe lookups."""
+"""Session helpers: the shared folder, step tables that cut lineage, skew-safe lookups."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +16,14 @@ HEAVY_KEYS = 2000
 HEAVY_FLOOR = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
+# What this process wrote and may remove: paths of step tables by application.
+_steps: dict[str, list[str]] = {}
 
-    Only a local session that names none gets a folder of its own.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="cellweave-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach: the one the session names, else one below its warehouse."""
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/steps"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -37,15 +31,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_step(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and where it is."""
+    spark = df.sparkSession
+    path = shared_path(spark, "step")
+    df.write.parquet(path)
+    _steps.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back; the result survives the loss of executors.
 
     As a table, unlike a checkpoint, it is counted from its footers, read by
     column, and has a size the optimizer knows.
     """
-    path = shared_path(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_step(df)[0]
+
+
+def remove_step(spark: SparkSession, path: str) -> None:
+    """Remove one step table that is no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    known = _steps.get(spark.sparkContext.applicationId, [])
+    if path in known:
+        known.remove(path)
+
+
+def clear_steps(spark: SparkSession) -> int:
+    """Remove all step tables of this application, once their results are stored; how many there were."""
+    paths = list(_steps.get(spark.sparkContext.applicationId, []))
+    for path in paths:
+        remove_step(spark, path)
+    return len(paths)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:

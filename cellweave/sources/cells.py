@@ -15,7 +15,7 @@ def read_cells(spark: SparkSession, path: str, format: str = "parquet", **option
     return spark.read.schema(CELLS).format(format).options(**options).load(path).select(*CELLS.names)
 
 
-def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int = 1024, block: int = 8) -> None:
+def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int = 1024, block: int = 2) -> None:
     """Store layers; rerunning a layer replaces that layer only.
 
     With ``batch`` a rerun replaces only what the same batch wrote of a layer.
@@ -62,14 +62,20 @@ def stack_tagged(tables: dict[str, DataFrame], tag: str = "data") -> DataFrame:
     return out.withColumn("chg_years", layer_period(tag))
 
 
-def new_layers(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows of the layers the target does not hold yet.
+def new_cells(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Cells the target does not hold yet, be their layer new or known.
 
-    The layer names are counted before they are broadcast: cells are not
-    shuffled by layer, of which there are few and large ones.
+    Cells of new layers pass as they are. Those of layers that the target knows
+    are compared cell by cell, so a layer may arrive in any number of lots and a
+    repeated lot adds nothing. The names of known layers are counted before they
+    are broadcast: layers are few and large, and not shuffled by name.
     """
-    known = broadcast_if_small(existing.select("layer").distinct())
-    return incoming.join(known, "layer", "left_anti")
+    named = existing.select("layer").distinct().withColumn("_known", F.lit(True))
+    known = broadcast_if_small(named)
+    marked = incoming.join(known, "layer", "left")
+    fresh = marked.filter(F.col("_known").isNull()).drop("_known")
+    late = marked.filter("_known").drop("_known")
+    return fresh.unionByName(late.join(existing.select("layer", "r", "c"), ["layer", "r", "c"], "left_anti"))
 
 
 def write_bucketed(layer: DataFrame, table: str, path: str, buckets: int) -> None:

@@ -1,4 +1,4 @@
-"""Incremental ingest: pick up layers that arrived since the last run."""
+"""Incremental ingest: pick up layers, or the rest of layers, that arrived since the last run."""
 
 from __future__ import annotations
 
@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 
 from cellweave.model import CELLS
 from cellweave.operators.overlay import extract_by_mask
-from cellweave.sources.cells import new_layers, write_cells
+from cellweave.session import cut_lineage
+from cellweave.sources.cells import new_cells, write_cells
 
 
 def _add(incoming: DataFrame, target: str, batch: str, template: DataFrame | None) -> None:
-    """Write the layers no other batch has written. Running a batch again replaces its output."""
+    """Write the cells no other batch has written. Running a batch again replaces its output."""
     spark = incoming.sparkSession
     try:
-        stored = spark.read.parquet(target).select("layer", "batch")
+        stored = spark.read.parquet(target).select("layer", "r", "c", "batch")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         fresh = incoming
     else:
-        # The list of known layers is fixed here, before the target is written to.
-        fresh = new_layers(incoming, stored.filter(F.col("batch") != batch))
+        # What is new is fixed here, before the target is written to.
+        fresh = cut_lineage(new_cells(incoming, stored.filter(F.col("batch") != batch)))
     write_cells(fresh if template is None else extract_by_mask(fresh, template), target, batch)
 
 
 def ingest_batch(incoming: DataFrame, target: str, batch: str, template: DataFrame | None = None) -> None:
-    """Add the layers the target does not hold yet, clipped to a template if given."""
+    """Add the cells the target does not hold yet, clipped to a template if given."""
     _add(incoming, target, batch, template)
 
 
@@ -43,7 +44,7 @@ def ingest_available(
 
     All waiting files form one batch. Its output is marked with ``name``, the
     stream's own, and the batch number: a batch delivered twice replaces what it
-    wrote, and layers of earlier batches are left alone.
+    wrote, and cells of earlier batches are left alone.
     """
 
     def store(batch: DataFrame, number: int) -> None:

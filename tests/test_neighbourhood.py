@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from cellweave.plans.proportions import lc_proportions
+
 from cellweave.operators import neighbourhood as near
 from cellweave.operators.neighbourhood import focal_majority, focal_means
 from cellweave.operators.tiles import circle
@@ -211,3 +213,22 @@ def test_neighbourhoods_need_one_shuffle(spark, grid):
 def test_a_chain_of_years_needs_one_shuffle(spark):
     df = spark.createDataFrame([(0, 0, 41, 31, 31)], "r long, c long, lc_1992 int, lc_2001 int, lc_2004 int")
     assert exchanges(barren.barren_chain(df, [2001, 2004])) == 1
+
+
+def test_cells_far_from_barren_ones_are_not_shuffled(spark):
+    cells = [(r, c, 31 if (r, c) == (10, 10) else 41, 31) for r in range(0, 400, 2) for c in range(0, 400, 2)]
+    stack = spark.createDataFrame(cells, "r long, c long, cur int, ref int")
+    marked = barren.mark_barren(stack, ["cur"], barren.REACH)
+    blocks = {(x.r // 64, x.c // 64): x._barren for x in marked.collect()}
+    assert {k for k, v in blocks.items() if v == 1} == {(0, 0)}
+    assert {k for k, v in blocks.items() if v == 0} == {(0, 1), (1, 0), (1, 1)}
+    out = barren.barren_split(stack, "cur", "ref", "standard")
+    assert out.count() == len(cells) and {x.v for x in out.collect()} == {31, 41}
+
+
+def test_cells_outside_the_study_area_keep_a_mean(spark):
+    stack = spark.createDataFrame([(r, c, 41) for r in range(6) for c in range(12)], "r long, c long, cover int")
+    mask, area = stack.select("r", "c"), stack.filter("c < 4").select("r", "c")
+    out = lc_proportions(stack, "cover", mask, None, None, area=area, shapes={"1": square(1)}, tile=5)
+    got = {(x.r, x.c): x.v for x in out.filter("name = 'dfr1'").collect()}
+    assert got == {(r, c): 10000 if c <= 4 else 0 for r in range(6) for c in range(12)}

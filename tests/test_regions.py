@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from cellweave import session
 from cellweave.operators import components, regions, runs
 
 
@@ -56,16 +57,14 @@ def random_region(spark, seed, side, density):
 
 
 @pytest.mark.parametrize("diagonal", [True, False])
-@pytest.mark.parametrize("small", [0, 10**6])
 @pytest.mark.parametrize("seed, density", [(1, 0.35), (2, 0.6)])
-def test_parts_across_tiles(spark, seed, density, small, diagonal):
+def test_parts_across_tiles(spark, seed, density, diagonal):
     cells, df = random_region(spark, seed, 24, density)
-    labelled = components.label_parts(runs.to_runs(df, []), [], diagonal, tile=4, small=small)
+    labelled = components.label_parts(runs.to_runs(df, []), [], diagonal, tile=4)
     assert by_part(runs.to_cells(labelled)) == brute_parts(cells, diagonal)
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_a_spiral_is_one_part(spark, small):
+def test_a_spiral_is_one_part(spark):
     side, path, at, step = 21, set(), (0, 0), (0, 1)
     seen = {at}
     while True:
@@ -81,7 +80,7 @@ def test_a_spiral_is_one_part(spark, small):
             break
     assert len(path) > 150
     df = spark.createDataFrame([(0, r, c) for r, c in path], "feat_id long, r long, c long")
-    labelled = components.label_parts(runs.to_runs(df, ["feat_id"]), ["feat_id"], False, tile=4, small=small)
+    labelled = components.label_parts(runs.to_runs(df, ["feat_id"]), ["feat_id"], False, tile=4)
     assert by_part(runs.to_cells(labelled)) == brute_parts(path, False)
 
 
@@ -241,3 +240,48 @@ def test_selection(spark, region):
     df = region("aab", "..b")
     assert [row["feat_id"] for row in regions.select_by_location(df, region(".x").select("r", "c")).collect()] == [0]
     assert tuple(regions.count_selected(df, df["c"] > 1).first()) == (1, 2)
+
+
+def test_columns_beyond_the_range_of_part_names_are_refused(spark):
+    far = 1 << 28
+    cells = spark.createDataFrame([(0, 0, far + 3), (0, 1, -far + 3)], "feat_id long, r long, c long")
+    with pytest.raises(Exception, match="columns of parts have to lie"):
+        regions.explode_parts(cells).collect()
+    edge = spark.createDataFrame([(0, 0, far - 1), (0, 1, -far)], "feat_id long, r long, c long")
+    assert set(by_part(regions.explode_parts(edge))) == {(0, far - 1), (1, -far)}
+
+
+def test_features_of_a_tile_are_labelled_apart(spark):
+    cells = {f: {(r, c) for r in range(12) for c in range(12) if (r * 7 + c * 5 + f) % 3} for f in range(5)}
+    rows = [(f, r, c) for f, of in cells.items() for r, c in of]
+    got = by_part(regions.explode_parts(spark.createDataFrame(rows, "feat_id long, r long, c long"), tile=5), "feat_id")
+    assert got == {(f, *first): part for f, of in cells.items() for first, part in brute_parts(of).items()}
+
+
+@pytest.mark.parametrize("block", [4, 8192])
+def test_runs_meet_in_blocks(spark, block):
+    rng = random.Random(block)
+    a = {(r, c) for r in range(6) for c in range(40) if rng.random() < 0.8}
+    b = {(r, c) for r in range(5) for c in range(40) if rng.random() < 0.5}
+    make = lambda cells: spark.createDataFrame(sorted(cells), "r long, c long")
+    ra, rb = runs.to_runs(make(a), []), runs.to_runs(make(b), [])
+    assert cell_set(runs.to_cells(runs.intersect(ra, rb, [], block))) == a & b
+    outside = runs.subtract(ra, rb, [], block)
+    assert cell_set(runs.to_cells(outside)) == a - b
+    merged = runs.merge_runs(ra.unionByName(rb), [], block)
+    assert cell_set(runs.to_cells(merged)) == a | b
+    spans = [(x.r, x.c0, x.c1) for x in merged.collect()]
+    assert all((r, c1 + 1) not in a | b and (r, c0 - 1) not in a | b for r, c0, c1 in spans)
+    eroded = runs.erode(merged, 1.0, 1.0, [], block)
+    assert cell_set(runs.to_cells(eroded)) == shrink(a | b, 1)
+
+
+def test_steps_are_removed(spark):
+    session.clear_steps(spark)
+    regions.explode_parts(spark.createDataFrame([(0, r, r) for r in range(20)], "feat_id long, r long, c long"), tile=4).count()
+    place = spark._jvm.org.apache.hadoop.fs.Path(session.shared_dir(spark))
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = len(files.listStatus(place))
+    # The pieces and the last star round are still read; rounds before it are gone.
+    assert session.clear_steps(spark) == 2
+    assert len(files.listStatus(place)) == before - 2

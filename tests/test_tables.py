@@ -73,8 +73,9 @@ def test_mask_extraction(spark, grid):
     mask = grid([[".", 0, 0], [0, ".", 0]]).select("r", "c")
     mask = mask.union(mask).union(spark.createDataFrame([(5, 5)], "r long, c long"))
     out = overlay.extract_by_mask(cells, mask)
-    assert rows(out, "v") == rows(overlay.mask_semi(cells, mask), "v") == [(2,), (4,), (6,), (None,)]
+    assert rows(out, "v") == [(2,), (4,), (6,), (None,)]
     assert exchanges(out) == 0
+    assert rows(overlay.extract_by_mask(cells, mask, limit=0), "v") == [(2,), (4,), (6,), (None,)]
 
 
 def test_align_to_template(spark, grid):
@@ -368,3 +369,25 @@ def test_heavy_keys_are_looked_up_whole(spark):
 
 def test_shared_folder_is_the_session_s_own(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_north_up_grids(spark, grid):
+    spec = GridSpec(0.0, 100.0, 10.0, north_up=True, nrows=3, ncols=2)
+    cells = grid([[1, 2], [3, 4], [5, 6]])
+    box = edges(spark, [(0, 100), (10, 100), (10, 80), (0, 80)])
+    assert rows(overlay.polygon_mask(cells, box, spec), "v") == [(1,), (3,)]
+    assert rows(overlay.extent_rect(cells, spec), "rect") == [("0 70 20 100",)]
+    south = GridSpec(0.0, 70.0, 10.0)
+    turned = overlay.align_to_template(cells, spec, cells.select("r", "c"), south)
+    assert rows(turned, "r", "c", "v") == [(0, 0, 5), (0, 1, 6), (1, 0, 3), (1, 1, 4), (2, 0, 1), (2, 1, 2)]
+    assert cells.filter(~spec.inside(F.col("r"), F.col("c"))).count() == 0
+
+
+def test_late_cells_of_a_known_layer_are_stored(spark, tmp_path):
+    cells = spark.createDataFrame([("lc_1", 1, r, c, r * 10 + c) for r in range(4) for c in range(5)], CELLS)
+    target = str(tmp_path / "target")
+    ingest_batch(cells.filter("c < 2"), target, "a")
+    ingest_batch(cells.filter("c < 4"), target, "b")
+    ingest_batch(cells, target, "c")
+    ingest_batch(cells, target, "c")
+    assert rows(store.read_cells(spark, target), "r", "c", "v") == rows(cells, "r", "c", "v")
