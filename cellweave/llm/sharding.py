@@ -157,7 +157,9 @@ def shard_documents(
 ) -> DataFrame:
     """``docs`` with ``size``, ``shard`` and ``slot``."""
     placed = assign_shards(docs, shards, doc_id, text).withColumn("_crc", F.crc32(_raw(text).cast("binary")))
-    return number_slots(placed, docs.count(), [doc_id, "_crc"], shards).drop("_crc")
+    added = ["size", "shard", "slot"]
+    numbered = number_slots(placed, docs.count(), [doc_id, "_crc"], shards)
+    return numbered.select(*[c for c in docs.columns if c not in added], *added)
 
 
 @query("op2_sharding")
