@@ -20,6 +20,8 @@ result. Columns of the input named like those added are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,10 +90,14 @@ def rake(
                 "fitted", F.col("fitted") * F.col("_factor")
             ).drop("_factor")
         fitted = cut_lineage(fitted)
-        error = 0.0
-        for dim, target in wanted.items():
-            gap = fitted.groupBy(dim).agg(F.sum("fitted").alias("_now")).join(target, dim)
-            error = max(error, gap.agg(F.max(F.abs(F.col("_now") - F.col("_share")))).first()[0] or 0.0)
+        gaps = [
+            fitted.groupBy(dim)
+            .agg(F.sum("fitted").alias("_now"))
+            .join(target, dim)
+            .select(F.abs(F.col("_now") - F.col("_share")).alias("gap"))
+            for dim, target in wanted.items()
+        ]
+        error = reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0] or 0.0
         if error <= tolerance:
             break
     return fitted

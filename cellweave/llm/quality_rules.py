@@ -13,6 +13,7 @@ are replaced. An empty table gives an empty report.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,54 +94,61 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(tokens) >= window, let(hashes, count)).otherwise(F.lit(0).cast("long"))
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+def measures(text: Column) -> Column:
+    """Counts and ratios of a text as one struct; words and lines are made once."""
+    raw = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(raw, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def counts(w: Column, x: Column) -> Column:
+        found = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.length(raw) - F.length(F.regexp_replace(raw, f"[{SYMBOLS}]+", "")),
+            "n_lines": F.size(x),
+            "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
+            "n_repeat_words": repeated_words(w),
+            "n_stop_words": F.size(F.filter(w, lambda v: v.isin(STOP_WORDS))),
+            "n_upper": F.length(raw) - F.length(F.regexp_replace(raw, "[A-Z]+", "")),
+            "n_bullets": F.size(F.filter(x, lambda v: v.rlike(r"^\s*[-*•‣]"))),
+            "n_ellipses": F.size(F.filter(x, lambda v: v.rlike(r"(\.\.\.|…)\s*$"))),
+        }
+        return F.struct(*[c.cast("long").alias(name) for name, c in found.items()])
+
+    return let(words(raw), lambda w: let(lines, lambda x: let(counts(w, x), _with_ratios)))
+
+
+RATIOS = {
+    "mean_word_length": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words"),
+    "upper_ratio": ("n_upper", "word_chars"),
+    "stop_ratio": ("n_stop_words", "n_words"),
+    "repeat_ratio": ("n_repeat_words", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "bullet_ratio": ("n_bullets", "n_lines"),
+    "ellipsis_ratio": ("n_ellipses", "n_lines"),
+}
+COUNTS = (
+    "n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_stop_words n_upper n_bullets n_ellipses"
+).split()
 
 
-def _ratio(part: str, whole: str) -> Column:
-    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
+def _with_ratios(m: Column) -> Column:
+    ratios = [
+        F.when(m[whole] > 0, m[part] / m[whole]).otherwise(F.lit(0.0)).alias(name)
+        for name, (part, whole) in RATIOS.items()
+    ]
+    return F.struct(*[m[c].alias(c) for c in COUNTS], *ratios)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Counts and ratios of each text, as further columns."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(raw, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    long = "long"
-    counted = (
-        docs.withColumns({"_words": words(raw), "_lines": lines})
-        .withColumns(
-            {
-                "n_words": F.size("_words").cast(long),
-                "word_chars": F.length(F.array_join("_words", "")).cast(long),
-                "n_symbols": (F.length(raw) - F.length(F.regexp_replace(raw, f"[{SYMBOLS}]+", ""))).cast(long),
-                "n_lines": F.size("_lines").cast(long),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast(long),
-                "n_repeat_words": repeated_words(F.col("_words")),
-                "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))).cast(long),
-                "n_upper": (F.length(raw) - F.length(F.regexp_replace(raw, "[A-Z]+", ""))).cast(long),
-                "n_bullets": F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*[-*•‣]"))).cast(long),
-                "n_ellipses": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast(long),
-            }
-        )
-        .drop("_words", "_lines")
-    )
-    return counted.withColumns(
-        {
-            "mean_word_length": _ratio("word_chars", "n_words"),
-            "symbol_ratio": _ratio("n_symbols", "n_words"),
-            "upper_ratio": _ratio("n_upper", "word_chars"),
-            "stop_ratio": _ratio("n_stop_words", "n_words"),
-            "repeat_ratio": _ratio("n_repeat_words", "n_words"),
-            "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
-            "bullet_ratio": _ratio("n_bullets", "n_lines"),
-            "ellipsis_ratio": _ratio("n_ellipses", "n_lines"),
-        }
-    )
+    """``docs`` with the measures of each text as further columns."""
+    held = docs.withColumn("_m", measures(F.col(text)))
+    return held.withColumns({n: F.col("_m")[n] for n in [*COUNTS, *RATIOS]}).drop("_m")
 
 
-def breaks(rule: Rule) -> Column:
-    """Whether a measured row breaks a rule."""
-    value, out = F.col(rule.measure), F.lit(False)
+def breaks(rule: Rule, m: Column) -> Column:
+    """Whether a struct of measures breaks a rule."""
+    value, out = m[rule.measure], F.lit(False)
     if rule.low is not None:
         out = out | (value < rule.low)
     if rule.high is not None:
@@ -150,14 +158,21 @@ def breaks(rule: Rule) -> Column:
 
 def quality_report(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """``docs`` with measures, ``broken`` (names of rules broken) and ``kept``."""
-    named = [F.when(breaks(r), F.lit(r.name)) for r in rules]
+    measured = measure(docs, text)
+    m = F.struct(*COUNTS, *RATIOS)
+    named = [F.when(breaks(r, m), F.lit(r.name)) for r in rules]
     broken = F.filter(F.array(*named), lambda x: x.isNotNull())
-    return measure(docs, text).withColumn("broken", broken).withColumn("kept", F.size("broken") == 0)
+    return measured.withColumn("broken", broken).withColumn("kept", F.size("broken") == 0)
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """The documents that break no rule, with their own columns."""
-    return quality_report(docs, rules, text).filter("kept").select(*docs.columns)
+    """The documents that break no rule, with their own columns.
+
+    The verdict is one expression in which the measures are bound once: a filter
+    on columns of a report would be pushed below them and compute each anew.
+    """
+    good = let(measures(F.col(text)), lambda m: ~reduce(lambda a, b: a | b, [breaks(r, m) for r in rules]))
+    return docs.filter(good)
 
 
 _FEW, _LONG, _SYMBOL, _UPPER, _STOP, _DUP, _BULLET, _ELLIPSIS = (
