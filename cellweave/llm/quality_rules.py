@@ -5,7 +5,11 @@ inside the scan, without a shuffle and without Python. ``quality_report`` adds
 the measures, the names of the rules that a row breaks, and the verdict.
 
 Defined results: a null text counts as empty, and an empty text breaks the rule
-on the number of words. Rows are judged one by one, so repeated rows and null
+on the number of words. The rule on stop words knows four languages and the one
+on word length texts that put spaces between words: neither is applied to texts
+with more than ``FOREIGN`` of their letters in other scripts than Latin, the
+first nor to texts in Latin script with stop words of one of the other languages
+of ``OTHER_STOP_WORDS``. Rows are judged one by one, so repeated rows and null
 ids get the same verdicts; columns of the input that clash with those added
 are replaced. An empty table gives an empty report.
 """
@@ -23,6 +27,8 @@ from cellweave.llm.text import array_sum, let, table, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
+SHORT_WORD, LONG_WORD = 2, 12
+STOP_SHARE = 0.05
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
     "the of and to in is that for it as a be with on are was by this from or an "
@@ -30,16 +36,49 @@ STOP_WORDS = (
     "der die und das von zu mit den ein ist nicht auf für "
     "el los y se del las por para con su"
 ).split()
+#: Frequent function words of other languages in Latin script, without those above.
+OTHER_STOP_WORDS = sorted(
+    set(
+        # Portuguese, Italian, Romanian, Catalan
+        "os uma não com mais foi como dos das ao pelo pela são mas também il di che non è per una del della nel gli sono "
+        "più anche alla și în este cu nu din care pe mai sau pentru els amb és per què dels "
+        # Dutch, Swedish, Danish, Norwegian, Icelandic
+        "het een van niet dat met voor zijn op ook wordt aan och att det som på inte för är av har med og af ikke til "
+        "blev ble jeg hun å fra eru ekki sem við það "
+        # Polish, Czech, Slovak, Slovene, Croatian
+        "się nie na jest do że jak przez od są był była oraz ale je že ve byl jsou také pro ako sú aj bol sa ki ter pri "
+        "iz bil koji kao što bio ili i z w o v u s k "
+        # Hungarian, Finnish, Estonian, Latvian, Lithuanian
+        "az és hogy egy nem van volt ez csak meg ja ei oli että mutta kun se hän ovat myös ning kui aga ka ir ar no kas "
+        "bija uz kad yra tai iš buvo "
+        # Turkish, Azerbaijani, Albanian, Basque, Irish, Welsh
+        "ve bir bu için ile çok daha olarak gibi olan və üçün ilə bu da të në dhe për një nga është eta da ez bat agus "
+        "na ar an bhí yn yr ac mae oedd i "
+        # Vietnamese, Indonesian, Malay, Tagalog, Swahili, Afrikaans
+        "và của là có được cho không các những trong một yang dan untuk dengan dari pada adalah ini itu tidak ke oleh "
+        "ang ng sa mga at ay na ya wa kwa ni katika za la kama nie het om".split()
+    )
+    - set(STOP_WORDS)
+)
+OTHER_KINDS = 3
+#: Share of letters that are not Latin from which a text is not judged by stop words and word length.
+FOREIGN = 0.3
+FOREIGN_LETTERS = r"[\p{L}\p{M}&&[^\p{IsLatin}\p{IsInherited}]]+"
+EDGES = r"""[.,;:!?…()\[\]"'“”„«»‘’]+"""
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure and the range it has to be in, both ends included."""
+    """A measure and the range it has to be in, both ends included.
+
+    ``unless`` names measures of texts that the rule does not know, and the shares beyond which it is not applied.
+    """
 
     name: str
     measure: str
     low: float | None = None
     high: float | None = None
+    unless: tuple[tuple[str, float], ...] = ()
 
 
 #: The first two rules are the base rules.
@@ -49,10 +88,10 @@ BASE_RULES = (
 )
 RULES = (
     *BASE_RULES,
-    Rule("word_length", "mean_word_length", low=2, high=12),
+    Rule("word_length", "mean_word_length", low=SHORT_WORD, high=LONG_WORD, unless=(("foreign_ratio", FOREIGN),)),
     Rule("symbols", "symbol_ratio", high=0.2),
     Rule("capitals", "upper_ratio", high=0.3),
-    Rule("stop_words", "stop_ratio", low=0.05),
+    Rule("stop_words", "stop_ratio", low=STOP_SHARE, unless=(("foreign_ratio", FOREIGN), ("other_stop_ratio", STOP_SHARE))),
     Rule("duplicate_lines", "dup_line_ratio", high=0.5),
     Rule("bullet_lines", "bullet_ratio", high=0.9),
     Rule("ellipsis_lines", "ellipsis_ratio", high=0.3),
@@ -94,23 +133,54 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(tokens) >= window, let(hashes, count)).otherwise(F.lit(0).cast("long"))
 
 
+def other_stop_words(tokens: Column) -> Column:
+    """Words that other languages in Latin script use most, whatever the case of their first letter.
+
+    Fewer than ``OTHER_KINDS`` different ones are no sign of a language and count 0.
+    """
+
+    def core(w: Column) -> Column:
+        bare = F.regexp_replace(w, f"^{EDGES}|{EDGES}$", "")
+        return F.concat(F.lower(F.left(bare, F.lit(1))), F.substr(bare, F.lit(2)))
+
+    found = F.filter(F.transform(tokens, core), lambda w: w.isin(OTHER_STOP_WORDS))
+    return let(found, lambda x: F.when(F.size(F.array_distinct(x)) >= OTHER_KINDS, F.size(x)).otherwise(F.lit(0)))
+
+
 def measures(text: Column) -> Column:
-    """Counts and ratios of a text as one struct; words and lines are made once."""
+    """Counts and ratios of a text as one struct; words and lines are made once.
+
+    ``n_letters``, ``n_foreign`` and ``n_other_stops`` are 0 where no rule asks for them.
+    """
     raw = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(raw, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def counts(w: Column, x: Column) -> Column:
+        n_stop = F.size(F.filter(w, lambda v: v.isin(STOP_WORDS)))
+        return let(n_stop, lambda n: let(F.length(F.array_join(w, "")), lambda c: all_counts(w, x, n, c)))
+
+    def all_counts(w: Column, x: Column, n_stop: Column, chars: Column) -> Column:
+        # Texts that pass the rules on word length and stop words need not be known by script and language.
+        unsure = (n_stop < STOP_SHARE * F.size(w)) | (chars > LONG_WORD * F.size(w)) | (chars < SHORT_WORD * F.size(w))
+
+        def if_unsure(count: Column) -> Column:
+            return F.when(unsure, count).otherwise(F.lit(0))
+
         found = {
             "n_words": F.size(w),
-            "word_chars": F.length(F.array_join(w, "")),
+            "word_chars": chars,
             "n_symbols": F.length(raw) - F.length(F.regexp_replace(raw, f"[{SYMBOLS}]+", "")),
             "n_lines": F.size(x),
             "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
             "n_repeat_words": repeated_words(w),
-            "n_stop_words": F.size(F.filter(w, lambda v: v.isin(STOP_WORDS))),
+            "n_stop_words": n_stop,
             "n_upper": F.length(raw) - F.length(F.regexp_replace(raw, "[A-Z]+", "")),
             "n_bullets": F.size(F.filter(x, lambda v: v.rlike(r"^\s*[-*•‣]"))),
             "n_ellipses": F.size(F.filter(x, lambda v: v.rlike(r"(\.\.\.|…)\s*$"))),
+            # Marks are part of the letters of many scripts.
+            "n_letters": if_unsure(F.length(raw) - F.length(F.regexp_replace(raw, r"[\p{L}\p{M}]+", ""))),
+            "n_foreign": if_unsure(F.length(raw) - F.length(F.regexp_replace(raw, FOREIGN_LETTERS, ""))),
+            "n_other_stops": if_unsure(other_stop_words(w)),
         }
         return F.struct(*[c.cast("long").alias(name) for name, c in found.items()])
 
@@ -126,9 +196,12 @@ RATIOS = {
     "dup_line_ratio": ("n_dup_lines", "n_lines"),
     "bullet_ratio": ("n_bullets", "n_lines"),
     "ellipsis_ratio": ("n_ellipses", "n_lines"),
+    "foreign_ratio": ("n_foreign", "n_letters"),
+    "other_stop_ratio": ("n_other_stops", "n_words"),
 }
 COUNTS = (
-    "n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_stop_words n_upper n_bullets n_ellipses"
+    "n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_stop_words n_upper n_bullets n_ellipses "
+    "n_letters n_foreign n_other_stops"
 ).split()
 
 
@@ -153,6 +226,8 @@ def breaks(rule: Rule, m: Column) -> Column:
         out = out | (value < rule.low)
     if rule.high is not None:
         out = out | (value > rule.high)
+    for share, most in rule.unless:
+        out = out & (m[share] <= most)
     return out
 
 

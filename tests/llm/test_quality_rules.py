@@ -58,6 +58,27 @@ def test_rules(spark):
     assert [r.text for r in quality_rules.keep_good(rows).collect()] == [prose]
 
 
+CLEAN = {
+    "ru": "Старый дом стоял на берегу реки, и каждый вечер дети приходили сюда, чтобы послушать рассказы о далёких "
+    "городах и морях, которые их дед видел много лет назад.",
+    "pl": "Stary dom stał na brzegu rzeki, a dzieci przychodziły tu wieczorem, żeby posłuchać opowieści o dalekich "
+    "miastach, które ich dziadek widział wiele lat temu i o których nie zapomniał.",
+    "tr": "Eski ev nehrin kıyısında duruyordu ve çocuklar her akşam buraya gelip dedelerinin yıllar önce gördüğü uzak "
+    "şehirler için anlattığı çok güzel hikayeleri bir arada dinliyordu.",
+    "ar": "كان البيت القديم يقف على ضفة النهر وكان الأطفال يأتون إليه كل مساء ليسمعوا قصصا عن مدن بعيدة رآها جدهم قبل "
+    "سنوات كثيرة ولم ينسها أبدا في حياته",
+    "hi": "पुराना घर नदी के किनारे खड़ा था और बच्चे हर शाम यहाँ आकर दूर के शहरों की कहानियाँ सुनते थे जिन्हें उनके दादा ने कई साल पहले देखा था",
+    "zh": "\n".join(f"{c}老房子坐落在河边，孩子们每天晚上都来这里听故事。" for c in "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥"),
+}
+
+
+def test_clean_texts_of_other_languages_are_kept(spark):
+    junk = " ".join(f"keyword{chr(97 + i % 26)}{i} buycheap" for i in range(30))
+    rows = spark.createDataFrame([*CLEAN.items(), ("junk", junk)], "lang string, text string")
+    assert {r.lang: r.broken for r in quality_rules.quality_report(rows).collect()} == {x: [] for x in CLEAN} | {"junk": ["stop_words"]}
+    assert {r.lang for r in quality_rules.keep_good(rows).collect()} == set(CLEAN)
+
+
 def test_empty_table_and_columns(spark):
     assert quality_rules.keep_good(fixtures.none(spark)).count() == 0
     assert quality_rules.keep_good(fixtures.odd(spark)).columns == fixtures.odd(spark).columns
