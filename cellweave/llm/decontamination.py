@@ -3,7 +3,10 @@
 A text is rewritten as a template: numbers, names and units become typed
 placeholders, other words stay in lower case. Windows of the template of each
 benchmark item are joined by hash with the windows of all documents, so a
-question with other numbers or names still meets its source. A match counts
+question with other numbers or names still meets its source. Windows of the
+words themselves join them, so copies are found where slots dominate, where the
+first letters of words have another case, in lower case, and whatever stands
+before them. A match counts
 along one alignment of document and item, and only if its slots are consistent:
 the same value of the item always stands for the same value in the document,
 and different values for different ones.
@@ -14,8 +17,9 @@ only windows that may match are written as rows; these are joined on their
 whole template.
 
 Defined results: null and empty texts, and texts shorter than a window, match
-nothing; items of fewer than ``WINDOW`` words are matched as a whole if they
-have ``MIN_LITERALS`` words that are not slots. Rows are told apart by id and
+nothing; items of fewer than ``WINDOW`` words are matched as a whole, with other
+slots if they have ``MIN_LITERALS`` words that are not slots. Items of fewer than
+``MIN_LITERALS`` words, and copies in capitals throughout, are not sought. Rows are told apart by id and
 text, so repeated rows give one result; null ids are kept. An empty table on
 either side gives no rows.
 """
@@ -23,6 +27,7 @@ either side gives no rows.
 from __future__ import annotations
 
 import re
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,8 @@ MIN_LITERALS = 4
 MIN_WORDS = 13
 MIN_SHARE = 0.8
 BITMAP_BITS = 24
+#: Begins a window of the words themselves; no word of a template is this sign.
+LITERAL = "= "
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|[A-Za-z°µ]{1,3})?")
 PUNCTUATION = "!\"#&'()*,.:;<>?@[\\]^_`{|}~«»“”‘’…¿¡-–—/="
@@ -67,13 +74,14 @@ class Templates:
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.cores, self.kinds, self.ends, self.hashes = [], [], [], []
-        self.arrays = (np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, np.uint64))
+        self.plain, self.folded = [], []
+        self.arrays = (np.zeros(0, np.int8), np.zeros(0, bool), *(np.zeros(0, np.uint64) for _ in range(3)))
 
     def _properties(self) -> tuple[np.ndarray, ...]:
-        """Kind, sentence end and hash of all words met, as arrays that grow with them."""
+        """Kind, sentence end and hashes of all words met, as arrays that grow with them."""
         n = len(self.arrays[0])
         if n < len(self.cores):
-            lists = (self.kinds, self.ends, self.hashes)
+            lists = (self.kinds, self.ends, self.hashes, self.plain, self.folded)
             self.arrays = tuple(
                 np.concatenate([a, np.array(x[n:], a.dtype)]) for a, x in zip(self.arrays, lists)
             )
@@ -93,6 +101,8 @@ class Templates:
         self.kinds.append(kind if core else -1)
         self.ends.append(word.rstrip("\"')]»”’").endswith(SENTENCE_END))
         self.hashes.append(_hash(lower))
+        self.plain.append(_hash(f"={_small_initial(core)}"))
+        self.folded.append(_hash(f"={lower}"))
         self.index[word] = at = len(self.cores) - 1
         return at
 
@@ -116,7 +126,7 @@ class Templates:
             sizes.append(len(parts))
         at = np.array(found, np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        kinds, word_ends, word_hashes = self._properties()
+        kinds, word_ends, word_hashes, _, _ = self._properties()
         kind = kinds[at]
         keep = kind >= 0
         # A word opens a sentence if it opens its text or the word before ends one.
@@ -130,7 +140,12 @@ class Templates:
         slot = np.where((kind == UNIT) & ~after_number, WORD, slot)
         return owner, at, slot, np.where(slot == WORD, word_hashes[at], _SLOT_HASHES[slot])
 
-    def windows(self, owner: np.ndarray, slot: np.ndarray, hashes: np.ndarray, size: int):
+    def readings(self, at: np.ndarray, hashes: np.ndarray, folds: tuple[bool, ...]):
+        """The template and the words themselves, with small initials or in lower case: hashes, least literals, fold."""
+        _, _, _, plain, folded = self._properties()
+        return [(hashes, MIN_LITERALS, None), *(((folded if f else plain)[at], 0, f) for f in folds)]
+
+    def windows(self, owner: np.ndarray, slot: np.ndarray, hashes: np.ndarray, size: int, least: int = MIN_LITERALS):
         """Starts and hashes of all windows of a size that lie in one text and have enough words."""
         n = len(hashes) - size + 1
         if n <= 0:
@@ -139,12 +154,15 @@ class Templates:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * self.powers[: len(hashes)], dtype=np.uint64)])
         rolled = (sums[size:] - sums[:-size]) * self.inverses[:n]
         literal = np.concatenate([[0], np.cumsum(slot == WORD)])
-        good = (owner[size - 1 :] == owner[:n]) & (literal[size:] - literal[:-size] >= MIN_LITERALS)
+        good = (owner[size - 1 :] == owner[:n]) & (literal[size:] - literal[:-size] >= least)
         at = np.flatnonzero(good)
         return at, rolled[at]
 
-    def written(self, at: np.ndarray, slot: np.ndarray) -> tuple[str, list[str]]:
-        """The template of a window as text, and the values of its slots."""
+    def written(self, at: np.ndarray, slot: np.ndarray, fold: bool | None = None) -> tuple[str, list[str]]:
+        """The template of a window as text, and the values of its slots; with ``fold`` its words, without slots."""
+        if fold is not None:
+            cores = [self.cores[i] for i in at]
+            return LITERAL + " ".join(c.lower() if fold else _small_initial(c) for c in cores), []
         names = ("", "<number>", "<unit>", "<name>")
         template = [self.cores[i].lower() if k == WORD else names[k] for i, k in zip(at, slot)]
         values = [f"{names[k]}{self.cores[i]}" for i, k in zip(at, slot) if k != WORD]
@@ -159,6 +177,10 @@ def _ends_before(ends: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return last[:-1] - last[before] > 0
 
 
+def _small_initial(word: str) -> str:
+    return word[:1].lower() + word[1:]
+
+
 def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 7)
 
@@ -166,8 +188,16 @@ def _hash(word: str) -> int:
 _SLOT_HASHES = np.array([_hash(f"\0{k}") for k in range(4)], np.uint64)
 
 
-def template_windows(df: DataFrame, key: list[str], text: str, sizes: list[int], bitmap: bytes | None, group: int = 256):
-    """Windows of templates: the columns ``key`` and ``size, at, words, hash, template, slots``.
+def template_windows(
+    df: DataFrame,
+    key: list[str],
+    text: str,
+    sizes: list[int],
+    bitmap: bytes | None,
+    folds: tuple[bool, ...] = (False,),
+    group: int = 256,
+):
+    """Windows of templates and of words: the columns ``key`` and ``size, at, words, hash, template, slots``.
 
     ``at`` counts words from 0, ``words`` is the length of the whole text. With
     a bitmap only windows whose hash it holds are returned.
@@ -187,15 +217,16 @@ def template_windows(df: DataFrame, key: list[str], text: str, sizes: list[int],
                 counts = np.bincount(owner, minlength=batch.num_rows)
                 firsts = np.cumsum(counts) - counts
                 rows, out = [], []
-                for size in sizes:
-                    starts, rolled = templates.windows(owner, slot, hashes, size)
+                readings = templates.readings(at, hashes, folds)
+                for size, (hashed, least, fold) in product(sizes, readings):
+                    starts, rolled = templates.windows(owner, slot, hashed, size, least)
                     if held is not None:
                         place = (rolled >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                         hit = (held[place >> 3] >> (place & 7)) & 1 == 1
                         starts, rolled = starts[hit], rolled[hit]
                     for i, h in zip(starts.tolist(), rolled.view(np.int64).tolist()):
                         o = int(owner[i])
-                        template, slots = templates.written(at[i : i + size], slot[i : i + size])
+                        template, slots = templates.written(at[i : i + size], slot[i : i + size], fold)
                         rows.append(o)
                         out.append((size, i - int(firsts[o]), int(counts[o]), h, template, slots))
                 if not rows:
@@ -246,14 +277,19 @@ def contaminated(
     ``key`` is the ``text_key`` of the document.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).distinct()
-    windows = template_windows(items, ["item_id"], "item_text", list(range(MIN_LITERALS, WINDOW + 1)), None)
+    # Items are sought as written and in lower case; documents are read as written.
+    sought_sizes = list(range(MIN_LITERALS, WINDOW + 1))
+    windows = template_windows(items, ["item_id"], "item_text", sought_sizes, None, (False, True))
     # Only whole items are windows shorter than WINDOW. A template that an item repeats is sought at its first
     # place, so a repeating document meets a repeating item once a word.
     first = F.min(F.struct("at", "hash", "words", "slots")).alias("x")
     found = windows.filter(F.col("size") == F.least("words", F.lit(WINDOW)))
     found = cut_lineage(found.groupBy("item_id", "template", "size").agg(first).select("item_id", "template", "size", "x.*"))
     sizes = sorted(r["size"] for r in found.select("size").distinct().collect())  # up to WINDOW numbers
-    whole = found.groupBy("item_id").agg(F.sort_array(F.collect_list("at")).alias("places"), F.max("size").alias("size"))
+    # The words that templates can match; where there are none, those that literal windows can.
+    typed = F.collect_set(F.when(~F.startswith("template", F.lit(LITERAL)), F.col("at")))
+    places = F.when(F.size(typed) > 0, typed).otherwise(F.collect_set("at"))
+    whole = found.groupBy("item_id").agg(F.sort_array(places).alias("places"), F.max("size").alias("size"))
     whole = whole.select("item_id", let(F.col("places"), _covered).alias("item_covered"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.select("doc_id", text_key().alias("key"), "text")

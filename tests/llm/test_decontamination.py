@@ -41,6 +41,18 @@ def test_short_items_and_slots_only(spark):
     assert set(found(spark, texts, items)) == {(0, 0)}
 
 
+def test_copies_with_many_slots_in_any_context(spark):
+    items = [
+        "12 + 7 = 19 , 31 - 4 = 27 , 8 * 9 = 72 and 90 / 6 = 15 so 5 + 6",
+        "Present were Anna Berg, Boris Clay, Carla Dorn, David Eck, Edith Frey, Frank Gold and Greta Hall",
+        "Which planet is closest to the sun",
+        "Did Anna Berg ask Nasa staff whether Boris Clay had met Carla Dorn in Rome or Paris",
+        "Ask Anna Berg in Rome",
+    ]
+    texts = [f"{NOISE} {items[0]} {NOISE}", f"{NOISE}: {items[1]}", f"Q: {items[2]} A: no", items[3].lower(), items[3].title(), f"{NOISE} {items[4]}"]
+    assert set(found(spark, texts, items)) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4)}
+
+
 def test_templates():
     t = dc.Templates()
     owner, at, slot, _ = t.batch(["Hello there, Anna paid 12 kg. The 5% ... Then Bob! km", None, "", "New text"])
