@@ -7,9 +7,10 @@ question with other numbers or names still meets its source. Windows of the
 words themselves join them, so copies are found where slots dominate, where the
 first letters of words have another case, in lower case, and whatever stands
 before them. A match counts
-along one alignment of document and item, and only if its slots are consistent:
-the same value of the item always stands for the same value in the document,
-and different values for different ones.
+along one alignment of document and item, or along neighbouring ones, and only
+where its slots are consistent: the same value of the item stands for the same
+value in the document. Windows with a mention that differs from most of its value
+do not count; an alignment without a majority for a value is none.
 
 Windows of documents are made inside tasks, with rolling hashes over numpy
 arrays, and pass a bitmap of fixed size built from the benchmark's windows, so
@@ -27,12 +28,13 @@ either side gives no rows.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.registry import query
@@ -45,6 +47,8 @@ MIN_LITERALS = 4
 #: Words of an item that have to be matched in one alignment: this many, or this share of a shorter item.
 MIN_WORDS = 13
 MIN_SHARE = 0.8
+#: Alignments that words put in or left out move apart by so many words at most are added up.
+SLACK = 8
 BITMAP_BITS = 24
 #: Begins a window of the words themselves; no word of a template is this sign.
 LITERAL = "= "
@@ -158,15 +162,15 @@ class Templates:
         at = np.flatnonzero(good)
         return at, rolled[at]
 
-    def written(self, at: np.ndarray, slot: np.ndarray, fold: bool | None = None) -> tuple[str, list[str]]:
-        """The template of a window as text, and the values of its slots; with ``fold`` its words, without slots."""
+    def written(self, at: np.ndarray, slot: np.ndarray, fold: bool | None = None) -> tuple[str, list[str], list[int]]:
+        """The template of a window, the values of its slots and their places; with ``fold`` its words, without slots."""
         if fold is not None:
             cores = [self.cores[i] for i in at]
-            return LITERAL + " ".join(c.lower() if fold else _small_initial(c) for c in cores), []
+            return LITERAL + " ".join(c.lower() if fold else _small_initial(c) for c in cores), [], []
         names = ("", "<number>", "<unit>", "<name>")
         template = [self.cores[i].lower() if k == WORD else names[k] for i, k in zip(at, slot)]
         values = [f"{names[k]}{self.cores[i]}" for i, k in zip(at, slot) if k != WORD]
-        return " ".join(template), values
+        return " ".join(template), values, np.flatnonzero(slot).tolist()
 
 
 def _ends_before(ends: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -197,14 +201,14 @@ def template_windows(
     folds: tuple[bool, ...] = (False,),
     group: int = 256,
 ):
-    """Windows of templates and of words: the columns ``key`` and ``size, at, words, hash, template, slots``.
+    """Windows of templates and of words: the columns ``key`` and ``size, at, words, hash, template, slots, spots``.
 
     ``at`` counts words from 0, ``words`` is the length of the whole text. With
     a bitmap only windows whose hash it holds are returned.
     """
     types = {f.name: f.dataType.simpleString() for f in df.select(*key).schema}
     schema = ", ".join(f"`{k}` {t}" for k, t in types.items())
-    schema += ", size int, at long, words long, hash long, template string, slots array<string>"
+    schema += ", size int, at long, words long, hash long, template string, slots array<string>, spots array<bigint>"
     bits = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
@@ -226,17 +230,18 @@ def template_windows(
                         starts, rolled = starts[hit], rolled[hit]
                     for i, h in zip(starts.tolist(), rolled.view(np.int64).tolist()):
                         o = int(owner[i])
-                        template, slots = templates.written(at[i : i + size], slot[i : i + size], fold)
+                        template, slots, spots = templates.written(at[i : i + size], slot[i : i + size], fold)
                         rows.append(o)
-                        out.append((size, i - int(firsts[o]), int(counts[o]), h, template, slots))
+                        out.append((size, i - int(firsts[o]), int(counts[o]), h, template, slots, spots))
                 if not rows:
                     continue
                 keys = batch.select(range(len(key))).take(pa.array(rows))
                 cols = list(zip(*out))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
+                kinds.append(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     keys.columns + [pa.array(c, t) for c, t in zip(cols, kinds)],
-                    [*key, "size", "at", "words", "hash", "template", "slots"],
+                    [*key, "size", "at", "words", "hash", "template", "slots", "spots"],
                 )
 
     return df.select(*key, text).mapInArrow(run, schema)
@@ -263,6 +268,44 @@ def _covered(places: Column) -> Column:
     return array_sum(F.transform(places, lambda i, k: F.least(size, F.coalesce(F.get(places, k + 1) - i, size))))
 
 
+def _judged(places: Column, pairs: Column, size: Column) -> Column:
+    """``settled``, whether each value of the item stands for one value in most mentions, and ``places`` that agree."""
+
+    def distinct(x: Column, *names: str) -> Column:
+        return F.array_distinct(F.transform(x, lambda p: F.struct(*[p[n].alias(n) for n in names])))
+
+    def plain(kinds: Column) -> Column:
+        return F.size(distinct(kinds, "old")) == F.size(kinds)
+
+    def mentions(x: Column, **same: Column) -> Column:
+        return F.size(F.filter(x, lambda p: reduce(lambda a, b: a & b, [p[n] == v for n, v in same.items()])))
+
+    def few(p: Column, x: Column) -> Column:
+        return 2 * mentions(x, old=p["old"], new=p["new"]) <= mentions(x, old=p["old"])
+
+    def vote(kinds: Column) -> Column:
+        outvoted = F.filter(kinds, lambda p: few(p, pairs))
+        values = F.size(distinct(kinds, "old"))
+        settled = F.size(kinds) - F.size(outvoted) == values
+        # A mention that is the same in both texts is a copy, whatever the others are.
+        wrong = F.filter(outvoted, lambda p: p["old"] != p["new"])
+
+        def agreeing(bad: Column) -> Column:
+            spots = F.transform(
+                F.filter(pairs, lambda p: F.exists(bad, lambda b: (b["old"] == p["old"]) & (b["new"] == p["new"]))),
+                lambda p: p["place"],
+            )
+            return let(spots, lambda z: F.filter(places, lambda a: ~F.exists(z, lambda q: q.between(a, a + size - 1))))
+
+        return F.struct(settled.alias("settled"), let(wrong, agreeing).alias("places"))
+
+    def of(kinds: Column) -> Column:
+        all_agree = F.struct(F.lit(True).alias("settled"), places.alias("places"))
+        return F.when(plain(kinds), all_agree).otherwise(vote(kinds))
+
+    return let(distinct(pairs, "old", "new"), of)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -282,7 +325,7 @@ def contaminated(
     windows = template_windows(items, ["item_id"], "item_text", sought_sizes, None, (False, True))
     # Only whole items are windows shorter than WINDOW. A template that an item repeats is sought at its first
     # place, so a repeating document meets a repeating item once a word.
-    first = F.min(F.struct("at", "hash", "words", "slots")).alias("x")
+    first = F.min(F.struct("at", "hash", "words", "slots", "spots")).alias("x")
     found = windows.filter(F.col("size") == F.least("words", F.lit(WINDOW)))
     found = cut_lineage(found.groupBy("item_id", "template", "size").agg(first).select("item_id", "template", "size", "x.*"))
     sizes = sorted(r["size"] for r in found.select("size").distinct().collect())  # up to WINDOW numbers
@@ -297,27 +340,44 @@ def contaminated(
     sought = broadcast_if_small(
         found.join(whole, "item_id").select(
             "item_id", "template", "size", "item_covered", F.col("at").alias("item_at"),
-            F.col("words").alias("item_words"), F.col("slots").alias("item_slots"),
+            F.col("words").alias("item_words"), F.col("slots").alias("item_slots"), "spots",
         )
     )
     met = own.select("doc_id", "key", "template", "at", "slots").join(sought, "template")
     # One alignment is one distance between the places in document and item; it has no more windows than the item.
-    lines = met.groupBy(
-        "doc_id", "key", "item_id", "item_words", "item_covered", "size", (F.col("at") - F.col("item_at")).alias("shift")
-    ).agg(
+    pair = F.transform(
+        "item_slots",
+        lambda old, i: F.struct(
+            (F.col("item_at") + F.get("spots", i)).alias("place"), old.alias("old"), F.get("slots", i).alias("new")
+        ),
+    )
+    line = ["doc_id", "key", "item_id", "item_words", "item_covered", "size"]
+    lines = met.groupBy(*line, (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.sort_array(F.collect_set("item_at")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
+        F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),
     )
-    one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
-    two = F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"])))
-    consistent = (one == F.size("pairs")) & (two == F.size("pairs"))
+    size = F.col("size").cast("long")
+    own = lines.withColumn("own", _judged(F.col("places"), F.col("pairs"), size)).filter("own.settled")
+    # Words put in or left out move the rest of the item: alignments from each one on are added up.
+    near = Window.partitionBy(*line).orderBy("shift").rangeBetween(0, SLACK)
+    pooled = own.select(
+        *line,
+        F.col("own.places").alias("own"),
+        "pairs",
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("own.places").over(near)))).alias("places"),
+        F.array_distinct(F.flatten(F.collect_list("pairs").over(near))).alias("all_pairs"),
+    ).withColumn("pool", _judged(F.col("places"), F.col("all_pairs"), size))
+    pooled = pooled.withColumns({
+        "own": let(F.col("own"), _covered),
+        "pool": F.when(F.col("pool.settled"), let(F.col("pool.places"), _covered)).otherwise(F.lit(0)),
+    })
 
     need = F.least(F.lit(MIN_WORDS).cast("long"), F.ceil(F.col("item_words") * MIN_SHARE), "item_covered")
+    told = F.when(F.col("pool") > F.col("own"), F.col("all_pairs")).otherwise(F.col("pairs"))
     return (
-        lines.filter(consistent)
-        .withColumn("matched_words", let(F.col("places"), _covered))
-        .withColumn("changed", F.exists("pairs", lambda p: p["item_slots"] != p["slots"]))
+        pooled.withColumn("matched_words", F.greatest("own", "pool"))
         .filter(F.col("matched_words") >= need)
+        .withColumn("changed", F.exists(told, lambda p: p["old"] != p["new"]))
         .groupBy("key", "doc_id", "item_id", "item_words")
         .agg(F.max(F.struct("matched_words", ~F.col("changed"))).alias("best"))
         .select(

@@ -53,6 +53,26 @@ def test_copies_with_many_slots_in_any_context(spark):
     assert set(found(spark, texts, items)) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4)}
 
 
+def test_largest_consistent_part_and_neighbouring_alignments(spark):
+    three = (
+        "When Alice walked to the market she bought some apples and then went home again. Later that day Alice cooked the apples "
+        "with sugar and a little water. In the evening Alice ate them with 3 friends and 5 cousins at the table."
+    )
+    twenty = "Which of the gases found in the air do most green plants take in when they make sugar from water"
+    items = [three, twenty, "The box holds 3 red balls and 5 blue balls, so how many balls are in the box"]
+    words = twenty.split()
+    texts = [
+        three.replace("Alice cooked", "Alicia cooked").replace("Later that day", "Later then"),  # one mention of three
+        three.replace("day Alice", "day Carol").replace("with 3", "with 4").replace("and 5", "and 4"),
+        " ".join([*words[:10], "really", *words[10:]]),
+        " ".join([*words[:9], *words[11:]]),
+        items[2].replace("3", "4").replace("5", "4"),
+    ]
+    got = found(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)}
+    assert got[2, 1].matched_words == got[2, 1].item_words == 20 and got[4, 2].changed
+
+
 def test_templates():
     t = dc.Templates()
     owner, at, slot, _ = t.batch(["Hello there, Anna paid 12 kg. The 5% ... Then Bob! km", None, "", "New text"])
