@@ -5,8 +5,11 @@ character at a time. The window keeps counts of its characters and the sum of
 ``c log2 c`` over them, updated by the two counts that a step changes, so its
 Shannon entropy costs a step no more than two table look-ups. Each character
 class has its own threshold. Windows over the threshold that overlap or touch
-make one span. The allow-list suppresses strings that look random and are not
-secret: identifiers in UUID form, placeholders, paths of words, addresses.
+make one span. Candidates of 16 to 19 characters and strings of letters only have
+a shorter window; letters are random only if few of them are vowels. Base spans
+and the allow-list cut candidates, and what they leave is scanned: the list names
+identifiers in UUID form, dates, placeholders (by the part between ``= / _ -``),
+and paths of words.
 
 Defined results: null text counts as empty; a text without spans has zero
 counts and empty strings. Rows are scanned one by one, so repeated rows get the
@@ -21,6 +24,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +40,7 @@ ASSIGN = re.compile(
 #: A run ends where no character fits, so the least length in the pattern drops whole runs only.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGIT = re.compile(r"[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIN_VALUE = 12
 
 
@@ -51,20 +54,28 @@ class CharClass:
     bits: float
 
 
-#: The first class that a candidate fits is its class. Strings of letters only,
-#: or of digits only, are words and numbers: no class holds them.
+#: The first class that a candidate fits is its class. Strings of digits only are numbers: no class holds them.
 CLASSES = (
     CharClass("hex", re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+|(?=.*[0-9])(?=.*[A-F])[0-9A-F]+"), 20, 2.9),
     CharClass("alnum", re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+"), 20, 3.5),
     CharClass("base64", re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]+"), 20, 3.7),
 )
-#: Candidates that are not secrets.
-ALLOWED = (
-    re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
-    re.compile(r"(?i).*(example|sample|placeholder|changeme|dummy|redacted|x{6}|0{8}|1234567).*"),
-    re.compile(r"([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}"),
-    re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*"),
+#: Classes of candidates shorter than the windows above.
+SHORT_CLASSES = tuple(CharClass(c.name, c.pattern, 16, b) for c, b in zip(CLASSES, (2.7, 3.4, 3.6)))
+#: Strings of letters only. A window of them has few vowels, or hardly more and many changes of case; words in
+#: camel case have more vowels or fewer changes.
+LETTERS = CharClass("letters", re.compile(r"[A-Za-z]{16,}"), 16, 3.4)
+MOST_VOWELS = 3
+CASE_CHANGES = 7
+#: Parts of candidates that are not secrets. Placeholders are told by the part between separators that holds them.
+PLACEHOLDER = r"example|sample|placeholder|changeme|dummy|redacted|x{6}|0{8}|1234567"
+ALLOWED_PARTS = re.compile(
+    r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])"
+    r"|(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
+    r"|(?<![^=/_-])[^=/_-]++"
 )
+HELD = re.compile(f"(?i:{PLACEHOLDER})")
+WORDS = re.compile(r"(?:[A-Za-z]+[/_=-]+)*[A-Za-z]*[/_=-]*[0-9]{0,4}[/_=-]*")
 
 
 def window_entropies(s: str, window: int) -> list[float]:
@@ -85,18 +96,56 @@ def window_entropies(s: str, window: int) -> list[float]:
     return out
 
 
-def random_parts(s: str, classes=CLASSES) -> list[tuple[int, int]]:
-    """The parts of a candidate whose windows are over the threshold of its class."""
-    kind = next((c for c in classes if c.pattern.fullmatch(s)), None)
-    if kind is None or any(a.fullmatch(s) for a in ALLOWED):
-        return []
+def _left(start: int, end: int, cuts) -> list[tuple[int, int]]:
+    """What cuts, in order of start, leave of a range."""
+    out = []
+    for a, b in cuts:
+        if a > start:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+    if start < end:
+        out.append((start, end))
+    return out
+
+
+def _allowed(s: str) -> list[tuple[int, int]]:
+    """The parts of a candidate that the allow-list names."""
+    found = ((m.start(), m.end(), m[0]) for m in ALLOWED_PARTS.finditer(s))
+    return [(a, b) for a, b, part in found if part[4:5] == "-" or part[8:9] == "-" or HELD.search(part)]
+
+
+def _windows(s: str, kind: CharClass) -> list[tuple[int, int]]:
+    return [(i, i + kind.window) for i, bits in enumerate(window_entropies(s, kind.window)) if bits >= kind.bits]
+
+
+def _letters(s: str) -> list[tuple[int, int]]:
+    """Windows of letters that look random."""
+    out = []
+    for m in LETTERS.pattern.finditer(s):
+        vowels = [0, *accumulate(c in "aeiouAEIOU" for c in m[0])]
+        changes = [0, *accumulate(c.isupper() != d.isupper() for c, d in zip(m[0], m[0][1:]))]
+        for a, b in _windows(m[0], LETTERS):
+            most = MOST_VOWELS + (changes[b - 1] - changes[a] >= CASE_CHANGES)
+            if vowels[b] - vowels[a] <= most:
+                out.append((m.start() + a, m.start() + b))
+    return out
+
+
+def random_parts(s: str) -> list[tuple[int, int]]:
+    """The parts of a candidate whose windows are over the threshold of their class."""
+    windows = []
+    for start, end in _left(0, len(s), _allowed(s)):
+        part = s[start:end]
+        classes = CLASSES if len(part) >= CLASSES[0].window else SHORT_CLASSES
+        kind = None if WORDS.fullmatch(part) else next((c for c in classes if c.pattern.fullmatch(part)), None)
+        found = _windows(part, kind) if kind else []
+        windows += [(start + a, start + b) for a, b in found + _letters(part)]
     parts: list[list[int]] = []
-    for i, bits in enumerate(window_entropies(s, kind.window)):
-        if bits >= kind.bits:
-            if parts and i <= parts[-1][1]:
-                parts[-1][1] = i + kind.window
-            else:
-                parts.append([i, i + kind.window])
+    for a, b in sorted(windows):
+        if parts and a <= parts[-1][1]:
+            parts[-1][1] = max(parts[-1][1], b)
+        else:
+            parts.append([a, b])
     return [(a, b) for a, b in parts]
 
 
@@ -114,15 +163,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans by entropy, outside those taken already."""
-    if not DIGIT.search(text):
-        return []
     out, at, busy = [], 0, sorted((s, e) for s, _, e in taken)
     for m in CANDIDATE.finditer(text):
         while at < len(busy) and busy[at][1] <= m.start():
             at += 1
-        if at < len(busy) and busy[at][0] < m.end():
-            continue
-        out += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m[0])]
+        near = at
+        while near < len(busy) and busy[near][0] < m.end():
+            near += 1
+        for start, end in _left(m.start(), m.end(), busy[at:near]):
+            out += [(start + a, 3, start + b) for a, b in random_parts(text[start:end])]
     return out
 
 

@@ -138,6 +138,33 @@ def test_entropy_spans(text, found):
     assert secrets_scan.scan_text(text)["n_entropy"] == found
 
 
+KEY = "9fK2qLx7TzPb4WmRv8YcNs3HdJ6g"
+
+
+@pytest.mark.parametrize(
+    "text, key",
+    [
+        (f"0123456789abcdef/{KEY}", KEY),
+        (f"sample_key={KEY}", KEY),
+        (f"/sample/app/{KEY}", KEY),
+        (f"2024-05-01_{KEY}", KEY),
+        (f"123e4567-e89b-12d3-a456-426614174000/{KEY}", KEY),
+        ("a key 9fK2qLx7TzPb4WmRv here", "9fK2qLx7TzPb4WmRv"),
+        ("a key qZxVkJwPmRtNbDfGhL here", "qZxVkJwPmRtNbDfGhL"),
+        ("2024-05-01_quarterly_report", None),
+        ("donaudampfschifffahrtsgesellschaft, incomprehensibilities", None),
+        ("getUserAccountSettingsFromCache", None),
+        ("conferencename2024", None),
+    ],
+)
+def test_all_parts_of_candidates_are_scanned(text, key):
+    more = secrets_scan.entropy_spans(text, secrets_scan.base_spans(text))
+    assert len(more) == (key is not None)
+    for start, _, end in more:
+        at = text.index(key)
+        assert start <= at + 4 and end >= at + len(key) - 4
+
+
 def test_redaction(spark):
     df = rows(spark, ["token = 'abcdefghijklmnop' end", None, "plain"])
     got = [r.text for r in secrets_scan.redact(df).orderBy("doc_id").collect()]
