@@ -173,7 +173,7 @@ def study_edges(spark, d):
 @query(
     "polygon_edges",
     sql(
-        "SELECT CAST(ring AS INTEGER) AS ring, x1, y1, x2, y2 FROM (SELECT ring, x AS x1, y AS y1, "
+        "SELECT CAST(ring AS INTEGER) AS ring, CAST(x1 AS DOUBLE) AS x1, y1, CAST(x2 AS DOUBLE) AS x2, y2 FROM (SELECT ring, x AS x1, y AS y1, "
         "lead(x) OVER (PARTITION BY ring ORDER BY seq) AS x2, lead(y) OVER (PARTITION BY ring ORDER BY seq) AS y2 "
         "FROM point) WHERE x2 IS NOT NULL",
         POINTS_SQL,

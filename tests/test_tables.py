@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellweave import session
 from cellweave.functions import codes
-from cellweave.model import GridSpec
+from cellweave.model import CELLS, GridSpec
 from cellweave.operators import overlay, tabulate
 from cellweave.plans import barren, change
 from cellweave.registry import QUERIES
@@ -376,7 +376,7 @@ def test_north_up_grids(spark, grid):
     cells = grid([[1, 2], [3, 4], [5, 6]])
     box = edges(spark, [(0, 100), (10, 100), (10, 80), (0, 80)])
     assert rows(overlay.polygon_mask(cells, box, spec), "v") == [(1,), (3,)]
-    assert rows(overlay.extent_rect(cells, spec), "rect") == [("0 70 20 100",)]
+    assert rows(overlay.extent_rect(cells, spec), "rect") == [("0.0 70.0 20.0 100.0",)]
     south = GridSpec(0.0, 70.0, 10.0)
     turned = overlay.align_to_template(cells, spec, cells.select("r", "c"), south)
     assert rows(turned, "r", "c", "v") == [(0, 0, 5), (0, 1, 6), (1, 0, 3), (1, 1, 4), (2, 0, 1), (2, 1, 2)]
