@@ -1,6 +1,7 @@
 """All queries of the subpackage."""
 
 from cellweave.llm import (  # noqa: F401
+    collocations,
     decontamination,
     html_extraction,
     language_id,
@@ -11,5 +12,7 @@ from cellweave.llm import (  # noqa: F401
     secrets_scan,
     sharding,
     simhash,
+    topk_search,
+    whitening,
 )
 from cellweave.llm.registry import ORACLES, QUERIES  # noqa: F401
