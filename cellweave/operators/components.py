@@ -1,14 +1,17 @@
-"""Connected parts of run sets.
-
-Runs are labelled inside tiles first, so that only labels touching across tile
-borders remain as a graph. Its edges are contracted batch by batch, then its
-components are found by alternating the large-star and small-star steps of
-Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014).
-Each round is written to the shared folder, and the round before is removed.
+"""Connected parts of run sets, and components of graphs.
+
+Runs are labelled inside tiles first. Then tiles are united level by level, and
+only the runs on outer borders are carried on, so parts are known after a fixed
+number of rounds. Graphs without a place on a grid are solved by alternating
+the large-star and small-star steps of Kiveris et al., "Connected Components in
+MapReduce and Beyond" (SoCC 2014), after their edges are contracted batch by
+batch. Each round is written to the shared folder, and the round before is removed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,10 +22,16 @@ from cellweave.operators.runs import merge_runs
 from cellweave.session import cut_lineage, div, lookup, remove_step, write_step
 
 TILE = 1024
+#: Squares that are united in each direction at a level.
+FAN = 4
 # A cell number orders cells by row, then column; columns span 29 bits.
 BITS, SHIFT = 29, 1 << 28
 
 
+def cell_number(r, c):
+    return F.shiftleft(r, BITS) + c + SHIFT
+
+
 def cell_row(number):
     return F.shiftright(number, BITS)
 
@@ -31,22 +40,29 @@ def cell_col(number):
     return number.bitwiseAND((1 << BITS) - 1) - SHIFT
 
 
-def _touching(feature: np.ndarray, r: np.ndarray, c0: np.ndarray, c1: np.ndarray, reach: int):
-    """Index pairs of runs of one feature that touch from one row to the next.
+#: What links the cells of a part: for each difference in rows the largest difference in columns.
+EIGHT, FOUR = (1, 1), (1, 0)
 
-    Runs are sorted by feature, row and column. Rows are laid end to end, a
-    blank row after each feature, so neighbours differ by the width of a row.
+
+def _touching(feature: np.ndarray, r: np.ndarray, c0: np.ndarray, c1: np.ndarray, link: Sequence[int]):
+    """Index pairs of runs of one feature that are linked.
+
+    Runs are sorted by feature, row and column. Rows are laid end to end, blank
+    rows after each feature, so neighbours differ by the width of a row.
     """
-    base = c0.min() - 2
-    wide = int(c1.max() - base) + 3
-    line = feature * (int(r.max() - r.min()) + 2) + (r - r.min())
+    most = max(link)
+    base = c0.min() - most - 1
+    wide = int(c1.max() - base) + most + 2
+    line = feature * (int(r.max() - r.min()) + len(link)) + (r - r.min())
     starts, ends = line * wide + (c0 - base), line * wide + (c1 - base)
-    lo = np.searchsorted(ends, starts + wide - reach, side="left")
-    hi = np.searchsorted(starts, ends + wide + reach, side="right")
-    n = np.maximum(hi - lo, 0)
-    a = np.repeat(np.arange(len(r)), n)
-    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    return a, b
+    beside = np.flatnonzero((np.diff(line) == 0) & (starts[1:] - ends[:-1] <= link[0]))
+    pairs = [(beside, beside + 1)]
+    for d, reach in enumerate(link[1:], 1):
+        lo = np.searchsorted(ends, starts + d * wide - reach, side="left")
+        hi = np.searchsorted(starts, ends + d * wide + reach, side="right")
+        n = np.maximum(hi - lo, 0)
+        pairs.append((np.repeat(np.arange(len(r)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)))
+    return tuple(np.concatenate(x) for x in zip(*pairs))
 
 
 def _smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,7 +77,7 @@ def _smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _label_tiles(runs: DataFrame, keys: list[str], reach: int, tile: int) -> DataFrame:
+def _label_tiles(runs: DataFrame, keys: list[str], link: Sequence[int], tile: int) -> DataFrame:
     """Runs cut at tile borders, with the first cell of their part of the tile.
 
     All features of a tile are labelled by one call, so many small features
@@ -79,13 +95,10 @@ def _label_tiles(runs: DataFrame, keys: list[str], reach: int, tile: int) -> Dat
         r, c0, c1 = (table[x].to_numpy() for x in ("r", "c0", "c1"))
         if c0.min() < -SHIFT or c1.max() >= SHIFT:
             raise ValueError(f"columns of parts have to lie from {-SHIFT} to {SHIFT - 1}")
-        feature = np.zeros(len(r), np.int64)
-        if keys:
-            named = table.select(keys).to_pandas()
-            feature = named.groupby(keys, sort=False, dropna=False).ngroup().to_numpy().astype(np.int64)
+        feature = _features(table, keys)
         order = np.lexsort((c0, r, feature))
         table, feature, r, c0, c1 = table.take(order), feature[order], r[order], c0[order], c1[order]
-        first = _smallest_linked(len(r), *_touching(feature, r, c0, c1, reach))
+        first = _smallest_linked(len(r), *_touching(feature, r, c0, c1, link))
         number = (r[first] << BITS) + (c0[first] + SHIFT)
         return table.select(cols).append_column("label", pa.array(number))
 
@@ -94,36 +107,90 @@ def _label_tiles(runs: DataFrame, keys: list[str], reach: int, tile: int) -> Dat
     return pieces.groupBy("tile_r", "tile_c").applyInArrow(kernel, schema + ", label long")
 
 
-def _border_edges(pieces: DataFrame, keys: list[str], reach: int, tile: int) -> DataFrame:
-    """Pairs of labels that touch across a tile border."""
-    a = pieces.select(*keys, "r", "c0", "c1", F.col("label").alias("a"))
-    # Downwards: the last row of a tile against the first row of the tiles below.
-    near = F.sequence(div(F.col("c0") - reach, tile), div(F.col("c1") + reach, tile))
-    above = a.filter(F.pmod("r", F.lit(tile)) == tile - 1).select(
-        *keys, (F.col("r") + 1).alias("r"), F.explode(near).alias("tile_c"),
-        F.col("c0").alias("p0"), F.col("c1").alias("p1"), "a",
-    )
-    below = pieces.filter(F.pmod("r", F.lit(tile)) == 0).select(
-        *keys, "r", "tile_c", "c0", "c1", F.col("label").alias("b")
-    )
-    down = (
-        above.join(below, [*keys, "r", "tile_c"])
-        .filter((F.col("c0") <= F.col("p1") + reach) & (F.col("c1") >= F.col("p0") - reach))
-        .select(*keys, "a", "b")
-    )
-    # Sideways: the last column of a tile against the first column of the next.
-    left = a.filter(F.pmod("c1", F.lit(tile)) == tile - 1).select(
-        *keys,
-        F.explode(F.sequence(F.col("r") - reach, F.col("r") + reach)).alias("r"),
-        (F.col("c1") + 1).alias("c0"),
-        "a",
-    )
-    right = pieces.filter(F.pmod("c0", F.lit(tile)) == 0).select(*keys, "r", "c0", F.col("label").alias("b"))
-    side = left.join(right, [*keys, "r", "c0"]).select(*keys, "a", "b")
-    both = down.unionByName(side)
-    return both.select(
-        *keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    ).filter("u > v").distinct()
+def _nodes(feature: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct pairs of feature and label, in that order, and one place of each."""
+    order = np.lexsort((label, feature))
+    first = np.append(True, (np.diff(feature[order]) != 0) | (np.diff(label[order]) != 0))
+    number = np.empty(len(label), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return number, order[first]
+
+
+def merge_borders(pieces: DataFrame, keys: list[str], link: Sequence[int], tile: int) -> DataFrame | None:
+    """``label, root`` for every label that is not the smallest of its part; none if no two touch.
+
+    Tiles are united by ``FAN`` in each direction, level by level. A level knows
+    the runs on the outer borders of what it unites, joins the labels that touch
+    there, hands on the runs on its own outer border, and notes which label became
+    which. So the number of rounds is that of the levels, whatever the shape
+    of the parts, and a task holds a border and not an area. At last the notes are
+    followed from the highest level down.
+    """
+    ends = pieces.agg(*[f(x) for x in ("tile_r", "tile_c") for f in (F.min, F.max)]).first()
+    if ends[0] is None:
+        return None
+    r0, c0 = ends[0] * tile, ends[2] * tile
+    span, side, notes = max(ends[1] - ends[0], ends[3] - ends[2]) + 1, tile, []
+    runs = pieces.select(*keys, "r", "c0", "c1", "label").filter(_on_border(r0, c0, side, link))
+    spark, fields = pieces.sparkSession, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema)
+    while side < tile * span:
+        side *= FAN
+        square = {"sr": div(F.col("r") - r0, side), "sc": div(F.col("c0") - c0, side)}
+        united = runs.withColumns(square).groupBy("sr", "sc").applyInArrow(_unite(keys, link), fields + ", old long")
+        united, path = write_step(united.filter(F.col("old").isNotNull() | _on_border(r0, c0, side, link)))
+        note = united.filter(F.col("old").isNotNull()).select(*keys, "old", "label")
+        notes.append((note, note.count(), path))
+        runs = united.filter(F.col("old").isNull()).drop("old")
+    roots, held = None, None
+    for note, count, path in reversed(notes):
+        if count:
+            if roots is not None:
+                note = lookup(note, roots, [*keys, "label"], count)
+                note = note.select(*keys, "old", F.coalesce("root", "label").alias("label"))
+            note = note.select(*keys, F.col("old").alias("label"), F.col("label").alias("root"))
+            before = held
+            roots, held = write_step(note if roots is None else roots.unionByName(note))
+            if before is not None:
+                remove_step(spark, before)
+        remove_step(spark, path)
+    return roots
+
+
+def _on_border(r0: int, c0: int, side: int, link: Sequence[int]):
+    """Whether a run, which lies in one square, may be linked to one outside its square."""
+    r, rows, most = F.pmod(F.col("r") - r0, F.lit(side)), len(link) - 1, max(link)
+    left, right = F.pmod(F.col("c0") - c0, F.lit(side)), F.pmod(F.col("c1") - c0, F.lit(side))
+    return (r < rows) | (r >= side - rows) | (left < most) | (right >= side - most)
+
+
+def _unite(keys: list[str], link: Sequence[int]):
+    """The kernel of a level: runs with new labels, and the labels that changed."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.drop_columns(["sr", "sc"]).combine_chunks()
+        r, c0, c1, label = (table[x].to_numpy() for x in ("r", "c0", "c1", "label"))
+        feature = _features(table, keys)
+        order = np.lexsort((c0, r, feature))
+        table, feature, r, c0, c1, label = table.take(order), feature[order], r[order], c0[order], c1[order], label[order]
+        a, b = _touching(feature, r, c0, c1, link)
+        node, at = _nodes(feature, label)
+        root = _smallest_linked(len(at), node[a], node[b])
+        names = label[at]
+        place = table.schema.get_field_index("label")
+        kept = table.set_column(place, "label", pa.array(names[root[node]]))
+        kept = kept.append_column("old", pa.nulls(len(r), pa.int64()))
+        gone = np.flatnonzero(root != np.arange(len(at)))
+        noted = table.take(at[gone]).set_column(place, "label", pa.array(names[root[gone]]))
+        return pa.concat_tables([kept, noted.append_column("old", pa.array(names[gone]))])
+
+    return kernel
+
+
+def _features(table: pa.Table, keys: list[str]) -> np.ndarray:
+    if not keys:
+        return np.zeros(table.num_rows, np.int64)
+    named = table.select(keys).to_pandas()
+    return named.groupby(keys, sort=False, dropna=False).ngroup().to_numpy().astype(np.int64)
 
 
 def _star(edges: DataFrame, keys: list[str], rows: int, large: bool) -> DataFrame:
@@ -188,13 +255,20 @@ def label_parts(runs: DataFrame, keys: list[str], diagonal: bool = True, tile: i
     Parts are 8-connected with ``diagonal``, else 4-connected, and never join
     runs of different keys.
     """
-    reach = int(diagonal)
-    pieces = cut_lineage(_label_tiles(runs, keys, reach, tile))
-    roots = star_components(_border_edges(pieces, keys, reach, tile), keys)
+    return link_parts(runs, keys, EIGHT if diagonal else FOUR, tile)
+
+
+def link_parts(runs: DataFrame, keys: list[str], link: Sequence[int], tile: int = TILE) -> DataFrame:
+    """As ``label_parts``, for cells that are linked over some distance.
+
+    Cells ``d`` rows apart are linked if their columns differ by ``link[d]`` at
+    most, and not at all if there is no such entry.
+    """
+    pieces = cut_lineage(_label_tiles(runs, keys, link, tile))
+    roots = merge_borders(pieces, keys, link, tile)
     if roots is None:
         named = pieces.withColumnRenamed("label", "_n")
     else:
-        roots = roots.withColumnRenamed("u", "label")
         named = lookup(pieces, roots, [*keys, "label"], pieces.count())
         named = named.withColumn("_n", F.coalesce("root", "label"))
     merged = merge_runs(named, [*keys, "_n"])

@@ -282,6 +282,6 @@ def test_steps_are_removed(spark):
     place = spark._jvm.org.apache.hadoop.fs.Path(session.shared_dir(spark))
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
     before = len(files.listStatus(place))
-    # The pieces and the last star round are still read; rounds before it are gone.
+    # The pieces and what their labels became are still read; the levels are gone.
     assert session.clear_steps(spark) == 2
     assert len(files.listStatus(place)) == before - 2
