@@ -6,7 +6,9 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from cellweave.operators.distance import distance_transform
 from cellweave.operators.tiles import (
     Shape,
     any_within,
@@ -72,8 +74,17 @@ def reach(limit: float, size: float) -> int:
     return math.ceil(limit / size) - 1
 
 
-def euclid_distance(cells: DataFrame, code: int, limit: float, size: float = 30.0, tile: int = TILE) -> DataFrame:
-    """``r, c, dist`` to the nearest cell of a class, null from ``limit`` on."""
+def euclid_distance(
+    cells: DataFrame, code: int, limit: float | None = None, size: float = 30.0, tile: int = TILE
+) -> DataFrame:
+    """``r, c, dist`` to the nearest cell of a class, null from ``limit`` on.
+
+    Short limits are looked up in tiles with a halo. One that does not fit a
+    tile, and none at all, take the exact transform of the whole grid.
+    """
+    if limit is None or reach(limit, size) >= tile:
+        far = distance_transform(cells, F.col("v") == code, size)
+        return far if limit is None else far.withColumn("dist", F.when(F.col("dist") < limit, F.col("dist")))
     n = reach(limit, size)
 
     def compute(grid):

@@ -9,11 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cellweave.functions.columns import plain
-from cellweave.model import GridSpec
-from cellweave.operators.runs import in_blocks, to_runs
-from cellweave.session import broadcast_if_small, cut_lineage, div
+from cellweave.model import CELLS, GridSpec
+from cellweave.operators.quadtree import COVER_BYTES, inside
+from cellweave.operators.runs import to_runs
+from cellweave.operators.tiles import SEGMENT as PACKED
+from cellweave.operators.tiles import _packed, _unpacked
+from cellweave.session import cut_lineage, div
 
 RC = ["r", "c"]
 
@@ -36,10 +41,10 @@ def stack_layers(cells: DataFrame, names: list[str]) -> DataFrame:
 
 def extent_clip(cells: DataFrame, r0: int = 0, r1: int | None = None, c0: int = 0, c1: int | None = None) -> DataFrame:
     """Cells inside a rectangle, open where no bound is given; the filter reaches the scan."""
-    inside = (F.col("r") >= r0) & (F.col("c") >= c0)
+    within = (F.col("r") >= r0) & (F.col("c") >= c0)
     for name, bound in (("r", r1), ("c", c1)):
-        inside = inside if bound is None else inside & (F.col(name) <= bound)
-    return cells.filter(inside)
+        within = within if bound is None else within & (F.col(name) <= bound)
+    return cells.filter(within)
 
 
 def polygon_edges(points: DataFrame) -> DataFrame:
@@ -92,74 +97,17 @@ def polygon_spans(edges: DataFrame, spec: GridSpec, band: int = 4096) -> DataFra
     return spans.select("r", c0.alias("c0"), c1.alias("c1")).filter("c0 <= c1")
 
 
-#: Runs up to this count are broadcast.
-SPAN_LIMIT = 500_000
-#: Columns by which runs and cells meet; neighbouring cells are packed into records of SEGMENT at most.
-SPAN_BLOCK, SEGMENT = 1024, 64
+def spans_semi(cells: DataFrame, spans: DataFrame, limit: int = COVER_BYTES) -> DataFrame:
+    """Cells lying in any of some runs, by a quadtree cover that is broadcast up to ``limit`` bytes."""
+    return inside(cells, spans, limit=limit)
 
 
-def _span_pieces(spans: DataFrame) -> DataFrame:
-    cut = in_blocks(spans.select("r", "c0", "c1"), SPAN_BLOCK)
-    return cut.withColumnsRenamed({"r": "sr", "c0": "s0", "c1": "s1", "block": "sb"})
+def spans_flag(cells: DataFrame, spans: DataFrame, name: str, limit: int = COVER_BYTES) -> DataFrame:
+    """``cells`` with a column that tells whether they lie in any of some runs."""
+    return inside(cells, spans, name, limit)
 
 
-def _in_span():
-    return (
-        (F.col("r") == F.col("sr"))
-        & (div(F.col("c"), SPAN_BLOCK) == F.col("sb"))
-        & F.col("c").between(F.col("s0"), F.col("s1"))
-    )
-
-
-def _packed_rows(cells: DataFrame) -> DataFrame:
-    """Neighbouring cells of a row as one record ``pr, pb, rows``, packed batch by batch."""
-
-    def pack(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = batch.sort_by([("r", "ascending"), ("c", "ascending")])
-            r, c = (batch.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
-            first = (np.diff(r) != 0) | (np.diff(c // SEGMENT) != 0)
-            start = np.flatnonzero(np.concatenate(([True], first)))
-            rows = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(r)).astype(np.int32)), rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r[start]), pa.array(c[start] // SPAN_BLOCK), lists], names=["pr", "pb", "rows"]
-            )
-
-    return cells.mapInArrow(pack, f"pr long, pb long, rows array<{cells.schema.simpleString()}>")
-
-
-def spans_semi(cells: DataFrame, spans: DataFrame, limit: int = SPAN_LIMIT) -> DataFrame:
-    """Cells lying in any of some disjoint runs: an equi-join on row and column block.
-
-    Runs are counted before they are cut into blocks. Up to ``limit`` they are
-    broadcast and cells stay where they are; beyond it, records of packed cells
-    meet the list of runs of their block, and no cell is shuffled on its own.
-    """
-    spans = cut_lineage(spans.select("r", "c0", "c1"))
-    pieces = _span_pieces(spans)
-    if spans.count() <= limit:
-        return cells.join(F.broadcast(pieces), _in_span(), "left_semi")
-    listed = pieces.groupBy(F.col("sr").alias("pr"), F.col("sb").alias("pb")).agg(
-        F.collect_list(F.struct("s0", "s1")).alias("spans")
-    )  # half a block of runs at most
-    met = _packed_rows(cells).join(listed, ["pr", "pb"])
-    kept = F.filter(
-        "rows",
-        lambda x: F.exists("spans", lambda s: (s["s0"] <= x["c"]) & (x["c"] <= s["s1"])),
-    )
-    return met.select(F.explode(kept).alias("x")).select("x.*")
-
-
-def spans_flag(cells: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    """``cells`` with a column that tells whether they lie in any of some disjoint runs."""
-    pieces = _span_pieces(broadcast_if_small(spans, SPAN_LIMIT))
-    return cells.join(pieces, _in_span(), "left").withColumn(name, F.col("sr").isNotNull()).drop("sr", "s0", "s1", "sb")
-
-
-def extract_by_mask(cells: DataFrame, mask: DataFrame, limit: int = SPAN_LIMIT) -> DataFrame:
+def extract_by_mask(cells: DataFrame, mask: DataFrame, limit: int = COVER_BYTES) -> DataFrame:
     """Cells inside a mask grid, which is turned into runs first."""
     return spans_semi(cells, to_runs(mask, []), limit)
 
@@ -193,11 +141,65 @@ def align_to_template(
         raise ValueError(f"coordinate systems differ: {spec.crs} and {template_spec.crs}")
     if spec == template_spec:
         return cells
-    src_r = F.floor(spec.row(template_spec.y(F.col("r"))))
-    src_c = F.floor((template_spec.x(F.col("c")) - spec.x0) / spec.size)
-    wanted = template.select(*RC, src_r.alias("sr"), src_c.alias("sc"))
-    source = cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "v")
-    return wanted.join(source, ["sr", "sc"], "left").select(*RC, "v")
+    return gather(cells, spec, template, template_spec)
+
+
+#: Side of the squares of source cells that meet the template's cells over them.
+SQUARE = 256
+
+
+def gather(cells: DataFrame, spec: GridSpec, template: DataFrame, template_spec: GridSpec, square: int = SQUARE) -> DataFrame:
+    """Values of the source cells below the centres of the template's cells, null where there is none.
+
+    Rows map to rows and columns to columns, so a run of template cells over one
+    square of source cells travels as one record, and source cells travel packed:
+    each side is shuffled once, by square, and no cell on its own.
+    """
+
+    def source_of(r, c):
+        sr = np.floor(spec.row(template_spec.y(r))).astype(np.int64)
+        return sr, np.floor((template_spec.x(c) - spec.x0) / spec.size).astype(np.int64)
+
+    def runs(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r, c = (batch.column(x).to_numpy() for x in ("r", "c"))
+            order = np.lexsort((c, r))
+            r, c = r[order], c[order]
+            sr, sc = source_of(r, c)
+            at = np.stack([r, sr // square, sc // square])
+            start = np.flatnonzero(np.append(True, (np.diff(at, axis=1) != 0).any(axis=0) | (np.diff(c) != 1)))
+            n = np.diff(np.append(start, len(r)))
+            cols = [at[1, start], at[2, start], r[start], c[start], n]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["sr", "sc", "r", "c", "n"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return empty
+        n = left["n"].to_numpy()
+        r = np.repeat(left["r"].to_numpy(), n)
+        c = np.repeat(left["c"].to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        values = pa.nulls(len(r), empty.schema.field("v").type)
+        if right.num_rows:
+            sr, sc, stored = _unpacked(right, ["v"])
+            place = np.full((square, square), -1)
+            place[sr % square, sc % square] = np.arange(len(sr))
+            wr, wc = source_of(r, c)
+            found = place[wr % square, wc % square]
+            values = stored["v"].take(pa.array(found, mask=found < 0))
+            values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+        return pa.Table.from_arrays([pa.array(r), pa.array(c), values], names=["r", "c", "v"])
+
+    if square % PACKED:
+        raise ValueError(f"a square has to be a multiple of {PACKED} cells wide")
+    kind = cells.schema["v"].dataType
+    empty = to_arrow_schema(T.StructType([CELLS["r"], CELLS["c"], T.StructField("v", kind)])).empty_table()
+    wanted = template.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    wanted = wanted.mapInArrow(runs, "sr long, sc long, r long, c long, n long")
+    packed = _packed(cells, ["v"]).select(div(F.col("r"), square).alias("sr"), div(F.col("c0"), square).alias("sc"), "r", "c0", "v")
+    left, right = (x.groupBy("sr", "sc") for x in (wanted, packed))
+    return left.cogroup(right).applyInArrow(meet, f"r long, c long, v {kind.simpleString()}")
 
 
 def pyramid_level(cells: DataFrame, factor: int) -> DataFrame:
@@ -212,6 +214,75 @@ def pyramid_level(cells: DataFrame, factor: int) -> DataFrame:
     )
 
 
+def pyramid_levels(cells: DataFrame, levels: int, side_bits: int = 10) -> DataFrame:
+    """``level, r, c, v``: overviews of every level up to ``levels``, each of half the resolution of the one before.
+
+    A level's cell has the commonest class of the cells below it, as
+    ``pyramid_level`` does, from the histogram of four cells of the level below:
+    cells are read and shuffled once, packed, by squares of ``2 ** side_bits``.
+    Levels above a square go on from the histograms of whole squares.
+    """
+    low = min(levels, side_bits)
+    schema = "level int, r long, c long, v int, n long"
+
+    def kernel(key: tuple, table: pa.Table) -> pa.Table:
+        r, c, stored = _unpacked(table, ["v"])
+        side = 1 << low
+        r0, c0 = key[0].as_py() * side, key[1].as_py() * side
+        valid = stored["v"].is_valid().to_numpy()
+        values = stored["v"].fill_null(0).to_numpy()
+        held = np.zeros((side, side), bool)
+        held[r - r0, c - c0] = True
+        best = [(np.zeros((side >> k, side >> k), np.int64), np.zeros((side >> k, side >> k), np.int64)) for k in range(1, low + 1)]
+        whole = []
+        for code in np.unique(values[valid]):  # from the lowest code: ties stay with it
+            count = np.zeros((side, side), np.int64)
+            at = valid & (values == code)
+            count[r[at] - r0, c[at] - c0] = 1
+            for value, most in best:
+                count = _fours(count)
+                ahead = count > most
+                value[ahead], most[ahead] = code, count[ahead]
+            whole.append((code, int(count.sum())))
+        parts = []
+        for k, (value, most) in enumerate(best, 1):
+            held = _fours(held) > 0
+            i, j = np.nonzero(held)
+            v = pa.array(value[i, j], pa.int32(), mask=most[i, j] == 0)
+            parts.append((np.full(len(i), k), (r0 >> k) + i, (c0 >> k) + j, v, np.full(len(i), -1)))
+        if low < levels:
+            there = np.full(len(whole) + 1, 0)
+            v = pa.array([None, *[code for code, _ in whole]], pa.int32())
+            parts.append((there, there + key[0].as_py(), there + key[1].as_py(), v, np.array([0, *[n for _, n in whole]])))
+        columns = [np.concatenate(x) for x in zip(*[(a, b, d, f) for a, b, d, _, f in parts])]
+        vs = pa.chunked_array([p[3] for p in parts])
+        return pa.Table.from_arrays(
+            [pa.array(columns[0], pa.int32()), pa.array(columns[1]), pa.array(columns[2]), vs, pa.array(columns[3])],
+            names=["level", "r", "c", "v", "n"],
+        )
+
+    packed = _packed(cells.withColumn("v", F.col("v").cast("int")), ["v"], min(PACKED, 1 << low))
+    squares = packed.withColumns({"sr": div(F.col("r"), 1 << low), "sc": div(F.col("c0"), 1 << low)})
+    found = squares.groupBy("sr", "sc").applyInArrow(kernel, schema)
+    if low == levels:
+        return found.drop("n")
+    found = cut_lineage(found)
+    out = found.filter("n < 0").drop("n")
+    hist = found.filter("n >= 0").select("r", "c", "v", "n")
+    for level in range(low + 1, levels + 1):
+        hist = cut_lineage(hist.groupBy(div(F.col("r"), 2).alias("r"), div(F.col("c"), 2).alias("c"), "v").agg(F.sum("n").alias("n")))
+        best = F.max_by("v", F.when(F.col("n") > 0, F.struct("n", -F.col("v"))))
+        modes = hist.groupBy("r", "c").agg(best.alias("v"))
+        out = out.unionByName(modes.select(F.lit(level).alias("level"), "r", "c", "v"))
+    return out
+
+
+def _fours(grid: np.ndarray) -> np.ndarray:
+    """Sums of squares of two by two."""
+    n = len(grid) // 2
+    return grid.reshape(n, 2, n, 2).sum(axis=(1, 3), dtype=np.int64)
+
+
 def extent_rect(cells: DataFrame, spec: GridSpec) -> DataFrame:
     """``xmin ymin xmax ymax`` of the extent."""
     xmin, xmax = spec.x0 + F.min("c") * spec.size, spec.x0 + (F.max("c") + 1) * spec.size

@@ -29,7 +29,7 @@ Shape = list[int]  # half-width of each row, from the top row to the bottom one
 Grid = tuple[np.ndarray, np.ndarray]  # values, and where they are not NoData
 
 
-def _packed(df: DataFrame, layers: list[str]) -> DataFrame:
+def _packed(df: DataFrame, layers: list[str], segment: int = SEGMENT) -> DataFrame:
     """Neighbouring cells of a row as one record ``r, c0`` with a list per layer.
 
     Packed batch by batch before the shuffle, so it moves and sorts few records.
@@ -42,7 +42,7 @@ def _packed(df: DataFrame, layers: list[str]) -> DataFrame:
                 continue
             batch = batch.sort_by([("r", "ascending"), ("c", "ascending")])
             r, c = batch.column("r").to_numpy(), batch.column("c").to_numpy()
-            first = (np.diff(r) != 0) | (np.diff(c) != 1) | (c[1:] % SEGMENT == 0)
+            first = (np.diff(r) != 0) | (np.diff(c) != 1) | (c[1:] % segment == 0)
             start = np.flatnonzero(np.concatenate(([True], first)))
             offsets = pa.array(np.append(start, len(r)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, batch.column(x)) for x in layers]

@@ -11,8 +11,6 @@ around them, go through the shuffle; all other cells pass from the scan.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +18,15 @@ from pyspark.sql import functions as F
 from cellweave.functions import codes
 from cellweave.operators.neighbourhood import reach
 from cellweave.operators.tiles import Grid, any_within, commonest, square, tile_map
-from cellweave.session import broadcast_if_small, div
+from cellweave.session import cut_lineage, div
 
 NATURAL, ANTHROPOGENIC = 31, 32
 FILTER, GROWTH = 1, 3
 NEAR, SIZE = 100.0, 30.0
 REACH = max(FILTER + GROWTH, reach(NEAR, SIZE))
 TILE = 512
-#: Side of the blocks that are looked through for barren cells.
-BLOCK = 64
+#: Side of the blocks that are looked through for barren cells, and how many of them are marked at most.
+BLOCK, MARKED = 64, 200_000
 
 
 def _near_shape() -> list[int]:
@@ -102,7 +100,7 @@ def barren_chain(
         yield "_barren", grid("_barren")
 
     halo = REACH * max(len(new), 1)
-    marked = mark_barren(stack, [layer.format(y) for y in new], halo)
+    marked = mark_barren(stack, [layer.format(y) for y in new], REACH)
     shuffled = marked.filter("_barren is not null")
     names = {out.format(y): "int" for y in years} | {"_barren": "int"}
     solved = tile_map(shuffled, [*inputs, "_barren"], halo, tile, compute, names).filter("_barren = 1")
@@ -111,18 +109,31 @@ def barren_chain(
     return solved.drop("_barren").unionByName(passed)
 
 
-def mark_barren(stack: DataFrame, layers: list[str], halo: int, block: int = BLOCK) -> DataFrame:
-    """``stack`` with ``_barren``: 1 in blocks with a barren cell, 0 in blocks their halo reaches, else null."""
-    barren = reduce(lambda a, b: a | b, [F.col(x) == NATURAL for x in layers], F.lit(False))
-    br, bc = div(F.col("r"), block), div(F.col("c"), block)
-    hold = stack.filter(barren).select(br.alias("_br"), bc.alias("_bc")).distinct()
-    n = -(-halo // block)
-    steps = F.explode(F.sequence(F.lit(-n), F.lit(n)))
+def mark_barren(stack: DataFrame, layers: list[str], halo: int, block: int = BLOCK, limit: int = MARKED) -> DataFrame:
+    """``stack`` with ``_barren``: 1 in blocks with a barren cell, 0 in blocks their halo reaches, else null.
+
+    ``halo`` is that of a single layer. Each layer of a chain looks at the one
+    before, so a block whose last barren layer comes early is reached from less
+    far. Blocks that hold a barren cell are counted; while there are more than
+    ``limit``, four of them become one. So the mark is always broadcast and no
+    cell is shuffled to meet it, whatever the grid.
+    """
+    last = F.greatest(*[F.when(F.col(x) == NATURAL, k) for k, x in enumerate(layers)], *[F.lit(None).cast("int")] * 2)
+    at = {"_br": div(F.col("r"), block), "_bc": div(F.col("c"), block)}
+    hold = stack.withColumn("_last", last).filter("_last is not null")
+    hold = cut_lineage(hold.groupBy(*[x.alias(n) for n, x in at.items()]).agg(F.max("_last").alias("_last")))
+    while hold.count() > max(limit, 1):
+        block *= 2
+        larger = [div(F.col(x), 2).alias(x) for x in ("_br", "_bc")]
+        hold = cut_lineage(hold.groupBy(*larger).agg(F.max("_last").alias("_last")))
+    n = F.ceil((F.col("_last") + 1) * halo / block)
+    steps = F.explode(F.sequence(-n, n))
     around = hold.withColumn("_dr", steps).withColumn("_dc", steps)
     own = ((F.col("_dr") == 0) & (F.col("_dc") == 0)).cast("int")
     reached = around.groupBy((F.col("_br") + F.col("_dr")).alias("_br"), (F.col("_bc") + F.col("_dc")).alias("_bc"))
-    blocks = broadcast_if_small(reached.agg(F.max(own).alias("_barren")))
-    return stack.withColumns({"_br": br, "_bc": bc}).join(blocks, ["_br", "_bc"], "left").drop("_br", "_bc")
+    blocks = F.broadcast(cut_lineage(reached.agg(F.max(own).alias("_barren"))))
+    at = {"_br": div(F.col("r"), block), "_bc": div(F.col("c"), block)}
+    return stack.withColumns(at).join(blocks, ["_br", "_bc"], "left").drop("_br", "_bc")
 
 
 def barren_split(stack: DataFrame, current: str, ref: str, schema: str, tile: int = TILE) -> DataFrame:

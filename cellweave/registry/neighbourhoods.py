@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import codes
 from cellweave.functions.columns import indicator
 from cellweave.operators import neighbourhood as near
+from cellweave.operators.distance import distance_transform
 from cellweave.operators.tiles import circle, square
 from cellweave.plans import barren, landscape
 from cellweave.plans.proportions import lc_proportions, lc_proportions_years
@@ -120,6 +121,23 @@ def within_distance(spark, d):
     return near.within_distance(grid.layer(spark, d, "lc_1992"), 32, 100.0, tile=TILE)
 
 
+_RARE = "event_id % 1709 = 111"
+
+
+@query(
+    "euclid_distance_far",
+    sql(
+        f"SELECT s.r, s.c, min(30 * sqrt(CAST((s.r - f.r) * (s.r - f.r) + (s.c - f.c) * (s.c - f.c) AS DOUBLE))) AS dist "
+        f"FROM stack s, (SELECT r, c FROM ev WHERE {_RARE}) f GROUP BY s.r, s.c"
+    ),
+)
+def euclid_distance_far(spark, d):
+    """Distances to a few cells; bands are low, so that most distances span many of them."""
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    cells = ev.select(div(F.col("event_id"), 100).alias("r"), F.pmod("event_id", F.lit(100)).alias("c"), F.expr(_RARE).alias("rare"))
+    return distance_transform(cells, F.col("rare"), band_cells=400)
+
+
 @query(
     "expand_class",
     sql(

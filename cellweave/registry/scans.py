@@ -50,12 +50,33 @@ def order_layers(spark, d):
 @query(
     "list_layers",
     sql(
-        "SELECT layer FROM names WHERE regexp_matches(layer, '^lc_') AND regexp_matches(layer, '1993|1995|1997')",
-        ORDER_LAYERS,
+        "SELECT DISTINCT layer FROM cells WHERE regexp_matches(layer, '^lc_') "
+        "AND regexp_matches(layer, '2001|2011|2021')"
     ),
 )
 def list_layers(spark, d):
-    return store.list_layers(order_layers(spark, d), "^lc_", "1993|1995|1997")
+    """Names of layers that were stored, from the block log: no cell is read."""
+    path = shared_path(spark, "cells")
+    store.write_cells(grid.cells(spark, d), path)
+    return store.stored_layers(spark, path, "^lc_", "2001|2011|2021").select("layer")
+
+
+@query(
+    "stored_layers",
+    sql(
+        "SELECT layer, year, count(*) AS n, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, "
+        "min(v) AS v0, max(v) AS v1, round(avg(v), 6) AS mean_v, round(stddev_pop(v), 6) AS std_v "
+        "FROM cells SEMI JOIN mask USING (r, c) GROUP BY layer, year"
+    ),
+)
+def stored_layers(spark, d):
+    """Counts, extents and statistics of layers that arrived in two lots."""
+    path, mask = shared_path(spark, "cells"), grid.study_mask(spark, d)
+    cells = grid.cells(spark, d)
+    ingest_batch(cells.filter("r % 4 < 2"), path, "first", mask)
+    ingest_batch(cells, path, "second", mask)
+    out = store.stored_layers(spark, path)
+    return out.withColumns({x: F.round(x, 6) for x in ("mean_v", "std_v")})
 
 
 _TAGGED = " UNION ALL ".join(
@@ -96,8 +117,9 @@ _NEW = sql("SELECT layer, year, r, c, v FROM cells WHERE layer NOT IN ('lc_2001'
 
 @query("ingest_new_layers", _NEW)
 def ingest_new_layers(spark, d):
-    incoming = grid.cells(spark, d)
-    return store.new_cells(incoming, grid.cells(spark, d, *EXISTING))
+    path = shared_path(spark, "cells")
+    store.write_cells(grid.cells(spark, d, *EXISTING), path)
+    return store.new_cells(grid.cells(spark, d), store.block_log(spark, path))
 
 
 _STORED = sql("SELECT layer, year, r, c, v FROM cells SEMI JOIN mask USING (r, c)")
@@ -286,6 +308,27 @@ def pyramid_level(spark, d):
     return overlay.pyramid_level(grid.layer(spark, d, "lc_2001"), 4)
 
 
+_LEVELS = 5
+
+
+@query(
+    "pyramid_levels",
+    sql(
+        "SELECT CAST(level AS INTEGER) AS level, r, c, CAST(v AS INTEGER) AS v FROM ("
+        "SELECT k AS level, r >> k AS r, c >> k AS c, v, row_number() OVER (PARTITION BY k, r >> k, c >> k "
+        "ORDER BY count(v) DESC, v) AS i FROM (SELECT r, c, nullif(lc_2001, 0) AS v, "
+        f"unnest(generate_series(1, {_LEVELS})) AS k FROM stack) GROUP BY k, r >> k, c >> k, v) WHERE i = 1"
+    ),
+)
+def pyramid_levels(spark, d):
+    """Every level from one reading; squares are small, so that levels go on above them."""
+    g = grid.layer(spark, d, "lc_2001").withColumn("v", F.nullif("v", F.lit(0)))
+    return overlay.pyramid_levels(g, _LEVELS, side_bits=3)
+
+
+_SCALES = {"fine": GridSpec(15.0, 15.0, 15.0), "same": GridSpec(60.0, -30.0, 30.0), "coarse": GridSpec(15.0, 15.0, 60.0)}
+
+
 @query(
     "align_to_template",
     sql(
@@ -299,3 +342,22 @@ def align_to_template(spark, d):
     half = F.call_function("div", F.col("r"), F.lit(2)), F.call_function("div", F.col("c"), F.lit(2))
     template = g.select(half[0].alias("r"), half[1].alias("c")).distinct()
     return overlay.align_to_template(g, SPEC, template, GridSpec(15.0, 15.0, 60.0))
+
+
+def _aligned_sql(name: str, spec: GridSpec) -> str:
+    y, x = (f"{o} + (t.{k} + 0.5::DOUBLE) * {spec.size}" for o, k in ((spec.y0, "r"), (spec.x0, "c")))
+    return (
+        f"SELECT '{name}' AS scale, t.r, t.c, s.lc_2001 AS v FROM (SELECT r, c FROM stack) t LEFT JOIN stack s "
+        f"ON s.r = CAST(floor(({y}) / 30) AS BIGINT) AND s.c = CAST(floor(({x}) / 30) AS BIGINT)"
+    )
+
+
+@query("align_scales", sql(" UNION ALL ".join(_aligned_sql(n, s) for n, s in _SCALES.items())))
+def align_scales(spark, d):
+    """A grid gathered at the cells of templates of half, equal and double its cell size."""
+    g = grid.layer(spark, d, "lc_2001")
+    out = None
+    for name, spec in _SCALES.items():
+        found = overlay.align_to_template(g, SPEC, g.select("r", "c"), spec).withColumn("scale", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out

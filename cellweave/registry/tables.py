@@ -13,6 +13,8 @@ from cellweave.plans import change, landscape
 from cellweave.registry.base import DETAILED, GENERAL, in_sql, query, remap_sql, sql
 from cellweave.registry.projections import DECODED, SUMMARY_RAT, TO_FROM, summary_rat, to_from
 from cellweave.registry.scans import ORDER_LAYERS, order_layers
+from cellweave.session import shared_path, shuffle_partitions
+from cellweave.sources import coded
 from cellweave.sources import events_grid as grid
 from cellweave.sources.events_grid import LAYERS
 
@@ -29,11 +31,16 @@ YEARS = codes.YEARS
     ),
 )
 def overlay_join(spark, d):
+    """Layers stored as coded rows in equal buckets meet run by run, without a shuffle."""
+
     def layer(name, sentinel=None):
         g = grid.layer(spark, d, name)
-        return g if sentinel is None else g.withColumn("v", col.set_null("v", sentinel))
+        g = g if sentinel is None else g.withColumn("v", col.set_null("v", sentinel))
+        path = shared_path(spark, "coded")
+        coded.write_coded(g, table := path.rpartition("/")[2].replace("-", "_"), path, shuffle_partitions(spark))
+        return spark.table(table)
 
-    g = overlay.overlay_join(
+    g = coded.overlay_coded(
         {
             "t1": layer("lc_2001"),
             "t2": layer("lc_2021"),
@@ -44,6 +51,22 @@ def overlay_join(spark, d):
     return g.select("r", "c", col.change_code("t1", "t2").alias("code"), (F.col("imp") + F.col("can")).alias("cover"))
 
 
+@query(
+    "overlay_counts",
+    sql("SELECT lc_2001, lc_2021, count(*) AS n FROM stack GROUP BY lc_2001, lc_2021"),
+)
+def overlay_counts(spark, d):
+    """Cells of each pair of classes, from the lengths of runs: no cell is spelled out."""
+    tables = {}
+    for name in ("lc_2001", "lc_2021"):
+        path = shared_path(spark, "coded")
+        table = path.rpartition("/")[2].replace("-", "_")
+        coded.write_coded(grid.layer(spark, d, name), table, path, shuffle_partitions(spark))
+        tables[name] = spark.table(table)
+    runs = coded.overlay_runs(tables)
+    return runs.groupBy(*tables).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
+
+
 @query("overlay_stack", sql("SELECT r, c, lc_2001, lc_2011, lc_2021 FROM stack"))
 def overlay_stack(spark, d):
     names = ["lc_2001", "lc_2011", "lc_2021"]

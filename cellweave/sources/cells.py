@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import layer_period
 from cellweave.model import CELLS
-from cellweave.session import broadcast_if_small, div
+from cellweave.session import cut_lineage, div
+from cellweave.sources.blocklog import (
+    ENTRY,
+    NO_BATCH,
+    catalogue,
+    lacking,
+    pack_blocks,
+    read_log,
+    touched,
+    unpack_blocks,
+    write_log,
+)
 
 
 def read_cells(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
@@ -24,7 +36,10 @@ def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int
     tile, so row-group statistics on ``r`` and ``c`` prune extent filters. A
     large layer spreads over tasks by its blocks, and the number of files is that
     of the blocks, not of tasks times layers.
+
+    What was written is read once more, by its own partitions, for the block log.
     """
+    spark = cells.sparkSession
     tr, tc = div(F.col("r"), tile), div(F.col("c"), tile)
     br, bc = div(F.col("r"), tile * block), div(F.col("c"), tile * block)
     parts = ["layer", "year"]
@@ -39,6 +54,43 @@ def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int
         .partitionBy(*parts)
         .parquet(path)
     )
+    layers = [r["layer"] for r in cells.select("layer").distinct().collect()]  # names of layers
+    _log_layers(spark, path, layers, batch)
+
+
+def _log_layers(spark: SparkSession, path: str, layers: list[str] | None, batch: str | None) -> None:
+    """Log the stored cells of some layers, or of all."""
+    written = spark.read.parquet(path)
+    if "batch" not in written.columns:
+        written = written.withColumn("batch", F.lit(NO_BATCH))
+    elif batch is not None:
+        written = written.filter(F.col("batch") == batch)
+    written = written.withColumn("batch", F.coalesce(F.col("batch").cast("string"), F.lit(NO_BATCH)))
+    written = written.withColumn("layer", F.col("layer").cast("string"))
+    write_log(spark, path, written if layers is None else written.filter(F.col("layer").isin(layers)))
+
+
+def block_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The block log of a store, made now if it has none; None where there is no store."""
+    log = read_log(spark, path)
+    if log is None:
+        try:
+            spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+        _log_layers(spark, path, None, None)
+        log = read_log(spark, path)
+    return log
+
+
+def stored_layers(spark: SparkSession, path: str, pattern: str = "", include: str | None = None) -> DataFrame:
+    """Names, years, counts, extents and value ranges of stored layers, from the block log: no cell is read."""
+    log = block_log(spark, path)
+    log = spark.createDataFrame([], ENTRY) if log is None else log
+    keep = F.col("layer").rlike(pattern)
+    return catalogue(log.filter(keep & F.col("layer").rlike(include) if include else keep))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -62,20 +114,14 @@ def stack_tagged(tables: dict[str, DataFrame], tag: str = "data") -> DataFrame:
     return out.withColumn("chg_years", layer_period(tag))
 
 
-def new_cells(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Cells the target does not hold yet, be their layer new or known.
+def new_cells(incoming: DataFrame, log: DataFrame) -> DataFrame:
+    """Cells that a store does not hold yet by its block log, be their layer new or known.
 
-    Cells of new layers pass as they are. Those of layers that the target knows
-    are compared cell by cell, so a layer may arrive in any number of lots and a
-    repeated lot adds nothing. The names of known layers are counted before they
-    are broadcast: layers are few and large, and not shuffled by name.
+    Incoming cells meet bitmaps, block by block: a layer may arrive in any number
+    of lots and a repeated lot adds nothing. No stored cell is read or shuffled.
     """
-    named = existing.select("layer").distinct().withColumn("_known", F.lit(True))
-    known = broadcast_if_small(named)
-    marked = incoming.join(known, "layer", "left")
-    fresh = marked.filter(F.col("_known").isNull()).drop("_known")
-    late = marked.filter("_known").drop("_known")
-    return fresh.unionByName(late.join(existing.select("layer", "r", "c"), ["layer", "r", "c"], "left_anti"))
+    packed = cut_lineage(pack_blocks(incoming))
+    return unpack_blocks(lacking(packed, touched(log, packed)))
 
 
 def write_bucketed(layer: DataFrame, table: str, path: str, buckets: int) -> None:
