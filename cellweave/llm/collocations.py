@@ -11,10 +11,11 @@ the length before. It is broadcast; its size is fixed by ``SIEVE_BITS`` however
 many phrases there are, and what it lets through wrongly costs a count, no more.
 
 A last reading takes all occurrences whose fingerprints pass the sieves. In a
-task, occurrences of equal fingerprint are compared word by word with the first of
-them; those that differ are told apart. What leaves it is a pointer to the first
-occurrence and the text, so the shuffle adds up counts of equal text: fingerprints
-that collide cannot join two phrases. Only frequent phrases are ever spelled out.
+task, each occurrence is compared word by word with the first of its fingerprint;
+those that differ are told apart. What leaves the task is a pointer to the first
+occurrence, its count and its text, so the shuffle adds up counts of equal text:
+fingerprints that collide cannot join two phrases. Only phrases that pass, the
+frequent ones and a few more, are ever spelled out.
 
 Defined results: null texts and languages are empty text and ``und``. Repeated
 rows count each. Ids only serve to point at an example, null ones too; other
@@ -26,7 +27,7 @@ the smaller text by bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -44,9 +45,9 @@ UNKNOWN = "und"
 #: A sieve has this many bits for each fingerprint, within these powers of two.
 SIEVE_SPARE, SIEVE_LEAST, SIEVE_BITS = 32, 20, 26
 #: Bytes of text worked on at once, and distinct fingerprints held by a task.
-CHUNK, HELD = 8 << 20, 1 << 20
-#: Phrases spelled out and held by a task.
-SPELLED = 200_000
+CHUNK, HELD = 2 << 20, 1 << 20
+#: Phrases, and words, that a task holds before it spells them out; partitions it takes one after another.
+SPELLED, TOGETHER = 1_000_000, 4
 #: Parts by which each language's ranking is begun.
 SALTS = 64
 
@@ -73,13 +74,13 @@ class Polynomial:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up, self.down = powers(base, 1), powers(self.inverse, 1)
 
-    def hashes(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The polynomial of each slice, whatever its place in the sequence."""
+    def slices(self, values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """What gives the polynomial of a slice from ``start`` to ``end``, whatever its place in the sequence."""
         if len(self.up) <= len(values):
-            self.up, self.down = powers(self.base, 2 * len(values) + 1), powers(self.inverse, 2 * len(values) + 1)
-        prefix = np.zeros(len(values) + 1, np.uint64)
+            self.up, self.down = (powers(x, len(values) + len(values) // 4 + 1) for x in (self.base, self.inverse))
+        prefix, down = np.zeros(len(values) + 1, np.uint64), self.down
         np.cumsum(values * self.up[: len(values)], out=prefix[1:])
-        return (prefix[end] - prefix[start]) * self.down[start]
+        return lambda start, end: (prefix[end] - prefix[start]) * down[start]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,8 +97,8 @@ def chunks(texts: pa.Array, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray
     """
     rows: list[tuple[int, int, np.ndarray]] = []
     held = 0
-    for i, text in enumerate(texts):
-        data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+    for i, text in enumerate(texts.to_pylist()):
+        data = np.frombuffer((text or "").encode(), np.uint8)
         cuts = [0]
         if len(data) > limit:
             ends = np.flatnonzero(_KIND[data] == 2) + 1
@@ -126,32 +127,33 @@ def _joined(rows):
 
 
 class Words:
-    """The words of a chunk: exact numbers, pieces, rows, and hashes of the sequences they form."""
+    """The words of a chunk of one language: exact numbers, pieces, and fingerprints of their sequences."""
 
-    def __init__(self, data, rows, places, by_byte: Polynomial, by_word: Polynomial, bits: int = 64):
-        data = _LOWER[data]
+    def __init__(self, chunk, salt: int, by_byte: Polynomial, by_word: Polynomial, bits: int = 64):
+        self.rows, self.places, self.salt, self.bits = chunk[1], chunk[2], np.uint64(salt), bits
+        data = _LOWER[chunk[0]]
         kind = _KIND[data]
         inside = kind == 0
-        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # a chunk ends with the end of a piece
+        edge = np.append(0, edge) if inside[0] else edge
         self.start, end = edge[::2], edge[1::2]
-        # Pieces end where a separator stands between two words.
-        ends = np.cumsum(kind == 2, dtype=np.int32)
-        self.piece = ends[self.start] if len(self.start) else np.zeros(0, np.int32)
-        of = np.searchsorted(places[0], self.start, side="right") - 1
-        self.row = rows[of]
-        self.offset = self.start - places[0][of] + places[1][of]
-        only = np.concatenate(([0], np.cumsum(end - self.start)))
-        flat = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(self.start), [None, pa.py_buffer(only.astype(np.int64)), pa.py_buffer(data[inside])]
+        # A word opens a piece if a separator stands before it and after the word before.
+        separators = np.flatnonzero(kind == 2)
+        opened = np.zeros(len(self.start) + 1, np.int32)
+        opened[np.searchsorted(self.start, separators)] = 1
+        self.piece = np.cumsum(opened[:-1])
+        size = end - self.start
+        flat = pa.BinaryArray.from_buffers(
+            pa.binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(data[inside])]
         )
         coded = flat.dictionary_encode()
-        self.id = coded.indices.to_numpy()
-        self.names = coded.dictionary.to_pylist()
+        self.id, self.names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         length = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
         stop = np.cumsum(length)
         letters = np.frombuffer(b"".join(self.names), np.uint8).astype(np.uint64) + np.uint64(1)
-        self.hash = mixed(by_byte.hashes(letters, stop - length, stop) + length.astype(np.uint64))[self.id]
-        self.by_word, self.bits = by_word, bits
+        #: A hash of each word of the dictionary.
+        self.hash = mixed(by_byte.slices(letters)(stop - length, stop) + length.astype(np.uint64))
+        self.sequences = by_word.slices(self.hash[self.id])
 
     def grams(self, n: int) -> np.ndarray:
         """Places where n words of one piece begin."""
@@ -160,20 +162,38 @@ class Words:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.piece[n - 1 :] == self.piece[:count])
 
-    def fingerprints(self, at: np.ndarray, n: int, salt: np.ndarray) -> np.ndarray:
+    def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
         """Of the n words from each place; languages have salts of their own."""
-        prints = mixed(self.by_word.hashes(self.hash, at, at + n) ^ salt[self.row[at]] ^ np.uint64(n))
+        return self._printed(self.sequences(at, at + n), n)
+
+    def names_printed(self) -> np.ndarray:
+        """The fingerprints of single words, one for each of the dictionary."""
+        return self._printed(self.hash, 1)
+
+    def _printed(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        prints = mixed(hashes ^ self.salt ^ np.uint64(n))
         return prints if self.bits == 64 else mixed(prints >> np.uint64(64 - self.bits))
 
-    def spelled(self, at: int, n: int) -> str:
-        return b" ".join([self.names[i] for i in self.id[at : at + n].tolist()]).decode()
+    def pointers(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each word and where in its text it begins."""
+        of = np.searchsorted(self.places[0], self.start[at], side="right") - 1
+        return self.rows[of], self.start[at] - self.places[0][of] + self.places[1][of]
+
+
+def salt_of(lang: str) -> int:
+    return int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def _language_salts(langs: pa.Array) -> np.ndarray:
-    coded = langs.dictionary_encode()
-    names = [x.encode() for x in coded.dictionary.to_pylist()]
-    salts = np.array([int.from_bytes(blake2b(x, digest_size=8).digest(), "little") for x in names], np.uint64)
-    return salts[coded.indices.to_numpy()] if len(names) else np.zeros(len(langs), np.uint64)
+def by_language(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[str, np.ndarray, Words]]:
+    """``lang``, the rows of a batch and the words of their texts, chunk by chunk; and the batch."""
+    by_byte, by_word = Polynomial(BYTE_BASE), Polynomial(WORD_BASE)
+    for batch in batches:
+        coded = batch.column(0).dictionary_encode()
+        indices = coded.indices.to_numpy()
+        for i, lang in enumerate(coded.dictionary.to_pylist()):
+            rows = np.flatnonzero(indices == i)
+            for chunk in chunks(batch.column(1).take(pa.array(rows)), CHUNK):
+                yield lang, rows, Words(chunk, salt_of(lang), by_byte, by_word, bits), batch
 
 
 def passes(sieve: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -182,50 +202,62 @@ def passes(sieve: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return (sieve[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _admitted(words: Words, n: int, sieve, salt: np.ndarray):
-    """Places and fingerprints of the n-grams both of whose shorter parts pass."""
+def frequent_places(words: Words, n: int, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the n-grams that pass a sieve, and their fingerprints."""
+    if n == 1:
+        prints = words.names_printed()
+        at = np.flatnonzero(passes(sieve, prints)[words.id])
+        return at, prints[words.id[at]]
     at = words.grams(n)
-    if sieve is not None and n > 1 and len(at):
-        shorter = words.grams(n - 1)
-        ok = np.zeros(len(words.id) + 1, bool)
-        ok[shorter] = passes(sieve, words.fingerprints(shorter, n - 1, salt))
-        at = at[ok[at] & ok[at + 1]]
-    return at, words.fingerprints(at, n, salt)
+    prints = words.fingerprints(at, n)
+    ok = passes(sieve, prints)
+    return at[ok], prints[ok]
+
+
+def grown(words: Words, n: int, shorter: np.ndarray) -> np.ndarray:
+    """Places of the n-grams whose first and last n - 1 words both begin at one of ``shorter``."""
+    ok = np.zeros(len(words.id) + 1, bool)
+    ok[shorter] = True
+    at = shorter[ok[shorter + 1]]
+    return at[words.piece[at] == words.piece[at + n - 1]]
 
 
 def count_fingerprints(docs: DataFrame, n: int, sieve, bits: int = 64) -> DataFrame:
-    """``fp, n``: how often each fingerprint of n words occurs. ``sieve`` is a broadcast bitmap or None.
+    """``fp, n``: how often each fingerprint of n words occurs. ``sieve`` is a broadcast bitmap, None for single words.
 
     Fingerprints are cut to ``bits``; tests make them collide so.
     """
 
     def run(batches):
-        by_byte, by_word = Polynomial(BYTE_BASE), Polynomial(WORD_BASE)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def merged():
             prints, counts = (np.concatenate(x) for x in zip(*held))
-            found, where = np.unique(prints, return_inverse=True)
-            return found, np.bincount(where, weights=counts, minlength=len(found)).astype(np.int64)
+            order = np.argsort(prints)
+            prints = prints[order]
+            first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
+            return prints[first], np.add.reduceat(counts[order], first)
 
         def out(found, counts):
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["fp", "n"])
 
-        size = 0
-        for batch in batches:
-            salt = _language_salts(batch.column(0))
-            for data, rows, places in chunks(batch.column(1), CHUNK):
-                words = Words(data, rows, places, by_byte, by_word, bits)
-                prints = _admitted(words, n, sieve and sieve.value, salt)[1]
-                found, counts = np.unique(prints, return_counts=True)
-                held.append((found, counts))
-                size += len(found)
-                if size > 2 * HELD:
-                    found, counts = merged()
-                    held, size = [(found, counts)], len(found)
-                    if size > HELD:
-                        yield out(found, counts)
-                        held, size = [], 0
+        for _, _, words, _ in by_language(batches, bits):
+            if n == 1:
+                found, counts = words.names_printed(), np.bincount(words.id, minlength=len(words.names))
+            else:
+                at = grown(words, n, frequent_places(words, n - 1, sieve.value)[0])
+                found, counts = np.unique(words.fingerprints(at, n), return_counts=True)
+            if not len(found):
+                continue
+            held.append((found, counts))
+            size += len(found)
+            if size > 2 * HELD:
+                found, counts = merged()
+                held, size = [(found, counts)], len(found)
+                if size > HELD:
+                    yield out(found, counts)
+                    held, size = [], 0
         if held:
             yield out(*merged())
 
@@ -245,6 +277,39 @@ def sieve_of(frequent: DataFrame, spark: SparkSession) -> np.ndarray:
     return sieve.view(np.uint64)
 
 
+class Phrases:
+    """Occurrences of phrases of n words by fingerprint, each with the exact words of its first occurrence."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.prints, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.words, self.pointers = np.zeros((0, n), np.int64), np.zeros((0, 2), np.int64)
+
+    def add(self, prints: np.ndarray, words: np.ndarray, pointers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count occurrences, given by word numbers and pointers.
+
+        Each is compared word by word with the first one of its fingerprint; the
+        word numbers and pointers of those that differ are given back.
+        """
+        _, first, where = np.unique(prints, return_index=True, return_inverse=True)
+        same = (words == words[first[where]]).all(axis=1)
+        counts = np.bincount(where[same], minlength=len(first))
+        place = np.searchsorted(self.prints, prints[first])
+        known = np.append(self.prints, np.uint64(0))[place] == prints[first]
+        known &= place < len(self.prints)
+        alike = known.copy()
+        alike[known] = (self.words[place[known]] == words[first[known]]).all(axis=1)
+        np.add.at(self.counts, place[alike], counts[alike])
+        new = first[~known]
+        at = place[~known]
+        self.prints = np.insert(self.prints, at, prints[new])
+        self.counts = np.insert(self.counts, at, counts[~known])
+        self.words = np.insert(self.words, at, words[new], axis=0)
+        self.pointers = np.insert(self.pointers, at, pointers[new], axis=0)
+        other = ~same | (known & ~alike)[where]
+        return words[other], pointers[other]
+
+
 def spell(docs: DataFrame, sieves: list, bits: int = 64) -> DataFrame:
     """Occurrences that pass: ``lang, n_words, phrase, n`` and a pointer ``doc_id, place`` to one, by task.
 
@@ -252,56 +317,69 @@ def spell(docs: DataFrame, sieves: list, bits: int = 64) -> DataFrame:
     """
 
     def run(batches):
-        by_byte, by_word = Polynomial(BYTE_BASE), Polynomial(WORD_BASE)
-        held: dict[tuple, list] = {}
+        state: dict = {}
+
+        def clear():
+            state.update(numbers={}, ids=[], found={}, total={})
 
         def out():
-            keys, found = list(held), list(held.values())
-            cols = [
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-                pa.array([k[2] for k in keys], pa.string()), pa.array([f[0] for f in found], pa.int64()),
-                pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int64()),
-            ]
-            held.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["lang", "n_words", "phrase", "n", "doc_id", "place"])
-
-        def add(lang, n, phrase, count, doc, place):
-            known = held.get((lang, n, phrase))
-            if known is None:
-                held[lang, n, phrase] = [count, doc, place]
-            else:
-                known[0] += count
-
-        for batch in batches:
-            langs, docs_ = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            salt = _language_salts(batch.column(0))
-            for data, rows, places in chunks(batch.column(1), CHUNK):
-                words = Words(data, rows, places, by_byte, by_word, bits)
-                for row, count in zip(*np.unique(words.row, return_counts=True)):
-                    add(langs[row], 0, "", int(count), None, 0)
-                before = None
-                for n, sieve in enumerate(sieves, 1):
-                    at, prints = _admitted(words, n, before, salt)
-                    before = sieve.value
-                    ok = passes(before, prints)
-                    at, prints = at[ok], prints[ok]
-                    while len(at):
-                        # The first occurrence of a fingerprint stands for those that have its words.
-                        _, first, where = np.unique(prints, return_index=True, return_inverse=True)
-                        same = salt[words.row[at[first[where]]]] == salt[words.row[at]]
-                        for k in range(n):
-                            same &= words.id[at[first[where]] + k] == words.id[at + k]
-                        counts = np.bincount(where[same], minlength=len(first))
-                        for i, count in zip(at[first].tolist(), counts.tolist()):
-                            row = words.row[i]
-                            add(langs[row], n, words.spelled(i, n), count, docs_[row], int(words.offset[i]))
-                        at, prints = at[~same], prints[~same]  # others that collide with it
-                if len(held) > SPELLED:
-                    yield out()
+            names = list(state["numbers"])
+            rows = [(lang, 0, "", count, None, 0) for lang, count in state["total"].items()]
+            for (lang, n), held in state["found"].items():
+                for words, count, (doc, place) in zip(held.words.tolist(), held.counts.tolist(), held.pointers.tolist()):
+                    rows.append((lang, n, b" ".join([names[w] for w in words]).decode(), count, state["ids"][doc], place))
+            return batch_of(rows, names)
+
+        def batch_of(rows, names):
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = list(zip(*rows)) or [[]] * 6
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "n_words", "phrase", "n", "doc_id", "place"]
+            )
+
+        clear()
+        last = None
+        for lang, rows, words, batch in by_language(batches, bits):
+            if batch is not last:
+                last, base = batch, len(state["ids"])
+                state["ids"] += batch.column(2).to_pylist()
+            state["total"][lang] = state["total"].get(lang, 0) + len(words.id)
+            numbers = state["numbers"]
+            number = np.array([numbers.setdefault(w, len(numbers)) for w in words.names], np.int64)
+            for n, sieve in enumerate(sieves, 1):
+                at, prints = frequent_places(words, n, sieve.value)
+                if not len(at):
+                    break
+                exact = number[np.stack([words.id[at + k] for k in range(n)], axis=1)]
+                row, place = words.pointers(at)
+                pointers = np.stack([base + rows[row], place], axis=1)
+                held = state["found"].setdefault((lang, n), Phrases(n))
+                unlike, theirs = held.add(prints, exact, pointers)
+                if len(unlike):  # fingerprints that collide: these are spelled out at once
+                    names = list(numbers)
+                    yield batch_of(
+                        [
+                            (lang, n, b" ".join([names[w] for w in x]).decode(), 1, state["ids"][doc], place)
+                            for x, (doc, place) in zip(unlike.tolist(), theirs.tolist())
+                        ],
+                        names,
+                    )
+            if sum(len(x.prints) for x in state["found"].values()) > SPELLED or len(numbers) > SPELLED:
+                yield out()
+                last = None
+                clear()
         yield out()
 
     schema = "lang string, n_words int, phrase string, n long, doc_id string, place long"
-    return docs.select("lang", "text", F.col("doc_id").cast("string").alias("doc_id")).mapInArrow(run, schema)
+    wanted = docs.select("lang", "text", F.col("doc_id").cast("string").alias("doc_id"))
+    # Most tasks see most frequent phrases: a task takes several partitions, and counts what they share once.
+    return _fewer(wanted).mapInArrow(run, schema)
+
+
+def _fewer(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    parts = df.rdd.getNumPartitions()
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, -(-parts // TOGETHER)))
 
 
 def frequent_phrases(
