@@ -20,15 +20,14 @@ result. Columns of the input named like those added are replaced.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.registry import query
 from cellweave.llm.text import WORD, table
-from cellweave.session import broadcast_if_small, cut_lineage
+from cellweave.session import broadcast_if_small, cut_lineage, remove_step, write_step
 
 NONE = "(none)"
 #: Powers that flatten the present shares of a dimension to its target shares.
@@ -37,6 +36,8 @@ TEMPERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 KEEP = 0.8
 TOLERANCE = 1e-6
 ROUNDS = 30
+#: Up to this many cells (groups by source, language and topic) are raked in numpy.
+CELLS = 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -61,63 +62,100 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return present.select("value", (F.pow("n", F.lit(power)) / scale).alias("share"))
 
 
+def wanted_shares(cells: DataFrame, dim: str, target: DataFrame) -> DataFrame:
+    """``dim, _share``: what each present value of a dimension is to have of all tokens."""
+    present = cells.groupBy(dim).agg(F.sum("fitted").alias("_now"))
+    both = present.join(target.select(F.col("value").alias(dim), "share"), dim, "left")
+    # Values without a target keep what they have; the others share the rest.
+    held = F.sum(F.when(F.col("share").isNull(), F.col("_now")).otherwise(0.0))
+    asked = F.sum(F.when(F.col("_now") > 0, F.col("share")))
+    sums = both.agg(held, asked).first()
+    rest, asked = 1 - (sums[0] or 0.0), sums[1] or 1.0
+    share = F.when(F.col("share").isNull(), F.col("_now")).otherwise(F.col("share") * (rest / asked))
+    return both.select(dim, share.alias("_share"))
+
+
 def rake(
-    cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE
+    cells: DataFrame,
+    targets: dict[str, DataFrame],
+    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
+    limit: int = CELLS,
 ) -> DataFrame:
     """``cells`` with ``fitted``, their share of tokens once every marginal has its target shares.
 
     ``cells`` has a column for each dimension and ``tokens``; ``targets`` has
-    ``value, share`` for each dimension.
+    ``value, share`` for each dimension. Cells are groups of documents; up to
+    ``limit`` of them are raked in numpy, more in Spark, by the same steps. A
+    round ends the raking if no marginal was off by more than ``tolerance``
+    when it was its turn.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    fitted = cells.withColumn("fitted", F.col("tokens") / float(total))
-    wanted = {}
-    for dim, target in targets.items():
-        present = fitted.groupBy(dim).agg(F.sum("fitted").alias("_now"))
-        both = present.join(target.select(F.col("value").alias(dim), "share"), dim, "left")
-        # Values without a target keep what they have; the others share the rest.
-        held = F.sum(F.when(F.col("share").isNull(), F.col("_now")).otherwise(0.0))
-        asked = F.sum(F.when(F.col("_now") > 0, F.col("share")))
-        sums = both.agg(held, asked).first()
-        rest, asked = 1 - (sums[0] or 0.0), sums[1] or 1.0
-        share = F.when(F.col("share").isNull(), F.col("_now")).otherwise(F.col("share") * (rest / asked))
-        wanted[dim] = cut_lineage(both.select(dim, share.alias("_share")))
+    fitted, held = write_step(cells.withColumn("fitted", F.col("tokens") / float(total)))
+    wanted = {dim: wanted_shares(fitted, dim, target) for dim, target in targets.items()}
+    if fitted.count() <= limit:
+        return cells.sparkSession.createDataFrame(
+            _raked(fitted.toArrow(), {dim: share.toArrow() for dim, share in wanted.items()}, rounds, tolerance), fitted.schema
+        )
+    wanted = {dim: cut_lineage(share) for dim, share in wanted.items()}
     for _ in range(rounds):
+        error = 0.0
         for dim, target in wanted.items():
             now = fitted.groupBy(dim).agg(F.sum("fitted").alias("_now")).join(target, dim)
             factor = F.when(F.col("_now") > 0, F.col("_share") / F.col("_now")).otherwise(1.0)
-            fitted = fitted.join(now.select(dim, factor.alias("_factor")), dim).withColumn(
-                "fitted", F.col("fitted") * F.col("_factor")
-            ).drop("_factor")
-        fitted = cut_lineage(fitted)
-        gaps = [
-            fitted.groupBy(dim)
-            .agg(F.sum("fitted").alias("_now"))
-            .join(target, dim)
-            .select(F.abs(F.col("_now") - F.col("_share")).alias("gap"))
-            for dim, target in wanted.items()
-        ]
-        error = reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0] or 0.0
+            gap = F.abs(F.col("_now") - F.col("_share"))
+            now, factors = write_step(now.select(dim, factor.alias("_factor"), gap.alias("_gap")))
+            error = max(error, now.agg(F.max("_gap")).first()[0] or 0.0)
+            after = fitted.join(now.select(dim, "_factor"), dim).withColumn("fitted", F.col("fitted") * F.col("_factor"))
+            before, (fitted, held) = held, write_step(after.select(*cells.columns, "fitted"))
+            for path in (before, factors):
+                remove_step(cells.sparkSession, path)
         if error <= tolerance:
             break
     return fitted
 
 
-def calibrate(cells: DataFrame, keep: float = KEEP) -> float:
+def _raked(cells: pa.Table, wanted: dict[str, pa.Table], rounds: int, tolerance: float) -> pa.Table:
+    fitted = cells["fitted"].to_numpy().copy()
+    dims = []
+    for dim, table in wanted.items():
+        place = {v: i for i, v in enumerate(table[dim].to_pylist())}
+        dims.append((np.array([place[v] for v in cells[dim].to_pylist()], np.int64), table["_share"].to_numpy()))
+    for _ in range(rounds):
+        error = 0.0
+        for at, share in dims:
+            now = np.bincount(at, weights=fitted, minlength=len(share))
+            error = max([error, *np.abs(now - share)])
+            fitted *= np.divide(share, now, out=np.ones(len(share)), where=now > 0)[at]
+        if error <= tolerance:
+            break
+    return cells.set_column(cells.schema.get_field_index("fitted"), "fitted", pa.array(fitted))
+
+
+def calibrate(cells: DataFrame, keep: float = KEEP, limit: int = CELLS) -> float:
     """The rate at which probabilities ``min(1, rate * weight)`` draw a part ``keep`` of the tokens.
 
     ``cells`` has ``tokens`` and ``weight``. Each pass tries 64 rates at once.
     """
-    total, low = cells.agg(F.sum("tokens"), F.min(F.when(F.col("tokens") > 0, F.col("weight")))).first()
+    total, low, rows = cells.agg(F.sum("tokens"), F.min(F.when(F.col("tokens") > 0, F.col("weight"))), F.count("*")).first()
     if not total or not low or keep >= 1:
         return float("inf") if keep >= 1 else keep
+    if rows <= limit:
+        table = cells.select("tokens", "weight").toArrow()
+        tokens, weight = (table[x].to_numpy().astype(float) for x in ("tokens", "weight"))
+
+        def drawn(rates):
+            return [float((tokens * np.minimum(1.0, weight * r)).sum()) for r in rates]
+    else:
+
+        def drawn(rates):
+            sums = [F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * float(r))) for r in rates]
+            return list(cells.agg(*[x.alias(f"r{i}") for i, x in enumerate(sums)]).first())
+
     lo, hi = 0.0, max(1.0, 1.0 / low)
     for _ in range(5):
         rates = np.linspace(lo, hi, 64)
-        drawn = cells.agg(
-            *[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * float(r))).alias(f"r{i}") for i, r in enumerate(rates)]
-        ).first()
-        i = int(np.searchsorted(np.array(drawn, float), keep * total))
+        i = int(np.searchsorted(np.array(drawn(rates), float), keep * total))
         lo, hi = float(rates[max(i - 1, 0)]), float(rates[min(i, 63)])
     return hi
 

@@ -62,6 +62,17 @@ def test_given_targets_and_values_without_one(spark):
     assert share["a"] == pytest.approx((1 - held) / 2) and share["b"] == pytest.approx((1 - held) / 2)
 
 
+def test_many_cells_are_raked_in_spark(spark):
+    rows = [(f"s{i % 7}", f"l{i % 3}", f"t{i * i % 5}", 1 + i * 37 % 101) for i in range(105)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    cells = cells.groupBy("source", "lang", "topic").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
+    targets = {dim: mixing.tempered(cells, dim, power) for dim, power in mixing.TEMPERS.items()}
+    here, there = ({tuple(r[:3]): r.fitted for r in mixing.rake(cells, targets, limit=n).collect()} for n in (1000, 0))
+    assert here.keys() == there.keys() and all(here[k] == pytest.approx(there[k], rel=1e-9) for k in here)
+    weighed = mixing.rake(cells, targets).withColumn("weight", mixing.F.col("fitted") * 1e4 / mixing.F.col("tokens"))
+    assert mixing.calibrate(weighed) == pytest.approx(mixing.calibrate(weighed, limit=0))
+
+
 def test_odd_rows(spark):
     odd = fixtures.odd(spark)
     got = mixing.mix(odd).collect()
