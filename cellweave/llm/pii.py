@@ -1,12 +1,15 @@
 """Personal data: patterns of known kinds, and bootstrapped contextual extraction.
 
 Known kinds (e-mail, IP, payment card, phone) are found by regular expressions
-and checked. They are the seeds of a graph between lexical patterns, i.e. the
-one or two words left of an identifier-like word, and instances, the words seen
-after them. Spark scores the graph in rounds: a pattern is as good as the share
-of its instances that are trusted, an instance as good as the promoted patterns
-it was seen with. Words after promoted patterns that no known kind covers are
-reported as kind ``context``.
+and checked. Their spans, whole and with or without digits, are the seeds of a
+graph between lexical patterns, i.e. the one or two words left of an occurrence,
+and instances, what is seen after them. Other instances are runs of neighbouring
+words that hold a digit, up to ``RUN`` of them, so an identifier may be written in
+groups. Spark scores the graph in rounds: a pattern is as good as the share of
+its instances that are trusted, an instance as good as the promoted patterns
+it was seen with. Trust only grows, so the rounds end when a round promotes no
+further pattern. Runs after promoted patterns that no known kind touches, with
+``MIN_DIGITS`` digits in all, are reported as kind ``context``.
 
 Everything is made of DataFrame functions. Positions are code points, from the
 lengths of matches and of the gaps between them; two-level sums keep that near
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.quality_rules import STOP_WORDS
 from cellweave.llm.registry import query
 from cellweave.llm.text import let, prefix_sums, table, text_key
-from cellweave.session import cut_lineage
+from cellweave.session import cut_lineage, lookup, remove_step, write_step
 
 #: A match starts where the last one ended, or not inside a run of its first
 #: characters: there a run is tried once, not from each of its characters.
@@ -38,15 +41,19 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
-#: An identifier-like word: one that holds a digit.
-IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Words of an identifier at most.
+RUN = 8
+_WORD = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: What looks like an identifier: neighbouring words that hold a digit.
+IDENTIFIER = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:\x20{_WORD}){{0,{RUN - 1}}}+"
 #: Characters before an identifier in which its context words are looked for.
 REACH = 64
 
 MIN_DIGITS = 4
 MIN_SUPPORT = 5
 MIN_PRECISION = 0.8
-ROUNDS = 3
+#: What is not part of an identifier at its ends.
+EDGES = r"^[^\p{Alnum}+]+|\P{Alnum}+$"
 
 
 def _digits(match: Column) -> Column:
@@ -117,7 +124,10 @@ def _spans(kind: str, matches: Column, gaps: Column) -> Column:
 
 
 def known_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``, the known kinds in order of start, and ``identifiers`` with their left context."""
+    """``docs`` with ``spans``, the known kinds in order of start, and ``identifiers`` with their left context.
+
+    Identifiers are the known spans, as seeds, and the runs that none of them touches.
+    """
     raw = F.coalesce(F.col(text), F.lit(""))
     digit = raw.rlike("[0-9]")
     possible = {
@@ -131,30 +141,44 @@ def known_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     for kind, pattern in {**PATTERNS, "id": IDENTIFIER}.items():
         found[f"_m_{kind}"], found[f"_g_{kind}"] = _found(raw, pattern, possible[kind])
     each = [_spans(k, F.col(f"_m_{k}"), F.col(f"_g_{k}")) for k in KINDS]
+    kind = "array<struct<start:bigint,end:bigint,word:string,left:string,seed:boolean>>"
 
-    def identifiers(starts: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            start, end = F.get(starts, i), F.get(starts, i) + F.length(m)
-            return F.struct(
-                start.alias("start"),
-                end.alias("end"),
-                m.alias("word"),
-                F.lower(F.right(F.get(F.col("_g_id"), i), F.lit(REACH))).alias("left"),
-                F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > start)).alias("seed"),
-            )
+    def occurrences(name: str, check, seed: bool) -> Column:
+        matches, gaps = F.col(f"_m_{name}"), F.col(f"_g_{name}")
 
-        return F.transform("_m_id", one)
+        def at(starts: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                lead = F.length(m) - F.length(F.regexp_replace(m, r"^[^\p{Alnum}+]+", ""))
+                word = F.regexp_replace(m, EDGES, "")
+                start = F.get(starts, i) + F.when(F.lit(seed), 0).otherwise(lead)
+                end = start + F.when(F.lit(seed), F.length(m)).otherwise(F.length(word))
+                left = F.lower(F.right(F.get(gaps, i), F.lit(REACH)))
+                known = F.struct(
+                    start.alias("start"), end.alias("end"), word.alias("word"), left.alias("left"), F.lit(seed).alias("seed")
+                )
+                touched = F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > start))
+                return F.when(check(m) if seed else ~touched, known)
 
-    kind = "array<struct<start:bigint,end:bigint,word:string,left:string,seed:boolean>>"
-    own = F.when(F.size("_m_id") > 0, let(_starts(F.col("_m_id"), F.col("_g_id")), identifiers))
+            return F.filter(F.transform(matches, one), lambda x: x.isNotNull())
+
+        return F.when(F.size(matches) > 0, let(_starts(matches, gaps), at)).otherwise(F.array()).cast(kind)
+
+    own = [occurrences(k, CHECKS[k], True) for k in KINDS] + [occurrences("id", None, False)]
     return (
         docs.withColumns(found)
         .withColumn("spans", F.sort_array(F.concat(*each)))
-        .withColumn("identifiers", own.otherwise(F.array()).cast(kind))
+        .withColumn("identifiers", F.concat(*own))
         .drop(*found)
     )
 
 
+def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each identifier of a text."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    known = known_spans(rows).select(text_key().alias("key"), F.explode("identifiers").alias("x"))
+    return known.select("key", "x.*")
+
+
 def _edges(identifiers: DataFrame) -> DataFrame:
     """Identifier occurrences, one row for each of their patterns."""
     left = F.regexp_extract_all("left", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
@@ -162,43 +186,43 @@ def _edges(identifiers: DataFrame) -> DataFrame:
     named = identifiers.withColumn("_left", shaped)
     one, two = F.get("_left", F.size("_left") - 1), F.get("_left", F.size("_left") - 2)
     alone = F.when(~one.isin(STOP_WORDS), one)
-    patterns = F.filter(F.array(alone, F.concat_ws(" ", two, one)), lambda p: p.isNotNull() & (p != ""))
-    instance = F.lower(F.regexp_replace("word", r"^[^\p{Alnum}+]+|\P{Alnum}+$", ""))
+    # Signs alone are no lexical pattern.
+    patterns = F.filter(F.array(alone, F.concat_ws(" ", two, one)), lambda p: p.rlike(r"\p{L}"))
     return named.select(
-        "key", "start", "end", "seed", instance.alias("instance"), F.explode(F.array_distinct(patterns)).alias("pattern")
+        "key", "start", "end", "seed", F.lower("word").alias("instance"), F.explode(F.array_distinct(patterns)).alias("pattern")
     )
 
 
-def promoted_patterns(
-    edges: DataFrame, precision: float = MIN_PRECISION, support: int = MIN_SUPPORT, rounds: int = ROUNDS
-) -> DataFrame:
+def promoted_patterns(edges: DataFrame, precision: float = MIN_PRECISION, support: int = MIN_SUPPORT) -> DataFrame:
     """Score patterns and instances in turn; the patterns that end above the thresholds.
 
     ``edges`` has ``pattern, instance, seed``. A pattern counts when at least
-    ``support`` different instances of it are trusted.
+    ``support`` different instances of it are trusted. Few instances are seen
+    with many patterns, and few patterns with many instances: both are looked up
+    whatever their share of the graph.
     """
-    graph = cut_lineage(
-        edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"))
-    )
-    trust = graph.groupBy("instance").agg(F.max("seed").alias("trust"))
-    patterns = None
-    for _ in range(rounds):
+    spark = edges.sparkSession
+    graph = cut_lineage(edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")))
+    rows = graph.count()
+    own = graph.groupBy("instance").agg(F.max("seed").alias("trust"))
+    trust, promoted, held = own, -1, None
+    while True:
         scored = (
-            graph.join(trust, "instance")
+            lookup(graph, trust, ["instance"], rows, "inner")
             .groupBy("pattern")
             .agg(F.avg("trust").alias("score"), F.sum((F.col("trust") >= precision).cast("long")).alias("support"))
             .filter((F.col("score") >= precision) & (F.col("support") >= support))
         )
-        patterns = cut_lineage(scored)
+        patterns, path = write_step(scored)
+        if held is not None:
+            remove_step(spark, held)
+        before, promoted, held = promoted, patterns.count(), path
+        if promoted == before:  # trust only grows, and so does the set of patterns
+            return patterns
         doubt = F.sum(F.log(1 - F.least("score", F.lit(0.999))))
-        seen = graph.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("found"))
-        trust = (
-            graph.groupBy("instance")
-            .agg(F.max("seed").alias("seed"))
-            .join(seen, "instance", "left")
-            .select("instance", F.greatest("seed", F.coalesce("found", F.lit(0.0))).alias("trust"))
-        )
-    return patterns
+        seen = lookup(graph, patterns, ["pattern"], rows, "inner").groupBy("instance").agg((1 - F.exp(doubt)).alias("found"))
+        both = own.join(seen, "instance", "left")
+        trust = cut_lineage(both.select("instance", F.greatest("trust", F.coalesce("found", F.lit(0.0))).alias("trust")))
 
 
 def _written(spans: Column) -> Column:
@@ -227,7 +251,9 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rank = len(KINDS)
     span = F.struct("start", F.lit(rank).alias("rank"), "end", F.lit("context").alias("kind"))
     found = (
-        unseen.join(patterns, "pattern", "left_semi").groupBy("key").agg(F.collect_set(span).alias("found"))
+        lookup(unseen, patterns.select("pattern"), ["pattern"], unseen.count(), "left_semi")
+        .groupBy("key")
+        .agg(F.collect_set(span).alias("found"))
     )
     more = F.coalesce(F.col("found").cast(SPAN), F.array().cast(SPAN))
     return known.join(found, "key", "left").select(

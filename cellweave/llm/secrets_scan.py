@@ -75,7 +75,8 @@ ALLOWED_PARTS = re.compile(
     r"|(?<![^=/_-])[^=/_-]++"
 )
 HELD = re.compile(f"(?i:{PLACEHOLDER})")
-WORDS = re.compile(r"(?:[A-Za-z]+[/_=-]+)*[A-Za-z]*[/_=-]*[0-9]{0,4}[/_=-]*")
+#: Nothing is given back once matched, so a part is read once.
+WORDS = re.compile(r"(?:[A-Za-z]++[/_=-]++)*+[A-Za-z]*+[/_=-]*+[0-9]{0,4}+[/_=-]*+")
 
 
 def window_entropies(s: str, window: int) -> list[float]:

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -109,6 +111,35 @@ def test_patterns_are_bootstrapped(spark):
     assert got[9] == got[10] == []
 
 
+def context(spark, texts):
+    """The text of each span that context alone has found, by document."""
+    found = pii.find_pii(rows(spark, texts)).collect()
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "context"] for r in found}
+
+
+def test_whole_spans_are_seeds(spark):
+    texts = [f"phone: +49 30 10000{i}" for i in range(37, 77)]
+    texts += [f"mail: anna.{x}@example.org" for x in "abcdefghijkl"]
+    texts += [f"login user{i}@mail.org" for i in range(12)]
+    new = ["phone: 0170 2000000", "mail: x9-44821", "login AB-12345,", "login 4711 0815 9999 was late", "mail: to 44 of us"]
+    got = context(spark, texts + new)
+    assert [got[len(texts) + i] for i in range(len(new))] == [["0170 2000000"], ["x9-44821"], ["AB-12345"], ["4711 0815 9999"], []]
+    assert not any(got[i] for i in range(len(texts)))
+
+
+def test_rounds_go_on_until_nothing_changes(spark):
+    # Each pattern shares an instance with the one before: each round reaches one more.
+    edges = [("p0", f"s{i}", True) for i in range(4)] + [("p0", "x1", False)]
+    edges += [(f"p{k}", f"x{k + i}", False) for k in range(1, 6) for i in (0, 1)] + [("alone", "y", False)]
+    df = spark.createDataFrame(edges, "pattern string, instance string, seed boolean")
+    found = {r.pattern for r in pii.promoted_patterns(df, precision=0.02, support=1).collect()}
+    assert found == {f"p{k}" for k in range(6)}
+
+
+def test_many_numbers_in_a_row(spark):
+    assert context(spark, [" ".join(str(i) for i in range(5000)), "1 " * 20_000]) == {0: [], 1: []}
+
+
 def test_personal_data_stays_in_the_jvm(spark):
     plan = pii.known_spans(fixtures.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -165,6 +196,21 @@ def test_all_parts_of_candidates_are_scanned(text, key):
         assert start <= at + 4 and end >= at + len(key) - 4
 
 
+@pytest.mark.parametrize("text", ["-" * 200_000 + "5a1", "=" * 200_000, "ab-" * 70_000 + "1", "a" * 200_000 + "/5", "7_" * 100_000])
+def test_long_runs_are_read_once(text):
+    start = time.perf_counter()
+    secrets_scan.scan_text(text)
+    assert time.perf_counter() - start < 1.5
+
+
+def test_words_as_before():
+    backtracking = re.compile(r"(?:[A-Za-z]+[/_=-]+)*[A-Za-z]*[/_=-]*[0-9]{0,4}[/_=-]*")
+    rng = random.Random(3)
+    for _ in range(20_000):
+        s = "".join(rng.choice("ab-_/=019") for _ in range(rng.randrange(14)))
+        assert bool(secrets_scan.WORDS.fullmatch(s)) == bool(backtracking.fullmatch(s)), s
+
+
 def test_redaction(spark):
     df = rows(spark, ["token = 'abcdefghijklmnop' end", None, "plain"])
     got = [r.text for r in secrets_scan.redact(df).orderBy("doc_id").collect()]
