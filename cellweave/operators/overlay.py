@@ -19,6 +19,7 @@ from cellweave.operators.runs import to_runs
 from cellweave.operators.tiles import SEGMENT as PACKED
 from cellweave.operators.tiles import _packed, _unpacked
 from cellweave.session import cut_lineage, div
+from cellweave.sources.blocklog import pack_blocks
 
 RC = ["r", "c"]
 
@@ -33,10 +34,34 @@ def overlay_join(layers: dict[str, DataFrame], how: str = "inner") -> DataFrame:
     return reduce(lambda a, b: a.join(b, RC, how), frames)
 
 
-def stack_layers(cells: DataFrame, names: list[str]) -> DataFrame:
-    """Long cells to a stack in a single shuffle."""
-    pick = [F.max(F.when(F.col("layer") == n, F.col("v"))).alias(n) for n in names]
-    return cells.filter(F.col("layer").isin(names)).groupBy(*RC).agg(*pick)
+def stack_layers(cells: DataFrame, names: list[str], block: int = 256) -> DataFrame:
+    """Long cells to a stack in a single shuffle, of packed records: a block of all layers meets in one call.
+
+    A cell of any of the layers is in the stack, null where a layer lacks it. Of
+    repeated cells the largest value counts.
+    """
+    picked = cells.filter(F.col("layer").isin(names)).withColumn("year", F.lit(None).cast("int"))
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        held = np.zeros(block * block, bool)
+        columns = {name: (np.zeros(block * block, np.int64), np.zeros(block * block, bool)) for name in names}
+        for i, name in enumerate(table["layer"].to_pylist()):
+            at = np.frombuffer(table["at"][i].as_py(), np.int32)
+            found = table["vals"][i].values
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            held[at] = True
+            values, valid = columns[name]
+            at, found = at[known], found.drop_null().to_numpy().astype(np.int64)
+            values[at] = np.where(valid[at], values[at], np.iinfo(np.int64).min)
+            np.maximum.at(values, at, found)
+            valid[at] = True
+        at = np.flatnonzero(held)
+        places = [pa.array(key[0].as_py() * block + at // block), pa.array(key[1].as_py() * block + at % block)]
+        stacked = [pa.array(values[at].astype(np.int32), mask=~valid[at]) for values, valid in columns.values()]
+        return pa.Table.from_arrays([*places, *stacked], names=["r", "c", *names])
+
+    packed = pack_blocks(picked, block).groupBy("br", "bc")
+    return packed.applyInArrow(meet, "r long, c long, " + ", ".join(f"`{n}` int" for n in names))
 
 
 def extent_clip(cells: DataFrame, r0: int = 0, r1: int | None = None, c0: int = 0, c1: int | None = None) -> DataFrame:

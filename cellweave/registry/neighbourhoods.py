@@ -312,7 +312,7 @@ _LOOP_YEARS = (2001, 2006, 2011, 2016)
 _NO_IMPERVIOUS = 2011
 
 
-def _years_sql(known: str, shapes: dict[str, str], years=_LOOP_YEARS, *ctes: str) -> str:
+def _years_sql(known: str, shapes: dict[str, str], years=_LOOP_YEARS, *ctes: str, source="stack", mask="mask") -> str:
     """Scaled means of some years; ``known`` tells which cells are in the study area."""
     table = {k: {c: codes.INDICATORS[k].get(c, 0) for c in codes.INDICATOR_CODES} for k in codes.INDICATORS}
     inputs = [
@@ -337,9 +337,9 @@ def _years_sql(known: str, shapes: dict[str, str], years=_LOOP_YEARS, *ctes: str
     joins = " ".join(f"JOIN n{s} USING (r, c)" for s in shapes)
     return sql(
         "SELECT CAST(substr(layer, 2, 4) AS INTEGER) AS year, substr(layer, 7) AS name, r, c, v FROM "
-        f"(SELECT m.r, m.c, {', '.join(outs)} FROM mask m {joins}) UNPIVOT (v FOR layer IN ({listed}))",
+        f"(SELECT m.r, m.c, {', '.join(outs)} FROM {mask} m {joins}) UNPIVOT (v FOR layer IN ({listed}))",
         *ctes,
-        f"inputs AS (SELECT stack.r, stack.c, {', '.join(inputs)} FROM stack)",
+        f"inputs AS (SELECT {source}.r, {source}.c, {', '.join(inputs)} FROM {source})",
         *[means(s, on) for s, on in shapes.items()],
     )
 
@@ -372,3 +372,28 @@ def lc_proportions_area(spark, d):
     shapes = {"1": square(1), "10": circle(10)}
     years = _loop_years((2001, 2011))
     return lc_proportions_years(st, years, mask, area=area, buffer=60.0, shapes=shapes, tile=16)
+
+
+# A polygon of 100 columns on the same cells in rows of 1000: 5,000 metres reach 166 columns on both sides of it.
+_STRIP = "wide AS (SELECT * REPLACE ((r * 100 + c) // 1000 AS r, (r * 100 + c) % 1000 AS c) FROM stack)"
+_NEAR_STRIP = "power(greatest(400 - c, c - 499, 0), 2) + power(greatest(r - 199, 0), 2) <= 27777"
+
+
+@query(
+    "lc_proportions_buffered",
+    _years_sql(
+        _NEAR_STRIP, {"1": _SQUARE, "10": _within(10)}, (2001, 2011), _STRIP,
+        "within AS (SELECT r, c FROM wide WHERE c BETWEEN 3 AND 996)", source="wide", mask="within",
+    ),
+)
+def lc_proportions_buffered(spark, d):
+    """The loop on a grid wider than the buffer of 5,000 metres around its study polygon."""
+    st = grid.stack(spark, d, "lc_2001", "lc_2011", "impsur")
+    number = F.col("r") * 100 + F.col("c")
+    st = st.withColumns({"r": div(number, 1000), "c": F.pmod(number, F.lit(1000))})
+    corners = [(12000.0, 0.0), (15000.0, 0.0), (15000.0, 6000.0), (12000.0, 6000.0)]
+    sides = [(*a, *b) for a, b in zip(corners, corners[1:] + corners[:1])]
+    edges = spark.createDataFrame(sides, "x1 double, y1 double, x2 double, y2 double")
+    mask = st.filter(F.col("c").between(3, 996)).select("r", "c")
+    shapes = {"1": square(1), "10": circle(10)}
+    return lc_proportions_years(st, _loop_years((2001, 2011)), mask, edges=edges, buffer=5000.0, shapes=shapes, tile=64)

@@ -18,7 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.session import div
+
 WIDTH = 1024
+#: Rows whose pieces are united in one call.
+ROWS = 64
 KEY = ["r", "b"]
 CODED = "r long, b long, c0 array<int>, c1 array<int>, v array<int>"
 
@@ -40,7 +44,8 @@ def encode(layer: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield _coded(batch, width)
 
     def unite(table: pa.Table) -> pa.Table:
-        if table.num_rows == 1:
+        table = table.drop_columns(["band"])
+        if len(np.unique(table["r"].to_numpy())) == table.num_rows:
             return table
         r, b, c, v, known = _cells(table, width)
         cells = pa.RecordBatch.from_arrays(
@@ -49,7 +54,8 @@ def encode(layer: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.Table.from_batches([_coded(cells, width)])
 
     cells = layer.select(F.col("r").cast("long"), F.col("c").cast("long"), F.col("v").cast("int"))
-    return cells.mapInArrow(pack, CODED).groupBy(*KEY).applyInArrow(unite, CODED)
+    packed = cells.mapInArrow(pack, CODED).withColumn("band", div(F.col("r"), ROWS))
+    return packed.groupBy("band", "b").applyInArrow(unite, CODED)
 
 
 def _coded(cells: pa.RecordBatch, width: int) -> pa.RecordBatch:
