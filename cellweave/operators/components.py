@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators.runs import merge_runs
 from cellweave.session import cut_lineage, div, lookup, remove_step, write_step
 
 TILE = 1024
-#: Squares that are united in each direction at a level.
-FAN = 4
+#: Squares that are united in each direction at a level, and runs on borders that are few enough to be united at once.
+FAN, ALONE = 4, 100_000
 # A cell number orders cells by row, then column; columns span 29 bits.
 BITS, SHIFT = 29, 1 << 28
 
@@ -77,7 +76,7 @@ def _smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _label_tiles(runs: DataFrame, keys: list[str], link: Sequence[int], tile: int) -> DataFrame:
+def _label_tiles(runs: DataFrame, keys: list[str], link: Sequence[int], tile: int, keep: Sequence[str] = ()) -> DataFrame:
     """Runs cut at tile borders, with the first cell of their part of the tile.
 
     All features of a tile are labelled by one call, so many small features
@@ -85,11 +84,12 @@ def _label_tiles(runs: DataFrame, keys: list[str], link: Sequence[int], tile: in
     """
     edge = F.col("tile_c") * tile
     pieces = (
-        runs.withColumn("tile_r", div(F.col("r"), tile))
+        runs.withColumn("_c0", F.col("c0"))
+        .withColumn("tile_r", div(F.col("r"), tile))
         .withColumn("tile_c", F.explode(F.sequence(div(F.col("c0"), tile), div(F.col("c1"), tile))))
         .withColumns({"c0": F.greatest("c0", edge), "c1": F.least("c1", edge + (tile - 1))})
     )
-    cols = [*keys, "tile_r", "tile_c", "r", "c0", "c1"]
+    cols = [*keys, "tile_r", "tile_c", "r", "c0", "c1", "_c0", *keep]
 
     def kernel(table: pa.Table) -> pa.Table:
         r, c0, c1 = (table[x].to_numpy() for x in ("r", "c0", "c1"))
@@ -124,7 +124,7 @@ def merge_borders(pieces: DataFrame, keys: list[str], link: Sequence[int], tile:
     there, hands on the runs on its own outer border, and notes which label became
     which. So the number of rounds is that of the levels, whatever the shape
     of the parts, and a task holds a border and not an area. At last the notes are
-    followed from the highest level down.
+    followed from the highest level down. Up to ``ALONE`` runs need one level.
     """
     ends = pieces.agg(*[f(x) for x in ("tile_r", "tile_c") for f in (F.min, F.max)]).first()
     if ends[0] is None:
@@ -133,26 +133,31 @@ def merge_borders(pieces: DataFrame, keys: list[str], link: Sequence[int], tile:
     span, side, notes = max(ends[1] - ends[0], ends[3] - ends[2]) + 1, tile, []
     runs = pieces.select(*keys, "r", "c0", "c1", "label").filter(_on_border(r0, c0, side, link))
     spark, fields = pieces.sparkSession, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema)
+    few = side < tile * span and runs.limit(ALONE + 1).count() <= ALONE
     while side < tile * span:
-        side *= FAN
+        side = tile * span if few else side * FAN
         square = {"sr": div(F.col("r") - r0, side), "sc": div(F.col("c0") - c0, side)}
         united = runs.withColumns(square).groupBy("sr", "sc").applyInArrow(_unite(keys, link), fields + ", old long")
         united, path = write_step(united.filter(F.col("old").isNotNull() | _on_border(r0, c0, side, link)))
         note = united.filter(F.col("old").isNotNull()).select(*keys, "old", "label")
         notes.append((note, note.count(), path))
         runs = united.filter(F.col("old").isNull()).drop("old")
-    roots, held = None, None
+    roots, held = None, []
     for note, count, path in reversed(notes):
-        if count:
-            if roots is not None:
-                note = lookup(note, roots, [*keys, "label"], count)
-                note = note.select(*keys, "old", F.coalesce("root", "label").alias("label"))
-            note = note.select(*keys, F.col("old").alias("label"), F.col("label").alias("root"))
-            before = held
-            roots, held = write_step(note if roots is None else roots.unionByName(note))
-            if before is not None:
-                remove_step(spark, before)
-        remove_step(spark, path)
+        if not count:
+            remove_step(spark, path)
+            continue
+        if roots is not None:
+            note = lookup(note, roots, [*keys, "label"], count)
+            note = note.select(*keys, "old", F.coalesce("root", "label").alias("label"))
+        note = note.select(*keys, F.col("old").alias("label"), F.col("label").alias("root"))
+        if roots is None:  # often the only one, and stored already
+            roots, held = note, [path]
+            continue
+        roots, after = write_step(roots.unionByName(note))
+        for before in (*held, path):
+            remove_step(spark, before)
+        held = [after]
     return roots
 
 
@@ -187,10 +192,13 @@ def _unite(keys: list[str], link: Sequence[int]):
 
 
 def _features(table: pa.Table, keys: list[str]) -> np.ndarray:
-    if not keys:
-        return np.zeros(table.num_rows, np.int64)
-    named = table.select(keys).to_pandas()
-    return named.groupby(keys, sort=False, dropna=False).ngroup().to_numpy().astype(np.int64)
+    """A number for each distinct combination of keys; nulls are a value of their own."""
+    number = np.zeros(table.num_rows, np.int64)
+    for key in keys:
+        coded = table[key].combine_chunks().dictionary_encode()
+        place = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+        number = np.unique(number * (len(coded.dictionary) + 1) + place, return_inverse=True)[1]
+    return number
 
 
 def _star(edges: DataFrame, keys: list[str], rows: int, large: bool) -> DataFrame:
@@ -258,20 +266,26 @@ def label_parts(runs: DataFrame, keys: list[str], diagonal: bool = True, tile: i
     return link_parts(runs, keys, EIGHT if diagonal else FOUR, tile)
 
 
-def link_parts(runs: DataFrame, keys: list[str], link: Sequence[int], tile: int = TILE) -> DataFrame:
+def link_parts(
+    runs: DataFrame, keys: list[str], link: Sequence[int], tile: int = TILE, keep: Sequence[str] = ()
+) -> DataFrame:
     """As ``label_parts``, for cells that are linked over some distance.
 
     Cells ``d`` rows apart are linked if their columns differ by ``link[d]`` at
-    most, and not at all if there is no such entry.
+    most, and not at all if there is no such entry. Runs are maximal, and come
+    back as they were, with their columns ``keep``.
     """
-    pieces = cut_lineage(_label_tiles(runs, keys, link, tile))
+    pieces = cut_lineage(_label_tiles(runs, keys, link, tile, keep))
     roots = merge_borders(pieces, keys, link, tile)
     if roots is None:
         named = pieces.withColumnRenamed("label", "_n")
     else:
         named = lookup(pieces, roots, [*keys, "label"], pieces.count())
         named = named.withColumn("_n", F.coalesce("root", "label"))
-    merged = merge_runs(named, [*keys, "_n"])
-    return merged.withColumns(
-        {"part_r": cell_row(F.col("_n")), "part_c": cell_col(F.col("_n"))}
-    ).select(*keys, "part_r", "part_c", "r", "c0", "c1")
+    whole = named.groupBy(*keys, "r", "_c0").agg(
+        F.min("_n").alias("_n"), F.max("c1").alias("c1"), *[F.first(x).alias(x) for x in keep]
+    )
+    return whole.select(
+        *keys, cell_row(F.col("_n")).alias("part_r"), cell_col(F.col("_n")).alias("part_c"),
+        "r", F.col("_c0").alias("c0"), "c1", *keep,
+    )

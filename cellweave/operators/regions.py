@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellweave.operators.components import TILE, cell_col, cell_number, cell_row, label_parts, link_parts
+from cellweave.operators.components import FOUR, TILE, cell_col, cell_number, cell_row, label_parts, link_parts
 from cellweave.operators.runs import (
     BLOCK,
     dilate,
@@ -132,10 +132,8 @@ def fill_holes(
     named, own = parts, [*keys]
     if not disjoint:
         named, own = parts.withColumn("_own", F.col("p")), [*keys, "_own"]
-    gaps = cut_lineage(_gaps(named, own))
-    labelled = label_parts(gaps.select(*own, "r", "c0", "c1"), own, diagonal=False, tile=tile)
-    labelled = labelled.withColumn("hole", cell_number(F.col("part_r"), F.col("part_c")))
-    gaps = gaps.join(labelled.select(*own, "hole", "r", "c0"), [*own, "r", "c0"])
+    gaps = link_parts(_gaps(named, own), own, FOUR, tile, ["left", "right"])
+    gaps = gaps.withColumn("hole", cell_number(F.col("part_r"), F.col("part_c"))).drop("part_r", "part_c")
     gaps = cut_lineage(_covered(gaps, named, own))
 
     first = F.struct("r", "c0")

@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.model import CELLS
-from cellweave.session import cut_lineage
 
 BLOCK = 1024
 SUFFIX = ".blocks"
@@ -167,20 +166,21 @@ def entries(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     return parts.groupBy(*names[:5]).applyInArrow(unite, schema)
 
 
-def _partition_path(spark: SparkSession, name: str, value) -> str:
-    util = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    shown = "__HIVE_DEFAULT_PARTITION__" if value is None else util.escapePathName(str(value))
-    return f"{name}={shown}"
+def _forget(spark: SparkSession, store: str, layers: list[str], batch: str) -> None:
+    """Remove the entries of a batch of some layers, of whatever year."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for layer in layers:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{log_path(store)}/layer={escape(layer)}/year=*/batch={escape(batch)}")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(path) or []:
+            files.delete(found.getPath(), True)
 
 
-def write_log(spark: SparkSession, store: str, written: DataFrame, block: int = BLOCK) -> None:
-    """Log the cells a write has stored, ``layer, year, batch, r, c, v``; earlier entries of the same layers and batch go."""
-    fresh = cut_lineage(entries(written, block))
-    for row in fresh.select("layer", "year", "batch").distinct().collect():  # names of layers
-        parts = "/".join(_partition_path(spark, k, row[k]) for k in ("layer", "year", "batch"))
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{log_path(store)}/{parts}")
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    fresh.repartition(*PARTS).write.mode("append").partitionBy(*PARTS).parquet(log_path(store))
+def write_log(spark: SparkSession, store: str, written: DataFrame, layers: list[str], batch: str, block: int = BLOCK) -> None:
+    """Log the stored cells ``layer, year, batch, r, c, v`` of a batch of some layers; their earlier entries go."""
+    _forget(spark, store, layers, batch)
+    # A partition of the log is one entry, so each is a file of its own.
+    entries(written, block).write.mode("append").partitionBy(*PARTS).parquet(log_path(store))
 
 
 def read_log(spark: SparkSession, store: str) -> DataFrame | None:

@@ -27,7 +27,14 @@ def read_cells(spark: SparkSession, path: str, format: str = "parquet", **option
     return spark.read.schema(CELLS).format(format).options(**options).load(path).select(*CELLS.names)
 
 
-def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int = 1024, block: int = 2) -> None:
+def write_cells(
+    cells: DataFrame,
+    path: str,
+    batch: str | None = None,
+    tile: int = 1024,
+    block: int = 2,
+    layers: list[str] | None = None,
+) -> None:
     """Store layers; rerunning a layer replaces that layer only.
 
     With ``batch`` a rerun replaces only what the same batch wrote of a layer.
@@ -38,6 +45,7 @@ def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int
     of the blocks, not of tasks times layers.
 
     What was written is read once more, by its own partitions, for the block log.
+    ``layers`` may name the layers, if that is known; else ``cells`` is asked for them.
     """
     spark = cells.sparkSession
     tr, tc = div(F.col("r"), tile), div(F.col("c"), tile)
@@ -54,20 +62,21 @@ def write_cells(cells: DataFrame, path: str, batch: str | None = None, tile: int
         .partitionBy(*parts)
         .parquet(path)
     )
-    layers = [r["layer"] for r in cells.select("layer").distinct().collect()]  # names of layers
+    if layers is None:
+        layers = [r["layer"] for r in cells.select("layer").distinct().collect()]  # names of layers
     _log_layers(spark, path, layers, batch)
 
 
 def _log_layers(spark: SparkSession, path: str, layers: list[str] | None, batch: str | None) -> None:
     """Log the stored cells of some layers, or of all."""
     written = spark.read.parquet(path)
-    if "batch" not in written.columns:
-        written = written.withColumn("batch", F.lit(NO_BATCH))
-    elif batch is not None:
-        written = written.filter(F.col("batch") == batch)
-    written = written.withColumn("batch", F.coalesce(F.col("batch").cast("string"), F.lit(NO_BATCH)))
-    written = written.withColumn("layer", F.col("layer").cast("string"))
-    write_log(spark, path, written if layers is None else written.filter(F.col("layer").isin(layers)))
+    tag = F.lit(NO_BATCH)
+    if "batch" in written.columns:
+        tag = F.coalesce(F.col("batch").cast("string"), tag)
+        written = written if batch is None else written.filter(F.col("batch") == batch)
+    written = written if layers is None else written.filter(F.col("layer").isin(layers))
+    written = written.withColumns({"batch": tag, "layer": F.col("layer").cast("string")})
+    write_log(spark, path, written, layers or [], batch or NO_BATCH)
 
 
 def block_log(spark: SparkSession, path: str) -> DataFrame | None:
@@ -124,6 +133,19 @@ def new_cells(incoming: DataFrame, log: DataFrame) -> DataFrame:
     return unpack_blocks(lacking(packed, touched(log, packed)))
 
 
+def add_cells(incoming: DataFrame, path: str, batch: str) -> None:
+    """Store the cells that no other batch has stored."""
+    spark = incoming.sparkSession
+    log = block_log(spark, path)
+    if log is None:
+        write_cells(incoming, path, batch)
+        return
+    packed = cut_lineage(pack_blocks(incoming))
+    layers = [r["layer"] for r in packed.select("layer").distinct().collect()]
+    fresh = lacking(packed, touched(log.filter(F.col("batch") != batch), packed))
+    write_cells(unpack_blocks(fresh), path, batch, layers=layers)
+
+
 def write_bucketed(layer: DataFrame, table: str, path: str, buckets: int) -> None:
     """Store one layer as a table bucketed by cell.
 

@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellweave.model import CELLS
 from cellweave.operators.overlay import extract_by_mask
-from cellweave.session import cut_lineage
-from cellweave.sources.cells import block_log, new_cells, write_cells
+from cellweave.sources.cells import add_cells
 
 
 def _add(incoming: DataFrame, target: str, batch: str, template: DataFrame | None) -> None:
     """Write the cells no other batch has written. Running a batch again replaces its output."""
-    if template is not None:
-        incoming = extract_by_mask(incoming, template)
-    log = block_log(incoming.sparkSession, target)
-    if log is not None:
-        # What is new is fixed here, before the target is written to.
-        incoming = cut_lineage(new_cells(incoming, log.filter(F.col("batch") != batch)))
-    write_cells(incoming, target, batch)
+    add_cells(incoming if template is None else extract_by_mask(incoming, template), target, batch)
 
 
 def ingest_batch(incoming: DataFrame, target: str, batch: str, template: DataFrame | None = None) -> None:

@@ -285,3 +285,22 @@ def test_steps_are_removed(spark):
     # The pieces and what their labels became are still read; the levels are gone.
     assert session.clear_steps(spark) == 2
     assert len(files.listStatus(place)) == before - 2
+
+
+@pytest.mark.parametrize("alone", [100_000, 0])
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_levels_and_one_step_agree(spark, monkeypatch, alone, diagonal):
+    """A spiral, a comb and scattered cells over many tiles, negative rows and columns among them."""
+    monkeypatch.setattr(components, "ALONE", alone)
+    spiral, r, c, step = set(), 0, 0, 40
+    for dr, dc in [(0, 1), (1, 0), (0, -1), (-1, 0)] * 8:
+        for _ in range(step):
+            spiral.add((r - 20, c - 20))
+            r, c = r + dr, c + dc
+        step -= 2 * (dc == 0)
+    comb = {(x, 60) for x in range(-20, 30)} | {(x, y) for x in range(-20, 30, 2) for y in range(60, 75)}
+    other, _ = random_region(spark, 5, 30, 0.4)
+    cells = spiral | comb | {(r + 40, c + 3) for r, c in other}
+    df = spark.createDataFrame(sorted(cells), "r long, c long")
+    found = by_part(runs.to_cells(components.label_parts(runs.to_runs(df, []), [], diagonal, tile=4)))
+    assert found == brute_parts(cells, diagonal)
