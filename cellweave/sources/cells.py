@@ -134,15 +134,14 @@ def new_cells(incoming: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def add_cells(incoming: DataFrame, path: str, batch: str) -> None:
-    """Store the cells that no other batch has stored."""
+    """Store the cells that no other batch has stored. What comes in is computed once, packed, and kept till then."""
     spark = incoming.sparkSession
     log = block_log(spark, path)
-    if log is None:
-        write_cells(incoming, path, batch)
-        return
     packed = cut_lineage(pack_blocks(incoming))
     layers = [r["layer"] for r in packed.select("layer").distinct().collect()]
-    fresh = lacking(packed, touched(log.filter(F.col("batch") != batch), packed))
+    fresh = packed
+    if log is not None:
+        fresh = lacking(packed, touched(log.filter(F.col("batch") != batch), packed))
     write_cells(unpack_blocks(fresh), path, batch, layers=layers)
 
 
