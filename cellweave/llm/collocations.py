@@ -48,6 +48,8 @@ SIEVE_SPARE, SIEVE_LEAST, SIEVE_BITS = 32, 20, 26
 CHUNK, HELD = 2 << 20, 1 << 20
 #: Phrases, and words, that a task holds before it spells them out; partitions it takes one after another.
 SPELLED, TOGETHER = 1_000_000, 4
+#: Phrases spelled out at once.
+ROWS = 20_000
 #: Parts by which each language's ranking is begun.
 SALTS = 64
 
@@ -324,13 +326,18 @@ def spell(docs: DataFrame, sieves: list, bits: int = 64) -> DataFrame:
 
         def out():
             names = list(state["numbers"])
-            rows = [(lang, 0, "", count, None, 0) for lang, count in state["total"].items()]
+            yield batch_of([(lang, 0, "", count, None, 0) for lang, count in state["total"].items()])
             for (lang, n), held in state["found"].items():
-                for words, count, (doc, place) in zip(held.words.tolist(), held.counts.tolist(), held.pointers.tolist()):
-                    rows.append((lang, n, b" ".join([names[w] for w in words]).decode(), count, state["ids"][doc], place))
-            return batch_of(rows, names)
+                for lo in range(0, len(held.counts), ROWS):  # all rows at once would weigh more than the phrases
+                    some = (x[lo : lo + ROWS].tolist() for x in (held.words, held.counts, held.pointers))
+                    yield batch_of(
+                        [
+                            (lang, n, b" ".join([names[w] for w in words]).decode(), count, state["ids"][doc], place)
+                            for words, count, (doc, place) in zip(*some)
+                        ]
+                    )
 
-        def batch_of(rows, names):
+        def batch_of(rows):
             kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             columns = list(zip(*rows)) or [[]] * 6
             return pa.RecordBatch.from_arrays(
@@ -345,9 +352,19 @@ def spell(docs: DataFrame, sieves: list, bits: int = 64) -> DataFrame:
                 state["ids"] += batch.column(2).to_pylist()
             state["total"][lang] = state["total"].get(lang, 0) + len(words.id)
             numbers = state["numbers"]
-            number = np.array([numbers.setdefault(w, len(numbers)) for w in words.names], np.int64)
+            # Phrases that pass are made of words that pass, so no other word needs a number.
+            kept = np.flatnonzero(passes(sieves[0].value, words.names_printed())) if sieves else np.zeros(0, np.int64)
+            number = np.full(len(words.names), -1, np.int64)
+            number[kept] = [numbers.setdefault(words.names[i], len(numbers)) for i in kept.tolist()]
+            at = None
             for n, sieve in enumerate(sieves, 1):
-                at, prints = frequent_places(words, n, sieve.value)
+                if n == 1:
+                    at, prints = frequent_places(words, n, sieve.value)
+                else:  # as in counting, both shorter ones inside have to pass
+                    at = grown(words, n, at)
+                    prints = words.fingerprints(at, n)
+                    ok = passes(sieve.value, prints)
+                    at, prints = at[ok], prints[ok]
                 if not len(at):
                     break
                 exact = number[np.stack([words.id[at + k] for k in range(n)], axis=1)]
@@ -361,14 +378,13 @@ def spell(docs: DataFrame, sieves: list, bits: int = 64) -> DataFrame:
                         [
                             (lang, n, b" ".join([names[w] for w in x]).decode(), 1, state["ids"][doc], place)
                             for x, (doc, place) in zip(unlike.tolist(), theirs.tolist())
-                        ],
-                        names,
+                        ]
                     )
             if sum(len(x.prints) for x in state["found"].values()) > SPELLED or len(numbers) > SPELLED:
-                yield out()
+                yield from out()
                 last = None
                 clear()
-        yield out()
+        yield from out()
 
     schema = "lang string, n_words int, phrase string, n long, doc_id string, place long"
     wanted = docs.select("lang", "text", F.col("doc_id").cast("string").alias("doc_id"))

@@ -111,3 +111,19 @@ def test_query_equals_sql(spark):
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES['op13_collocations']})").fetchall()
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(want) and want
+
+
+def test_only_phrases_of_passing_parts_are_spelled(spark, monkeypatch):
+    """A task that spells holds no phrase, and numbers no word, that counting has ruled out; rows come in parts."""
+    monkeypatch.setattr(co, "ROWS", 7)
+    rows = [(i, "en", " ".join(f"{w} new york" for w in (f"a{i}", f"b{i}", f"c{i}"))) for i in range(80)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("lang", "text", "doc_id").coalesce(2)
+    bits, sieves = 6, []  # fingerprints of 6 bits, so that many pass that are rare
+    for n in (1, 2, 3):
+        counted = co.count_fingerprints(docs, n, sieves[-1] if sieves else None, bits)
+        sieves.append(spark.sparkContext.broadcast(co.sieve_of(counted.filter("n >= 100").select("fp"), spark)))
+    spelled = {r["phrase"] for r in co.spell(docs, sieves, bits).filter("n_words > 0").collect()}
+    assert {"new york", "york", "new"} <= spelled
+    for phrase in spelled:
+        words = phrase.split(" ")
+        assert len(words) == 1 or {" ".join(words[1:]), " ".join(words[:-1])} <= spelled
