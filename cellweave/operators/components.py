@@ -15,11 +15,12 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from cellweave.session import cut_lineage, div, lookup, remove_step, write_step
+from cellweave.session import cut_lineage, div, lookup, remove_step, shuffle_partitions, write_step
 
+#: Also the side of the squares whose smaller tiles share a call of a kernel.
 TILE = 1024
 #: Squares that are united in each direction at a level, and runs on borders that are few enough to be united at once.
 FAN, ALONE = 4, 100_000
@@ -79,8 +80,9 @@ def _smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _label_tiles(runs: DataFrame, keys: list[str], link: Sequence[int], tile: int, keep: Sequence[str] = ()) -> DataFrame:
     """Runs cut at tile borders, with the first cell of their part of the tile.
 
-    All features of a tile are labelled by one call, so many small features
-    cost no more than a large one.
+    All features of a tile are labelled by one call, and so are all tiles of a
+    square if they are small: many small features or tiles cost no more than a
+    large one.
     """
     edge = F.col("tile_c") * tile
     pieces = (
@@ -95,7 +97,7 @@ def _label_tiles(runs: DataFrame, keys: list[str], link: Sequence[int], tile: in
         r, c0, c1 = (table[x].to_numpy() for x in ("r", "c0", "c1"))
         if c0.min() < -SHIFT or c1.max() >= SHIFT:
             raise ValueError(f"columns of parts have to lie from {-SHIFT} to {SHIFT - 1}")
-        feature = _features(table, keys)
+        feature = _features(table, [*keys, "tile_r", "tile_c"])
         order = np.lexsort((c0, r, feature))
         table, feature, r, c0, c1 = table.take(order), feature[order], r[order], c0[order], c1[order]
         first = _smallest_linked(len(r), *_touching(feature, r, c0, c1, link))
@@ -104,7 +106,19 @@ def _label_tiles(runs: DataFrame, keys: list[str], link: Sequence[int], tile: in
 
     pieces = pieces.select(cols)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.groupBy("tile_r", "tile_c").applyInArrow(kernel, schema + ", label long")
+    return _by_square(pieces, ["tile_r", "tile_c"], tile).applyInArrow(kernel, schema + ", label long")
+
+
+def _by_square(rows: DataFrame, places: list[str], side: int) -> GroupedData:
+    """Rows grouped by their place in squares of ``side`` cells, of which so many make a group that it spans ``TILE`` cells.
+
+    The partition count is given, as for the tiles of neighbourhoods: adaptive
+    coalescing goes by bytes, and would leave much labelling to one task.
+    """
+    many = max(1, TILE // side)
+    square = {f"_g{i}": div(F.col(x), many) for i, x in enumerate(places)}
+    rows = rows.withColumns(square).repartition(shuffle_partitions(rows.sparkSession), *square)
+    return rows.groupBy(*square)
 
 
 def _nodes(feature: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +151,8 @@ def merge_borders(pieces: DataFrame, keys: list[str], link: Sequence[int], tile:
     while side < tile * span:
         side = tile * span if few else side * FAN
         square = {"sr": div(F.col("r") - r0, side), "sc": div(F.col("c0") - c0, side)}
-        united = runs.withColumns(square).groupBy("sr", "sc").applyInArrow(_unite(keys, link), fields + ", old long")
+        grouped = _by_square(runs.withColumns(square), list(square), side)
+        united = grouped.applyInArrow(_unite(keys, link), fields + ", old long")
         united, path = write_step(united.filter(F.col("old").isNotNull() | _on_border(r0, c0, side, link)))
         note = united.filter(F.col("old").isNotNull()).select(*keys, "old", "label")
         notes.append((note, note.count(), path))
@@ -172,9 +187,10 @@ def _unite(keys: list[str], link: Sequence[int]):
     """The kernel of a level: runs with new labels, and the labels that changed."""
 
     def kernel(table: pa.Table) -> pa.Table:
-        table = table.drop_columns(["sr", "sc"]).combine_chunks()
+        table = table.combine_chunks()
         r, c0, c1, label = (table[x].to_numpy() for x in ("r", "c0", "c1", "label"))
-        feature = _features(table, keys)
+        feature = _features(table, [*keys, "sr", "sc"])
+        table = table.select([*keys, "r", "c0", "c1", "label"])
         order = np.lexsort((c0, r, feature))
         table, feature, r, c0, c1, label = table.take(order), feature[order], r[order], c0[order], c1[order], label[order]
         a, b = _touching(feature, r, c0, c1, link)

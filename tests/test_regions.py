@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import GroupedData
+
 from cellweave import session
 from cellweave.operators import components, regions, runs
 
@@ -304,3 +306,20 @@ def test_levels_and_one_step_agree(spark, monkeypatch, alone, diagonal):
     df = spark.createDataFrame(sorted(cells), "r long, c long")
     found = by_part(runs.to_cells(components.label_parts(runs.to_runs(df, []), [], diagonal, tile=4)))
     assert found == brute_parts(cells, diagonal)
+
+
+def test_small_tiles_share_calls(spark, monkeypatch):
+    """Small tiles and squares are labelled many in a call, all features of them too."""
+    calls, apply = [], GroupedData.applyInArrow
+
+    def counted(self, func, schema):
+        calls.append(self.count().count())
+        return apply(self, func, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    cells = [(c // 25, r, c) for r in range(60) for c in range(50) if r % 4 == 0 or c % 7 == r % 11]
+    df = spark.createDataFrame(cells, "feat_id long, r long, c long")
+    few = regions.explode_parts(df, tile=2).collect()
+    assert max(calls) == 1
+    assert sorted(few) == sorted(regions.explode_parts(df).collect())
+    assert len({x[:3] for x in few}) > 2
