@@ -11,7 +11,7 @@ counted to be few; else cells, packed by square, meet the nodes of their square.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,12 +149,19 @@ def _result(rows: pa.RecordBatch | pa.Table, held: np.ndarray, flag: str | None)
     return type(rows).from_arrays([*rows.columns, pa.array(held)], names=[*rows.schema.names, flag])
 
 
-def inside(cells: DataFrame, runs: DataFrame, flag: str | None = None, limit: int = COVER_BYTES) -> DataFrame:
+def inside(
+    cells: DataFrame,
+    runs: DataFrame,
+    flag: str | None = None,
+    limit: int = COVER_BYTES,
+    then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None,
+) -> DataFrame:
     """Cells that lie in a set of runs; with ``flag`` all cells, and that column to tell which do.
 
     One pass over the cells where they are, if the cover has up to ``limit``
     bytes. Else cells are packed by squares, hashed by those, and meet the nodes
-    of their square; larger nodes are cut into squares.
+    of their square; larger nodes are cut into squares. ``then`` is what
+    ``mapInArrow`` is to do with the result, in the same pass where there is one.
     """
     nodes = cut_lineage(cover(runs))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
@@ -170,7 +177,10 @@ def inside(cells: DataFrame, runs: DataFrame, flag: str | None = None, limit: in
             for batch in batches:
                 yield _result(batch, known.value.holds(*places(batch)), flag)
 
-        return cells.mapInArrow(mark, schema)
+        if then is None:
+            return cells.mapInArrow(mark, schema)
+        go_on, schema = then
+        return cells.mapInArrow(lambda batches: go_on(mark(batches)), schema)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = pa.Table.from_struct_array(pa.chunked_array([x.flatten() for x in left["rows"].chunks], left.schema.field("rows").type.value_type))
@@ -183,7 +193,8 @@ def inside(cells: DataFrame, runs: DataFrame, flag: str | None = None, limit: in
     small = nodes.filter(F.col("z1") - F.col("z0") <= 1 << square).unionByName(cut)
     keyed = small.withColumn("square", F.shiftright("z0", square))
     packed = _by_square(cells)
-    return packed.groupBy("square").cogroup(keyed.groupBy("square")).applyInArrow(meet, schema)
+    found = packed.groupBy("square").cogroup(keyed.groupBy("square")).applyInArrow(meet, schema)
+    return found if then is None else found.mapInArrow(*then)
 
 
 def _by_square(cells: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.model import CELLS
+from cellweave.operators.quadtree import inside
+from cellweave.session import shuffle_partitions
 
 BLOCK = 1024
 SUFFIX = ".blocks"
@@ -80,11 +82,12 @@ def _typed(cells: DataFrame, *names: str) -> DataFrame:
     )
 
 
-def pack_blocks(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+def pack_blocks(cells: DataFrame, block: int = BLOCK, within: DataFrame | None = None) -> DataFrame:
     """``layer, year, r, c, v`` as records of a block: places as 32-bit numbers, and values.
 
     Packed batch by batch, so what is shuffled by block are few records and not
-    cells. Repeated cells stay.
+    cells. Repeated cells stay. Cells outside the runs ``within`` are dropped
+    in the same pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +98,8 @@ def pack_blocks(cells: DataFrame, block: int = BLOCK) -> DataFrame:
                 values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), batch.column("v").take(pa.array(order)))
                 yield pa.RecordBatch.from_arrays([*keys, places, values], names=["layer", "year", "br", "bc", "at", "vals"])
 
-    return _typed(cells, "layer").mapInArrow(run, PACKED)
+    cells = _typed(cells, "layer")
+    return cells.mapInArrow(run, PACKED) if within is None else inside(cells, within, then=(run, PACKED))
 
 
 def unpack_blocks(packed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -163,6 +167,8 @@ def entries(cells: DataFrame, block: int = BLOCK) -> DataFrame:
 
     schema = "layer string, batch string, year int, br long, bc long, " + STATS + ", cells binary"
     parts = _typed(cells, "layer", "batch").mapInArrow(part, schema)
+    # Few bytes, each opened to a whole block: adaptive coalescing would leave all to one task.
+    parts = parts.repartition(shuffle_partitions(cells.sparkSession), *names[:5])
     return parts.groupBy(*names[:5]).applyInArrow(unite, schema)
 
 

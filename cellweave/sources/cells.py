@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.columns import layer_period
 from cellweave.model import CELLS
+from cellweave.operators.runs import to_runs
 from cellweave.session import cut_lineage, div
 from cellweave.sources.blocklog import (
     ENTRY,
@@ -133,11 +134,14 @@ def new_cells(incoming: DataFrame, log: DataFrame) -> DataFrame:
     return unpack_blocks(lacking(packed, touched(log, packed)))
 
 
-def add_cells(incoming: DataFrame, path: str, batch: str) -> None:
-    """Store the cells that no other batch has stored. What comes in is computed once, packed, and kept till then."""
+def add_cells(incoming: DataFrame, path: str, batch: str, template: DataFrame | None = None) -> None:
+    """Store the cells, those inside a template if given, that no other batch has stored.
+
+    What comes in is computed once, clipped and packed in one pass, and kept till then.
+    """
     spark = incoming.sparkSession
     log = block_log(spark, path)
-    packed = cut_lineage(pack_blocks(incoming))
+    packed = cut_lineage(pack_blocks(incoming, within=None if template is None else to_runs(template, [])))
     layers = [r["layer"] for r in packed.select("layer").distinct().collect()]
     fresh = packed
     if log is not None:

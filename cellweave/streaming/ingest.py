@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.model import CELLS
-from cellweave.operators.overlay import extract_by_mask
 from cellweave.sources.cells import add_cells
 
 
 def _add(incoming: DataFrame, target: str, batch: str, template: DataFrame | None) -> None:
     """Write the cells no other batch has written. Running a batch again replaces its output."""
-    add_cells(incoming if template is None else extract_by_mask(incoming, template), target, batch)
+    add_cells(incoming, target, batch, template)
 
 
 def ingest_batch(incoming: DataFrame, target: str, batch: str, template: DataFrame | None = None) -> None:

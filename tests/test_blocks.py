@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave import session
 from cellweave.model import CELLS, GridSpec
 from cellweave.operators import distance, overlay, quadtree
 from cellweave.operators.neighbourhood import euclid_distance
@@ -272,3 +273,24 @@ def test_early_barren_layers_reach_less_far(spark):
     both = barren.mark_barren(stack.selectExpr("r", "c", "b AS a", "a AS b"), ["a", "b"], 40, block=64)
     assert {x.c: x._barren for x in both.collect()} == {0: 1, 5: 1, 70: 0}
     assert stack.count() == 3
+
+
+def test_log_entries_are_united_by_many_tasks(spark):
+    """Bitmaps are few bytes and much work, so their tasks are not coalesced by bytes."""
+    cells = spark.range(64).selectExpr("'a' AS layer", "'-' AS batch", "2001 AS year", "id * 8 AS r", "id AS c", "1 AS v")
+    logged = blocklog.entries(cells, block=64)
+    assert logged.rdd.getNumPartitions() == session.shuffle_partitions(spark) > 1
+    assert logged.agg(F.sum("n"), F.count("*")).first() == (64, 8)
+
+
+@pytest.mark.parametrize("limit", [quadtree.COVER_BYTES, 0])
+def test_clipped_and_packed_in_one_pass(spark, monkeypatch, limit):
+    """Cells meet the cover and are packed by one pass, or behind the shuffle where the cover is large."""
+    monkeypatch.setattr(quadtree.inside, "__defaults__", (None, limit, None))
+    cells = spark.range(600).selectExpr("'a' AS layer", "2001 AS year", "id div 20 AS r", "id % 20 AS c", "CAST(id AS INT) AS v")
+    mask = to_runs(cells.filter("c % 3 > 0 AND r < 25"), [])
+    packed = blocklog.pack_blocks(cells, 16, mask)
+    if limit:
+        assert plan(packed).count("MapInArrow") == 1
+    got = sorted(blocklog.unpack_blocks(packed, 16).collect())
+    assert got == sorted(cells.filter("c % 3 > 0 AND r < 25").collect())
