@@ -163,7 +163,41 @@ def inside(
     of their square; larger nodes are cut into squares. ``then`` is what
     ``mapInArrow`` is to do with the result, in the same pass where there is one.
     """
-    nodes = cut_lineage(cover(runs))
+    return _meet_cover(cells, cut_lineage(cover(runs)), flag, limit, then)
+
+
+def flags(
+    cells: DataFrame,
+    sets: dict[str, DataFrame],
+    then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str],
+    limit: int = COVER_BYTES,
+) -> DataFrame:
+    """All cells, with a column for each set of runs that tells which lie in it, handed to ``then``.
+
+    One pass over the cells, so one Python worker a task, if all covers together
+    have up to ``limit`` bytes; else each cover is met by itself.
+    """
+    nodes = {name: cut_lineage(cover(runs)) for name, runs in sets.items()}
+    go_on, schema = then
+    if sum(map(cover_bytes, nodes.values())) > limit:
+        *before, last = nodes
+        for name in before:
+            cells = _meet_cover(cells, nodes[name], name, limit)
+        return _meet_cover(cells, nodes[last], last, limit, then)
+    known = cells.sparkSession.sparkContext.broadcast({name: Cover.of(n.toArrow()) for name, n in nodes.items()})
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [batch.column(x).cast(pa.int64()).to_numpy() for x in ("r", "c")]
+            for name, held in known.value.items():
+                batch = _result(batch, held.holds(*places), name)
+            yield batch
+
+    return cells.mapInArrow(lambda batches: go_on(mark(batches)), schema)
+
+
+def _meet_cover(cells: DataFrame, nodes: DataFrame, flag: str | None, limit: int, then=None) -> DataFrame:
+    """What ``inside`` gives, by the nodes of a cover."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
     schema = fields if flag is None else f"{fields}, `{flag}` boolean"
 

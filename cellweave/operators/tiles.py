@@ -29,11 +29,11 @@ Shape = list[int]  # half-width of each row, from the top row to the bottom one
 Grid = tuple[np.ndarray, np.ndarray]  # values, and where they are not NoData
 
 
-def _packed(df: DataFrame, layers: list[str], segment: int = SEGMENT) -> DataFrame:
-    """Neighbouring cells of a row as one record ``r, c0`` with a list per layer.
+def packing(layers: dict[str, str], segment: int = SEGMENT) -> tuple[Callable, str]:
+    """What ``mapInArrow`` needs to pack cells ``r, c`` (64 bits) and ``layers``, given with their types.
 
-    Packed batch by batch before the shuffle, so it moves and sorts few records.
-    Unsorted input packs less and is as right.
+    Neighbouring cells of a row become one record ``r, c0`` with a list per layer,
+    batch by batch. Unsorted input packs less and is as right.
     """
 
     def pack(batches):
@@ -50,9 +50,13 @@ def _packed(df: DataFrame, layers: list[str], segment: int = SEGMENT) -> DataFra
                 [pa.array(r[start]), pa.array(c[start]), *lists], names=["r", "c0", *layers]
             )
 
+    return pack, "r long, c0 long, " + ", ".join(f"{x} array<{t}>" for x, t in layers.items())
+
+
+def _packed(df: DataFrame, layers: list[str], segment: int = SEGMENT) -> DataFrame:
+    """Cells packed before the shuffle, so it moves and sorts few records."""
     cells = df.select(F.col("r").cast("long"), F.col("c").cast("long"), *layers)
-    lists = ", ".join(f"{x} array<{df.schema[x].dataType.simpleString()}>" for x in layers)
-    return cells.mapInArrow(pack, f"r long, c0 long, {lists}")
+    return cells.mapInArrow(*packing({x: df.schema[x].dataType.simpleString() for x in layers}, segment))
 
 
 def _unpacked(table: pa.Table, layers: list[str]):
@@ -63,7 +67,7 @@ def _unpacked(table: pa.Table, layers: list[str]):
     return np.repeat(table["r"].to_numpy(), size), c, {x: pc.list_flatten(table[x]) for x in layers}
 
 
-def with_halo(df: DataFrame, layers: list[str], halo: int, tile: int) -> DataFrame:
+def with_halo(packed: DataFrame, layers: list[str], halo: int, tile: int) -> DataFrame:
     """Copies of packed cells for every tile within ``halo`` cells, hashed by tile.
 
     The partition count is given, not left to adaptive coalescing: that goes by
@@ -78,9 +82,9 @@ def with_halo(df: DataFrame, layers: list[str], halo: int, tile: int) -> DataFra
         return F.explode(F.sequence(low.cast("long"), div(last + halo, tile)))
 
     r, c0 = F.col("r"), F.col("c0")
-    packed = _packed(df, layers).withColumn("tile_r", tiles(r, r))
+    packed = packed.withColumn("tile_r", tiles(r, r))
     packed = packed.withColumn("tile_c", tiles(c0, c0 + F.size(layers[0]) - 1))
-    return packed.repartition(shuffle_partitions(df.sparkSession), *KEY)
+    return packed.repartition(shuffle_partitions(packed.sparkSession), *KEY)
 
 
 def circle(radius: int) -> Shape:
@@ -173,26 +177,26 @@ def tile_map(
         ]
         return pa.Table.from_arrays([pa.array(r), pa.array(c), *cols], names=names)
 
-    _check_whole_numbers(df, layers)
+    check_whole_numbers(df, layers)
     types = {"int": pa.int32(), "double": pa.float64()}
     names = ["r", "c", *out]
     empty = pa.schema(
         [("r", pa.int64()), ("c", pa.int64()), *[(n, types[t]) for n, t in out.items()]]
     ).empty_table()
     schema = "r long, c long, " + ", ".join(f"{n} {t}" for n, t in out.items())
-    tiled = with_halo(df, layers, halo, tile)
+    tiled = with_halo(_packed(df, layers), layers, halo, tile)
     return tiled.groupBy(*KEY).applyInArrow(kernel, schema)
 
 
 def tile_long(
-    df: DataFrame,
+    packed: DataFrame,
     layers: list[str],
     halo: int,
     tile: int,
     compute: Callable[[Callable[[str], Grid]], Iterator[tuple[str, np.ndarray]]],
     keep: str | None = None,
 ) -> DataFrame:
-    """Run ``compute`` on every tile and return ``layer, r, c, v`` of its whole-number results.
+    """Run ``compute`` on every tile of cells that ``packing`` packed; ``layer, r, c, v`` of its whole-number results.
 
     Results are handed on one layer at a time, so a tile holds one of them.
     ``keep`` names a layer whose cells are returned only where it is not 0.
@@ -213,12 +217,11 @@ def tile_long(
             found = pa.array(values[pick].astype(np.int32))
             yield pa.RecordBatch.from_arrays([named, *places, found], names=["layer", "r", "c", "v"])
 
-    _check_whole_numbers(df, layers)
-    tiled = with_halo(df, layers, halo, tile)
+    tiled = with_halo(packed, layers, halo, tile)
     return tiled.groupBy(*KEY).applyInArrow(kernel, "layer string, r long, c long, v int")
 
 
-def _check_whole_numbers(df: DataFrame, layers: list[str]) -> None:
+def check_whole_numbers(df: DataFrame, layers: list[str]) -> None:
     for name in layers:
         if not isinstance(df.schema[name].dataType, IntegralType):
             raise TypeError(f"layer {name} must hold whole numbers")

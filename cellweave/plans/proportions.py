@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import codes
 from cellweave.functions.columns import indicator, set_null
 from cellweave.model import GridSpec
-from cellweave.operators.overlay import polygon_spans, spans_flag
+from cellweave.operators.overlay import polygon_spans
+from cellweave.operators.quadtree import flags
 from cellweave.operators.runs import dilate, merge_runs, to_runs
-from cellweave.operators.tiles import circle, shape_sums, square, tile_long
+from cellweave.operators.tiles import check_whole_numbers, circle, packing, shape_sums, square, tile_long
 
 SHAPES = {"1": square(1), "10": circle(10), "100": circle(100)}
 
@@ -39,6 +42,31 @@ def study_runs(
     return dilate(runs, buffer, spec.size, []) if buffer else runs
 
 
+def _packed_inputs(cells: DataFrame, names: list[str], sets: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
+    """Cells marked by ``sets`` and packed for tiles in one pass, and the layers they hold.
+
+    Cells outside the set ``_known`` are NoData; ``_kept`` becomes a layer.
+    """
+    check_whole_numbers(cells, names)
+    types = {n: cells.schema[n].dataType.simpleString() for n in names}
+    pack, schema = packing(types | ({"_kept": "int"} if "_kept" in sets else {}))
+
+    def known(batches):
+        for batch in batches:
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            if "_known" in columns:
+                held = columns.pop("_known")
+                columns |= {n: pc.if_else(held, columns[n], pa.scalar(None, columns[n].type)) for n in names}
+            if "_kept" in columns:
+                columns["_kept"] = columns["_kept"].cast(pa.int32())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    every = [*names, *(["_kept"] if "_kept" in sets else [])]
+    if not sets:
+        return cells.mapInArrow(pack, schema), every
+    return flags(cells, sets, (lambda batches: pack(known(batches)), schema)), every
+
+
 def lc_proportions_years(
     stack: DataFrame,
     years: dict[int, tuple[str, str | None, str | None]],
@@ -64,13 +92,13 @@ def lc_proportions_years(
         for year, (cover, impervious, canopy) in years.items()
         for k, expr in _layers(cover, impervious, canopy, canopy_nodata).items()
     }
-    known = F.lit(True)
+    sets = {}
     if area is not None or edges is not None:
-        stack, known = spans_flag(stack, study_runs(area, edges, spec, buffer), "_known"), F.col("_known")
+        sets["_known"] = study_runs(area, edges, spec, buffer)
     if mask is not None:
-        stack = spans_flag(stack, to_runs(mask, []), "_kept")
-    kept = [] if mask is None else [F.col("_kept").cast("int").alias("_kept")]
-    inputs = stack.select("r", "c", *[F.when(known, e).alias(n) for n, (_, e) in layers.items()], *kept)
+        sets["_kept"] = to_runs(mask, [])
+    place = [F.col(x).cast("long").alias(x) for x in ("r", "c")]
+    inputs = stack.select(*place, *[e.alias(n) for n, (_, e) in layers.items()])
     names, sizes = list(layers), list(shapes.values())
     scales = {n: 100 if k in codes.PERCENT_LAYERS else 10000 for n, (k, _) in layers.items()}
     tags = list(shapes)
@@ -87,8 +115,8 @@ def lc_proportions_years(
                 yield f"{name}{tag}", np.floor(mean * scales[name] + 0.5)
 
     halo = max(len(s) // 2 for s in sizes)
-    every = [*names, *(["_kept"] if mask is not None else [])]
-    long = tile_long(inputs, every, halo, tile, compute, "_kept" if mask is not None else None)
+    packed, every = _packed_inputs(inputs, names, sets)
+    long = tile_long(packed, every, halo, tile, compute, "_kept" if mask is not None else None)
     return long.select(
         F.substring("layer", 2, 4).cast("int").alias("year"), F.expr("substring(layer, 7)").alias("name"), "r", "c", "v"
     )

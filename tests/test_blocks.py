@@ -169,6 +169,18 @@ def test_masks_against_sets(spark, limit):
     assert nothing.filter("hit").count() == 0 and nothing.count() == len(cells)
 
 
+@pytest.mark.parametrize("limit", [quadtree.COVER_BYTES, 700, 0])
+def test_two_masks_in_one_pass(spark, limit):
+    """Both covers fit together, only each by itself, or neither: 700 bytes hold one border leaf."""
+    cells = {(r, c): r * 50 + c for r in range(50) for c in range(50)}
+    df = frame(spark, cells)
+    masks = {"a": {(r, c) for r, c in cells if r < 20}, "b": {(r, c) for r, c in cells if (r + c) % 3 == 0}}
+    sets = {n: to_runs(spark.createDataFrame(sorted(m), "r long, c long"), []) for n, m in masks.items()}
+    out = quadtree.flags(df, sets, (lambda batches: batches, "r long, c long, v int, a boolean, b boolean"), limit)
+    got = {(x.r, x.c): (x.v, x.a, x.b) for x in out.collect()}
+    assert got == {at: (v, at in masks["a"], at in masks["b"]) for at, v in cells.items()}
+
+
 def test_covers_grow_with_the_border(spark):
     def size(side):
         runs = spark.range(side).selectExpr("id + 13 AS r", "29L AS c0", f"{28 + side}L AS c1")

@@ -232,3 +232,17 @@ def test_cells_outside_the_study_area_keep_a_mean(spark):
     out = lc_proportions(stack, "cover", mask, None, None, area=area, shapes={"1": square(1)}, tile=5)
     got = {(x.r, x.c): x.v for x in out.filter("name = 'dfr1'").collect()}
     assert got == {(r, c): 10000 if c <= 4 else 0 for r in range(6) for c in range(12)}
+
+
+def test_proportions_mark_and_pack_cells_in_one_pass(spark):
+    """One Python worker a task reads the cells, whether the study area, the mask, both or neither mark them."""
+    stack = spark.createDataFrame([(r, c, 41) for r in range(6) for c in range(12)], "r long, c long, cover int")
+    sets = {"mask": stack.filter("r > 0").select("r", "c"), "area": stack.filter("c < 4").select("r", "c")}
+    for names in ((), ("mask",), ("area",), ("mask", "area")):
+        chosen = {n: sets[n] for n in names}
+        out = lc_proportions(stack, "cover", impervious=None, canopy=None, shapes={"1": square(1)}, tile=5, **chosen)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow ") == 1, names
+        got = {(x.r, x.c): x.v for x in out.filter("name = 'dfr1'").collect()}
+        known, kept = (lambda c: c <= 4 if "area" in names else True), (lambda r: r > 0 or "mask" not in names)
+        assert got == {(r, c): 10000 if known(c) else 0 for r in range(6) for c in range(12) if kept(r)}
